@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, pii
+from . import decontaminate, mixing, ngram_join, pii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard": ngram_join.query,
     "op8_decontamination": decontaminate.query,
     "op9_pii": pii.query,
     "op10_mixing": mixing.query,
