@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, ngram_join, pii, quality
+from . import decontaminate, mixing, ngram_join, pii, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": ngram_join.query,
     "op2_quality": quality.query,
+    "op3_toxicity": toxicity.query,
     "op8_decontamination": decontaminate.query,
     "op9_pii": pii.query,
     "op10_mixing": mixing.query,
