@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, ngram_join, pii, quality, toxicity
+from . import audio, chat, decontaminate, language_model, mixing, ngram_join, pii, quality, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": ngram_join.query,
     "op2_quality": quality.query,
     "op3_toxicity": toxicity.query,
+    "op4_chat_preferences": chat.query,
+    "op5_url_filter": urls.query,
+    "op6_language_model": language_model.query,
+    "op7_audio": audio.query,
     "op8_decontamination": decontaminate.query,
     "op9_pii": pii.query,
     "op10_mixing": mixing.query,
