@@ -18,23 +18,29 @@ def splits(words: DataFrame, parts: DataFrame, max_parts: int = MAX_PARTS) -> Da
     """(w, parts): the ways to write each word as known parts, all but the last of them prefixes.
 
     Where what is left of a word is itself a known part, only that unsplit reading of it counts.  A word that could be
-    cut into more than ``max_parts`` parts is an error.
+    cut into more than ``max_parts`` parts is an error.  One join finds where known parts stand in a word; the paths from
+    its start to its end are then built within the row.
     """
-    known = parts.select(F.col("part").alias("rest")).distinct().withColumn("_known", F.lit(True))
-    prefixes = parts.where("is_prefix").select(F.col("part").alias("_first"))
-    open_ = words.select("w", F.array().cast("array<string>").alias("parts"), F.col("w").alias("rest")).distinct()
-    done = None
-    for number in range(max_parts + 1):
-        marked = open_.join(known, "rest", "left")
-        ended = marked.where("_known").select("w", F.concat("parts", F.array("rest")).alias("parts"))
-        if number == max_parts:
-            ended = marked.select("w", F.when(F.col("w").isNotNull(), F.raise_error(F.lit("a word has too many parts")).cast("array<string>")).alias("parts"))
-        done = ended if done is None else done.unionByName(ended)
-        if number < max_parts:
-            cuts = F.explode(F.sequence(F.lit(1), F.length("rest") - 1)).alias("_n")
-            longer = marked.where("_known is null and length(rest) > 1").select("w", "parts", "rest", cuts).withColumn("_first", F.left("rest", F.col("_n")))
-            open_ = longer.join(prefixes, "_first", "left_semi").select("w", F.concat("parts", F.array("_first")).alias("parts"), F.substr("rest", F.col("_n") + 1).alias("rest"))
-    return done
+    w = words.select("w").distinct().where("w <> ''").withColumn("_l", F.length("w"))
+    places = w.select("w", "_l", F.explode(F.sequence(F.lit(0), F.col("_l") - 1)).alias("_a")).select("w", "_l", "_a", F.explode(F.sequence(F.lit(1), F.col("_l") - F.col("_a"))).alias("_n"))
+    here = places.withColumn("part", F.substr("w", F.col("_a") + 1, F.col("_n"))).join(parts.select("part", "is_prefix"), "part")
+    found = here.groupBy("w", "_l").agg(F.collect_list(F.struct("_a", "_n", "is_prefix")).alias("_m"))
+    at = lambda path: F.element_at(path, -1)
+    ends = lambda path: F.exists("_m", lambda x: (x["_a"] == at(path)) & (x["_n"] == F.col("_l") - at(path)))
+    nexts = lambda path: F.filter("_m", lambda x: (x["_a"] == at(path)) & x["is_prefix"] & (x["_n"] < F.col("_l") - at(path)))
+    longer = lambda path: F.transform(nexts(path), lambda x: F.concat(path, F.array(at(path) + x["_n"])))
+
+    def step(state: Column, _: Column) -> Column:
+        done = F.concat(state["done"], F.filter(state["open"], ends))
+        return F.struct(F.flatten(F.transform(F.filter(state["open"], lambda p: ~ends(p)), longer)).alias("open"), done.alias("done"))
+
+    start = F.struct(F.array(F.array(F.lit(0))).alias("open"), F.array().cast("array<array<int>>").alias("done"))
+    state = F.aggregate(F.sequence(F.lit(1), F.lit(max_parts)), start, step)
+    found = found.withColumn("_s", state)
+    error = F.raise_error(F.lit("a word has too many parts")).cast("array<array<int>>")
+    paths = F.when(F.size("_s.open") > 0, error).otherwise(F.col("_s.done"))
+    found = found.select("w", "_l", F.explode(paths).alias("_p")).withColumn("_e", F.concat(F.slice("_p", F.lit(2), F.size("_p")), F.array("_l")))
+    return found.select("w", F.zip_with("_p", "_e", lambda x, y: F.substr("w", x + 1, y - x)).alias("parts"))
 
 
 def best_split(words: DataFrame, parts: DataFrame) -> DataFrame:
@@ -64,35 +70,39 @@ def compound_plan(lexicon: Lexicon, base: Callable[[DataFrame], DataFrame] | Non
 
     def by_parts(words: DataFrame) -> DataFrame:
         """(w, key, fields) of words without blanks and hyphens, as written or else in lower case."""
-        as_is = best_split(words, lexicon.parts).where(F.size("parts") > 1).withColumn("key", F.col("w"))
-        low = words.join(as_is.select("w"), "w", "left_anti").where(F.lower("w") != F.col("w"))
-        lowered = best_split(low.select(F.lower("w").alias("w")).distinct(), lexicon.parts).where(F.size("parts") > 1).withColumnRenamed("w", "key")
-        chosen = as_is.select("w", "key", "parts").unionByName(low.select("w", F.lower("w").alias("key")).join(lowered, "key").select("w", "key", "parts"))
-        single = best_split(words.where(F.lower("w") == F.col("w")), lexicon.parts).where(F.size("parts") == 1).select("w", F.col("w").alias("key"), "parts")
-        chosen = chosen.unionByName(single)
-        asked = chosen.select("w", F.element_at("parts", -1).alias("key"), F.col("key").alias("_key"), F.array_join(F.slice("parts", 1, F.size("parts") - 1), "-").alias("_prefix"), (F.size("parts") == 1).alias("_alone"))
-        found = look(asked).where(~F.col("_alone") | (F.col("birting") != "S"))
-        title = is_title(F.col("_key"))
-        kept = found.where(F.when(title, F.col("ofl").isin(*GENDERS)).otherwise(F.col("ofl").isin(*OPEN_CLASSES)))
+        asked = words.select("w").distinct().withColumn("_low", F.lower("w"))
+        both = best_split(asked.select(F.explode(F.array("w", "_low")).alias("w")).distinct(), lexicon.parts)
+        split = asked.join(both.withColumnRenamed("parts", "_as"), "w", "left").join(both.select(F.col("w").alias("_low"), F.col("parts").alias("_lowered")), "_low", "left")
+        as_is = (F.size("_as") > 1) | (F.col("_low") == F.col("w"))
+        # Without a split as written, the one in lower case is all there is, even where it has no parts.
+        parts = F.when(as_is, F.col("_as")).when(F.size("_lowered") > 1, F.col("_lowered"))
+        chosen = split.select("w", F.when(as_is, F.col("w")).otherwise(F.col("_low")).alias("_key"), parts.alias("parts")).where("parts is not null")
+        keys = chosen.select("w", "_key", F.element_at("parts", -1).alias("key"), F.array_join(F.slice("parts", F.lit(1), F.size("parts") - 1), "-").alias("_prefix"), (F.size("parts") == 1).alias("_alone"))
+        found = look(keys).where(~F.col("_alone") | (F.col("birting") != "S"))
+        kept = found.where(F.when(is_title(F.col("_key")), F.col("ofl").isin(*GENDERS)).otherwise(F.col("ofl").isin(*OPEN_CLASSES)))
         return kept.withColumns(prefixed(F.col("_prefix"), True)).select("w", F.col("_key").alias("key"), *AUGMENTED)
 
-    def simple(words: DataFrame) -> DataFrame:
-        """(w, key, fields): a word itself, in lower case, or by its parts."""
-        keys = words.select("w", F.col("w").alias("key")).distinct()
-        own = look(keys).where("birting <> 'S'").select("w", "key", *AUGMENTED)
-        low = look(keys.join(own.select("w"), "w", "left_anti").where(F.lower("w") != F.col("w")).withColumn("key", F.lower("w"))).where("birting <> 'S'").select("w", "key", *AUGMENTED)
-        found = own.unionByName(low)
-        return found.unionByName(by_parts(keys.select("w").join(found.select("w").distinct(), "w", "left_anti")))
-
     def plan(words: DataFrame) -> DataFrame:
-        asked = words.select("w").distinct()
-        spaced = asked.where(F.contains("w", F.lit(" "))).select(F.col("w").alias("_w"), before_last(F.col("w"), " ").alias("_p"), after_last(F.col("w"), " ").alias("w"))
-        hyphened = asked.where(~F.contains("w", F.lit(" ")) & F.contains("w", F.lit("-")) & ~F.col("w").endswith("-")).select(F.col("w").alias("_w"), before_last(F.col("w"), "-").alias("_p"), after_last(F.col("w"), "-").alias("w"))
-        plain = asked.where(~F.contains("w", F.lit(" ")) & ~F.contains("w", F.lit("-")))
-        after_blank = spaced.join(simple(spaced.select("w")), "w").withColumn("key", F.concat("_p", F.lit(" "), "key"))
-        after_blank = after_blank.withColumns(prefixed(F.concat("_p", F.lit(" ")), False)).select(F.col("_w").alias("w"), "key", *AUGMENTED)
-        title = is_upper(F.left("w", F.lit(1))) & ~is_upper(F.col("w"))
-        after_hyphen = hyphened.join(simple(hyphened.select("w")), "w").withColumns(prefixed(F.col("_p"), True, title)).select(F.col("_w").alias("w"), F.col("_w").alias("key"), *AUGMENTED)
-        return by_parts(plain).unionByName(after_blank).unionByName(after_hyphen)
+        w = F.col("w")
+        blank = F.contains(w, F.lit(" "))
+        hyphen = ~blank & F.contains(w, F.lit("-")) & ~w.endswith("-")
+        plain = ~blank & ~F.contains(w, F.lit("-"))
+        kind = F.when(blank, "blank").when(hyphen, "hyphen").when(plain, "plain")
+        asked = words.select("w").distinct().withColumn("_kind", kind).where("_kind is not null")
+        sep = lambda f, other: F.when(blank, f(w, " ")).when(hyphen, f(w, "-")).otherwise(other)
+        asked = asked.select("w", "_kind", sep(before_last, F.lit("")).alias("_p"), sep(after_last, w).alias("_rest"))
+        # What stands after a blank or hyphen may be a word of its own, as written or in lower case, or a compound.
+        rests = asked.where("_kind <> 'plain'").select(F.col("_rest").alias("w")).distinct()
+        spelled = rests.select("w", F.explode(F.array_distinct(F.array(w, F.lower(w)))).alias("key")).withColumn("_own", F.col("key") == w)
+        own = look(spelled).where("birting <> 'S'")
+        own = own.withColumn("_any", F.bool_or("_own").over(Window.partitionBy("w"))).where("_own = _any").select("w", "key", *AUGMENTED)
+        missed = rests.join(own.select("w").distinct(), "w", "left_anti").unionByName(asked.where("_kind = 'plain'").select("w")).distinct()
+        found = own.withColumn("_whole", F.lit(True)).unionByName(by_parts(missed).withColumn("_whole", F.lit(False))).withColumnRenamed("w", "_rest")
+        out = asked.join(found, "_rest").where("not _whole or _kind <> 'plain'")
+        key = F.when(F.col("_kind") == "blank", F.concat("_p", F.lit(" "), "key")).when(F.col("_kind") == "hyphen", w).otherwise(F.col("key"))
+        prefix = F.when(F.col("_kind") == "blank", F.concat("_p", F.lit(" "))).otherwise(F.col("_p"))
+        with_hyphen, without = prefixed(F.col("_p"), True, is_upper(F.left("_rest", F.lit(1))) & ~is_upper(F.col("_rest"))), prefixed(prefix, False)
+        fields = {c: F.when(F.col("_kind") == "hyphen", with_hyphen[c]).otherwise(without[c]) for c in with_hyphen}
+        return out.withColumns(fields | {"key": key}).select("w", "key", *AUGMENTED)
 
     return plan

@@ -1,8 +1,8 @@
 """Lookups of many words at once.
 
 A query table has a column ``w``; results have ``w`` (the word asked for), ``key`` (the spelling that was found),
-``stage``, ``rank`` (1 for the first entry) and the fifteen fields.  The cascade is a list of plans; each one only sees
-the words that all before it missed (left_anti), so the costly stages are small.
+``stage``, ``rank`` (1 for the first entry) and the fifteen fields.  The cascade asks for all spellings of a word in one
+join and keeps those of its first stage; only compounds, the costly stage, see just the words that missed (left_anti).
 """
 
 from __future__ import annotations
@@ -100,19 +100,19 @@ def lookup_id(ids: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def base_plan(lexicon: Lexicon) -> Callable[[DataFrame], DataFrame]:
-    """The plan that looks up keys (w, key): an equi-join with the rows that form lookups see."""
+    """The plan that looks up keys (w, key, ...): an equi-join with the rows that form lookups see."""
     rows = without_suffix_rows(visible(lexicon))
-    return lambda keys: keys.join(rows, F.col("key") == F.col("bmynd")).select("w", "key", *AUGMENTED)
+    return lambda keys: keys.join(rows, F.col("key") == F.col("bmynd")).select(*keys.columns, *AUGMENTED)
 
 
 def constructed(template: DataFrame, **fields) -> DataFrame:
-    """Rows of constructed entries: (w, key) with the given fields and the defaults of the others."""
+    """Rows of constructed entries: (w, key, step) with the given fields and the defaults of the others."""
     as_col = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return template.select("w", "key", *[as_col((CONSTRUCTED | fields)[c]).alias(c) for c in AUGMENTED])
+    return template.select("w", "key", "step", *[as_col((CONSTRUCTED | fields)[c]).alias(c) for c in AUGMENTED])
 
 
 def legur_rows(keys: DataFrame, template: DataFrame) -> DataFrame:
-    """Entries of adjectives in -legur that no lexicon row has, for keys (w, key) with key in lower case.
+    """Entries of adjectives in -legur that no lexicon row has, for keys (w, key, step) with key in lower case.
 
     Every template row whose ending is a proper end of the word gives one.  The template is a fixed small table.
     """
@@ -124,10 +124,6 @@ def legur_rows(keys: DataFrame, template: DataFrame) -> DataFrame:
     return adjectives.unionByName(adverbs)
 
 
-def _stage(rows: DataFrame, number: int, source: int = 0) -> DataFrame:
-    return rows.withColumn("stage", F.lit(number)).withColumn("source", F.lit(source))
-
-
 def cascade(
     words: DataFrame,
     lexicon: Lexicon,
@@ -141,41 +137,52 @@ def cascade(
 ) -> DataFrame:
     """(w, key, stage, source, fields): the entries of the first stage that has any.
 
-    Stages: 1 as written, 2 capitalised, 3 lower case, 4 the -legur template, 5 compounds, 6 negation by ó-, 7 z for s.
-    source puts the entries of a stage that come from another spelling before (-1) or after (1) the word's own.
+    Stages: 1 as written, 2 capitalised, 3 lower case, 4 the -legur template, 5 compounds, 6 negation by ó-, 7 z for s: the
+    stages once more for the other spelling (steps 71 to 76).  At the start of a sentence a word's entries in lower case
+    come before its own; with auto_uppercase those of a capitalised word do, and its spelling becomes the key.
     """
-    asked = words.select("w").distinct()
-    as_is = _stage(base(asked.withColumn("key", F.col("w"))), 1)
-    spelling = F.col("w")
-    found = as_is
+    w = F.col("w")
+    asked = words.select("w").distinct().withColumn("v", F.when(F.contains("w", F.lit("z")), F.replace(F.replace("w", F.lit("tzt"), F.lit("st")), F.lit("z"), F.lit("s"))))
+    given = lambda step, spelling, when: F.when(when, F.struct(F.lit(step).alias("step"), spelling.alias("key")))
+
+    def spellings(x: Column, first: int) -> list[Column]:
+        low = F.lower(x)
+        out = [given(first, x, x.isNotNull()), given(first + (20 if first == 10 else 2), low, low != x)]
+        return [*out, given(first + (50 if first == 10 else 5), F.substr(low, F.lit(2)), low.startswith("ó") & (F.length(x) > 1))] if negation else out
+
+    wanted = spellings(w, 10) + (spellings(F.col("v"), 71) if replace_z else [])
     if auto_uppercase:
-        low = asked.where(is_lower(F.col("w")))
-        up = _stage(base(low.withColumn("key", F.when(F.length("w") == 1, F.concat(F.upper("w"), F.lit("."))).otherwise(capitalize(F.col("w"))))), 2, -1)
-        capital = up.select("w", F.col("key").alias("_up")).distinct()
-        # The word's own entries follow those of the capitalised one, under its key.
-        found = up.unionByName(as_is.join(capital, "w", "left").withColumn("key", F.coalesce("_up", "key")).drop("_up"))
-    lower = F.lower(spelling)
-    miss = asked.join(found.select("w").distinct(), "w", "left_anti")
-    found = found.unionByName(_stage(base(miss.where(lower != spelling).withColumn("key", lower)), 3))
-    if at_sentence_start and not auto_uppercase:
-        # A capitalised word at the start of a sentence may also be a word in lower case; that comes first.
-        start = asked.join(as_is.select("w").distinct(), "w", "left_semi").where(lower != spelling)
-        found = found.unionByName(_stage(base(start.withColumn("key", lower)), 3, -1).withColumn("key", F.col("w")))
-    rest = lambda: asked.join(found.select("w").distinct(), "w", "left_anti")
+        capital = F.when(F.length("w") == 1, F.concat(F.upper("w"), F.lit("."))).otherwise(capitalize(w))
+        wanted.append(given(20, capital, is_lower(w)))
+    keys = asked.select("w", "v", F.explode(F.filter(F.array(*wanted), lambda s: s.isNotNull())).alias("s")).select("w", "v", "s.step", "s.key")
+    negated = F.col("step").isin(60, 76)
+    put_o = lambda c: F.when(negated, F.concat(F.lit("ó"), c)).otherwise(F.col(c))
+    found = base(keys).where(~negated | (F.col("ofl") == "lo")).withColumns({"ord": put_o("ord"), "bmynd": put_o("bmynd"), "key": F.when(F.col("step") == 60, w).when(F.col("step") == 76, F.col("v")).otherwise(F.col("key"))})
+    found = found.select("w", "key", "step", *AUGMENTED)
     if legur and lexicon.template is not None:
-        found = found.unionByName(_stage(legur_rows(rest().withColumn("key", lower), lexicon.template), 4).withColumn("key", F.col("w")))
+        lowered = [(40, w)] + ([(74, F.col("v"))] if replace_z else [])
+        for step, x in lowered:
+            rows = legur_rows(asked.where(x.isNotNull()).select("w", F.lower(x).alias("key"), F.lit(step).alias("step")), lexicon.template)
+            found = found.unionByName(rows.join(asked, "w").withColumn("key", x).select(*found.columns) if step == 74 else rows.withColumn("key", x))
     if compounds is not None:
-        found = found.unionByName(_stage(compounds(rest()), 5))
-    if negation:
-        asked_ones = rest().where(lower.startswith("ó") & (F.length("w") > 1))
-        others = base(asked_ones.withColumn("key", F.substr(lower, F.lit(2)))).where("ofl = 'lo'")
-        negated = others.withColumns({"key": F.col("w"), "ord": F.concat(F.lit("ó"), "ord"), "bmynd": F.concat(F.lit("ó"), "bmynd")})
-        found = found.unionByName(_stage(negated, 6))
-    if replace_z:
-        z = rest().where(F.contains("w", F.lit("z"))).withColumn("_z", F.replace(F.replace("w", F.lit("tzt"), F.lit("st")), F.lit("z"), F.lit("s")))
-        again = cascade(z.select(F.col("_z").alias("w")), lexicon, base, compounds, at_sentence_start, auto_uppercase, negation, legur, False)
-        found = found.unionByName(z.join(again.withColumnRenamed("w", "_z"), "_z").drop("_z").withColumn("stage", F.lit(7)).select(*found.columns))
-    return found
+        hit = found.where("step < 50").select("w").distinct()
+        miss = asked.join(hit, "w", "left_anti")
+        more = compounds(miss.select("w")).withColumn("step", F.lit(50)).select(*found.columns)
+        if replace_z:
+            z = miss.where("v is not null")
+            again = compounds(z.select(F.col("v").alias("w")).distinct()).withColumnRenamed("w", "v").withColumn("step", F.lit(75))
+            more = more.unionByName(z.join(again, "v").select(*found.columns))
+        found = found.unionByName(more)
+    by = Window.partitionBy("w")
+    best, up = F.min("step").over(by), F.max(F.when(F.col("step") == 20, F.col("key"))).over(by)
+    found = found.withColumns({"_best": best, "_up": up})
+    kept = F.col("step") == F.col("_best")
+    if at_sentence_start:
+        kept = F.when(F.col("_best") == 10, F.col("step").isin(10, 30)).otherwise(kept)
+    kept = F.when(F.col("_up").isNotNull(), F.col("step").isin(10, 20)).otherwise(kept)
+    key = F.when(F.col("_up").isNotNull(), F.col("_up")).when((F.col("_best") == 10), w).otherwise(F.col("key"))
+    source = F.when((F.col("step") == 20) | ((F.col("step") == 30) & (F.col("_best") == 10)), -1).otherwise(0)
+    return found.where(kept).withColumns({"key": key, "stage": F.floor(F.col("step") / 10).cast("int"), "source": source}).select("w", "key", "stage", "source", *AUGMENTED)
 
 
 def lookup(words: DataFrame, lexicon: Lexicon, compounds: Callable[[DataFrame], DataFrame] | None = None, **options) -> DataFrame:

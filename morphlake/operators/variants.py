@@ -60,7 +60,7 @@ def lookup_variants(words: DataFrame, lexicon: Lexicon, cat: str, features: tupl
     """
     plan = variants_plan(lexicon, cat, features, lemma, bin_id, keep)
     in_compounds = variants_plan(lexicon, cat, features, lemma, None, keep)
-    base = lambda keys: plan(keys).where("birting <> 'S'").select("w", "key", *AUGMENTED)
+    base = lambda keys: plan(keys).where("birting <> 'S'").select(*keys.columns, *AUGMENTED)
     compounds = compound_plan(lexicon, lambda keys: in_compounds(keys).drop("distance")) if lexicon.parts is not None else None
     found = cascade(words, lexicon, base, compounds, **options)
     near = plan(found.select("w", "key").distinct()).groupBy("w", "key", "bmynd", "mark", "bin_id").agg(F.min("distance").alias("distance"))
