@@ -87,15 +87,15 @@ def cast(words: DataFrame, lexicon: Lexicon, case: str, preferences: DataFrame,
         F.when(split, after_last(F.col("bmynd"), "-")).otherwise(F.col("bmynd")).alias("w"),
         F.when(split, F.replace(before_last(F.col("bmynd"), "-"), F.lit("-"), F.lit(""))).otherwise("").alias("_prefix"),
         F.when(split, after_last(F.col("ord"), "-")).otherwise(F.col("ord")).alias("_lemma"),
-        F.col("ofl").alias("_ofl"),
-        F.col("mark").alias("_mark"),
+        F.col("ofl").alias("_class"),
+        F.col("mark").alias("_tag"),
     )
     cased = lookup_case(chosen.select("w"), lexicon, case, keep=keep)
-    fits = chosen.join(cased, "w").where((F.col("ord") == F.col("_lemma")) & (F.col("ofl") == F.col("_ofl")))
+    fits = chosen.join(cased, "w").where((F.col("ord") == F.col("_lemma")) & (F.col("ofl") == F.col("_class")))
     for part in ("ET", "FT"):
-        fits = fits.where(~F.contains("_mark", F.lit(part)) | F.contains("mark", F.lit(part)))
+        fits = fits.where(~F.contains("_tag", F.lit(part)) | F.contains("mark", F.lit(part)))
     for part in ("SB", "VB"):
-        fits = fits.where((F.col("_ofl") != "lo") | ~F.contains("_mark", F.lit(part)) | F.contains("mark", F.lit(part)))
+        fits = fits.where((F.col("_class") != "lo") | ~F.contains("_tag", F.lit(part)) | F.contains("mark", F.lit(part)))
     full = fits.withColumns({c: F.lit(1 if c in ("einkunn", "beinkunn") else 0 if c == "millivisun" else "") for c in AUGMENTED if c not in BASIC})
     best = ranked(full, lexicon, ["_w"]).where("rank = 1").select(F.col("_w").alias("w"), F.concat("_prefix", "bmynd").alias("_cast"))
     return words.select("w").distinct().join(best, "w", "left").select("w", F.coalesce(like_case(F.col("_cast"), F.col("w")), F.col("w")).alias("result"))
