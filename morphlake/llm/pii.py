@@ -39,7 +39,7 @@ _TITLE = "(?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\.?"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    "secret": r"(?i:(?<=password=)|(?<=passwd=)|(?<=secret=)|(?<=api_key=)|(?<=token=)|(?<=token = \"))[^\s\"']++",
+    "secret": r"(?<=[=\"])(?i:(?<=password=)|(?<=passwd=)|(?<=secret=)|(?<=api_key=)|(?<=token=)|(?<=token = \"))[^\s\"']++",
     "key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d|\w)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
@@ -49,13 +49,21 @@ PATTERNS = {
     "name": rf"(?<![\w\p{{L}}]){_TITLE} \p{{Lu}}\p{{L}}++(?:[ -]\p{{Lu}}\p{{L}}++){{0,2}}",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Every match of PATTERN holds a match of this.
-HINT = rf"\d\d|@|\d\.\d|(?i:password=|passwd=|secret=|api_key=|token)|AKIA|{_TITLE} \p{{Lu}}"
+#: Every match of PATTERN holds one of these; they are quick to look for.
+HINT = rf"[0-9]|(?<![\w\p{{L}}])(?=[DFHMPSгк]){_TITLE} \p{{Lu}}"
+HINT_TEXTS = ("@", "=", "AKIA")
+
+
+def may_mention(text: Column) -> Column:
+    hint = text.rlike(HINT)
+    for x in HINT_TEXTS:
+        hint = F.contains(text, F.lit(x)) | hint
+    return F.coalesce(hint, F.lit(False))
 
 
 def mentions(text: Column) -> Column:
     """The entities of a text, in order; an empty array for null."""
-    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    return F.when(may_mention(text), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def entity_type(raw: Column) -> Column:
@@ -211,7 +219,7 @@ def pseudonymize(docs: DataFrame, text_col: str = "text", key: str = KEY) -> Dat
     """
     digest = F.xxhash64(F.col(text_col), F.crc32(F.col(text_col).cast("binary")))
     found = mentions(F.col(text_col))
-    said = cut(docs.where(F.col(text_col).rlike(HINT)).select(digest.alias("_text"), F.explode(F.array_distinct(found)).alias("_raw")).distinct())
+    said = cut(docs.where(may_mention(F.col(text_col))).select(digest.alias("_text"), F.explode(F.array_distinct(found)).alias("_raw")).distinct())
     split = said.select("_raw").distinct().select("_raw", F.posexplode(parts(F.col("_raw"))).alias("_pos", "_part")).select("_raw", "_pos", "_part.kind", "_part.canon")
     surrs = F.transform(F.array_sort(F.collect_list(F.struct("_pos", "surr"))), lambda x: x["surr"])
     given = split.join(assign(split, key), ["kind", "canon"]).groupBy("_raw").agg(surrs.alias("_surrs")).select("_raw", _formatted(F.col("_raw"), F.col("_surrs")).alias("_new"))
