@@ -24,7 +24,7 @@ from .learning import FOLDS, HELD_OUT, fit_logistic, training_sample
 from .textops import blocks
 
 CUT = 0.5
-TERMS = 400
+TERMS = 150
 LEAST_DOCS = 3
 LEAST_SPREAD = 0.02  # of the toxic documents that a term stands in
 LEAST_SHARE = 0.5
@@ -170,6 +170,13 @@ class Automaton:
             if ord(c) < _KNOWN:
                 self.classes[ord(c)] = i
 
+    @classmethod
+    def of(cls, fields: dict) -> Automaton:
+        """The automaton whose fields were sent as plain data."""
+        out = cls.__new__(cls)
+        vars(out).update(fields)
+        return out
+
     def read(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word, term, edits) of the words near a term."""
         size = w.end - w.start
@@ -225,6 +232,9 @@ def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[float]]:
     A term must stand in a fiftieth of the toxic documents at least: rarer words mark single documents and their copies.
     A weight is the logarithm of how much likelier a document with the term is toxic than one of the sample.
     """
+    # Copies of one document are one witness: mostly they agree in the five words with the least hashes.
+    key = F.slice(F.array_sort(F.array_distinct(F.transform(F.split(F.lower("text"), r"\s+"), lambda x: F.xxhash64(x)))), 1, 5)
+    sample = sample.withColumn("_key", F.coalesce(F.array_join(key, ","), F.lit(""))).dropDuplicates(["_key", "label"]).drop("_key").persist()
     n_toxic, n_clean = sample.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
     least, base = max(LEAST_DOCS, LEAST_SPREAD * n_toxic), math.log((n_toxic + 0.5) / (n_clean + 0.5))
 
@@ -258,11 +268,12 @@ def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[float]]:
     good = words.where(F.length("word") > 2).unionByName(stems).where((F.col("toxic") >= least) & (F.col("toxic") >= LEAST_SHARE * F.col("docs")))
     rows = good.select("word", surely.alias("weight")).orderBy(F.desc("weight"), "word").limit(4 * TERMS).collect()
     words.unpersist()
+    sample.unpersist()
     kept: dict[str, float] = {}
-    for word, weight in sorted(((r["word"], r["weight"]) for r in rows), key=lambda x: (len(x[0]), x)):
+    for word, weight in sorted(((r["word"], r["weight"]) for r in rows), key=lambda x: (not x[0].endswith("*"), len(x[0]), x)):
         body = word.rstrip("*")
-        if word.endswith("*") and any(f"{body[:n]}*" in kept for n in range(low, len(body))):
-            continue  # a shorter stem has it
+        if any(kept.get(f"{body[:n]}*", -99.0) >= weight - 1 for n in range(low, len(body) + (not word.endswith("*")))):
+            continue  # a stem is as sure
         kept[word] = weight
     best = sorted(kept.items(), key=lambda x: (-x[1], x[0]))[:TERMS]
     return [w for w, _ in best], [x for _, x in best]
@@ -278,8 +289,10 @@ def _by_row(w: Words, text: str) -> Iterator[tuple[int, set[str]]]:
 def _near_words(sample: DataFrame, terms: list[str]) -> list[str]:
     """Words of the sample's clean documents that are near a term: they are words of their own."""
 
+    sent = sample.sparkSession.sparkContext.broadcast(vars(Automaton(terms)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, a = _tables(), Automaton(terms)
+        tables, a = _tables(), Automaton.of(sent.value)
         for batch in batches:
             for b in blocks(batch.column(0)):
                 w = Words(batch.column(0).slice(b.first, b.n), tables)
@@ -301,7 +314,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         first, second = sample.where("half = 0").select("text", "label"), sample.where("half = 1").select("text", "label")
         terms, weights = learn_lexicon(first)
         model = {"terms": terms, "weights": weights, "allowed": _near_words(first, terms) if terms else [], "sums": None}
-        features = second.mapInArrow(_runner(model, "label", pa.int32()), "features array<double>, label int")
+        features = second.mapInArrow(_runner(docs.sparkSession, model, "label", pa.int32()), "features array<double>, label int")
         model["sums"] = fit_logistic(features, intercept=True)
         model["allowed"] = _near_words(sample.select("text", "label"), terms) if terms else []
         return model
@@ -309,11 +322,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         sample.unpersist()
 
 
-def _runner(model: dict, other: str, other_type: pa.DataType):
-    """A mapInArrow function from (text, other) to (features, other), or (other, score, predicted) once sums are fitted."""
+def _runner(spark: SparkSession, model: dict, other: str, other_type: pa.DataType):
+    """A mapInArrow function from (text, other) to (features, other), or (other, score, predicted) once sums are fitted.
+
+    The automaton is built once and sent to all tasks; its size is bounded by TERMS and STATES.
+    """
+    sent = spark.sparkContext.broadcast(vars(Automaton(model["terms"])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, a = _tables(), Automaton(model["terms"])
+        tables, a = _tables(), Automaton.of(sent.value)
         weights, allowed = np.array(model["weights"] or [0.0]), set(model["allowed"])
         for batch in batches:
             for b in blocks(batch.column(0)):
@@ -337,7 +354,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     """
     model = model | {"sums": model["sums"] or ([0.0] * 6, -500.0)}
     kind = docs.schema[id_col].dataType
-    run = _runner(model, id_col, to_arrow_type(kind))
+    run = _runner(docs.sparkSession, model, id_col, to_arrow_type(kind))
     return docs.select(text_col, id_col).mapInArrow(run, f"{id_col} {kind.simpleString()}, score double, predicted int")
 
 
