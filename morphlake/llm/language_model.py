@@ -90,7 +90,7 @@ def _from_six(raw: pa.Buffer, n: int) -> np.ndarray:
 def _deal(shards: np.ndarray, parts) -> Iterator[tuple[int, bytes]]:
     """(shard, bytes) of rows that are sorted by shard; parts gives a slice's bytes."""
     numbers, first = np.unique(shards, return_index=True)
-    for number, a, b in zip(numbers, first, np.append(first[1:], len(shards)), strict=True):
+    for number, a, b in zip(numbers, first, np.append(first[1:], len(shards)), strict=False):
         yield int(number), np.uint32(b - a).tobytes() + parts(a, b)
 
 
@@ -229,7 +229,7 @@ class Model:
         out = np.zeros((len(keys), width), dtype=np.int64)
         order = np.lexsort((keys, shards))
         numbers, first = np.unique(shards[order], return_index=True)
-        for number, a, b in zip(numbers.tolist(), first, np.append(first[1:], len(keys)), strict=True):
+        for number, a, b in zip(numbers.tolist(), first, np.append(first[1:], len(keys)), strict=False):
             if number in arrays:
                 sorted_keys, values = arrays[number]
                 if not len(sorted_keys):
