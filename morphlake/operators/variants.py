@@ -14,10 +14,9 @@ from morphlake.schema import AUGMENTED, GENDERS
 
 
 def with_atoms(lexicon: Lexicon, rows: DataFrame) -> DataFrame:
-    """rows with the features of their tags, taken from the few distinct tags; a tag that has none that can be read fails."""
+    """rows with the features of their tags, taken from the few distinct tags; a tag that can't be read has null and meets no request."""
     tags = lexicon.mark_order.select("mark").unionByName(rows.select("mark").distinct()).distinct().select(F.col("mark").alias("_mark"), atoms(F.col("mark")).alias("_a"))
-    error = F.raise_error(F.concat(F.lit("a tag can't be read: "), F.col("mark"))).cast("array<string>")
-    return rows.join(F.broadcast(tags), F.col("mark") == F.col("_mark")).withColumn("atoms", F.coalesce("_a", error)).drop("_mark", "_a")
+    return rows.join(F.broadcast(tags), F.col("mark") == F.col("_mark")).withColumn("atoms", F.col("_a")).drop("_mark", "_a")
 
 
 def variants_plan(lexicon: Lexicon, cat: str, features: tuple[str, ...], lemma: str | None = None, bin_id: int | None = None, keep: Callable[[Column], Column] | None = None, rows: DataFrame | None = None) -> Callable[[DataFrame], DataFrame]:
