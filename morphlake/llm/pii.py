@@ -49,8 +49,9 @@ PATTERNS = {
     "name": rf"(?<![\w\p{{L}}]){_TITLE} \p{{Lu}}\p{{L}}++(?:[ -]\p{{Lu}}\p{{L}}++){{0,2}}",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+_INITIALS = "".join(sorted({t[0] for ts in TITLES.values() for t in ts}))
 #: Every match of PATTERN holds one of these; they are quick to look for.
-HINT = rf"[0-9]|(?<![\w\p{{L}}])(?=[DFHMPSгк]){_TITLE} \p{{Lu}}"
+HINT = rf"[0-9]|(?<![\w\p{{L}}])(?=[{_INITIALS}]){_TITLE} \p{{Lu}}"
 HINT_TEXTS = ("@", "=", "AKIA")
 
 
