@@ -24,8 +24,7 @@ from .learning import FOLDS, HELD_OUT, fit_logistic, training_sample
 from .textops import blocks
 
 CUT = 0.5
-TERMS = 150
-LEAST_DOCS = 3
+SURE = 6.63  # of a likelihood-ratio test: chance alone gives so much to one word in a hundred
 LEAST_SPREAD = 0.02  # of the toxic documents that a term stands in
 LEAST_SHARE = 0.5
 WINDOW = 8
@@ -86,6 +85,10 @@ def edits_of(term: str) -> int:
     return next(k for length, k in (STEM_EDITS if stem else EDITS) if len(term) - stem < length)
 
 
+class TooManyStates(ValueError):
+    """One automaton can't hold the terms; Lexicon deals them to several."""
+
+
 class Automaton:
     """Deterministic table of the Levenshtein automata of all terms, over the terms' letters and one for all others."""
 
@@ -111,7 +114,7 @@ class Automaton:
 
         def closed(pairs: dict[int, int]) -> frozenset[tuple[int, int]]:
             """With the terms' letters that the word leaves out; each node with its fewest edits."""
-            todo = list(pairs)
+            todo = [node for node in pairs if node >= 0]
             while todo:
                 node = todo.pop()
                 for child in children[node].values():
@@ -119,10 +122,10 @@ class Automaton:
                     if e <= reach[child] and pairs.get(child, 99) > e:
                         pairs[child] = e
                         todo.append(child)
-            whole = [(e, stems[node]) for node, e in pairs.items() if node in stems and e <= edits_of(terms[stems[node]])]
-            if whole:  # whatever follows a stem, the word is a hit
+            whole = [(e, -1 - node if node < 0 else stems[node]) for node, e in pairs.items() if node < 0 or node in stems and e <= edits_of(terms[stems[node]])]
+            if whole:  # whatever follows a stem, the word is a hit; only fewer edits are a better one
                 e, number = min(whole)
-                return frozenset({(-1 - number, e)})
+                return frozenset({(-1 - number, e), *((node, x) for node, x in pairs.items() if node >= 0 and x < e)})
             return frozenset(pairs.items())
 
         def step(state: frozenset, letter: int) -> frozenset:
@@ -133,6 +136,9 @@ class Automaton:
                     out[node] = e
 
             for node, e in state:
+                if node < 0:
+                    out[node] = e
+                    continue
                 add(node, e + 1)
                 for c, child in children[node].items():
                     add(child, e + (c != letter))
@@ -145,7 +151,7 @@ class Automaton:
             state = order[len(table_rows)]
             row = []
             for letter in range(len(letters) + 1):
-                stays = not state or min(state)[0] < 0
+                stays = not state or len(state) == 1 and min(state)[0] < 0
                 new = state if stays else step(state, letter)
                 if new not in numbers:
                     numbers[new] = len(order)
@@ -153,7 +159,7 @@ class Automaton:
                 row.append(numbers[new])
             table_rows.append(row)
             if len(order) > STATES:
-                raise ValueError("the lexicon has too many similar terms")
+                raise TooManyStates
         self.next = np.array(table_rows, dtype=np.int32)
         self.term = np.full(len(order), -1, dtype=np.int32)
         self.edits = np.zeros(len(order), dtype=np.int32)
@@ -164,7 +170,7 @@ class Automaton:
         size = [len(t.rstrip("*")) for t in terms]
         self.longest = max((n + edits_of(t) for n, t in zip(size, terms, strict=True)), default=0)
         self.shortest = min((n - edits_of(t) for n, t in zip(size, terms, strict=True)), default=1)
-        self.whole = np.array([state and min(state)[0] < 0 for state in order], dtype=bool)
+        self.whole = np.array([len(state) == 1 and min(state)[0] < 0 for state in order], dtype=bool)
         self.classes = np.zeros(_KNOWN, dtype=np.int32)
         for c, i in self.letters.items():
             if ord(c) < _KNOWN:
@@ -202,9 +208,41 @@ class Automaton:
         return hits[order], self.term[states][order], self.edits[states][order]
 
 
-def window_sums(w: Words, a: Automaton, weights: np.ndarray, allowed: set[str]) -> np.ndarray:
+class Lexicon:
+    """Any number of terms: one automaton, or several where one would have more than ``STATES`` states."""
+
+    def __init__(self, terms: list[str]):
+        self.parts: list[tuple[np.ndarray, dict]] = []
+        todo = [sorted(range(len(terms)), key=lambda i: terms[i])]
+        while todo:
+            numbers = sorted(some := todo.pop())
+            try:
+                self.parts.append((np.array(numbers, dtype=np.int32), vars(Automaton([terms[i] for i in numbers]))))
+            except TooManyStates:
+                if len(some) == 1:
+                    raise
+                todo += [some[: len(some) // 2], some[len(some) // 2 :]]
+
+    @staticmethod
+    def read(parts: list[tuple[np.ndarray, Automaton]], w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Like Automaton.read: of the hits of one word, that of the fewest edits, and stems before words."""
+        found = [(word, numbers[term], edits, np.array([not t.endswith("*") for t in a.terms], dtype=bool)[term]) for numbers, a in parts for word, term, edits in [a.read(w)]]
+        if len(found) == 1:
+            return found[0][:3]
+        word, term, edits, plain = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((term, plain, edits, word))
+        word, term, edits = word[order], term[order], edits[order]
+        first = np.concatenate([[True], word[1:] != word[:-1]])[: len(word)]
+        return word[first], term[first], edits[first]
+
+
+def _received(parts: list[tuple[np.ndarray, dict]]) -> list[tuple[np.ndarray, Automaton]]:
+    return [(numbers, Automaton.of(fields)) for numbers, fields in parts]
+
+
+def window_sums(w: Words, parts: list[tuple[np.ndarray, Automaton]], weights: np.ndarray, allowed: set[str]) -> np.ndarray:
     """One row of sums for each text.  allowed: words near a term that are none of its misspellings."""
-    word, term, edits = a.read(w)
+    word, term, edits = Lexicon.read(parts, w)
     if allowed and len(word):
         text = lambda i: "".join(map(chr, w.points[w.start[i] : w.end[i]]))
         keep = np.array([e == 0 or text(i) not in allowed for i, e in zip(word, edits, strict=True)], dtype=bool)
@@ -227,16 +265,21 @@ def window_sums(w: Words, a: Automaton, weights: np.ndarray, allowed: set[str])
 
 
 def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[float]]:
-    """Terms and their weights: at most ``TERMS`` words of the sample, by how surely they mark toxic documents.
+    """Terms and their weights: all words and stems of the sample that mark toxic documents beyond chance.
 
     A term must stand in a fiftieth of the toxic documents at least: rarer words mark single documents and their copies.
-    A weight is the logarithm of how much likelier a document with the term is toxic than one of the sample.
+    That also bounds the terms, by fifty times a document's words.  Beside a stem, what it covers stays wherever it may
+    have more edits than the stem.  A weight is the logarithm of how much likelier a document with the term is toxic than one of the sample.
     """
     # Copies of one document are one witness: mostly they agree in the five words with the least hashes.
     key = F.slice(F.array_sort(F.array_distinct(F.transform(F.split(F.lower("text"), r"\s+"), lambda x: F.xxhash64(x)))), 1, 5)
     sample = sample.withColumn("_key", F.coalesce(F.array_join(key, ","), F.lit(""))).dropDuplicates(["_key", "label"]).drop("_key").persist()
     n_toxic, n_clean = sample.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
-    least, base = max(LEAST_DOCS, LEAST_SPREAD * n_toxic), math.log((n_toxic + 0.5) / (n_clean + 0.5))
+    least, base = LEAST_SPREAD * n_toxic, math.log((n_toxic + 0.5) / (n_clean + 0.5))
+    share = n_toxic / max(n_toxic + n_clean, 1)
+    if not 0 < share < 1:
+        sample.unpersist()
+        return [], []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = _tables()
@@ -265,17 +308,20 @@ def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[float]]:
         .select(F.concat("stem", F.lit("*")).alias("word"), "docs", "toxic")
     )
     surely = F.log((F.col("toxic") + 0.5) / (F.col("docs") - F.col("toxic") + 0.5)) - base
-    good = words.where(F.length("word") > 2).unionByName(stems).where((F.col("toxic") >= least) & (F.col("toxic") >= LEAST_SHARE * F.col("docs")))
-    rows = good.select("word", surely.alias("weight")).orderBy(F.desc("weight"), "word").limit(4 * TERMS).collect()
+    part = lambda n, of: F.when(n > 0, n * F.log(n / (F.col("docs") * of))).otherwise(0.0)
+    ratio = 2 * (part(F.col("toxic"), share) + part(F.col("docs") - F.col("toxic"), 1 - share))
+    marks = (F.col("toxic") >= least) & (F.col("toxic") >= LEAST_SHARE * F.col("docs")) & (F.col("toxic") > share * F.col("docs")) & (ratio >= SURE)
+    rows = words.where(F.length("word") > 2).unionByName(stems).where(marks).select("word", surely.alias("weight")).collect()
     words.unpersist()
     sample.unpersist()
     kept: dict[str, float] = {}
     for word, weight in sorted(((r["word"], r["weight"]) for r in rows), key=lambda x: (not x[0].endswith("*"), len(x[0]), x)):
         body = word.rstrip("*")
-        if any(kept.get(f"{body[:n]}*", -99.0) >= weight - 1 for n in range(low, len(body) + (not word.endswith("*")))):
-            continue  # a stem is as sure
+        over = [f"{body[:n]}*" for n in range(low, len(body) + (not word.endswith("*")))]
+        if any(kept.get(x, -99.0) >= weight - 1 and edits_of(x) >= edits_of(word) for x in over):
+            continue  # a stem is as sure and has as many edits
         kept[word] = weight
-    best = sorted(kept.items(), key=lambda x: (-x[1], x[0]))[:TERMS]
+    best = sorted(kept.items(), key=lambda x: (-x[1], x[0]))
     return [w for w, _ in best], [x for _, x in best]
 
 
@@ -289,18 +335,18 @@ def _by_row(w: Words, text: str) -> Iterator[tuple[int, set[str]]]:
 def _near_words(sample: DataFrame, terms: list[str]) -> list[str]:
     """Words of the sample's clean documents that are near a term: they are words of their own."""
 
-    sent = sample.sparkSession.sparkContext.broadcast(vars(Automaton(terms)))
+    sent = sample.sparkSession.sparkContext.broadcast(Lexicon(terms).parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, a = _tables(), Automaton.of(sent.value)
+        tables, parts = _tables(), _received(sent.value)
         for batch in batches:
             for b in blocks(batch.column(0)):
                 w = Words(batch.column(0).slice(b.first, b.n), tables)
-                word, _, edits = a.read(w)
+                word, _, edits = Lexicon.read(parts, w)
                 found = {"".join(map(chr, w.points[w.start[i] : w.end[i]])) for i, e in zip(word, edits, strict=True) if e}
                 yield pa.RecordBatch.from_arrays([pa.array(sorted(found), type=pa.string())], names=["word"])
 
-    return [r[0] for r in sample.where("label = 0").select("text").mapInArrow(run, "word string").distinct().orderBy("word").limit(100 * TERMS).collect()]
+    return [r[0] for r in sample.where("label = 0").select("text").mapInArrow(run, "word string").distinct().orderBy("word").collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict:
@@ -325,16 +371,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def _runner(spark: SparkSession, model: dict, other: str, other_type: pa.DataType):
     """A mapInArrow function from (text, other) to (features, other), or (other, score, predicted) once sums are fitted.
 
-    The automaton is built once and sent to all tasks; its size is bounded by TERMS and STATES.
+    The automata are built once and sent to all tasks; each has at most STATES states.
     """
-    sent = spark.sparkContext.broadcast(vars(Automaton(model["terms"])))
+    sent = spark.sparkContext.broadcast(Lexicon(model["terms"]).parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, a = _tables(), Automaton.of(sent.value)
+        tables, parts = _tables(), _received(sent.value)
         weights, allowed = np.array(model["weights"] or [0.0]), set(model["allowed"])
         for batch in batches:
             for b in blocks(batch.column(0)):
-                x = window_sums(Words(batch.column(0).slice(b.first, b.n), tables), a, weights, allowed)
+                x = window_sums(Words(batch.column(0).slice(b.first, b.n), tables), parts, weights, allowed)
                 given = batch.column(1).slice(b.first, b.n).cast(other_type)
                 if model["sums"] is None:
                     yield pa.RecordBatch.from_arrays([pa.array(list(x), type=pa.list_(pa.float64())), given], names=["features", other])

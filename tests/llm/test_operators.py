@@ -342,6 +342,33 @@ def test_automaton_against_distances():
         assert got.get(k, None) == (min(near) if near else None), word
 
 
+def test_lexicon_keeps_tolerance_and_all_terms(spark):
+    forms = ["achlicher", "achlunder", "achlosten"]
+    many = sorted({prose(3000 + k, 1)[:4] + "bcdfghjklmnpqrvwxz"[k % 18] + "aeiou"[k // 18 % 5] + "bcdfghjk"[k // 90] + prose(7000 + k, 1) for k in range(300)})
+    texts = [(f"{prose(k, 30)} {' '.join(forms)} {' '.join(many)}", 1) if k % 4 == 0 else (prose(k, 30), 0) for k in range(80)]
+    terms, weights = toxicity.learn_lexicon(spark.createDataFrame(texts, "text string, label int"))
+    covered = lambda x: x in terms or any(x.startswith(t[:-1]) and toxicity.edits_of(t) >= toxicity.edits_of(x) for t in terms if t.endswith("*"))
+    assert [x for x in forms + many if not covered(x)] == [] and len(terms) > 150 and len(terms) == len(weights)
+    some = [t for t in terms if t.startswith("achl")]
+    w = toxicity.Words(pa.array(["axhlicher ahlunder achlosten achlxx axhlxx"]), toxicity._tables())
+    hit, _, edits = toxicity.Automaton(some).read(w)
+    assert dict(zip(hit.tolist(), edits.tolist(), strict=True)) == {0: 1, 1: 1, 2: 0, 3: 0}
+    assert toxicity.learn_lexicon(spark.createDataFrame([(prose(1, 9), 0)], "text string, label int")) == ([], [])
+
+
+def test_lexicon_in_several_automata(monkeypatch):
+    terms = ["nitwit", "scum", "scoundrels", "dread*", "scoundre*", "abominable", "abominab*"]
+    w = toxicity.Words(pa.array(["scoundrels scoundrel scoundrelz nitwitt scum dreadful abominables abominable abomnable x", "nxtwit", None]), toxicity._tables())
+    one = toxicity.Automaton(terms).read(w)
+    edits = dict(zip(one[0].tolist(), one[2].tolist(), strict=True))
+    assert edits[0] == edits[1] == edits[6] == edits[7] == 0 and edits[8] == 1
+    monkeypatch.setattr(toxicity, "STATES", 150)
+    parts = toxicity._received(toxicity.Lexicon(terms).parts)
+    assert len(parts) > 1
+    for x, y in zip(one, toxicity.Lexicon.read(parts, w), strict=True):
+        assert x.tolist() == y.tolist()
+
+
 def test_shingle_hashes_are_the_same_everywhere():
     one = pa.array(["x", prose(1, 30) + " tail", None, ""])
     apart = {}
