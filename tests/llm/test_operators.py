@@ -283,6 +283,20 @@ def test_chat(spark):
     assert chat.format_pairs(df.where("pair_id = 9")).count() == 0
 
 
+def test_stale_replies_keep_all_turns(spark):
+    turns = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "user", "c"), (1, 3, "assistant", "d"), (1, 4, "user", "e"), (1, None, "system", "s"), (2, 0, "user", "x"), (2, None, "user", "y"), (3, None, "assistant", "z")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    sides = chat.with_stale_replies(df)
+    for side in ("chosen", "rejected"):
+        got = Counter((r.pair_id, r.turn, r.role, r.text) for r in sides.where(F.col("side") == side).collect())
+        assert got == Counter((c, n, r, "b" if (side, c, n) == ("rejected", 1, 3) else t) for c, n, r, t in turns)
+    by = {r.pair_id: r for r in chat.format_pairs(sides).collect()}
+    assert by[1].prompt == "<|system|>\ns<|end|>\n<|user|>\na<|end|>\n<|assistant|>\nb<|end|>\n<|user|>\nc<|end|>\n"
+    assert by[1].chosen == "<|assistant|>\nd<|end|>\n<|user|>\ne<|end|>\n" and by[1].rejected == by[1].chosen.replace("d<|", "b<|", 1)
+    assert [by[1].chosen[s.start : s.stop] for s in by[1].chosen_spans] == ["d<|end|>\n"]
+    assert by[2].prompt_turns == 2 and by[2].chosen == ""
+
+
 def labelled(spark, n, spoil):
     docs, labels = [], []
     for k in range(n):
