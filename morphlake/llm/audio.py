@@ -126,7 +126,7 @@ def analyse(media: bytes) -> Analysis:
 
 
 def tensor_stream(a: Analysis) -> bytes:
-    """The tensors as an Arrow stream with a fixed-shape tensor column and the time spans."""
+    """The tensors as an Arrow stream with a fixed-shape tensor column and the time spans in milliseconds."""
     column = pa.FixedShapeTensorArray.from_numpy_ndarray(np.ascontiguousarray(a.tensors.astype(np.float32)))
     out = pa.table({"log_mel": column, "start_ms": a.spans[:, 0], "end_ms": a.spans[:, 1]})
     sink = pa.BufferOutputStream()
@@ -135,6 +135,13 @@ def tensor_stream(a: Analysis) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+def read_stream(stream: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(tensors, spans) of a tensor_stream."""
+    read = pa.ipc.open_stream(stream).read_all()
+    spans = np.column_stack([read.column("start_ms").to_numpy(), read.column("end_ms").to_numpy()])
+    return read.column("log_mel").combine_chunks().to_numpy_ndarray(), spans
+
+
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, media) of each row.  A null text is stored as an empty one; other columns are ignored."""
     kind = docs.schema[id_col].dataType
@@ -150,9 +157,13 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind.simpleString()}, n_bytes long, media binary")
 
 
-def features(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, n_tensors, tensors, segments) of stored media: an Arrow stream, and intervals in milliseconds."""
+def features(stored: DataFrame, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, n_tensors, tensors, segments) of stored media: an Arrow stream, and intervals in milliseconds.
+
+    The columns that ``keep`` names follow as they are.
+    """
     kind = stored.schema[id_col].dataType
+    kept = stored.select(*keep).schema
     id_type = to_arrow_type(kind)
     span = pa.list_(pa.struct([("start_ms", pa.float64()), ("end_ms", pa.float64())]))
 
@@ -162,19 +173,22 @@ def features(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 part = batch.slice(at, ROWS)
                 found = [analyse(m) for m in part.column(1).to_pylist()]
                 spans = [[{"start_ms": a, "end_ms": b} for a, b in x.segments.tolist()] for x in found]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(id_type), pa.array([len(x.tensors) for x in found], type=pa.int32()), pa.array([tensor_stream(x) for x in found], type=pa.binary()), pa.array(spans, type=span)], names=[id_col, "n_tensors", "tensors", "segments"])
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(id_type), pa.array([len(x.tensors) for x in found], type=pa.int32()), pa.array([tensor_stream(x) for x in found], type=pa.binary()), pa.array(spans, type=span), *part.columns[2:]], names=[id_col, "n_tensors", "tensors", "segments", *keep])
 
-    return stored.select(id_col, "media").mapInArrow(run, f"{id_col} {kind.simpleString()}, n_tensors int, tensors binary, segments array<struct<start_ms: double, end_ms: double>>")
+    schema = f"{id_col} {kind.simpleString()}, n_tensors int, tensors binary, segments array<struct<start_ms: double, end_ms: double>>"
+    return stored.select(id_col, "media", *keep).mapInArrow(run, ", ".join([schema, *(f"{f.name} {f.dataType.simpleString()}" for f in kept)]))
 
 
-def feature_digest(a: Analysis) -> str:
-    """Shape, segments, and a digest of the tensors rounded to hundredths."""
-    rounded = np.round(a.tensors * 100).astype(np.int32).tobytes()
-    return f"{len(a.tensors)}x{FRAMES}x{BANDS};segments={len(a.segments)};{hashlib.sha256(rounded + np.round(a.segments).astype(np.int64).tobytes()).hexdigest()[:32]}"
+def feature_digest(stream: bytes, segments: list[tuple[float, float]]) -> str:
+    """Shape, segments, and a digest of the stored tensors in hundredths, their spans and the segments in milliseconds."""
+    tensors, spans = read_stream(stream)
+    rounded = np.round(tensors.astype(np.float64) * 100).astype(np.int32).tobytes()
+    times = np.round(np.concatenate([spans, np.array(segments, dtype=np.float64).reshape(-1, 2)])).astype(np.int64).tobytes()
+    return f"{'x'.join(map(str, tensors.shape))};segments={len(segments)};{hashlib.sha256(rounded + times).hexdigest()[:32]}"
 
 
 def digests(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """What the stored media hold when they are read again: sizes, hashes and a digest of the features."""
+    """What the stored media and their stored features hold when they are read again: sizes, hashes and a digest."""
     kind = stored.schema[id_col].dataType
     id_type = to_arrow_type(kind)
     schema = f"{id_col} {kind.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -184,13 +198,15 @@ def digests(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
             for at in range(0, len(batch), ROWS):
                 part = batch.slice(at, ROWS)
                 rows = []
-                for media in part.column(2).to_pylist():
-                    a = analyse(media)
-                    rows.append((len(a.payload), hashlib.sha256(a.payload).hexdigest(), zlib.crc32(a.payload[-PAD:]), len(media), hashlib.sha256(media).hexdigest(), feature_digest(a)))
+                for media, stream, segments in zip(*(part.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+                    _, payload = read_wave(media)
+                    feature = feature_digest(stream, [(x["start_ms"], x["end_ms"]) for x in segments])
+                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(media), hashlib.sha256(media).hexdigest(), feature))
                 columns = [pa.array(x) for x in zip(*rows, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(id_type), part.column(1), *columns], names=[id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return stored.select(id_col, "n_bytes", "media").mapInArrow(run, schema)
+    made = features(stored, id_col, ("n_bytes", "media"))
+    return made.select(id_col, "n_bytes", "media", "tensors", "segments").mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Each operator on awkward rows (nulls, empty and long texts, repeated rows, clashing columns) and against brute force."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -242,6 +243,18 @@ def test_audio(spark, rows):
         assert y[k] == pytest.approx(float(flat[at // audio.UP : at // audio.UP + audio.TAPS] @ h[at % audio.UP]))
 
 
+def test_audio_digest_is_of_the_stored_tensors(spark, rows):
+    stored = audio.store(table(spark, rows))
+    want = Counter()
+    for r in audio.features(stored).collect():
+        read = pa.ipc.open_stream(r.tensors).read_all()
+        values = np.array(read.column("log_mel").combine_chunks().storage.flatten().to_numpy(), dtype=np.float64)
+        times = [*zip(read.column("start_ms").to_pylist(), read.column("end_ms").to_pylist(), strict=True), *((x.start_ms, x.end_ms) for x in r.segments)]
+        data = np.round(values * 100).astype(np.int32).tobytes() + np.round(np.array(times)).astype(np.int64).tobytes()
+        want[r.doc_id, f"{r.n_tensors}x{audio.FRAMES}x{audio.BANDS};segments={len(r.segments)};{hashlib.sha256(data).hexdigest()[:32]}"] += 1
+    assert Counter((r.doc_id, r.feature) for r in audio.digests(stored).collect()) == want
+
+
 def test_urls(spark):
     pages = [(1, "https://WWW.Example.com/en/1", None), (2, "http://a.example.com/en/x?q#z", None), (3, "https://b.net/es/2", None), (4, "https://c.org/es/3", None), (5, None, None), (6, "no url", None), (7, "http://x.com?/en/", None), (7, "http://x.com?/en/", None), (None, "https://xnet/fr/", None)]
     df = spark.createDataFrame(pages, "page_id long, url string, rule string")
