@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import table
+from .common import cut, table
 
 RATE = 0.08
 MIN_CHARS = 32
@@ -40,10 +40,11 @@ def pieces(item: str, rate: float = RATE) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def nearest(masks: dict[str, int], m: int, text: str, anchored: bool = False) -> tuple[int, int]:
+def nearest(masks: dict[str, int], m: int, text: str, anchored: bool = False, ends: set[int] | None = None) -> tuple[int, int]:
     """(distance, end) of the part of text that is nearest to a pattern of m characters; ends are exclusive.
 
     masks has, for each character, the pattern's positions as bits.  anchored: only parts that begin at text's start.
+    ends: only parts that end at one of these.
     """
     whole, top = (1 << m) - 1, 1 << (m - 1)
     up, down, score = whole, 0, m
@@ -59,7 +60,7 @@ def nearest(masks: dict[str, int], m: int, text: str, anchored: bool = False) ->
             score -= 1
         ph, mh = (ph << 1 | anchored) & whole, (mh << 1) & whole
         up, down = mh | (~(xv | ph) & whole), ph & xv
-        if score < best:
+        if score < best and (ends is None or j in ends):
             best, end = score, j
     return best, end
 
@@ -84,6 +85,22 @@ def prepare(items: list[tuple[int, str]], rate: float) -> tuple:
     return automaton, [(i, text, masks_of(text), masks_of(text[::-1])) for i, text in items]
 
 
+def nearest_words(masks: dict[str, int], m: int, text: str, found: list[int], k: int) -> tuple[int, int, int]:
+    """(distance, start, stop) of the nearest part between whole words that begins up to k from a place of ``found``."""
+    best, last = (k + 1, 0, 0), -1
+    for at in found:
+        for start in range(max(0, at - k, last + 1), min(len(text), at + k + 1)):
+            last = start
+            if start and text[start - 1] != " ":
+                continue
+            part = text[start : start + m + k]
+            ends = {j for j in range(max(1, m - k), len(part) + 1) if start + j == len(text) or text[start + j] == " "}
+            distance, size = nearest(masks, m, part, True, ends)
+            if size and distance < best[0]:
+                best = (distance, start, start + size)
+    return best
+
+
 def leaks(text: str, automaton: ahocorasick.Automaton, items: list[tuple], rate: float, min_chars: int) -> Iterator[tuple[int, int, int, int]]:
     """(item id, distance, start, end) of each item found in a normal text, at its best place."""
     if len(text) < 1:
@@ -96,6 +113,11 @@ def leaks(text: str, automaton: ahocorasick.Automaton, items: list[tuple], rate:
         item_id, pattern, masks, back = items[item]
         m = len(pattern)
         k = int(rate * m)
+        if m < min_chars:
+            distance, start, stop = nearest_words(masks, m, text, sorted(found), k)
+            if distance <= k:
+                yield item_id, distance, start, stop
+            continue
         best = (k + 1, 0, 0)
         reach = -1
         for at in sorted(found):
@@ -112,8 +134,7 @@ def leaks(text: str, automaton: ahocorasick.Automaton, items: list[tuple], rate:
                 if not distance:
                     break
         distance, start, stop = best
-        whole_words = (start == 0 or text[start - 1] == " ") and (stop == len(text) or text[stop] == " ")
-        if distance <= k and (m >= min_chars or whole_words):
+        if distance <= k:
             yield item_id, distance, start, stop
 
 
@@ -133,7 +154,7 @@ def place(text: str, start: int, stop: int) -> tuple[int, int]:
 
 
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
-    """The items' normal texts in blocks of a fixed size: what is broadcast at once doesn't grow with the benchmark."""
+    """The items' normal texts in blocks of a fixed size: what the driver holds and broadcasts at once doesn't grow with the benchmark."""
     block, size = [], 0
     for row in benchmark.select(id_col, text_col).where(F.col(text_col).isNotNull()).toLocalIterator():
         text = normal(row[1])
@@ -154,6 +175,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     start and end are the interval of the document's own text, distance the edits between the normal texts.  An item
     of fewer than min_chars characters must stand between whole words.  Null or empty texts and items match nothing;
     repeated rows give repeated results; an empty benchmark or table gives no rows.  Texts are searched whole.
+    The leaks of a block of items are written before the next block is read, and its broadcast is released.
     """
     spark = docs.sparkSession
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, {item_col} {benchmark.schema[item_col].dataType.simpleString()}, distance int, start int, end int"
@@ -177,7 +199,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                             rows.append((doc, item, distance, *place(text, start, stop)))
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, types, strict=True)], names=names)
 
-        found = docs.select(id_col, text_col).mapInArrow(search, schema)
+        found = cut(docs.select(id_col, text_col).mapInArrow(search, schema))
+        sent.destroy()
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], schema)
 

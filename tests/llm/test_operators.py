@@ -176,6 +176,29 @@ def test_decontamination(spark, rows):
     assert decontaminate.find_leaks(table(spark, rows), bench.where("item_id = 99")).count() == 0
 
 
+def test_short_items_stand_anywhere_between_words(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 1)
+    items = {1: "cat sat", 2: "an old cat sat", 3: "sat"}
+    texts = {1: "A bobcat sat there; the cat sat.", 2: "bobcat sat", 3: "an old cat sats, an olt cat sat on", 4: "cat saturn", 5: "sat"}
+    want = set()
+    for (i, t), (n, item) in itertools.product(texts.items(), items.items()):
+        words = decontaminate.normal(t).split()
+        apart = lambda x, y=item: edit_distance(y + "$", "^" + x + "$") if abs(len(x) - len(y)) < 2 and x[0] == y[0] else 99
+        d = min(apart(" ".join(words[a:b])) for a in range(len(words)) for b in range(a + 1, len(words) + 1))
+        if d <= int(decontaminate.RATE * len(item)):
+            want.add((i, n, d))
+    released = []
+    from pyspark import Broadcast
+
+    destroy = Broadcast.destroy
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, *a: (released.append(1), destroy(self, *a))[1])
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = decontaminate.find_leaks(table(spark, [(i, t, "s") for i, t in texts.items()]), bench)
+    assert {(r.doc_id, r.item_id, r.distance) for r in got.collect()} == want and {(1, 1, 0), (3, 2, 1)} <= want and (4, 1, 0) not in want
+    r = got.where("doc_id = 1 and item_id = 1").first()
+    assert texts[1][r.start : r.end] == "cat sat" and len(released) == len(items)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_myers(seed):
     rnd = random.Random(seed)
