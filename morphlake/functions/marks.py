@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The features that a tag is made of.
@@ -67,6 +68,12 @@ def distance(a: Column, b: Column) -> Column:
     return F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
 
 
+def by_tag(rows: DataFrame, predicate: Callable[[str], bool]) -> Callable[[Column], Column]:
+    """A Python predicate on tags as a condition: it is asked once for each distinct tag, and these are a fixed small set."""
+    kept = [r[0] for r in rows.select("mark").distinct().collect() if predicate(r[0])]
+    return lambda mark: mark.isin(*kept) if kept else F.lit(False)
+
+
 def base_mark(mark: Column) -> Column:
     """The tag without the 2 or 3 of an alternative form."""
     return F.regexp_replace(mark, "[23]+$", "")

@@ -30,7 +30,7 @@ def is_title(w: Column) -> Column:
 
 def like_case(w: Column, model: Column) -> Column:
     """w in the letter case of model: all upper, first upper, or as it is."""
-    return F.when(is_upper(model) & (F.length(model) > 1), F.upper(w)).when(is_upper(F.left(model, F.lit(1))), upper_first(w)).otherwise(w)
+    return F.when(is_upper(model), F.upper(w)).when(is_upper(F.left(model, F.lit(1))), upper_first(w)).otherwise(w)
 
 
 def after_last(w: Column, sep: str) -> Column:

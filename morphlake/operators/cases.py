@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from morphlake.functions.marks import simplify
-from morphlake.functions.text import after_last, before_last, like_case
+from morphlake.functions.text import after_last, before_last, is_upper, like_case
 from morphlake.operators.lookups import Lexicon, basic, lookup, ranked, visible_basic
 from morphlake.schema import AUGMENTED, BASIC, GENDERS
 
@@ -65,38 +65,43 @@ def raw_nominative(words: DataFrame, lexicon: Lexicon) -> DataFrame:
 def preference_score(rows: DataFrame, preferences: DataFrame) -> DataFrame:
     """Add ``score``: how much the gender is preferred for the last part of the form, 0 where nothing says so."""
     p = preferences.select(F.col("form").alias("_form"), F.col("gender").alias("_gender"), F.col("score").alias("_score"))
-    out = rows.join(F.broadcast(p), (after_last(F.col("bmynd"), "-") == F.col("_form")) & (F.col("ofl") == F.col("_gender")), "left")
+    out = rows.join(p, (after_last(F.col("bmynd"), "-") == F.col("_form")) & (F.col("ofl") == F.col("_gender")), "left")
     return out.withColumn("score", F.coalesce("_score", F.lit(0))).drop("_form", "_gender", "_score")
 
 
-def cast(words: DataFrame, lexicon: Lexicon, case: str, preferences: DataFrame, compounds: Callable[[DataFrame], DataFrame] | None = None, keep: Callable[[Column], Column] | None = None) -> DataFrame:
+def cast(words: DataFrame, lexicon: Lexicon, case: str, preferences: DataFrame, keep: Callable[[Column], Column] | None = None, order: list[Column] | None = None, **options) -> DataFrame:
     """(w, result): each word in the case, or as it is where that can't be said.
 
-    The word is read as an adjective if its first nominative entry is one, else as the noun (or pronoun, numeral, article)
-    with the best preference score.  The form has the reading's number and definiteness, and the word's letter case.  A
-    compound's last part is cast and its other parts stay.
+    The word is read as an adjective if any of its nominative entries is one, else as the noun (or pronoun, numeral, article)
+    with the best preference score.  The form has the reading's number and an adjective's definiteness, and the word's
+    letter case.  A compound's last part is cast and its other parts stay; a capitalised noun without such a form is cast
+    in lower case.  keep filters the forms by their tags, order comes before their usual order; options are those of lookup.
     """
-    found = basic(lookup(words, lexicon, compounds))
-    readings = found.where(F.contains("mark", F.lit("NF")) & F.col("ofl").isin("lo", *GENDERS, "fn", "pfn", "to", "gr"))
-    first_is_adjective = F.first(F.col("ofl") == "lo").over(Window.partitionBy("w").orderBy("rank"))
-    scored = preference_score(readings, preferences).withColumn("_adj", first_is_adjective).where(F.col("_adj") == (F.col("ofl") == "lo"))
-    chosen = scored.withColumn("_n", F.row_number().over(Window.partitionBy("w").orderBy(F.desc("score"), "rank"))).where("_n = 1")
-    split = F.contains("bmynd", F.lit("-")) & ~F.contains("w", F.lit("-"))
+    found = basic(lookup(words, lexicon, **options)).where(F.contains("mark", F.lit("NF")) & F.col("ofl").isin("lo", *GENDERS, "fn", "pfn", "to", "gr"))
+    entry = F.struct("bmynd", "ord", "ofl", "mark")
+    is_adjective = F.col("ofl") == "lo"
+    chosen = preference_score(found, preferences).groupBy("w").agg(F.min_by(F.when(is_adjective, entry), F.when(is_adjective, F.col("rank"))).alias("_a"), F.min_by(F.when(~is_adjective, entry), F.when(~is_adjective, F.struct(-F.col("score"), F.col("rank")))).alias("_n"))
+    chosen = chosen.select("w", F.coalesce("_a", "_n").alias("e")).select(F.col("w").alias("_w"), "e.*")
+    w, adjective = F.col("_w"), F.col("ofl") == "lo"
+    split = ~adjective & F.contains("bmynd", F.lit("-")) & ~F.contains("_w", F.lit("-"))
+    own = F.when(adjective, F.col("bmynd")).when(split, after_last(F.col("bmynd"), "-")).otherwise(w)
+    lower = F.when(~adjective & ~split & is_upper(F.left(w, F.lit(1))) & ~is_upper(w), F.lower(w))
     chosen = chosen.select(
-        F.col("w").alias("_w"),
-        F.when(split, after_last(F.col("bmynd"), "-")).otherwise(F.col("bmynd")).alias("w"),
+        "_w",
         F.when(split, F.replace(before_last(F.col("bmynd"), "-"), F.lit("-"), F.lit(""))).otherwise("").alias("_prefix"),
         F.when(split, after_last(F.col("ord"), "-")).otherwise(F.col("ord")).alias("_lemma"),
         F.col("ofl").alias("_class"),
         F.col("mark").alias("_tag"),
-    )
-    cased = lookup_case(chosen.select("w"), lexicon, case, keep=keep)
+        F.explode(F.filter(F.array(F.struct(F.lit(0).alias("retry"), own.alias("w")), F.struct(F.lit(1).alias("retry"), lower.alias("w"))), lambda k: k["w"].isNotNull())).alias("_k"),
+    ).select("*", "_k.*")
+    cased = lookup_case(chosen.select("w"), lexicon, case)
     fits = chosen.join(cased, "w").where((F.col("ord") == F.col("_lemma")) & (F.col("ofl") == F.col("_class")))
-    for part in ("ET", "FT"):
-        fits = fits.where(~F.contains("_tag", F.lit(part)) | F.contains("mark", F.lit(part)))
-    for part in ("SB", "VB"):
-        fits = fits.where((F.col("_class") != "lo") | ~F.contains("_tag", F.lit(part)) | F.contains("mark", F.lit(part)))
+    fits = fits.withColumn("_try", F.min("retry").over(Window.partitionBy("_w"))).where("retry = _try")
+    has = lambda c, part: F.contains(c, F.lit(part))
+    alike = lambda one, two: F.when(has("_tag", one), has("mark", one)).when(has("_tag", two), has("mark", two)).otherwise(True)
+    fits = fits.where(alike("ET", "FT") & ((F.col("_class") != "lo") | alike("VB", "SB")))
+    if keep is not None:
+        fits = fits.where(keep(F.col("mark")))
     full = fits.withColumns({c: F.lit(1 if c in ("einkunn", "beinkunn") else 0 if c == "millivisun" else "") for c in AUGMENTED if c not in BASIC})
-    best = ranked(full, lexicon, ["_w"]).where("rank = 1").select(F.col("_w").alias("w"), F.concat("_prefix", "bmynd").alias("_cast"))
+    best = ranked(full, lexicon, ["_w"], order).where("rank = 1").select(F.col("_w").alias("w"), F.concat("_prefix", "bmynd").alias("_cast"))
     return words.select("w").distinct().join(best, "w", "left").select("w", F.coalesce(like_case(F.col("_cast"), F.col("w")), F.col("w")).alias("result"))
-

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from morphlake.functions.marks import base_mark
@@ -12,6 +12,21 @@ from morphlake.schema import AUGMENTED
 # Lemmas whose single-letter forms are right.
 SINGLE_LETTER_LEMMAS = ("ýr", "ær", "eiga")
 SUSPICIOUS = r"[+@\\_åø]"
+# Forms that are no words, and repairs (lemma, id, what to do, with what, by what).
+STOP_FORMS = ("a", "num", "i", "ir", "in", "ina", "irnar", "irnir")
+REPAIRS = (
+    ("sem að", 495372, "lemma", "sem", None),
+    ("hvort að", 495365, "lemma", "hvort", None),
+    ("árekstrarvörn", 540745, "only_prefix", "árekstrar", None),
+    ("dínamítsprenging", 508550, "replace", "dýnamít", "dínamít"),
+    ("fullleiksviðslegur", 509413, "prefix", "full", None),
+    ("fullmenntaskólalegur", 509414, "prefix", "full", None),
+    ("fulltæfulegur", 509415, "prefix", "full", None),
+    ("fullviðkvæmnislegur", 509416, "prefix", "full", None),
+    ("illinnheimtanlegur", 509831, "prefix", "ill", None),
+    ("Norður-Landeyjar", 488593, "replace", "Norð-Vestur", "Norður"),
+    ("Norður-Landeyjar", 488593, "replace", "Norð-vestur", "Norður"),
+)
 
 #: Repairs by (ord, bin_id): what to do with which values; a stop list of forms is a parameter of ``required``.
 REPAIR_KINDS = ("lemma", "prefix", "replace", "only_prefix")
@@ -23,18 +38,28 @@ def required(rows: DataFrame, stop_forms: tuple[str, ...] = ()) -> DataFrame:
     return out.where(~F.col("bmynd").isin(*stop_forms)) if stop_forms else out
 
 
+def known_repairs(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(REPAIRS, "ord string, bin_id int, kind string, a string, b string")
+
+
 def repair(rows: DataFrame, repairs: DataFrame) -> DataFrame:
-    """Apply repairs (ord, bin_id, kind, a, b); adds ``exempt`` for rows that the next three checks leave alone.
+    """Apply repairs (ord, bin_id, kind, a, b), of which an entry may have several; adds ``exempt`` for rows that the next three checks leave alone.
 
     lemma: lemma and form become a.  prefix: the form gets the prefix a where it lacks it.  replace: a becomes b within the
     form.  only_prefix: rows whose form doesn't begin with a go, the others are exempt.
     """
-    r = repairs.select(F.col("ord").alias("_ord"), F.col("bin_id").alias("_id"), "kind", "a", "b")
-    out = rows.join(F.broadcast(r), (F.col("ord") == F.col("_ord")) & (F.col("bin_id") == F.col("_id")), "left")
-    kind, form, a = F.col("kind"), F.col("bmynd"), F.col("a")
-    fixed = F.when(kind == "lemma", a).when((kind == "prefix") & ~form.startswith(a), F.concat(a, form)).when(kind == "replace", F.replace(form, a, F.col("b"))).otherwise(form)
-    only = F.coalesce(kind == "only_prefix", F.lit(False))
-    return out.where(~only | form.startswith(a)).withColumns({"bmynd": fixed, "ord": F.when(kind == "lemma", a).otherwise(F.col("ord")), "exempt": only}).drop("_ord", "_id", "kind", "a", "b")
+    r = repairs.groupBy(F.col("ord").alias("_ord"), F.col("bin_id").alias("_id")).agg(F.array_sort(F.collect_list(F.struct("kind", "a", "b"))).alias("_r"))
+    out = rows.join(r, (F.col("ord") == F.col("_ord")) & (F.col("bin_id") == F.col("_id")), "left").withColumn("_r", F.coalesce("_r", F.array().cast(r.schema["_r"].dataType)))
+    form = F.col("bmynd")
+
+    def fixed(x: Column, rule: Column) -> Column:
+        kind, a = rule["kind"], rule["a"]
+        return F.when(kind == "lemma", a).when((kind == "prefix") & ~x.startswith(a), F.concat(a, x)).when(kind == "replace", F.replace(x, a, rule["b"])).otherwise(x)
+
+    of_kind = lambda kind: F.filter("_r", lambda rule: rule["kind"] == kind)
+    only, lemma = F.size(of_kind("only_prefix")) > 0, F.get(of_kind("lemma"), 0)["a"]
+    kept = out.where(F.forall(of_kind("only_prefix"), lambda rule: form.startswith(rule["a"])))
+    return kept.withColumns({"bmynd": F.aggregate("_r", form, fixed), "ord": F.coalesce(lemma, F.col("ord")), "exempt": only}).drop("_ord", "_id", "_r")
 
 
 def same_capitals(rows: DataFrame) -> DataFrame:
@@ -55,6 +80,7 @@ def legal_marks(rows: DataFrame, mark_order: DataFrame) -> DataFrame:
     known = rows.join(F.broadcast(classes), F.col("ofl") == F.col("_class"), "left")
     error = F.raise_error(F.concat(F.lit("unknown class: "), F.col("ofl")))
     checked = known.withColumn("ofl", F.when(F.col("_class").isNull(), error.cast("string")).otherwise(F.col("ofl"))).drop("_class")
+    # The legal tags are a fixed small table.
     marks = mark_order.select(F.col("ofl").alias("_o"), F.col("mark").alias("_m")).distinct()
     return checked.join(F.broadcast(marks), (F.col("ofl") == F.col("_o")) & (base_mark(F.col("mark")) == F.col("_m")), "left_semi")
 

@@ -15,7 +15,7 @@ VERB_PENALTIES = (("VH", 4), ("ÞT", 2), ("FT", 1), ("2P", 1))
 
 
 def without_deletions(rows: DataFrame, deletions: DataFrame) -> DataFrame:
-    return rows.join(F.broadcast(deletions.select("ord", "ofl", "hluti")), ["ord", "ofl", "hluti"], "left_anti").select(*rows.columns)
+    return rows.join(deletions.select("ord", "ofl", "hluti"), ["ord", "ofl", "hluti"], "left_anti").select(*rows.columns)
 
 
 def recode(rows: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def recode(rows: DataFrame) -> DataFrame:
 def corrected(rows: DataFrame, errata: DataFrame) -> DataFrame:
     """The domain by (lemma, recoded class), where the errata have one."""
     e = errata.select(F.col("ord").alias("_o"), F.col("ofl").alias("_c"), F.col("hluti").alias("_h"))
-    out = rows.join(F.broadcast(e), (F.col("ord") == F.col("_o")) & (F.col("ofl") == F.col("_c")), "left")
+    out = rows.join(e, (F.col("ord") == F.col("_o")) & (F.col("ofl") == F.col("_c")), "left")
     return out.withColumn("hluti", F.coalesce("_h", "hluti")).drop("_o", "_c", "_h")
 
 
@@ -38,7 +38,7 @@ def compatible_view(lexicon: Lexicon, deletions: DataFrame, errata: DataFrame) -
 def preferred_stems(found: DataFrame, preferences: DataFrame) -> DataFrame:
     """Without the entries whose lemma is a worse one for the word."""
     worse = preferences.select(F.col("form").alias("w"), F.explode("worse").alias("ord"))
-    return found.join(F.broadcast(worse), ["w", "ord"], "left_anti").select(*found.columns)
+    return found.join(worse, ["w", "ord"], "left_anti").select(*found.columns)
 
 
 def priority():

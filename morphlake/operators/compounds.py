@@ -7,49 +7,78 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from morphlake.functions.text import after_last, before_last, capitalize, is_title, is_upper
+from morphlake.functions.text import after_last, before_last, capitalize, is_lower, is_upper
 from morphlake.operators.lookups import Lexicon, visible
 from morphlake.schema import AUGMENTED, GENDERS, OPEN_CLASSES
+from morphlake.storage import stored
 
-MAX_PARTS = 6
 
+def part_places(words: DataFrame, parts: DataFrame) -> DataFrame:
+    """(w, _l, _m): where known parts stand in each word, as structs (_a: from, _n: length, is_prefix, is_suffix).
 
-def splits(words: DataFrame, parts: DataFrame, max_parts: int = MAX_PARTS) -> DataFrame:
-    """(w, parts): the ways to write each word as known parts, all but the last of them prefixes.
-
-    Where what is left of a word is itself a known part, only that unsplit reading of it counts.  A word that could be
-    cut into more than ``max_parts`` parts is an error.  One join finds where known parts stand in a word; the paths from
-    its start to its end are then built within the row.
+    A word is cut no longer than the longest part, so the places to look up grow with its length and not with its square.
     """
+    longest = parts.agg(F.max(F.length("part"))).first()[0] or 0
     w = words.select("w").distinct().where("w <> ''").withColumn("_l", F.length("w"))
-    places = w.select("w", "_l", F.explode(F.sequence(F.lit(0), F.col("_l") - 1)).alias("_a")).select("w", "_l", "_a", F.explode(F.sequence(F.lit(1), F.col("_l") - F.col("_a"))).alias("_n"))
-    here = places.withColumn("part", F.substr("w", F.col("_a") + 1, F.col("_n"))).join(parts.select("part", "is_prefix"), "part")
-    found = here.groupBy("w", "_l").agg(F.collect_list(F.struct("_a", "_n", "is_prefix")).alias("_m"))
+    starts = w.select("w", "_l", F.explode(F.sequence(F.lit(0), F.col("_l") - 1)).alias("_a"))
+    places = starts.select("w", "_l", "_a", F.explode(F.sequence(F.lit(1), F.least(F.col("_l") - F.col("_a"), F.lit(longest)))).alias("_n")) if longest else starts.withColumn("_n", F.lit(0)).where("false")
+    here = places.withColumn("part", F.substr("w", F.col("_a") + 1, F.col("_n"))).join(parts.select("part", "is_prefix", "is_suffix"), "part")
+    return here.groupBy("w", "_l").agg(F.collect_list(F.struct("_a", "_n", "is_prefix", "is_suffix")).alias("_m"))
+
+
+def _ending(at: Column) -> Column:
+    """The part that is all of the word from a place on, if there is one."""
+    return F.get(F.filter("_m", lambda x: (x["_a"] == at) & (x["_n"] == F.col("_l") - at)), 0)
+
+
+def _nexts(at: Column) -> Column:
+    return F.filter("_m", lambda x: (x["_a"] == at) & x["is_prefix"] & (x["_n"] < F.col("_l") - at))
+
+
+def _cut(words: DataFrame, cuts: Column) -> DataFrame:
+    """(w, parts) by the places where parts begin."""
+    ends = F.concat(F.slice("_p", F.lit(2), F.size("_p")), F.array("_l"))
+    return words.withColumn("_p", cuts).select("w", F.zip_with("_p", ends, lambda x, y: F.substr("w", x + 1, y - x)).alias("parts"))
+
+
+def splits(words: DataFrame, parts: DataFrame) -> DataFrame:
+    """(w, parts): all ways to write each word as known parts, all but the last of them prefixes.
+
+    Where what is left of a word is itself a known part, only that unsplit reading of it counts.  One join finds where
+    known parts stand in a word; the paths from its start to its end are then built within the row.  A word may have as
+    many ways as there are combinations of its parts; best_split doesn't list them.
+    """
     at = lambda path: F.element_at(path, -1)
-    ends = lambda path: F.exists("_m", lambda x: (x["_a"] == at(path)) & (x["_n"] == F.col("_l") - at(path)))
-    nexts = lambda path: F.filter("_m", lambda x: (x["_a"] == at(path)) & x["is_prefix"] & (x["_n"] < F.col("_l") - at(path)))
-    longer = lambda path: F.transform(nexts(path), lambda x: F.concat(path, F.array(at(path) + x["_n"])))
+    longer = lambda path: F.transform(_nexts(at(path)), lambda x: F.concat(path, F.array(at(path) + x["_n"])))
 
     def step(state: Column, _: Column) -> Column:
-        done = F.concat(state["done"], F.filter(state["open"], ends))
-        return F.struct(F.flatten(F.transform(F.filter(state["open"], lambda p: ~ends(p)), longer)).alias("open"), done.alias("done"))
+        done = F.concat(state["done"], F.filter(state["open"], lambda p: _ending(at(p)).isNotNull()))
+        return F.struct(F.flatten(F.transform(F.filter(state["open"], lambda p: _ending(at(p)).isNull()), longer)).alias("open"), done.alias("done"))
 
     start = F.struct(F.array(F.array(F.lit(0))).alias("open"), F.array().cast("array<array<int>>").alias("done"))
-    state = F.aggregate(F.sequence(F.lit(1), F.lit(max_parts)), start, step)
-    found = found.withColumn("_s", state)
-    error = F.raise_error(F.lit("a word has too many parts")).cast("array<array<int>>")
-    paths = F.when(F.size("_s.open") > 0, error).otherwise(F.col("_s.done"))
-    found = found.select("w", "_l", F.explode(paths).alias("_p")).withColumn("_e", F.concat(F.slice("_p", F.lit(2), F.size("_p")), F.array("_l")))
-    return found.select("w", F.zip_with("_p", "_e", lambda x, y: F.substr("w", x + 1, y - x)).alias("parts"))
+    state = F.aggregate(F.sequence(F.lit(1), F.col("_l")), start, step)
+    found = part_places(words, parts).select("w", "_l", F.explode(state["done"]).alias("_path"))
+    return _cut(found, F.col("_path"))
 
 
 def best_split(words: DataFrame, parts: DataFrame) -> DataFrame:
-    """(w, parts): the valid split with the longest last part, then the fewest parts, then the shortest first parts."""
-    found = splits(words, parts).withColumn("_last", F.element_at("parts", -1))
-    suffixes = parts.where("is_suffix").select(F.col("part").alias("_last"))
-    valid = found.join(suffixes, "_last", "left_semi")
-    order = Window.partitionBy("w").orderBy(F.desc(F.length("_last")), F.size("parts"), F.transform("parts", lambda p: F.length(p)))
-    return valid.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("w", "parts")
+    """(w, parts): the valid split with the longest last part, then the fewest parts, then the shortest first parts.
+
+    Of all ways to reach a place in the word only the best is kept, so the work doesn't grow with their number.
+    """
+    kind = "array<struct<at:int,n:int,path:array<int>>>"
+    best_at = lambda state, i: F.array_min(F.filter(state, lambda s: s["at"] == i))
+
+    def step(state: Column, i: Column) -> Column:
+        here = best_at(state, i)
+        longer = F.transform(_nexts(i), lambda x: F.struct((i + x["_n"]).alias("at"), (here["n"] + 1).alias("n"), F.concat(here["path"], F.array(i + x["_n"])).alias("path")))
+        return F.when(here.isNotNull() & _ending(i).isNull(), F.concat(state, longer)).otherwise(state)
+
+    start = F.array(F.struct(F.lit(0).alias("at"), F.lit(1).alias("n"), F.array(F.lit(0)).alias("path"))).cast(kind)
+    found = part_places(words, parts).withColumn("_s", F.aggregate(F.sequence(F.lit(0), F.col("_l") - 1), start, step))
+    ends = F.array_min(F.filter(F.transform("_s", lambda s: s["at"]), lambda i: F.coalesce(_ending(i)["is_suffix"], F.lit(False))))
+    found = found.withColumn("_e", ends).where("_e is not null").withColumn("_path", best_at(F.col("_s"), F.col("_e"))["path"])
+    return _cut(found.select("w", "_l", "_path"), F.col("_path"))
 
 
 def prefixed(prefix: Column, hyphen: bool, uppercase: Column | bool = False) -> dict[str, Column]:
@@ -60,49 +89,42 @@ def prefixed(prefix: Column, hyphen: bool, uppercase: Column | bool = False) ->
     return {"ord": put("ord"), "bmynd": put("bmynd"), "bin_id": F.when(prefix == "", F.col("bin_id")).otherwise(F.lit(0))}
 
 
-def compound_plan(lexicon: Lexicon, base: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame], DataFrame]:
-    """The plan that gives (w, key, fields) of compounds: after a blank, after a hyphen, or by known parts.
+def compound_plan(lexicon: Lexicon, base: Callable[[DataFrame], DataFrame] | None = None, at_sentence_start: bool = False, extra: tuple[str, ...] = ()) -> Callable[[DataFrame], DataFrame]:
+    """The plan that gives (w, key, fields) of compounds: what stands after the last blank and hyphen, by known parts.
 
-    base looks up (w, key) with suffix rows; the default is the lexicon's visible rows.
+    base looks up (w, key) with suffix rows; the default is the lexicon's visible rows.  A word with capitals is a noun,
+    but for one at the start of a sentence.
     """
     rows = visible(lexicon)
     look = base or (lambda keys: keys.join(rows, F.col("key") == F.col("bmynd")).select(*keys.columns, *AUGMENTED))
 
-    def by_parts(words: DataFrame) -> DataFrame:
-        """(w, key, fields) of words without blanks and hyphens, as written or else in lower case."""
-        asked = words.select("w").distinct().withColumn("_low", F.lower("w"))
-        both = best_split(asked.select(F.explode(F.array("w", "_low")).alias("w")).distinct(), lexicon.parts)
-        split = asked.join(both.withColumnRenamed("parts", "_as"), "w", "left").join(both.select(F.col("w").alias("_low"), F.col("parts").alias("_lowered")), "_low", "left")
-        as_is = (F.size("_as") > 1) | (F.col("_low") == F.col("w"))
-        # Without a split as written, the one in lower case is all there is, even where it has no parts.
-        parts = F.when(as_is, F.col("_as")).when(F.size("_lowered") > 1, F.col("_lowered"))
-        chosen = split.select("w", F.when(as_is, F.col("w")).otherwise(F.col("_low")).alias("_key"), parts.alias("parts")).where("parts is not null")
-        keys = chosen.select("w", "_key", F.element_at("parts", -1).alias("key"), F.array_join(F.slice("parts", F.lit(1), F.size("parts") - 1), "-").alias("_prefix"), (F.size("parts") == 1).alias("_alone"))
-        found = look(keys).where(~F.col("_alone") | (F.col("birting") != "S"))
-        kept = found.where(F.when(is_title(F.col("_key")), F.col("ofl").isin(*GENDERS)).otherwise(F.col("ofl").isin(*OPEN_CLASSES)))
-        return kept.withColumns(prefixed(F.col("_prefix"), True)).select("w", F.col("_key").alias("key"), *AUGMENTED)
+    def by_parts(cores: DataFrame) -> DataFrame:
+        """(_core, _free, _key, fields) of words without blanks and hyphens, as written or else in lower case."""
+        asked = cores.select("_core", "_free").distinct().withColumn("_low", F.lower("_core"))
+        both = stored(best_split(asked.select(F.explode(F.array_distinct(F.array("_core", "_low"))).alias("w")), lexicon.parts))
+        split = asked.join(both.select(F.col("w").alias("_core"), F.col("parts").alias("_as")), "_core", "left").join(both.select(F.col("w").alias("_low"), F.col("parts").alias("_lowered")), "_low", "left")
+        as_is = F.coalesce(F.size("_as") > 1, F.lit(False)) | (F.col("_low") == F.col("_core"))
+        # Without a compound as written, the reading in lower case is all there is.
+        chosen = split.withColumn("parts", F.when(as_is, F.col("_as")).otherwise(F.col("_lowered"))).where("parts is not null")
+        several = F.size("parts") > 1
+        keys = chosen.select("_core", "_free", F.when(as_is | ~several, F.col("_core")).otherwise(F.col("_low")).alias("_key"), F.concat_ws("/", "_core", "_free").alias("w"), F.element_at("parts", -1).alias("key"), F.array_join(F.slice("parts", F.lit(1), F.size("parts") - 1), "-").alias("_prefix"), several.alias("_several"))
+        found = look(keys).where(F.col("_several") | (F.col("birting") != "S"))
+        strict = ~F.col("_free") & (F.lower("_core") != F.col("_core"))
+        kept = found.where(F.when(strict, F.col("ofl").isin(*GENDERS)).otherwise(F.col("ofl").isin(*OPEN_CLASSES)))
+        return kept.withColumns(prefixed(F.col("_prefix"), True)).select("_core", "_free", "_key", *AUGMENTED, *extra)
 
     def plan(words: DataFrame) -> DataFrame:
         w = F.col("w")
         blank = F.contains(w, F.lit(" "))
-        hyphen = ~blank & F.contains(w, F.lit("-")) & ~w.endswith("-")
-        plain = ~blank & ~F.contains(w, F.lit("-"))
-        kind = F.when(blank, "blank").when(hyphen, "hyphen").when(plain, "plain")
-        asked = words.select("w").distinct().withColumn("_kind", kind).where("_kind is not null")
-        sep = lambda f, other: F.when(blank, f(w, " ")).when(hyphen, f(w, "-")).otherwise(other)
-        asked = asked.select("w", "_kind", sep(before_last, F.lit("")).alias("_p"), sep(after_last, w).alias("_rest"))
-        # What stands after a blank or hyphen may be a word of its own, as written or in lower case, or a compound.
-        rests = asked.where("_kind <> 'plain'").select(F.col("_rest").alias("w")).distinct()
-        spelled = rests.select("w", F.explode(F.array_distinct(F.array(w, F.lower(w)))).alias("key")).withColumn("_own", F.col("key") == w)
-        own = look(spelled).where("birting <> 'S'")
-        own = own.withColumn("_any", F.bool_or("_own").over(Window.partitionBy("w"))).where("_own = _any").select("w", "key", *AUGMENTED)
-        missed = rests.join(own.select("w").distinct(), "w", "left_anti").unionByName(asked.where("_kind = 'plain'").select("w")).distinct()
-        found = own.withColumn("_whole", F.lit(True)).unionByName(by_parts(missed).withColumn("_whole", F.lit(False))).withColumnRenamed("w", "_rest")
-        out = asked.join(found, "_rest").where("not _whole or _kind <> 'plain'")
-        key = F.when(F.col("_kind") == "blank", F.concat("_p", F.lit(" "), "key")).when(F.col("_kind") == "hyphen", w).otherwise(F.col("key"))
-        prefix = F.when(F.col("_kind") == "blank", F.concat("_p", F.lit(" "))).otherwise(F.col("_p"))
-        with_hyphen, without = prefixed(F.col("_p"), True, is_upper(F.left("_rest", F.lit(1))) & ~is_upper(F.col("_rest"))), prefixed(prefix, False)
-        fields = {c: F.when(F.col("_kind") == "hyphen", with_hyphen[c]).otherwise(without[c]) for c in with_hyphen}
-        return out.withColumns(fields | {"key": key}).select("w", "key", *AUGMENTED)
+        asked = words.select("w").distinct().withColumns({"_words": F.when(blank, F.concat(before_last(w, " "), F.lit(" "))).otherwise(""), "_rest": F.when(blank, after_last(w, " ")).otherwise(w)})
+        hyphen = F.contains("_rest", F.lit("-")) & ~F.col("_rest").endswith("-")
+        asked = asked.withColumn("_hyphen", hyphen)
+        rest = F.col("_rest")
+        asked = asked.withColumns({"_before": F.when(F.col("_hyphen"), before_last(rest, "-")).otherwise(""), "_core": F.when(F.col("_hyphen"), after_last(rest, "-")).otherwise(rest), "_free": F.lit(at_sentence_start) & (rest == w) & ~F.col("_hyphen")})
+        out = asked.where("_core <> ''").join(by_parts(asked.where("_core <> ''")), ["_core", "_free"])
+        title = is_upper(F.left("_core", F.lit(1))) & is_lower(F.substr("_core", F.lit(2)))
+        out = out.withColumns(prefixed(F.col("_before"), True, title)).withColumns(prefixed(F.col("_words"), False))
+        key = F.concat("_words", F.when(F.col("_hyphen"), rest).otherwise(F.col("_key")))
+        return out.withColumn("key", key).select("w", "key", *AUGMENTED, *extra)
 
     return plan

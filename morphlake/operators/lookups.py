@@ -3,6 +3,7 @@
 A query table has a column ``w``; results have ``w`` (the word asked for), ``key`` (the spelling that was found),
 ``stage``, ``rank`` (1 for the first entry) and the fifteen fields.  The cascade asks for all spellings of a word in one
 join and keeps those of its first stage; only compounds, the costly stage, see just the words that missed (left_anti).
+The order of tags and the adjectives' template are fixed small tables.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from morphlake.functions.text import capitalize, is_lower
 from morphlake.schema import AUGMENTED, BASIC, EXTRA, GENDERS, OPEN_CLASSES
+from morphlake.storage import stored
 
 #: What the nine extra fields of a constructed row are.
 CONSTRUCTED = {"einkunn": 1, "malsnid": "", "malfraedi": "", "millivisun": 0, "birting": "G", "beinkunn": 1, "bmalsnid": "", "bgildi": "", "aukafletta": ""}
@@ -114,16 +116,22 @@ def constructed(template: DataFrame, **fields) -> DataFrame:
 def legur_rows(keys: DataFrame, template: DataFrame) -> DataFrame:
     """Entries of adjectives in -legur that no lexicon row has, for keys (w, key, step) with key in lower case.
 
-    Every template row whose ending is a proper end of the word gives one.  The template is a fixed small table.
+    Every template row whose ending is a proper end of the word gives one: the word's ends are joined with the endings.
     """
     asked = keys.where(F.contains("key", F.lit("leg")))
-    found = asked.join(F.broadcast(template), F.col("key").endswith(F.col("ending")) & (F.length("key") > F.length("ending")))
+    longest = template.agg(F.max(F.length("ending"))).first()[0] or 0
+    ends = F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("key") - 1, F.lit(longest))), lambda n: F.right("key", n)))
+    found = asked.where(F.length("key") > 1).withColumn("ending", ends).join(template, "ending")
     stem = F.left("key", F.length("key") - F.length("ending"))
     adjectives = constructed(found, ord=F.concat(stem, F.lit("legur")), bin_id=0, ofl="lo", hluti="alm", bmynd=F.col("key"), mark=F.col("mark"))
     adverbs = constructed(asked.where(F.col("key").endswith("lega") & (F.length("key") > 4)), ord=F.col("key"), bin_id=0, ofl="ao", hluti="alm", bmynd=F.col("key"), mark="OBEYGJANLEGT")
     return adjectives.unionByName(adverbs)
 
 
+#: The steps of the second run, for the other spelling, come this much later.
+AGAIN = 70
+
+
 def cascade(
     words: DataFrame,
     lexicon: Lexicon,
@@ -134,71 +142,96 @@ def cascade(
     negation: bool = True,
     legur: bool = True,
     replace_z: bool = True,
+    extra: tuple[str, ...] = (),
 ) -> DataFrame:
     """(w, key, stage, source, fields): the entries of the first stage that has any.
 
     Stages: 1 as written, 2 capitalised, 3 lower case, 4 the -legur template, 5 compounds, 6 negation by ó-, 7 z for s: the
-    stages once more for the other spelling (steps 71 to 76).  At the start of a sentence a word's entries in lower case
-    come before its own; with auto_uppercase those of a capitalised word do, and its spelling becomes the key.
+    stages once more for the other spelling.  At the start of a sentence a word's entries in lower case come before its
+    own; with auto_uppercase those of a capitalised word do, and its spelling becomes the key.  There, a single letter that
+    isn't found is read as an abbreviation.  extra: more columns that base and compounds give; constructed rows have null.
     """
     w = F.col("w")
-    asked = words.select("w").distinct().withColumn("v", F.when(F.contains("w", F.lit("z")), F.replace(F.replace("w", F.lit("tzt"), F.lit("st")), F.lit("z"), F.lit("s"))))
+    single = is_lower(w) & (F.length("w") == 1) if auto_uppercase else F.lit(False)
+    other = F.replace(F.replace("w", F.lit("tzt"), F.lit("st")), F.lit("z"), F.lit("s"))
+    asked = stored(words.select("w").distinct()).withColumn("v", F.when(F.contains("w", F.lit("z")) & ~single, other))
     given = lambda step, spelling, when: F.when(when, F.struct(F.lit(step).alias("step"), spelling.alias("key")))
 
     def spellings(x: Column, first: int) -> list[Column]:
         low = F.lower(x)
-        out = [given(first, x, x.isNotNull()), given(first + (20 if first == 10 else 2), low, low != x)]
-        return [*out, given(first + (50 if first == 10 else 5), F.substr(low, F.lit(2)), low.startswith("ó") & (F.length(x) > 1))] if negation else out
-
-    wanted = spellings(w, 10) + (spellings(F.col("v"), 71) if replace_z else [])
+        out = [given(first + 1, x, x.isNotNull()), given(first + 3, low, low != x)]
+        if auto_uppercase:
+            out.append(given(first + 2, capitalize(x), is_lower(x)))
+        if negation:
+            out.append(given(first + 6, F.substr(low, F.lit(2)), low.startswith("ó") & (F.length(x) > 1)))
+        return out
+
+    wanted = spellings(w, 0) + (spellings(F.col("v"), AGAIN) if replace_z else [])
     if auto_uppercase:
-        capital = F.when(F.length("w") == 1, F.concat(F.upper("w"), F.lit("."))).otherwise(capitalize(w))
-        wanted.append(given(20, capital, is_lower(w)))
+        wanted.append(given(3, F.concat(w, F.lit(".")), single))
     keys = asked.select("w", "v", F.explode(F.filter(F.array(*wanted), lambda s: s.isNotNull())).alias("s")).select("w", "v", "s.step", "s.key")
-    negated = F.col("step").isin(60, 76)
+    negated = F.col("step").isin(6, AGAIN + 6)
     put_o = lambda c: F.when(negated, F.concat(F.lit("ó"), c)).otherwise(F.col(c))
-    found = base(keys).where(~negated | (F.col("ofl") == "lo")).withColumns({"ord": put_o("ord"), "bmynd": put_o("bmynd"), "key": F.when(F.col("step") == 60, w).when(F.col("step") == 76, F.col("v")).otherwise(F.col("key"))})
-    found = found.select("w", "key", "step", *AUGMENTED)
+    found = base(keys).where(~negated | (F.col("ofl") == "lo")).withColumns({"ord": put_o("ord"), "bmynd": put_o("bmynd"), "key": F.when(F.col("step") == 6, w).when(negated, F.col("v")).otherwise(F.col("key"))})
+    found = found.select("w", "key", "step", *AUGMENTED, *extra)
+    by = Window.partitionBy("w")
+    if auto_uppercase:
+        # A single letter: capitalised only beside entries of its own, as an abbreviation only without.
+        own = F.max(F.col("step") == 1).over(by)
+        found = found.withColumn("_own", own).where(~single | ((F.col("step") != 2) | F.col("_own")) & ((F.col("step") != 3) | ~F.col("_own"))).drop("_own")
     if legur and lexicon.template is not None:
-        lowered = [(40, w)] + ([(74, F.col("v"))] if replace_z else [])
-        for step, x in lowered:
+        for step, x in [(4, w)] + ([(AGAIN + 4, F.col("v"))] if replace_z else []):
             rows = legur_rows(asked.where(x.isNotNull()).select("w", F.lower(x).alias("key"), F.lit(step).alias("step")), lexicon.template)
-            found = found.unionByName(rows.join(asked, "w").withColumn("key", x).select(*found.columns) if step == 74 else rows.withColumn("key", x))
+            found = found.unionByName(rows.join(asked, "w").withColumn("key", x).select("w", "key", "step", *AUGMENTED) if step > AGAIN else rows.withColumn("key", x), allowMissingColumns=True)
     if compounds is not None:
-        hit = found.where("step < 50").select("w").distinct()
-        miss = asked.join(hit, "w", "left_anti")
-        more = compounds(miss.select("w")).withColumn("step", F.lit(50)).select(*found.columns)
-        if replace_z:
-            z = miss.where("v is not null")
-            again = compounds(z.select(F.col("v").alias("w")).distinct()).withColumnRenamed("w", "v").withColumn("step", F.lit(75))
-            more = more.unionByName(z.join(again, "v").select(*found.columns))
-        found = found.unionByName(more)
-    by = Window.partitionBy("w")
-    best, up = F.min("step").over(by), F.max(F.when(F.col("step") == 20, F.col("key"))).over(by)
-    found = found.withColumns({"_best": best, "_up": up})
-    kept = F.col("step") == F.col("_best")
+        found = stored(found)
+        miss = asked.join(found.where("step < 5").select("w").distinct(), "w", "left_anti")
+        forms = [F.struct(F.lit(5).alias("step"), w.alias("form"))] + ([F.when(F.col("v").isNotNull(), F.struct(F.lit(AGAIN + 5).alias("step"), F.col("v").alias("form")))] if replace_z else [])
+        forms = stored(miss.select("w", F.explode(F.filter(F.array(*forms), lambda f: f.isNotNull())).alias("f")).select("w", "f.step", "f.form"))
+        more = compounds(forms.select(F.col("form").alias("w")).distinct()).withColumnRenamed("w", "form").join(forms, "form")
+        found = found.unionByName(more.select(*found.columns))
+    found = found.withColumn("_best", F.min("step").over(by))
+    later = F.col("_best") >= AGAIN
+    here = F.when(later, F.col("step") - AGAIN).otherwise(F.col("step"))
+    best = F.when(later, F.col("_best") - AGAIN).otherwise(F.col("_best"))
+    found = found.withColumns({"_here": here, "_first": best})
+    up = F.max(F.when(F.col("_here") == 2, F.col("key"))).over(by)
+    found = found.withColumn("_up", up if auto_uppercase else F.lit(None).cast("string"))
+    kept = F.col("_here") == F.col("_first")
     if at_sentence_start:
-        kept = F.when(F.col("_best") == 10, F.col("step").isin(10, 30)).otherwise(kept)
-    kept = F.when(F.col("_up").isNotNull(), F.col("step").isin(10, 20)).otherwise(kept)
-    key = F.when(F.col("_up").isNotNull(), F.col("_up")).when((F.col("_best") == 10), w).otherwise(F.col("key"))
-    source = F.when((F.col("step") == 20) | ((F.col("step") == 30) & (F.col("_best") == 10)), -1).otherwise(0)
-    return found.where(kept).withColumns({"key": key, "stage": F.floor(F.col("step") / 10).cast("int"), "source": source}).select("w", "key", "stage", "source", *AUGMENTED)
+        kept = F.when(F.col("_first") == 1, F.col("_here").isin(1, 3)).otherwise(kept)
+    kept = F.when(F.col("_up").isNotNull(), F.col("_here").isin(1, 2)).otherwise(kept)
+    written = F.when(later, other).otherwise(w)
+    key = F.when(F.col("_up").isNotNull(), F.col("_up")).when(F.col("_first") == 1, written).otherwise(F.col("key"))
+    source = F.when((F.col("_here") == 2) | ((F.col("_here") == 3) & (F.col("_first") == 1)), -1).otherwise(0)
+    return found.where(kept).withColumns({"key": key, "stage": F.when(later, 7).otherwise(F.col("step")), "source": source}).select("w", "key", "stage", "source", *AUGMENTED, *extra)
+
 
+def lookup(words: DataFrame, lexicon: Lexicon, add_compounds: bool = True, **options) -> DataFrame:
+    """(w, key, stage, rank, the fifteen fields) of every word that is found; options are those of the cascade."""
+    from morphlake.operators.compounds import compound_plan  # it builds on this module
 
-def lookup(words: DataFrame, lexicon: Lexicon, compounds: Callable[[DataFrame], DataFrame] | None = None, **options) -> DataFrame:
-    """(w, key, stage, rank, the fifteen fields) of every word that is found."""
-    found = cascade(words, lexicon, base_plan(lexicon), compounds, **options)
+    plan = compound_plan(lexicon, at_sentence_start=options.get("at_sentence_start", False)) if add_compounds and lexicon.parts is not None else None
+    found = cascade(words, lexicon, base_plan(lexicon), plan, **options)
     return ranked(found, lexicon, ["w"], ["source"]).select("w", "key", "stage", "rank", *AUGMENTED)
 
 
+def lookup_exact(words: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """The entries of words as they are written, without any other stage."""
+    found = base_plan(lexicon)(words.select("w", F.col("w").alias("key")).distinct())
+    return ranked(found.withColumn("stage", F.lit(1)), lexicon, ["w"]).select("w", "key", "stage", "rank", *AUGMENTED)
+
+
 def basic(found: DataFrame) -> DataFrame:
     return found.select("w", "key", "stage", "rank", *BASIC)
 
 
 def keys_of(words: DataFrame, found: DataFrame, auto_uppercase: bool = False) -> DataFrame:
     """(w, key) of every word: the spelling found, else the word, capitalised where that was asked for."""
+    w = F.col("w")
     given = found.groupBy("w").agg(F.min("key").alias("key"))
-    missing = F.when(is_lower(F.col("w")), capitalize(F.col("w"))).otherwise(F.col("w")) if auto_uppercase else F.col("w")
+    letter = F.concat(F.upper(w), F.lit("."))
+    missing = F.when(is_lower(w), F.when(F.length(w) == 1, letter).otherwise(capitalize(w))).otherwise(w) if auto_uppercase else w
     return words.select("w").distinct().join(given, "w", "left").select("w", F.coalesce("key", missing).alias("key"))
 
 

@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from morphlake.schema import EXTRA
+from morphlake.storage import numbered
 
 
 def value_index(rows: DataFrame, col: str, order: str) -> DataFrame:
     """(value, ix): dense numbers of the distinct values from 0, by where they are first seen."""
     first = rows.groupBy(F.col(col).alias("value")).agg(F.min(order).alias("_first"))
-    return first.select("value", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_first", "value")) - 1).alias("ix"))
+    return numbered(first, ["_first", "value"], "_n").select("value", (F.col("_n") - 1).cast("int").alias("ix"))
 
 
 def meaning_ranks(rows: DataFrame) -> DataFrame:
     """(ofl, mark, n, ix): the (class, tag) pairs by falling frequency."""
     n = rows.groupBy("ofl", "mark").agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("ix", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "ofl", "mark")) - 1)
+    return numbered(n.withColumn("_less", -F.col("n")), ["_less", "ofl", "mark"], "_n").select("ofl", "mark", "n", (F.col("_n") - 1).cast("int").alias("ix"))
 
 
 def lemmas_by_class(rows: DataFrame, order: tuple[str, ...] = ("bmynd", "mark")) -> DataFrame:

@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from morphlake.functions.marks import atoms, distance, requested, satisfies
 from morphlake.operators.compounds import compound_plan
-from morphlake.operators.lookups import Lexicon, cascade, ranked, visible
+from morphlake.operators.lookups import Lexicon, cascade, penalty, ranked, visible
 from morphlake.schema import AUGMENTED, GENDERS
+from morphlake.storage import stored
 
 
 def with_atoms(lexicon: Lexicon, rows: DataFrame) -> DataFrame:
     """rows with the features of their tags, taken from the few distinct tags; a tag that can't be read has null and meets no request."""
     tags = lexicon.mark_order.select("mark").unionByName(rows.select("mark").distinct()).distinct().select(F.col("mark").alias("_mark"), atoms(F.col("mark")).alias("_a"))
-    return rows.join(F.broadcast(tags), F.col("mark") == F.col("_mark")).withColumn("atoms", F.col("_a")).drop("_mark", "_a")
+    return rows.join(tags, F.col("mark") == F.col("_mark")).withColumn("atoms", F.col("_a")).drop("_mark", "_a")
 
 
 def variants_plan(lexicon: Lexicon, cat: str, features: tuple[str, ...], lemma: str | None = None, bin_id: int | None = None, keep: Callable[[Column], Column] | None = None, rows: DataFrame | None = None) -> Callable[[DataFrame], DataFrame]:
@@ -28,7 +29,7 @@ def variants_plan(lexicon: Lexicon, cat: str, features: tuple[str, ...], lemma:
     """
     request = requested(features)
     rows = visible(lexicon) if rows is None else rows
-    wide = with_atoms(lexicon, rows.where(F.col("ofl").isin(*(GENDERS if cat == "no" else (cat,)))))
+    wide = stored(with_atoms(lexicon, rows.where(F.col("ofl").isin(*(GENDERS if cat == "no" else (cat,))))))
     wide = wide.where(keep(F.col("mark"))) if keep is not None else wide
 
     def plan(keys: DataFrame) -> DataFrame:
@@ -51,19 +52,19 @@ def variants_raw(keys: DataFrame, lexicon: Lexicon, cat: str, features: tuple[st
     return variants_plan(lexicon, cat, features, rows=lexicon.rows, **filters)(keys.select("w", F.col("w").alias("key")).distinct()).drop("key")
 
 
-def lookup_variants(words: DataFrame, lexicon: Lexicon, cat: str, features: tuple[str, ...], lemma: str | None = None, bin_id: int | None = None, keep: Callable[[Column], Column] | None = None, **options) -> DataFrame:
-    """(w, key, stage, rank, fields): the variants through the whole cascade.
+def lookup_variants(words: DataFrame, lexicon: Lexicon, cat: str, features: tuple[str, ...], lemma: str | None = None, bin_id: int | None = None, keep: Callable[[Column], Column] | None = None, add_compounds: bool = True, **options) -> DataFrame:
+    """(w, key, stage, rank, distance, fields): the variants through the whole cascade.
 
-    An unfulfilled request falls through to the later stages like a missing word.  Within compounds the id is no
-    condition, because the compound has none.  Order: correct forms, then distance (the compatibility view: distance alone).
+    An unfulfilled request falls through to the later stages like a missing word; constructed entries have no distance and
+    come last.  Within compounds the id is no condition, because the compound has none.  Order: correct forms, then
+    distance (the compatibility view: distance alone).
     """
     plan = variants_plan(lexicon, cat, features, lemma, bin_id, keep)
-    in_compounds = variants_plan(lexicon, cat, features, lemma, None, keep)
-    base = lambda keys: plan(keys).where("birting <> 'S'").select(*keys.columns, *AUGMENTED)
-    compounds = compound_plan(lexicon, lambda keys: in_compounds(keys).drop("distance")) if lexicon.parts is not None else None
-    found = cascade(words, lexicon, base, compounds, **options)
-    near = plan(found.select("w", "key").distinct()).groupBy("w", "key", "bmynd", "mark", "bin_id").agg(F.min("distance").alias("distance"))
-    found = found.join(near, ["w", "key", "bmynd", "mark", "bin_id"], "left")
+    in_compounds = variants_plan(lexicon, cat, features, lemma, None, keep) if bin_id is not None else plan
+    base = lambda keys: plan(keys).where("birting <> 'S'")
+    extra = ("distance",)
+    compounds = compound_plan(lexicon, in_compounds, options.get("at_sentence_start", False), extra) if add_compounds and lexicon.parts is not None else None
+    found = cascade(words, lexicon, base, compounds, extra=extra, **options)
     far = F.coalesce("distance", F.lit(999))
-    first = [far] if lexicon.compatible else [(F.col("einkunn") != 1).cast("int") + (F.col("beinkunn") != 1).cast("int"), far]
-    return ranked(found, lexicon, ["w"], first).select("w", "key", "stage", "rank", *AUGMENTED)
+    first = [far] if lexicon.compatible else [penalty(), far]
+    return ranked(found, lexicon, ["w"], first).select("w", "key", "stage", "rank", "distance", *AUGMENTED)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from morphlake.functions.marks import requested
-from morphlake.functions.text import like_case
+from morphlake.functions.text import is_upper, like_case
 from morphlake.operators.lookups import Lexicon
 from morphlake.operators.variants import lookup_variants
 from morphlake.schema import GENDERS
@@ -32,6 +32,11 @@ def first_entry(words: DataFrame, found: DataFrame, classes: tuple[str, ...] | N
     )
 
 
+def wrap(entries: DataFrame) -> DataFrame:
+    """(w, key, ord, hluti, bmynd, mark, ofl, bin_id): each lexicon row as a word of its own."""
+    return entries.select(F.col("bmynd").alias("w"), F.col("bmynd").alias("key"), "ord", "hluti", "bmynd", "mark", "ofl", "bin_id")
+
+
 def format_words(firsts: DataFrame, lexicon: Lexicon, spec: str, class_: str) -> DataFrame:
     """(w, result): words whose first entry is of the class, in the form that spec asks for.
 
@@ -42,4 +47,6 @@ def format_words(firsts: DataFrame, lexicon: Lexicon, spec: str, class_: str) ->
     mine = firsts.where(F.col("ofl") == class_)
     found = lookup_variants(mine.select("w"), lexicon, class_, (spec,)).join(mine.select("w", F.col("bin_id").alias("_id")), "w").where((F.col("bin_id") == F.col("_id")) | (F.col("_id") == 0))
     best = found.groupBy("w").agg(F.min_by(F.when(F.col("bin_id") == 0, F.replace("bmynd", F.lit("-"), F.lit(""))).otherwise(F.col("bmynd")), "rank").alias("form"))
-    return mine.select("w").join(best, "w", "left").select("w", F.coalesce(like_case(F.col("form"), F.col("w")), F.col("w")).alias("result"))
+    model = F.col("w")
+    form = F.when(is_upper(F.left(model, F.lit(1))), like_case(F.col("form"), model)).otherwise(F.lower("form"))
+    return mine.select("w").join(best, "w", "left").select("w", F.coalesce(form, model).alias("result"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-#: The fields of an augmented row, in file order.
+# The fields of an augmented row, in file order, and those of a basic row.
 AUGMENTED = ("ord", "bin_id", "ofl", "hluti", "einkunn", "malsnid", "malfraedi", "millivisun", "birting", "bmynd", "mark", "beinkunn", "bmalsnid", "bgildi", "aukafletta")
 BASIC = ("ord", "bin_id", "ofl", "hluti", "bmynd", "mark")
 EXTRA = tuple(c for c in AUGMENTED if c not in BASIC)

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from morphlake.schema import AUGMENTED, BASIC, INTEGERS
+from morphlake.storage import numbered
+
+CHUNK = 1_000_000  # unnumbered rows that one task gives their ids
 
 
 def read_lines(spark: SparkSession, path: str, file_no: int = 0) -> DataFrame:
@@ -51,15 +54,27 @@ def allocate_ids(rows: DataFrame) -> DataFrame:
     from that of the unnumbered row before, in file and line order.  birting becomes S for -1, blank for 0, and G for
     numbered rows of basic files.
     """
-    order = Window.partitionBy(F.lit(0)).orderBy("file_no", "line_no")
-    open_rows = rows.where(F.col("bin_id") <= 0).select("file_no", "line_no", "ord")
-    changed = F.coalesce((F.col("ord") != F.lag("ord").over(order)).cast("int"), F.lit(0))
-    numbered = open_rows.withColumn("_step", changed).select("file_no", "line_no", F.sum("_step").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_step"))
+    open_rows = numbered(rows.where(F.col("bin_id") <= 0).select("file_no", "line_no", "ord"), ["file_no", "line_no"], "_n")
+    before = open_rows.select((F.col("_n") + 1).alias("_n"), F.col("ord").alias("_before"))
+    changes = open_rows.join(before, "_n").where("ord <> _before").select("_n", "file_no", "line_no")
+    # The k-th change of lemma begins the ids that are k above the first; rows between changes share one.
+    begins = numbered(changes, ["_n"], "_step").select(F.col("_n").alias("_from"), "_step", (F.col("_n") / CHUNK).cast("long").alias("_chunk"))
+    chunks = open_rows.withColumn("_chunk", (F.col("_n") / CHUNK).cast("long"))
+    earlier = begins.groupBy("_chunk").agg(F.max("_step").alias("_last"))
+    whole = chunks.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_size")).join(earlier, "_chunk", "left")
+    carried = whole.select("_chunk", F.coalesce(F.max("_last").over(Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_carried"))
+    own = chunks.join(begins.select(F.col("_from").alias("_n"), "_step"), "_n", "left").withColumn("_own", F.max("_step").over(Window.partitionBy("_chunk").orderBy("_n")))
+    given_steps = own.join(F.broadcast(carried), "_chunk").select("file_no", "line_no", F.coalesce("_own", "_carried").alias("_step"))
     first = rows.agg((F.floor((F.max("bin_id") + 1999) / 1000) * 1000).cast("int").alias("_first"))
     basic = F.col("n_fields") == len(BASIC)
     tag = F.when(basic & (F.col("bin_id") == -1), "S").when(basic & (F.col("bin_id") == 0), "").when(basic, "G").otherwise(F.col("birting"))
     given = F.when(F.col("bin_id") <= 0, (F.col("_first") + F.col("_step")).cast("int")).otherwise(F.col("bin_id"))
-    return rows.join(numbered, ["file_no", "line_no"], "left").crossJoin(F.broadcast(first)).withColumn("birting", tag).withColumn("bin_id", given).select("file_no", "line_no", *AUGMENTED)
+    return rows.join(given_steps, ["file_no", "line_no"], "left").crossJoin(F.broadcast(first)).withColumn("birting", tag).withColumn("bin_id", given).select("file_no", "line_no", *AUGMENTED)
+
+
+def suffix_rows(rows: DataFrame) -> DataFrame:
+    """The rows of parsed lines that serve as the last part of compounds only: those with the id -1."""
+    return rows.where("bin_id = -1")
 
 
 def read_lexicon(spark: SparkSession, paths: list[str]) -> DataFrame:

@@ -1,6 +1,7 @@
 """The lexicon operators on a small hand-made lexicon."""
 
 import dataclasses
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from morphlake.functions import marks
 from morphlake.functions.text import capitalize, is_lower, is_upper, like_case
 from morphlake.operators import cases, clean, compat, compounds, lookups, stats, variants, words
 from morphlake.schema import AUGMENTED
-from morphlake.sources import lexicon_text, settings_text, words_text
+from morphlake.sources import lexicon_text, marks_text, settings_text, words_text
 
 NOUN = [f"{c}{n}{g}" for n in ("ET", "FT") for g in ("", "gr") for c in ("NF", "ÞF", "ÞGF", "EF")]
 HEST = ("hestur", "hest", "hesti", "hests", "hesturinn", "hestinn", "hestinum", "hestsins", "hestar", "hesta", "hestum", "hesta", "hestarnir", "hestana", "hestunum", "hestanna")
@@ -30,10 +31,12 @@ def lex(spark):
     rows += [entry("maki", 7, "kk", f, m, birting="S") for f, m in (("maki", "NFET"), ("maka", "ÞFET"), ("maka", "ÞGFET"))]
     rows += [entry("leyndur", 8, "kk", "leyndur", "NFET", birting="G"), entry("nýr", 900, "kk", "nýr", "NFET")]
     rows += [entry("þýskur", 9, "lo", "þýsk", "FSB-KVK-NFET"), entry("saman", 10, "ao", "saman", "FST")]
+    rows += [entry("á", 11, "kvk", "á", "NFET"), entry("Á", 12, "kvk", "Á", "NFET"), entry("b.", 13, "kk", "b.", "NFET"), entry("C", 14, "kk", "C", "NFET")]
+    rows += [entry("gul", 15, "hk", "gul", "NFET"), entry("gul", 15, "hk", "guli", "ÞGFET"), entry("gulur", 16, "lo", "gul", "FSB-KVK-NFET"), entry("gulur", 16, "lo", "gulri", "FSB-KVK-ÞGFET")]
     order = [(o, m, k) for o in ("kk", "kvk", "hk") for k, m in enumerate(NOUN)] + [("lo", "FSB-KK-NFET", 0), ("lo", "FSB-KK-ÞFET", 1), ("lo", "FSB-KK-ÞGFET", 2)]
     order += [("so", m, k) for k, m in enumerate(("GM-NH", "GM-FH-NT-1P-ET", "GM-FH-NT-2P-ET", "GM-FH-ÞT-1P-ET", "MM-NH", "GM-VH-NT-3P-ET"))]
     template = [("legur", "FSB-KK-NFET", 0), ("lega", "FSB-KK-ÞFFT", 1), ("lega", "FVB-KK-ÞFET", 2)]
-    parts = [("bókar", True, False), ("hest", True, True), ("hests", True, False), ("hestur", False, True), ("maki", False, True), ("bók", True, True), ("arhestur", False, False)]
+    parts = [("bókar", True, False), ("hest", True, True), ("hests", True, False), ("hestur", False, True), ("maki", False, True), ("bók", True, True), ("arhestur", False, False), ("góður", False, True)]
     return lookups.Lexicon(
         spark.createDataFrame(rows, ", ".join(f"{c} {'int' if c in ('bin_id', 'einkunn', 'millivisun', 'beinkunn') else 'string'}" for c in AUGMENTED)).persist(),
         900,
@@ -85,6 +88,10 @@ def test_sentence_start_and_upper(spark, lex):
     assert [(r.bmynd, r.key) for r in start.orderBy("rank").collect()] == [("hestur", "Hestur"), ("Hestur", "Hestur")]
     upper = lookups.lookup(asked(spark, "hestur"), lex, auto_uppercase=True)
     assert [(r.bmynd, r.key) for r in upper.orderBy("rank").collect()] == [("Hestur", "Hestur"), ("hestur", "Hestur")]
+    letters = lookups.lookup(asked(spark, "á", "b", "c"), lex, auto_uppercase=True)
+    assert [(r.w, r.bmynd, r.key) for r in letters.orderBy("w", "rank").collect()] == [("b", "b.", "b."), ("á", "Á", "Á"), ("á", "á", "Á")]
+    assert few(lookups.keys_of(asked(spark, "á", "b", "c"), letters, True), "w", "key") == [("b", "b."), ("c", "C."), ("á", "Á")]
+    assert [(r.bmynd, r.key, r.stage) for r in lookups.lookup(asked(spark, "heztur"), lex, auto_uppercase=True).orderBy("rank").collect()] == [("Hestur", "Hestur", 7), ("hestur", "Hestur", 7)]
     assert few(lookups.keys_of(asked(spark, "óþekkt"), lookups.lookup(asked(spark, "óþekkt"), lex), True), "w", "key") == [("óþekkt", "Óþekkt")]
 
 
@@ -103,30 +110,65 @@ def test_splits(spark, lex):
     got = few(compounds.splits(asked(spark, "bókarhestur", "hestur", "bókarmaki", "bókx"), lex.parts), "w", "parts")
     assert got == [("bókarhestur", ["bók", "arhestur"]), ("bókarhestur", ["bókar", "hestur"]), ("bókarmaki", ["bókar", "maki"]), ("hestur", ["hestur"])]
     assert few(compounds.best_split(asked(spark, "bókarhestur"), lex.parts), "parts") == [(["bókar", "hestur"],)]
-    with pytest.raises(Exception, match="too many parts"):
-        compounds.splits(asked(spark, "hest" * 9), lex.parts, 3).collect()
+    long = asked(spark, "hest" * 12 + "maki", "hest" * 12 + "x", "y" * 3000)
+    want = [("hest" * 12 + "maki", ["hest"] * 12 + ["maki"])]
+    assert few(compounds.splits(long, lex.parts), "w", "parts") == want == few(compounds.best_split(long, lex.parts), "w", "parts")
+
+
+def brute_split(word, parts):
+    """The best split, by listing all of them."""
+    every, prefixes, suffixes = {p for p, _, _ in parts}, {p for p, x, _ in parts if x}, {p for p, _, x in parts if x}
+
+    def ways(rest):
+        if rest in every:
+            return [[rest]]
+        return [[rest[:k], *more] for k in range(1, len(rest)) if rest[:k] in every for more in ways(rest[k:])]
+
+    for found in sorted(ways(word), key=lambda x: (-len(x[-1]), len(x))):
+        if found[-1] in suffixes and all(p in prefixes for p in found[:-1]):
+            return found
+    return None
+
+
+def test_best_split_against_brute_force(spark):
+    rnd = random.Random(4)
+    for _ in range(3):
+        parts = sorted({("".join(rnd.choice("ab") for _ in range(rnd.randint(1, 4))), rnd.random() < 0.7, rnd.random() < 0.5) for _ in range(9)})
+        parts = list({p[0]: p for p in parts}.values())
+        ws = sorted({"".join(rnd.choice("ab") for _ in range(rnd.randint(1, 11))) for _ in range(120)})
+        got = {r.w: r.parts for r in compounds.best_split(asked(spark, *ws), spark.createDataFrame(parts, "part string, is_prefix boolean, is_suffix boolean")).collect()}
+        assert got == {w: s for w in ws if (s := brute_split(w, parts))}
 
 
 def test_compounds(spark, lex):
-    got = lookups.lookup(asked(spark, "bókarhestur", "BÓKARMAKI", "Stór-hestur", "minn hestur", "maki"), lex, compounds.compound_plan(lex))
+    got = lookups.lookup(asked(spark, "bókarhestur", "BÓKARMAKI", "Stór-hestur", "minn hestur", "maki", "minn Stór-hestur", "stór-Hestur", "Bókargóður", "minn x"), lex)
     assert few(got, "w", "key", "stage", "ord", "bmynd", "bin_id") == sorted(
         [
             ("bókarhestur", "bókarhestur", 5, "bókar-hestur", "bókar-hestur", 0),
             ("BÓKARMAKI", "bókarmaki", 5, "bókar-maki", "bókar-maki", 0),
             ("Stór-hestur", "Stór-hestur", 5, "Stór-hestur", "Stór-hestur", 0),
             ("minn hestur", "minn hestur", 5, "minn hestur", "minn hestur", 0),
+            ("minn Stór-hestur", "minn Stór-hestur", 5, "minn Stór-hestur", "minn Stór-hestur", 0),
+            ("stór-Hestur", "stór-Hestur", 5, "stór-Hestur", "stór-Hestur", 0),
         ]
     )
+    assert few(lookups.lookup(asked(spark, "Bókargóður"), lex, at_sentence_start=True), "key", "ofl") == [("bókargóður", "lo")]
 
 
 def test_variants(spark, lex):
-    lex = dataclasses.replace(lex, parts=None)
     got = variants.lookup_variants(asked(spark, "hestsins"), lex, "kk", ("NF", "FT", "nogr"))
     assert few(got, "bmynd", "mark") == [("hestar", "NFFT")]
     first = variants.lookup_variants(asked(spark, "hestinum"), lex, "no", ("EF",)).orderBy("rank").first()
     assert first.bmynd == "hestsins"
     assert few(variants.lookup_variants(asked(spark, "fyndilegur"), lex, "lo", ("MST",)), "bmynd", "mark") == [("fyndilegur", "FSB-KK-NFET")]
     assert variants.lookup_variants(asked(spark, "saman"), lex, "ao", ("MST",)).count() == 0
+    near = variants.lookup_variants(asked(spark, "bókarhestsins"), lex, "kk", ("ÞGF", "gr"), bin_id=1)
+    assert few(near, "bmynd", "rank", "distance", "stage") == []
+    parts = lex.parts.unionByName(spark.createDataFrame([("hestsins", False, True)], "part string, is_prefix boolean, is_suffix boolean"))
+    near = variants.lookup_variants(asked(spark, "bókarhestsins"), dataclasses.replace(lex, parts=parts), "kk", ("ÞGF", "gr"), bin_id=77)
+    assert few(near, "bmynd", "rank", "distance", "stage") == [("bókar-hestinu", 3, 2, 5), ("bókar-hestinum", 1, 2, 5), ("bókar-hestunum", 2, 4, 5)]
+    even = marks.by_tag(lex.rows, lambda m: m.endswith("gr"))
+    assert few(variants.variants_raw(asked(spark, "hestur"), lex, "kk", ("ÞF",), keep=even), "bmynd") == []
 
 
 def test_cases(spark, lex):
@@ -136,8 +178,11 @@ def test_cases(spark, lex):
     assert cases.lookup_forms(asked(spark, "hestur"), lex, "kk", "zz").count() == 0
     assert few(cases.raw_nominative(asked(spark, "hestum"), lex), "bmynd") == [("hestar",), ("hestarnir",), ("hestur",), ("hesturinn",)]
     preferences = spark.createDataFrame([("bók", "kvk", 2)], "form string, gender string, score int")
-    got = cases.cast(asked(spark, "hesturinn", "Bækur", "góður", "HESTUR", "xyz", "bókarhestur"), lex, "ÞGF", preferences)
-    assert few(got, "w", "result") == sorted([("hesturinn", "hestinum"), ("Bækur", "Bókum"), ("góður", "góðum"), ("HESTUR", "HESTI"), ("xyz", "xyz"), ("bókarhestur", "bókarhestur")])
+    got = cases.cast(asked(spark, "hesturinn", "Bækur", "góður", "HESTUR", "xyz", "bókarhestur", "gul", "Bókarhestur"), lex, "ÞGF", preferences)
+    assert few(got, "w", "result") == sorted([("hesturinn", "hestinum"), ("Bækur", "Bókum"), ("góður", "góðum"), ("HESTUR", "HESTUR"), ("xyz", "xyz"), ("bókarhestur", "bókarhesti"), ("gul", "gulri"), ("Bókarhestur", "Bókarhesti")])
+    assert few(cases.cast(asked(spark, "bókarhestur"), lex, "ÞGF", preferences, add_compounds=False), "result") == [("bókarhestur",)]
+    second = cases.cast(asked(spark, "hesturinn"), lex, "ÞGF", preferences, order=[F.desc("bmynd")])
+    assert few(second, "result") == [("hestinum",)] and few(cases.cast(asked(spark, "hesturinn"), lex, "ÞGF", preferences, order=[F.asc("bmynd")]), "result") == [("hestinu",)]
 
 
 def test_compatible_view(spark, lex):
@@ -154,6 +199,7 @@ def test_words(spark, lex):
     firsts = words.first_entry(asked(spark, "bók", "xyz"), found)
     assert few(firsts, "w", "ofl", "mark", "bin_id") == [("bók", "kvk", "NFET", 2), ("xyz", "hk", "", 0)]
     assert few(words.format_words(firsts, lex, "þf-gr", "kvk"), "w", "result") == [("bók", "bókina")]
+    assert few(words.wrap(lex.rows.where("bmynd = 'bókina'")), "w", "key", "ord", "bin_id") == [("bókina", "bókina", "bók", 2)]
     with pytest.raises(ValueError, match="unknown feature"):
         words.format_words(firsts, lex, "zz", "kvk")
 
@@ -164,6 +210,13 @@ def test_reading_and_cleaning(spark, tmp_path, lex):
     rows = lexicon_text.read_lexicon(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")])
     assert few(rows, "bmynd", "bin_id", "birting", "ofl") == sorted([("hestur", 1, "K", "kk"), ("hests", 1, "K", "kk"), ("ný", 2000, "", "kvk"), ("ný", 2000, "", "lo"), ("maki", 2001, "S", "kk"), ("hesti", 1, "G", "kk")])
     assert rows.where("bmynd = 'hestur'").first().malfraedi == "X,Y"
+    assert few(lexicon_text.suffix_rows(lexicon_text.parse(lexicon_text.read_lines(spark, str(tmp_path / "b.csv")))), "bmynd") == [("maki",)]
+    (tmp_path / "marks.csv").write_text("# note\nkk;NFET\nkk;ÞFET\nso;GM-NH\n", encoding="utf-8")
+    assert few(marks_text.read_marks(spark, str(tmp_path / "marks.csv")), "ofl", "mark", "pos") == [("kk", "NFET", 0), ("kk", "ÞFET", 1), ("so", "GM-NH", 0)]
+    odd = [("Norður-Landeyjar", 488593, "Norð-vesturlandeyjum"), ("árekstrarvörn", 540745, "x"), ("árekstrarvörn", 540745, "árekstrarvörnttt"), ("sem að", 495372, "sem að"), ("illinnheimtanlegur", 509831, "innheimtanlegur"), ("hestur", 1, "num")]
+    odd = spark.createDataFrame(odd, "ord string, bin_id int, bmynd string")
+    fixed = clean.repair(clean.required(odd, clean.STOP_FORMS), clean.known_repairs(spark))
+    assert few(fixed, "ord", "bmynd", "exempt") == [("Norður-Landeyjar", "Norðurlandeyjum", False), ("illinnheimtanlegur", "illinnheimtanlegur", False), ("sem", "sem", False), ("árekstrarvörn", "árekstrarvörnttt", True)]
     repairs = spark.createDataFrame([("maki", 2001, "prefix", "hjú", None)], "ord string, bin_id int, kind string, a string, b string")
     done = clean.clean(rows.where("ofl <> 'lo'"), lex.mark_order, repairs)
     assert few(done, "bmynd", "hluti") == sorted([("hestur", "alm"), ("hests", "alm"), ("hesti", "alm"), ("hjúmaki", "alm"), ("ný", "alm")])
@@ -178,7 +231,7 @@ def test_reading_and_cleaning(spark, tmp_path, lex):
 
 def test_statistics(spark, lex):
     assert few(stats.paradigm_forms(lex.rows.where("bin_id = 7")), "forms") == [("maka",)]
-    assert stats.summary(lex.rows).first().n_lemmas == 11
+    assert stats.summary(lex.rows).first().n_lemmas == 17
     assert few(stats.lemmas_by_class(lex.rows.where("bin_id < 5")), "ofl", "n") == [("kk", 1), ("kvk", 1), ("lo", 1), ("so", 1)]
 
 
