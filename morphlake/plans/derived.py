@@ -6,14 +6,20 @@ distinct words of the documents, and the lexicon's forms with their spelling cha
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from morphlake.functions.text import upper_first
 from morphlake.operators.lookups import Lexicon
 from morphlake.schema import AUGMENTED
+from morphlake.storage import numbered, stored
 
 LETTERS = "a-zþæöðáéíóúý"
 SHORTEST, LONGEST = 4, 12
+CAPITAL = 29
+
+_lexicons: dict[tuple[str, str], Lexicon] = {}
+_words: dict[tuple[str, str], DataFrame] = {}
 
 # Inflection patterns, by class: lemma ending, then endings in the order of the tags.
 NOUN_TAGS = [f"{case}{number}{gr}" for number in ("ET", "FT") for gr in ("", "gr") for case in ("NF", "ÞF", "ÞGF", "EF")]
@@ -50,12 +56,21 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stems(benchmark: DataFrame) -> DataFrame:
-    """(stem, id): the distinct words of the benchmark with 4 to 12 letters, numbered in order."""
+    """(stem, id): the distinct words of the benchmark with 4 to 12 letters, numbered in order.
+
+    Every 29th is instead the stem before it with a capital, so that some words have entries in both spellings.
+    """
     words = benchmark.select(F.explode(F.split(F.lower("text"), f"[^{LETTERS}]+")).alias("stem")).where(F.length("stem").between(SHORTEST, LONGEST)).distinct()
-    return words.withColumn("id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("stem")))
+    placed = numbered(words, ["stem"], "id").withColumn("id", F.col("id").cast("int"))
+    before = placed.where(F.pmod(F.col("id") + 1, F.lit(CAPITAL)) == 0).select((F.col("id") + 1).alias("id"), upper_first(F.col("stem")).alias("_name"))
+    return placed.join(before, "id", "left").select(F.coalesce("_name", "stem").alias("stem"), "id")
 
 
 def lexicon_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon(spark, sf_dir).rows
+
+
+def _made_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = spark.createDataFrame(FORMS, "ofl string, base string, ending string, mark string, beinkunn int")
     s = stems(read(spark, sf_dir, "benchmark")).withColumn("ofl", F.element_at(F.array(*[F.lit(c) for c in CLASSES]), F.pmod("id", F.lit(len(CLASSES))) + 1))
     pick = lambda values, n: F.element_at(F.array(*[F.lit(v) for v in values]), F.pmod(F.col("id"), F.lit(n)) + 1)
@@ -88,11 +103,19 @@ def parts(rows: DataFrame) -> DataFrame:
 
 
 def lexicon(spark: SparkSession, sf_dir: str) -> Lexicon:
-    rows = lexicon_rows(spark, sf_dir)
+    """The derived lexicon; it is made and stored once for each session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _lexicons:
+        _lexicons[key] = _make(spark, sf_dir)
+    return _lexicons[key]
+
+
+def _make(spark: SparkSession, sf_dir: str) -> Lexicon:
+    rows = stored(_made_rows(spark, sf_dir))
     last = rows.agg(F.max("bin_id")).first()[0] or 0
     order = spark.createDataFrame(TAGS, "ofl string, mark string, pos int")
     template = spark.createDataFrame([(e, m, i) for i, (e, m) in enumerate(TEMPLATE)], "ending string, mark string, seq int")
-    return Lexicon(rows, last * 9 // 10 + 1, order, template, parts(rows))
+    return Lexicon(rows, last * 9 // 10 + 1, order, template, stored(parts(rows)))
 
 
 def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +144,15 @@ def glued_words(rows: DataFrame) -> DataFrame:
     return first.join(rows.where(F.col("ofl").isin("kk", "hk", "kvk")), "bin_id").select(F.concat("a", "bmynd").alias("w")).distinct()
 
 
-def query_words(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+def query_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(w): document words, forms, changed and glued forms; stored once for each session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _words:
+        _words[key] = stored(_made_words(spark, sf_dir, lexicon_rows(spark, sf_dir)))
+    return _words[key]
+
+
+def _made_words(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
     return document_words(spark, sf_dir).unionByName(rows.select(F.col("bmynd").alias("w"))).unionByName(changed_words(rows)).unionByName(glued_words(rows)).distinct()
 
 
@@ -136,17 +167,18 @@ def _pick(values: tuple[str, ...]) -> str:
 
 #: The same tables in DuckDB's SQL: stems, lexicon, bound, shown, mark_order, template, parts, doc_words, words.
 SQL = f"""
-stems AS (SELECT stem, CAST(row_number() OVER (ORDER BY stem) AS INTEGER) AS id FROM (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^{LETTERS}]+')) AS stem FROM benchmark) WHERE length(stem) BETWEEN {SHORTEST} AND {LONGEST}),
+small_stems AS (SELECT stem, CAST(row_number() OVER (ORDER BY stem) AS INTEGER) AS id FROM (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^{LETTERS}]+')) AS stem FROM benchmark) WHERE length(stem) BETWEEN {SHORTEST} AND {LONGEST}),
+stems AS (SELECT CASE WHEN a.id % {CAPITAL} = 0 AND b.stem IS NOT NULL THEN upper(b.stem[1]) || b.stem[2:] ELSE a.stem END AS stem, a.id FROM small_stems a LEFT JOIN small_stems b ON b.id = a.id - 1),
 forms(ofl, base, ending, mark, beinkunn) AS (VALUES {_values(FORMS)}),
 mark_order(ofl, mark, pos) AS (VALUES {_values(TAGS)}),
 template(ending, mark) AS (VALUES {_values(TEMPLATE)}),
-lexicon AS (SELECT stem || base AS ord, id AS bin_id, ofl, {_pick(DOMAINS)} AS hluti, CASE WHEN id % 11 = 0 THEN 2 ELSE 1 END AS einkunn, {_pick(REGISTERS)} AS malsnid, '' AS malfraedi, 0 AS millivisun,
+lexicon AS MATERIALIZED (SELECT stem || base AS ord, id AS bin_id, ofl, {_pick(DOMAINS)} AS hluti, CASE WHEN id % 11 = 0 THEN 2 ELSE 1 END AS einkunn, {_pick(REGISTERS)} AS malsnid, '' AS malfraedi, 0 AS millivisun,
   CASE WHEN id % 17 = 0 THEN 'V' WHEN id % 19 = 0 THEN 'G' WHEN id % 23 = 0 THEN 'S' ELSE 'K' END AS birting, stem || ending AS bmynd, mark, beinkunn, '' AS bmalsnid, '' AS bgildi, '' AS aukafletta
   FROM (SELECT *, {_pick(CLASSES)} AS ofl FROM stems) JOIN forms USING (ofl)),
 bound AS (SELECT max(bin_id) * 9 // 10 + 1 AS first_local FROM lexicon),
-shown AS (SELECT * FROM lexicon, bound WHERE (bin_id < first_local AND birting <> 'G') OR birting = 'S'),
-parts AS (SELECT part, bool_or(p) AS is_prefix, bool_or(s) AS is_suffix FROM (SELECT bmynd AS part, true AS p, false AS s FROM lexicon WHERE bin_id % 2 = 0 AND mark IN ('EFET', 'ÞFET') UNION ALL SELECT bmynd, false, true FROM lexicon WHERE bin_id % 3 = 0 AND ofl IN ('kk', 'hk', 'kvk')) GROUP BY part),
-doc_words AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_split_to_array(text, '[^{LETTERS}A-ZÞÆÖÐÁÉÍÓÚÝ]+')) AS w FROM documents) WHERE w <> ''),
+shown AS MATERIALIZED (SELECT * FROM lexicon, bound WHERE (bin_id < first_local AND birting <> 'G') OR birting = 'S'),
+parts AS MATERIALIZED (SELECT part, bool_or(p) AS is_prefix, bool_or(s) AS is_suffix FROM (SELECT bmynd AS part, true AS p, false AS s FROM lexicon WHERE bin_id % 2 = 0 AND mark IN ('EFET', 'ÞFET') UNION ALL SELECT bmynd, false, true FROM lexicon WHERE bin_id % 3 = 0 AND ofl IN ('kk', 'hk', 'kvk')) GROUP BY part),
+doc_words AS MATERIALIZED (SELECT DISTINCT w FROM (SELECT unnest(regexp_split_to_array(text, '[^{LETTERS}A-ZÞÆÖÐÁÉÍÓÚÝ]+')) AS w FROM documents) WHERE w <> ''),
 changed AS (SELECT DISTINCT unnest([upper(bmynd[1]) || bmynd[2:], 'ó' || bmynd, replace(bmynd, 's', 'z'), bmynd || 'legur', 'gamal-' || bmynd, 'hin ' || bmynd]) AS w FROM lexicon),
 glued AS (SELECT DISTINCT a.bmynd || b.bmynd AS w FROM lexicon a JOIN lexicon b ON b.bin_id = a.bin_id + 1 WHERE a.mark = 'EFET' AND b.ofl IN ('kk', 'hk', 'kvk')),
-words AS (SELECT w FROM doc_words UNION SELECT bmynd FROM lexicon UNION SELECT w FROM changed UNION SELECT w FROM glued)"""
+words AS MATERIALIZED (SELECT w FROM doc_words UNION SELECT bmynd FROM lexicon UNION SELECT w FROM changed UNION SELECT w FROM glued)"""

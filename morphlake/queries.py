@@ -12,37 +12,70 @@ from morphlake.operators import cases, clean, compat, compounds, lookups, stats,
 from morphlake.plans import derived
 from morphlake.schema import AUGMENTED, BASIC
 from morphlake.sources import lexicon_text, words_text
+from morphlake.storage import numbered, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-RANK = "row_number() OVER (PARTITION BY w ORDER BY source, (einkunn <> 1)::INT + (beinkunn <> 1)::INT, bin_id, coalesce(pos, 9999), f.ofl, bmynd, f.mark, ord, hluti, einkunn, malsnid, malfraedi, millivisun, birting, beinkunn)"
 ALL = ", ".join(AUGMENTED)
 FEW = ", ".join(BASIC)
-#: The cascade without compounds: live rows, the stages, and their ranks.
-CASCADE = f"""live AS (SELECT {ALL} FROM shown WHERE birting <> 'S'),
-s1 AS (SELECT w, w AS key, 1 AS stage, 0 AS source, {ALL} FROM words JOIN live ON bmynd = w),
-m1 AS (SELECT w FROM words EXCEPT SELECT w FROM s1),
-s3 AS (SELECT w, lower(w) AS key, 3 AS stage, 0 AS source, {ALL} FROM m1 JOIN live ON bmynd = lower(w) WHERE lower(w) <> w),
-m3 AS (SELECT w FROM m1 EXCEPT SELECT w FROM s3),
-made(einkunn, malsnid, malfraedi, millivisun, birting, beinkunn, bmalsnid, bgildi, aukafletta) AS (VALUES (1, '', '', 0, 'G', 1, '', '', '')),
-s4 AS (SELECT w, w AS key, 4 AS stage, 0 AS source, {ALL} FROM (
-  SELECT w, left(lower(w), length(w) - length(ending)) || 'legur' AS ord, 0 AS bin_id, 'lo' AS ofl, 'alm' AS hluti, lower(w) AS bmynd, mark FROM m3 JOIN template ON ends_with(lower(w), ending) AND length(w) > length(ending)
-  UNION ALL SELECT w, lower(w), 0, 'ao', 'alm', lower(w), 'OBEYGJANLEGT' FROM m3 WHERE ends_with(lower(w), 'lega') AND length(w) > 4), made),
-m4 AS (SELECT w FROM m3 EXCEPT SELECT w FROM s4),
-s6 AS (SELECT w, w AS key, 6 AS stage, 0 AS source, * REPLACE ('ó' || ord AS ord, 'ó' || bmynd AS bmynd) FROM (SELECT w, {ALL} FROM m4 JOIN live ON bmynd = substr(lower(w), 2) WHERE lower(w) LIKE 'ó_%' AND ofl = 'lo')),
-m6 AS (SELECT w FROM m4 EXCEPT SELECT w FROM (SELECT w FROM s6)),
-z AS (SELECT w, replace(replace(w, 'tzt', 'st'), 'z', 's') AS v FROM m6 WHERE contains(w, 'z')),
-z1 AS (SELECT w, v, v AS key, {ALL} FROM z JOIN live ON bmynd = v),
-z3 AS (SELECT w, v, lower(v) AS key, {ALL} FROM z JOIN live ON bmynd = lower(v) WHERE lower(v) <> v AND w NOT IN (SELECT w FROM z1)),
-zm AS (SELECT w, v FROM z WHERE w NOT IN (SELECT w FROM z1 UNION SELECT w FROM z3)),
-z4 AS (SELECT w, v, v AS key, {ALL} FROM (SELECT w, v, left(lower(v), length(v) - length(ending)) || 'legur' AS ord, 0 AS bin_id, 'lo' AS ofl, 'alm' AS hluti, lower(v) AS bmynd, mark FROM zm JOIN template ON ends_with(lower(v), ending) AND length(v) > length(ending)
-  UNION ALL SELECT w, v, lower(v), 0, 'ao', 'alm', lower(v), 'OBEYGJANLEGT' FROM zm WHERE ends_with(lower(v), 'lega') AND length(v) > 4), made),
-z6 AS (SELECT w, v, v AS key, 'ó' || ord AS ord, bin_id, ofl, hluti, einkunn, malsnid, malfraedi, millivisun, birting, 'ó' || bmynd AS bmynd, mark, beinkunn, bmalsnid, bgildi, aukafletta FROM zm JOIN live ON bmynd = substr(lower(v), 2) WHERE lower(v) LIKE 'ó_%' AND ofl = 'lo' AND w NOT IN (SELECT w FROM z4)),
-s7 AS (SELECT w, key, 7 AS stage, 0 AS source, {ALL} FROM z1 UNION ALL SELECT w, key, 7, 0, {ALL} FROM z3 UNION ALL SELECT w, key, 7, 0, {ALL} FROM z4 UNION ALL SELECT w, key, 7, 0, {ALL} FROM z6),
-every AS (SELECT w, key, stage, source, {ALL} FROM s1 UNION ALL SELECT w, key, stage, source, {ALL} FROM s3 UNION ALL SELECT w, key, stage, source, {ALL} FROM s4 UNION ALL SELECT w, key, stage, source, {ALL} FROM s6 UNION ALL SELECT w, key, stage, source, {ALL} FROM s7),
-found AS (SELECT f.*, {RANK} AS rank FROM every f LEFT JOIN mark_order m ON m.ofl = f.ofl AND m.mark = f.mark)"""
+PENALTY = "(einkunn <> 1)::INT + (beinkunn <> 1)::INT"
+ORDER = f"{PENALTY}, bin_id, coalesce(pos, 9999), f.ofl, bmynd, f.mark, ord, hluti, einkunn, malsnid, malfraedi, millivisun, birting, beinkunn"
+POS = "LEFT JOIN mark_order m ON m.ofl = f.ofl AND m.mark = f.mark"
+MADE = "made(einkunn, malsnid, malfraedi, millivisun, birting, beinkunn, bmalsnid, bgildi, aukafletta, distance) AS (VALUES (1, '', '', 0, 'G', 1, '', '', '', NULL::INT))"
+#: What a spelling k is found as: rows of the lexicon, for the parts of compounds (suffix rows too) and elsewhere.
+PLAIN = f"rows_of AS MATERIALIZED (SELECT bmynd AS k, {ALL}, NULL::INT AS distance FROM shown)"
+
+
+def _parts_sql(p: str, source: str) -> str:
+    """Tables p_cut (w, k, words, before, hyphen, core) and p_5 (w, key, fields) of the compounds of source (w, k)."""
+    rest = "CASE WHEN contains(k, ' ') THEN string_split(k, ' ')[-1] ELSE k END"
+    ofl = "CASE WHEN core <> lower(core) THEN ofl IN ('kk', 'kvk', 'hk') ELSE ofl IN ('so', 'kk', 'hk', 'kvk', 'lo') END"
+    inner = lambda c: f"CASE WHEN prefix = '' THEN {c} ELSE prefix || '-' || {c} END"
+    title = "CASE WHEN core[1] <> lower(core[1]) AND core[2:] = lower(core[2:]) AND core[2:] <> upper(core[2:]) THEN upper(x[1]) || lower(x[2:]) ELSE x END"
+    behind = lambda c: f"words || CASE WHEN before = '' THEN {c} ELSE before || '-' || {title.replace('x', c) if c in ('o', 'b') else c} END"
+    return f"""{p}_rest AS (SELECT w, k, CASE WHEN contains(k, ' ') THEN left(k, length(k) - length({rest})) ELSE '' END AS words, {rest} AS rest FROM {source}),
+{p}_cut AS MATERIALIZED (SELECT *, CASE WHEN hyphen THEN left(rest, length(rest) - length(string_split(rest, '-')[-1]) - 1) ELSE '' END AS before, CASE WHEN hyphen THEN string_split(rest, '-')[-1] ELSE rest END AS core FROM (SELECT *, contains(rest, '-') AND NOT ends_with(rest, '-') AS hyphen FROM {p}_rest)),
+{p}_cores AS (SELECT DISTINCT c FROM (SELECT core AS c FROM {p}_cut UNION SELECT lower(core) FROM {p}_cut) WHERE c <> ''),
+{p}_t(c, ps, rest) AS (SELECT c, []::VARCHAR[], c FROM {p}_cores UNION ALL SELECT c, list_append(ps, part), substr(rest, length(part) + 1) FROM (SELECT c, ps, rest, unnest(range(1, length(rest))) AS n FROM {p}_t ANTI JOIN parts whole ON whole.part = rest) x JOIN parts ON part = left(rest, n) AND is_prefix),
+{p}_cuts AS MATERIALIZED (SELECT c, list_append(ps, rest) AS ps FROM {p}_t JOIN parts ON part = rest),
+{p}_best AS MATERIALIZED (SELECT * FROM (SELECT c, ps, row_number() OVER (PARTITION BY c ORDER BY length(ps[-1]) DESC, len(ps), list_transform(ps, lambda q: length(q))) AS n FROM {p}_cuts JOIN parts ON part = ps[-1] AND is_suffix) WHERE n = 1),
+{p}_split AS (SELECT x.*, CASE WHEN len(a.ps) > 1 OR core = lower(core) THEN a.ps ELSE b.ps END AS ps, NOT coalesce(len(a.ps) > 1 OR core = lower(core), false) AND len(b.ps) > 1 AS lowered FROM {p}_cut x LEFT JOIN {p}_best a ON a.c = core LEFT JOIN {p}_best b ON b.c = lower(core)),
+{p}_in AS (SELECT w, words, before, hyphen, rest, core, CASE WHEN lowered THEN lower(core) ELSE core END AS own, array_to_string(ps[:-2], '-') AS prefix, f.* FROM {p}_split JOIN rows_of f ON f.k = ps[-1] WHERE ps IS NOT NULL AND (len(ps) > 1 OR birting <> 'S') AND {ofl}),
+{p}_mid AS (SELECT *, {inner("ord")} AS o, {inner("bmynd")} AS b FROM {p}_in),
+{p}_5 AS MATERIALIZED (SELECT w, words || CASE WHEN hyphen THEN rest ELSE own END AS key, {", ".join({"ord": behind("o") + " AS ord", "bmynd": behind("b") + " AS bmynd", "bin_id": "CASE WHEN prefix = '' AND before = '' AND words = '' THEN bin_id ELSE 0 END AS bin_id"}.get(x, x) for x in AUGMENTED)}, distance FROM {p}_mid)"""
+
+
+def _pass_sql(p: str, source: str) -> str:
+    """Tables p_1, p_3, p_4, p_5 and p_6 (w, key, fields, distance): the stages of source (w, k), each for what missed before."""
+    legur = f"SELECT w, k AS key, left(lower(k), length(k) - length(ending)) || 'legur' AS ord, 0 AS bin_id, 'lo' AS ofl, 'alm' AS hluti, lower(k) AS bmynd, mark FROM {p}_m3 JOIN template ON ends_with(lower(k), ending) AND length(k) > length(ending) WHERE contains(lower(k), 'leg') UNION ALL SELECT w, k, lower(k), 0, 'ao', 'alm', lower(k), 'OBEYGJANLEGT' FROM {p}_m3 WHERE ends_with(lower(k), 'lega') AND length(k) > 4"
+    miss = lambda a, b: f"{p}_m{b} AS MATERIALIZED (SELECT w, k FROM {a} ANTI JOIN {p}_{b} USING (w))"
+    return f"""{p}_1 AS MATERIALIZED (SELECT w, x.k AS key, {ALL}, distance FROM {source} x JOIN live r ON r.k = x.k),
+{miss(source, 1)},
+{p}_3 AS MATERIALIZED (SELECT w, lower(x.k) AS key, {ALL}, distance FROM {p}_m1 x JOIN live r ON r.k = lower(x.k) WHERE lower(x.k) <> x.k),
+{miss(p + "_m1", 3)},
+{p}_4 AS MATERIALIZED (SELECT w, key, {ALL}, distance FROM ({legur}), made),
+{miss(p + "_m3", 4)},
+{_parts_sql(p, p + "_m4")},
+{miss(p + "_m4", 5)},
+{p}_6 AS MATERIALIZED (SELECT w, x.k AS key, {ALL.replace("ord", "'ó' || ord AS ord").replace("bmynd", "'ó' || bmynd AS bmynd")}, distance FROM {p}_m5 x JOIN live r ON r.k = substr(lower(x.k), 2) WHERE lower(x.k) LIKE 'ó_%' AND ofl = 'lo'),
+{miss(p + "_m5", 6)}"""
+
+
+def _cascade_sql(base: str = PLAIN, first: str = "") -> str:
+    """The cascade over words: found has (w, key, stage, rank, fields, distance); first: what orders entries first."""
+    rows = lambda p, stage: " UNION ALL ".join(f"SELECT w, key, {stage or n} AS stage, {ALL}, distance FROM {p}_{n}" for n in (1, 3, 4, 5, 6))
+    return f"""{base}, live AS (SELECT * FROM rows_of WHERE birting <> 'S'), {MADE},
+asked AS (SELECT w, w AS k FROM words),
+{_pass_sql("s", "asked")},
+again AS MATERIALIZED (SELECT w, replace(replace(w, 'tzt', 'st'), 'z', 's') AS k FROM s_m6 WHERE contains(w, 'z')),
+{_pass_sql("z", "again")},
+every AS ({rows("s", 0)} UNION ALL {rows("z", 7)}),
+found AS MATERIALIZED (SELECT f.*, row_number() OVER (PARTITION BY w ORDER BY {first}{ORDER}) AS rank FROM every f {POS})"""
+
+
+CASCADE = _cascade_sql()
 
 
 def register(name: str, sql: str | None = None, cascade: bool = False):
@@ -59,7 +92,7 @@ def register(name: str, sql: str | None = None, cascade: bool = False):
 
 def _words_and_lexicon(spark: SparkSession, sf_dir: str):
     lex = derived.lexicon(spark, sf_dir)
-    return derived.query_words(spark, sf_dir, lex.rows), lex
+    return derived.query_words(spark, sf_dir), lex
 
 
 def _found(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
@@ -72,8 +105,7 @@ def _ids(lex: lookups.Lexicon) -> DataFrame:
 
 
 def _lines(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    order = Window.partitionBy(F.lit(0)).orderBy("bin_id", "bmynd", "mark")
-    return rows.withColumn("line_no", F.row_number().over(order)).select(F.lit(0).alias("file_no"), "line_no", F.concat_ws(";", *[F.col(c).cast("string") for c in fields]).alias("line"))
+    return numbered(rows, ["bin_id", "bmynd", "mark"], "line_no").select(F.lit(0).alias("file_no"), "line_no", F.concat_ws(";", *[F.col(c).cast("string") for c in fields]).alias("line"))
 
 
 # Sources.
@@ -101,6 +133,11 @@ v AS (SELECT *, sum(CASE WHEN ord <> before THEN 1 ELSE 0 END) OVER (ORDER BY li
 both_files AS (SELECT 0 AS file_no, ord, bin_id, birting, bmynd, mark FROM lexicon UNION ALL SELECT 1, ord, CAST((SELECT (max(bin_id) + 1999) // 1000 * 1000 FROM lexicon) + step AS INTEGER), CASE WHEN bin_id % 3 = 0 THEN 'S' ELSE '' END, bmynd, mark FROM v)"""
 
 
+@register("load_union", TWO_FILES + " SELECT file_no, ord, bin_id, birting, bmynd, mark FROM both_files")
+def load_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon_text.allocate_ids(_two_files(spark, sf_dir)).select("file_no", "ord", "bin_id", "birting", "bmynd", "mark")
+
+
 @register("alloc_ids", TWO_FILES + " SELECT file_no, ord, bin_id, bmynd, mark FROM both_files")
 def alloc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon_text.allocate_ids(_two_files(spark, sf_dir)).select("file_no", "ord", "bin_id", "bmynd", "mark")
@@ -147,8 +184,7 @@ def _dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     form = F.col("bmynd")
     spoilt = F.when(F.pmod("bin_id", F.lit(7)) == 0, "").when(F.pmod("bin_id", F.lit(7)) == 1, F.concat(F.upper(F.left(form, F.lit(1))), F.substr(form, F.lit(2)))).when(F.pmod("bin_id", F.lit(7)) == 2, F.left(form, F.lit(1)))
     spoilt = spoilt.when(F.pmod("bin_id", F.lit(7)) == 3, F.concat(form, F.lit("ttt"))).when(F.pmod("bin_id", F.lit(7)) == 4, F.concat(form, F.lit("œ"))).when(F.pmod("bin_id", F.lit(7)) == 5, F.concat(form, F.lit("å"))).otherwise(form)
-    order = Window.partitionBy(F.lit(0)).orderBy("bin_id", "bmynd", "mark")
-    return rows.withColumns({"file_no": F.lit(0), "line_no": F.row_number().over(order)}).withColumn("bmynd", spoilt)
+    return numbered(rows, ["bin_id", "bmynd", "mark"], "line_no").withColumns({"file_no": F.lit(0), "bmynd": spoilt})
 
 
 DIRTY = """dirty AS (SELECT * REPLACE (CASE bin_id % 7 WHEN 0 THEN '' WHEN 1 THEN upper(bmynd[1]) || bmynd[2:] WHEN 2 THEN bmynd[1] WHEN 3 THEN bmynd || 'ttt' WHEN 4 THEN bmynd || 'œ' WHEN 5 THEN bmynd || 'å' ELSE bmynd END AS bmynd) FROM lexicon)"""
@@ -198,10 +234,19 @@ def clean_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.distinct_rows(rows.unionByName(rows))
 
 
-@register("clean_all", f"{DIRTY} SELECT {ALL} FROM dirty WHERE bin_id % 7 = 6")
+@register(
+    "clean_all",
+    f"""{DIRTY}, x AS (SELECT bin_id // 3 AS bin_id, ord, bin_id AS line_no, CASE WHEN bin_id % 4 = 3 THEN bmynd || 'um' ELSE bmynd END AS bmynd, {', '.join(c for c in AUGMENTED if c not in ('bin_id', 'ord', 'bmynd'))} FROM dirty WHERE bmynd <> '' AND (bmynd <> 'a' OR bin_id % 4 = 3)),
+ok AS (SELECT * FROM x WHERE (ord[1] <> lower(ord[1])) = (bmynd[1] <> lower(bmynd[1])) AND NOT (length(bmynd) = 1 AND length(ord) > 1 AND ord NOT IN ('ýr', 'ær', 'eiga')) AND NOT ends_with(bmynd, 'ttt') AND regexp_replace(mark, '[23]+$', '') IN (SELECT m.mark FROM mark_order m WHERE m.ofl = x.ofl) AND NOT contains(bmynd, 'œ') AND NOT regexp_matches(bmynd, '[+@_åø\\\\]')),
+one AS (SELECT *, first_value(ord) OVER (PARTITION BY bin_id ORDER BY line_no) AS lemma FROM ok),
+dom AS (SELECT * REPLACE (first_value(hluti) OVER (PARTITION BY bin_id ORDER BY line_no) AS hluti) FROM one WHERE ord = lemma) SELECT DISTINCT {ALL} FROM dom""",
+)
 def clean_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    repairs = spark.createDataFrame([], "ord string, bin_id int, kind string, a string, b string")
-    return clean.clean(_dirty(spark, sf_dir), derived.lexicon(spark, sf_dir).mark_order, repairs)
+    """Three ids share one, and every fourth entry has a repair of its own besides the known ones."""
+    rows = stored(_dirty(spark, sf_dir).withColumn("line_no", F.col("bin_id")).withColumn("bmynd", F.when((F.col("bin_id") % 4 == 3) & (F.col("bmynd") != ""), F.concat("bmynd", F.lit("~"))).otherwise(F.col("bmynd"))))
+    rows = rows.withColumn("bin_id", F.expr("bin_id div 3").cast("int"))
+    own = rows.where("bmynd like '%~'").select("ord", "bin_id", F.lit("replace").alias("kind"), F.lit("~").alias("a"), F.lit("um").alias("b")).distinct()
+    return clean.clean(rows, derived.lexicon(spark, sf_dir).mark_order, clean.known_repairs(spark).unionByName(own), clean.STOP_FORMS)
 
 
 # Indexes and statistics.
@@ -286,7 +331,8 @@ register("grade_rank", "SELECT bmynd, bin_id, mark, (einkunn <> 1)::INT + (beink
 SELECT_FEW = f"SELECT w, key, stage, rank, {FEW} FROM found"
 register("lookup", SELECT_FEW, cascade=True)(lambda s, d: lookups.basic(_found(s, d)))
 register("lookup_ksnid", f"SELECT w, key, stage, rank, {ALL} FROM found", cascade=True)(lambda s, d: _found(s, d))
-for _name, _stage in (("lookup_exact", 1), ("lookup_lowercase", 3), ("legur_template", 4), ("lookup_negation", 6), ("lookup_z", 7)):
+register("lookup_exact", f"SELECT w, w AS key, 1 AS stage, row_number() OVER (PARTITION BY w ORDER BY {ORDER}) AS rank, {', '.join('f.' + c for c in BASIC)} FROM words JOIN shown f ON bmynd = w {POS} WHERE birting <> 'S'")(lambda s, d: lookups.basic(lookups.lookup_exact(*_words_and_lexicon(s, d))))
+for _name, _stage in (("lookup_lowercase", 3), ("legur_template", 4), ("lookup_compound", 5), ("lookup_negation", 6), ("lookup_z", 7)):
     register(_name, f"{SELECT_FEW} WHERE stage = {_stage}", cascade=True)(lambda s, d, n=_stage: lookups.basic(_found(s, d)).where(F.col("stage") == n))
 register("lookup_cats", "SELECT DISTINCT w, ofl FROM found", cascade=True)(lambda s, d: lookups.classes_of(_found(s, d)))
 register("lookup_lemmas_and_cats", "SELECT DISTINCT w, ord, ofl FROM found", cascade=True)(lambda s, d: lookups.lemmas_and_classes(_found(s, d)))
@@ -299,70 +345,49 @@ register("open_cats", SELECT_FEW + " WHERE ofl IN ('so', 'kk', 'hk', 'kvk', 'lo'
 register("nouns", SELECT_FEW + " WHERE ofl IN ('kk', 'hk', 'kvk')", cascade=True)(lambda s, d: lookups.basic(lookups.nouns(_found(s, d))))
 
 
-@register("lookup_key", "SELECT w, coalesce((SELECT min(key) FROM found f WHERE f.w = words.w), w) AS key FROM words", cascade=True)
+@register("lookup_key", "SELECT w, coalesce(key, w) AS key FROM words LEFT JOIN (SELECT w, min(key) AS key FROM found GROUP BY w) USING (w)", cascade=True)
 def lookup_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, lex = _words_and_lexicon(spark, sf_dir)
     return lookups.keys_of(asked, lookups.lookup(asked, lex))
 
 
-@register("lookup_sentence_start", f"g AS (SELECT w, w AS key, 3 AS stage, -1 AS source, {ALL} FROM words JOIN live ON bmynd = lower(w) WHERE lower(w) <> w AND w IN (SELECT w FROM s1)) SELECT w, stage, {FEW} FROM (SELECT w, stage, {FEW} FROM g UNION ALL SELECT w, stage, {FEW} FROM found)", cascade=True)
+@register("lookup_sentence_start", f"l AS (SELECT w, 3 AS stage, {FEW} FROM words JOIN live ON k = lower(w) SEMI JOIN s_1 USING (w) WHERE lower(w) <> w) SELECT * FROM l UNION ALL SELECT w, stage, {FEW} FROM found WHERE stage NOT IN (5, 7)", cascade=True)
 def lookup_sentence_start(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _found(spark, sf_dir, at_sentence_start=True).select("w", "stage", *BASIC)
+    """Compounds are left to lookup_compound: at the start of a sentence they may be of more classes, which tests cover."""
+    asked, lex = _words_and_lexicon(spark, sf_dir)
+    found = lookups.lookup(asked, lex, at_sentence_start=True)
+    return found.where("stage not in (5, 7)").select("w", "stage", *BASIC)
 
 
-# Without capitalised lexicon rows no lower-case word has a capitalised entry, so its own entries stay as they are.
-register("lookup_auto_upper", f"{SELECT_FEW} WHERE stage < 6", cascade=True)(lambda s, d: lookups.basic(_found(s, d, auto_uppercase=True)).where("stage < 6"))
+_UPPER = "upper(w[1]) || lower(w[2:])"
+AUTO_UPPER = f"""cased AS (SELECT w, {_UPPER} AS k FROM words WHERE w = lower(w) AND w <> upper(w) AND (length(w) > 1 OR w IN (SELECT w FROM s_1))),
+up AS MATERIALIZED (SELECT w, x.k AS key, 2 AS stage, -1 AS source, {ALL} FROM cased x JOIN live r ON r.k = x.k),
+both_ways AS (SELECT * FROM up UNION ALL SELECT w, key, stage, source, {ALL} FROM (SELECT s.w, u.key, 1 AS stage, 0 AS source, {', '.join('s.' + c for c in AUGMENTED)} FROM s_1 s JOIN (SELECT DISTINCT w, key FROM up) u ON u.w = s.w)),
+rest_of AS (SELECT w, key, stage, rank, {FEW} FROM found ANTI JOIN up USING (w))
+SELECT w, key, stage, row_number() OVER (PARTITION BY w ORDER BY source, {ORDER}) AS rank, {', '.join('f.' + c for c in BASIC)} FROM both_ways f {POS} UNION ALL SELECT * FROM rest_of WHERE stage < 7"""
+register("lookup_auto_upper", AUTO_UPPER, cascade=True)(lambda s, d: lookups.basic(_found(s, d, auto_uppercase=True)).where("stage < 7"))
 
 # Compounds.
-SPLITS = """glued_words AS (SELECT DISTINCT w FROM glued),
-t(w, parts, rest, number) AS (SELECT w, []::VARCHAR[], w, 0 FROM glued_words UNION ALL SELECT w, list_append(t.parts, left(rest, k)), substr(rest, k + 1), number + 1 FROM t, (SELECT unnest(range(1, 40)) AS k) WHERE k < length(rest) AND number < 6 AND rest NOT IN (SELECT part FROM parts) AND left(rest, k) IN (SELECT part FROM parts WHERE is_prefix)),
-cuts AS (SELECT w, list_append(parts, rest) AS parts FROM t WHERE rest IN (SELECT part FROM parts)),
-best AS (SELECT * FROM (SELECT w, parts, row_number() OVER (PARTITION BY w ORDER BY length(parts[-1]) DESC, len(parts), list_transform(parts, lambda p: length(p))) AS n FROM cuts WHERE parts[-1] IN (SELECT part FROM parts WHERE is_suffix)) WHERE n = 1)"""
-
-
-def _glued(spark: SparkSession, sf_dir: str):
-    lex = derived.lexicon(spark, sf_dir)
-    return derived.glued_words(lex.rows), lex
-
-
-@register("compound_splits", SPLITS + " SELECT w, array_to_string(parts, '|') AS parts FROM cuts")
-def compound_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked, lex = _glued(spark, sf_dir)
-    return compounds.splits(asked, lex.parts).select("w", F.array_join("parts", "|").alias("parts"))
-
-
-@register("compound_best", SPLITS + " SELECT w, array_to_string(parts, '|') AS parts FROM best")
-def compound_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked, lex = _glued(spark, sf_dir)
-    return compounds.best_split(asked, lex.parts).select("w", F.array_join("parts", "|").alias("parts"))
-
-
-GLUED_ENTRIES = f"""e AS (SELECT w, w AS key, p || '-' || ord AS ord, 0 AS bin_id, ofl, hluti, p || '-' || bmynd AS bmynd, mark FROM (SELECT w, parts, array_to_string(parts[:-2], '-') AS p FROM best WHERE len(parts) > 1) b JOIN shown ON bmynd = parts[-1] WHERE ofl IN ('so', 'kk', 'hk', 'kvk', 'lo')
-  UNION ALL SELECT w, w AS key, {FEW} FROM best b JOIN shown ON bmynd = parts[-1] WHERE len(parts) = 1 AND ofl IN ('so', 'kk', 'hk', 'kvk', 'lo') AND birting <> 'S')"""
-
-
-@register("get_compound", f"{SPLITS}, {GLUED_ENTRIES} SELECT w, key, {FEW} FROM e")
-def get_compound(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked, lex = _glued(spark, sf_dir)
-    return compounds.compound_plan(lex)(asked).select("w", "key", *BASIC)
+COMPOUNDS = f"""{PLAIN}, asked AS (SELECT w, w AS k FROM words), {_parts_sql("s", "asked")}"""
 
 
-def _prefixed_words(lex: lookups.Lexicon, prefix: str) -> DataFrame:
-    return lex.rows.select(F.concat(F.lit(prefix), "bmynd").alias("w")).distinct()
+register("compound_splits", COMPOUNDS + " SELECT c AS w, array_to_string(ps, '|') AS parts FROM s_cuts JOIN words ON c = w")(lambda s, d: compounds.splits(derived.query_words(s, d), derived.lexicon(s, d).parts).select("w", F.array_join("parts", "|").alias("parts")))
+register("compound_best", COMPOUNDS + " SELECT c AS w, array_to_string(ps, '|') AS parts FROM s_best JOIN words ON c = w")(lambda s, d: compounds.best_split(derived.query_words(s, d), derived.lexicon(s, d).parts).select("w", F.array_join("parts", "|").alias("parts")))
 
 
-@register("compound_hyphen", f"SELECT DISTINCT 'gamal-' || bmynd AS w, 'gamal-' || bmynd AS key, 'gamal-' || ord AS ord, 0 AS bin_id, ofl, hluti, 'gamal-' || bmynd AS bmynd, mark FROM shown WHERE birting <> 'S'")
-def compound_hyphen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lex = derived.lexicon(spark, sf_dir)
-    simple = lookups.Lexicon(lex.rows, lex.first_local_id, lex.mark_order, lex.template, lex.parts.where("false"))
-    return compounds.compound_plan(simple)(_prefixed_words(lex, "gamal-")).select("w", "key", *BASIC).distinct()
+def _compounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, lex = _words_and_lexicon(spark, sf_dir)
+    return compounds.compound_plan(lex)(asked)
 
 
-@register("compound_space", f"SELECT DISTINCT 'hin ' || bmynd AS w, 'hin ' || bmynd AS key, 'hin ' || ord AS ord, 0 AS bin_id, ofl, hluti, 'hin ' || bmynd AS bmynd, mark FROM shown WHERE birting <> 'S'")
-def compound_space(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lex = derived.lexicon(spark, sf_dir)
-    simple = lookups.Lexicon(lex.rows, lex.first_local_id, lex.mark_order, lex.template, lex.parts.where("false"))
-    return compounds.compound_plan(simple)(_prefixed_words(lex, "hin ")).select("w", "key", *BASIC).distinct()
+for _name, _which, _where in (
+    ("get_compound", "true", "true"),
+    ("compound_hyphen", "contains(w, '-')", "contains(w, '-')"),
+    ("compound_space", "contains(w, ' ')", "contains(w, ' ')"),
+    ("compound_case", "w <> lower(w) AND NOT contains(w, '-') AND NOT contains(w, ' ')", "w <> lower(w) and not contains(w, '-') and not contains(w, ' ')"),
+):
+    register(_name, f"{COMPOUNDS} SELECT w, key, {FEW} FROM s_5 WHERE {_which}")(lambda s, d, x=_where: _compounds(s, d).where(x).select("w", "key", *BASIC))
+register("compound_entries", f"{COMPOUNDS} SELECT w, key, {ALL} FROM s_5 WHERE bin_id = 0")(lambda s, d: _compounds(s, d).where("bin_id = 0").select("w", "key", *AUGMENTED))
 
 
 # Variants.
@@ -376,13 +401,23 @@ def variants_nogr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants_raw(*_words_and_lexicon(spark, sf_dir), "hk", ("NF", "FT", "nogr")).select("w", *BASIC).distinct()
 
 
-@register("lookup_variants", f"d AS (SELECT bmynd AS w FROM lexicon UNION SELECT w FROM doc_words), live AS (SELECT {ALL} FROM shown WHERE birting <> 'S'), x AS (SELECT DISTINCT w, 1 AS stage, {', '.join('b.' + c for c in BASIC)} FROM d JOIN shown a ON a.bmynd = w AND a.ofl = 'so' JOIN live b ON b.bin_id = a.bin_id AND b.mark LIKE 'GM-FH-NT-3P-FT'), y AS (SELECT DISTINCT w, 3 AS stage, {', '.join('b.' + c for c in BASIC)} FROM d JOIN shown a ON a.bmynd = lower(w) AND a.ofl = 'so' JOIN live b ON b.bin_id = a.bin_id AND b.mark LIKE 'GM-FH-NT-3P-FT' WHERE w <> lower(w) AND w NOT IN (SELECT w FROM x)) SELECT * FROM x UNION ALL SELECT * FROM y")
-def lookup_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lex = derived.lexicon(spark, sf_dir)
-    lex.parts = None
-    asked = lex.rows.select(F.col("bmynd").alias("w")).unionByName(derived.document_words(spark, sf_dir)).distinct()
-    found = variants.lookup_variants(asked, lex, "so", ("FH", "NT", "p3", "FT"), legur=False, negation=False, replace_z=False)
-    return found.select("w", "stage", *BASIC).distinct()
+def _variants_sql(classes: str, wanted: tuple[str, ...]) -> str:
+    """rows_of for a request: rows of the ids of a spelling with all wanted features, and their distance from its own."""
+    rows = [(m, ",".join(marks.requested((m,)))) for m in sorted({t for _, t, _ in derived.TAGS} | {"OBEYGJANLEGT"})]
+    asked = ", ".join(f"'{x}'" for x in marks.requested(wanted))
+    return f"""tag_list(mark, atoms) AS (SELECT mark, string_split(x, ',') FROM (VALUES {derived._values(rows)}) t(mark, x)),
+wide AS MATERIALIZED (SELECT s.*, atoms FROM shown s JOIN tag_list USING (mark) WHERE ofl IN ({classes})),
+all_of AS MATERIALIZED (SELECT bmynd AS k, list_distinct(flatten(list(atoms))) AS every FROM wide GROUP BY bmynd),
+pairs AS MATERIALIZED (SELECT DISTINCT a.bmynd AS k, {', '.join('b.' + c for c in AUGMENTED)}, b.atoms FROM (SELECT DISTINCT bmynd, bin_id FROM wide) a JOIN wide b ON b.bin_id = a.bin_id WHERE list_has_all(b.atoms, [{asked}])),
+rows_of AS MATERIALIZED (SELECT k, {ALL}, (len(list_filter(atoms, lambda x: NOT list_contains(every, x))) + len(list_filter(every, lambda x: NOT list_contains(atoms, x))))::INT AS distance FROM pairs JOIN all_of USING (k))"""
+
+
+def _variants_cascade(classes: str, wanted: tuple[str, ...]) -> str:
+    return _cascade_sql(_variants_sql(classes, wanted), f"{PENALTY}, coalesce(distance, 999), ")
+
+
+register("lookup_variants", _variants_cascade("'so'", ("FH", "NT", "p3", "FT")) + f" SELECT w, key, stage, rank, distance, {FEW} FROM found")(lambda s, d: variants.lookup_variants(*_words_and_lexicon(s, d), "so", ("FH", "NT", "p3", "FT")).select("w", "key", "stage", "rank", "distance", *BASIC))
+register("variants_rank", _variants_cascade("'kk', 'kvk', 'hk'", ("ÞGF",)) + " SELECT w, rank, distance, bmynd, mark FROM found")(lambda s, d: variants.lookup_variants(*_words_and_lexicon(s, d), "no", ("ÞGF",)).select("w", "rank", "distance", "bmynd", "mark"))
 
 
 # Cases.
@@ -411,14 +446,36 @@ def noun_pref_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.preference_score(rows, _preferences(rows)).select("bmynd", "bin_id", "mark", "score")
 
 
+def _cast_sql(case: str) -> str:
+    """Each word in the case: the reading, the key of its forms and a second one in lower case, and the first fitting form."""
+    plain = "replace(replace(replace(replace(replace(replace({0}.mark, 'NF', ''), 'ÞF', ''), 'ÞGF', ''), 'EF', ''), '2', ''), '3', '')"
+    part = lambda c: f"string_split({c}, '-')[-1]"
+    return f"""scored AS (SELECT f.*, CASE WHEN ({part("bmynd")}, ofl) IN (SELECT bmynd, ofl FROM lexicon WHERE bin_id % 4 = 1) THEN 2 ELSE 0 END AS score FROM found f WHERE contains(mark, 'NF') AND ofl IN ('lo', 'kk', 'kvk', 'hk')),
+chosen AS MATERIALIZED (SELECT w AS word, bmynd, ord, ofl, mark FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY ofl <> 'lo', CASE WHEN ofl = 'lo' THEN 0 ELSE -score END, rank) AS n FROM scored) WHERE n = 1),
+cut_at AS (SELECT *, ofl <> 'lo' AND contains(bmynd, '-') AND NOT contains(word, '-') AS split FROM chosen),
+tries AS MATERIALIZED (SELECT word, ofl AS class, mark AS tag, CASE WHEN split THEN replace(left(bmynd, length(bmynd) - length({part("bmynd")}) - 1), '-', '') ELSE '' END AS front, CASE WHEN split THEN {part("ord")} ELSE ord END AS lemma, unnest([{{'t': 0, 'k': CASE WHEN ofl = 'lo' THEN bmynd WHEN split THEN {part("bmynd")} ELSE word END}}, {{'t': 1, 'k': CASE WHEN ofl <> 'lo' AND NOT split AND word[1] <> lower(word[1]) AND NOT (word = upper(word) AND word <> lower(word)) THEN lower(word) END}}]) AS x FROM cut_at),
+fits AS (SELECT DISTINCT word, class, tag, front, x.t AS t, {', '.join('b.' + c for c in BASIC)} FROM tries JOIN lexicon a ON a.bmynd = x.k AND a.ord = lemma AND a.ofl = class JOIN lexicon b ON b.bin_id = a.bin_id AND b.ord = a.ord AND b.ofl = a.ofl AND contains(b.mark, '{case}') AND {plain.format('a')} = {plain.format('b')}, bound WHERE b.bin_id < first_local),
+one AS (SELECT * FROM (SELECT *, min(t) OVER (PARTITION BY word) AS least FROM fits) WHERE t = least AND CASE WHEN contains(tag, 'ET') THEN contains(mark, 'ET') WHEN contains(tag, 'FT') THEN contains(mark, 'FT') ELSE true END AND CASE WHEN class <> 'lo' THEN true WHEN contains(tag, 'VB') THEN contains(mark, 'VB') WHEN contains(tag, 'SB') THEN contains(mark, 'SB') ELSE true END),
+done AS (SELECT word, front || bmynd AS r FROM (SELECT f.*, row_number() OVER (PARTITION BY word ORDER BY bin_id, coalesce(pos, 9999), f.ofl, bmynd, f.mark, ord, hluti) AS n FROM one f {POS}) WHERE n = 1)
+SELECT w, coalesce(CASE WHEN w = upper(w) AND w <> lower(w) THEN upper(r) WHEN w[1] <> lower(w[1]) THEN upper(r[1]) || r[2:] ELSE r END, w) AS result FROM words LEFT JOIN done ON word = w"""
+
+
 for _case, _of in (("ÞF", "accusative"), ("ÞGF", "dative"), ("EF", "genitive")):
 
-    @register(f"cast_to_{_of}")
+    @register(f"cast_to_{_of}", _cast_sql(_case), cascade=True)
     def cast_to(spark: SparkSession, sf_dir: str, case: str = _case) -> DataFrame:
         asked, lex = _words_and_lexicon(spark, sf_dir)
         return cases.cast(asked, lex, case, _preferences(lex.rows))
 
 
+@register("cast_compound", _cast_sql("ÞGF") + " JOIN (SELECT DISTINCT w FROM s_5) USING (w)", cascade=True)
+def cast_compound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that are compounds, in the dative."""
+    asked, lex = _words_and_lexicon(spark, sf_dir)
+    mine = stored(lookups.lookup(asked, lex).where("stage = 5").select("w").distinct())
+    return cases.cast(mine, lex, "ÞGF", _preferences(lex.rows))
+
+
 # The compatibility view.
 def _deletions(rows: DataFrame) -> DataFrame:
     return rows.where("bin_id % 13 = 0").select("ord", "ofl", "hluti").distinct()
@@ -458,15 +515,22 @@ register("g_priority", "SELECT bmynd, bin_id, mark, (bin_id = 0)::INT + (einkunn
 )
 
 # Words and their rendering.
-register("word_first", "SELECT w, key, ord, hluti, bmynd, mark, ofl, bin_id FROM found WHERE rank = 1 UNION ALL SELECT w, w, w, 'alm', w, '', 'hk', 0 FROM words WHERE w NOT IN (SELECT w FROM found)", cascade=True)(lambda s, d: words.first_entry(_words_and_lexicon(s, d)[0], _found(s, d)))
-register("word_attrs", "n AS (SELECT * FROM found WHERE ofl IN ('kk', 'kvk', 'hk')), r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY rank) AS k FROM n) WHERE k = 1) SELECT w, key, ord, hluti, bmynd, mark, ofl, bin_id FROM r UNION ALL SELECT w, w, w, 'alm', w, '', 'hk', 0 FROM words WHERE w NOT IN (SELECT w FROM r)", cascade=True)(
+register("word_first", "SELECT w, key, ord, hluti, bmynd, mark, ofl, bin_id FROM found WHERE rank = 1 UNION ALL SELECT w, w, w, 'alm', w, '', 'hk', 0 FROM words ANTI JOIN found USING (w)", cascade=True)(lambda s, d: words.first_entry(_words_and_lexicon(s, d)[0], _found(s, d)))
+register("word_attrs", "n AS (SELECT * FROM found WHERE ofl IN ('kk', 'kvk', 'hk')), r AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY rank) AS k FROM n) WHERE k = 1) SELECT w, key, ord, hluti, bmynd, mark, ofl, bin_id FROM r UNION ALL SELECT w, w, w, 'alm', w, '', 'hk', 0 FROM words ANTI JOIN r USING (w)", cascade=True)(
     lambda s, d: words.first_entry(_words_and_lexicon(s, d)[0], _found(s, d), ("no",))
 )
+register("word_wrap", "SELECT bmynd AS w, bmynd AS key, ord, hluti, bmynd, mark, ofl, bin_id FROM lexicon")(lambda s, d: words.wrap(derived.lexicon_rows(s, d)))
+
+#: First entries are taken from the variants' own tables: a masculine noun's forms with the features.
+FORMAT = f"""firsts AS (SELECT * FROM (SELECT f.*, row_number() OVER (PARTITION BY w ORDER BY {ORDER}) AS n FROM (SELECT DISTINCT x.w, r.* FROM (SELECT DISTINCT bmynd AS w FROM lexicon) x JOIN shown r ON r.bmynd = x.w WHERE birting <> 'S') f {POS}) WHERE n = 1 AND ofl = 'kk'),
+v AS (SELECT f.w, r.*, row_number() OVER (PARTITION BY f.w ORDER BY {PENALTY.replace('einkunn', 'r.einkunn').replace('(beinkunn', '(r.beinkunn').replace('br.', 'r.b')}, distance, coalesce(pos, 9999), r.bmynd) AS n FROM firsts f JOIN rows_of r ON r.k = f.w AND r.bin_id = f.bin_id AND r.birting <> 'S' LEFT JOIN mark_order m ON m.ofl = r.ofl AND m.mark = r.mark)
+SELECT f.w, coalesce(CASE WHEN f.w[1] <> lower(f.w[1]) THEN upper(v.bmynd[1]) || v.bmynd[2:] ELSE lower(v.bmynd) END, f.w) AS result FROM firsts f LEFT JOIN v ON v.w = f.w AND v.n = 1"""
 
 
-@register("word_format")
+@register("word_format", _variants_sql("'kk'", ("ÞGF", "FT")) + ", " + FORMAT)
 def word_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lexicon's forms whose first entry is a masculine noun, in the dative plural."""
     lex = derived.lexicon(spark, sf_dir)
-    lex.parts = None
     asked = lex.rows.select(F.col("bmynd").alias("w")).distinct()
-    return words.format_words(words.first_entry(asked, lookups.lookup(asked, lex)), lex, "þgf_ft", "kk")
+    firsts = stored(words.first_entry(asked, lookups.lookup_exact(asked, lex)))
+    return words.format_words(firsts, lex, "þgf_ft", "kk")
