@@ -2,7 +2,7 @@
 
 Only DataFrame functions are used.  A mention is found by one pattern; it has one part (an e-mail address, a number, a
 key ...) or, for a name after a title, one part for each word, so that a surname keeps one surrogate wherever it
-stands.  A part's canonical form (lower case, digits without separators) chooses the surrogate through a keyed digest,
+stands; the words of such a name are replaced in the rest of its text as well.  A part's canonical form (lower case, digits without separators) chooses the surrogate through a keyed digest,
 so equal entities agree across documents and formats.  Surrogates are then checked over the whole corpus: two entities
 never share one, and none is the canonical form of an entity of the corpus; losers go to the next digest.
 """
@@ -12,10 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, fresh, table
 
 KEY = "surrogates-1"
-ATTEMPTS = 40
+SAME_FORM = 12  # so many attempts keep an entity's length; each later one is a character longer
+COPIES = 8  # tasks that the copies of one text are dealt to
 
 # Titles by gender (f, m, n: either).
 TITLES = {
@@ -89,7 +90,7 @@ def _name_rest(raw: Column) -> Column:
 
 
 def parts(raw: Column) -> Column:
-    """array<struct<kind, canon>> of a mention."""
+    """array<struct<kind, canon, word>> of a mention; word is null but for names."""
     kind = entity_type(raw)
     digits = F.regexp_replace(raw, r"\D", "")
     canon = (
@@ -106,9 +107,10 @@ def parts(raw: Column) -> Column:
         return F.struct(
             F.when(last, F.concat(F.lit("surname-"), _script(word))).otherwise(F.concat_ws("-", F.lit("given"), _gender(raw), _script(word))).alias("kind"),
             F.lower(word).alias("canon"),
+            word.alias("word"),
         )
 
-    return F.when(kind == "name", F.transform(words, named)).otherwise(F.array(F.struct(kind.alias("kind"), canon.alias("canon"))))
+    return F.when(kind == "name", F.transform(words, named)).otherwise(F.array(F.struct(kind.alias("kind"), canon.alias("canon"), F.lit(None).cast("string").alias("word"))))
 
 
 def _luhn_sum(digits: Column, doubled: int) -> Column:
@@ -143,29 +145,32 @@ def surrogate(attempt: int) -> Column:
     check = F.pmod(10 - F.pmod(_luhn_sum(base, 0), F.lit(10)), F.lit(10)).cast("string")
     card = F.when(F.pmod(_luhn_sum(canon, 1), F.lit(10)) == 0, F.concat(base, check)).otherwise(new_digits)
     phone = F.when(canon.startswith("+"), F.concat(F.substr(canon, F.lit(1), F.lit(2)), first(shaped(F.substr(canon, F.lit(3)), stream)))).otherwise(new_digits)
-    octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.pmod(byte(stream, i), F.lit(254)) + 1).cast("string")), ".")
+    over = max(0, attempt - SAME_FORM + 1)
+    tail = F.translate(F.substr(stream, F.lit(20), F.lit(min(over, 100))), "abcdef", "012345")
+    octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3 + over)), lambda i: (F.pmod(byte(stream, i), F.lit(254)) + 1).cast("string")), ".")
     local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
     host = F.substr(domain, F.lit(1), F.length(domain) - F.length(F.substring_index(domain, ".", -1)))
     # A short local part has few surrogates of its length, so later attempts are longer.
-    longer = F.substr(F.translate(stream, "0123456789", "ghijklmnop"), F.lit(1), F.lit(0 if attempt < 3 else 8))
+    longer = F.substr(F.translate(stream, "0123456789", "ghijklmnop"), F.lit(1), F.lit(0 if attempt < 3 else 8 + over))
     email = F.concat(shaped(local, stream), longer, F.lit("@"), shaped(host, host_stream), F.substring_index(domain, ".", -1))
     hexes = F.array_join(F.transform(chars(canon), lambda c, i: F.substr(stream, F.pmod(i, F.lit(128)) + 1, F.lit(1))), "")
     secret = F.when(canon.rlike("^[0-9a-f]+$"), hexes).otherwise(shaped(canon, stream))
+    secret = F.concat(secret, F.substr(stream, F.lit(20), F.lit(min(attempt // 2, 100))))
     ascii_only = F.when(secret == canon, F.substr(stream, F.lit(1), F.greatest(F.length(canon), F.lit(8)))).otherwise(secret)
     name = F.lit(None).cast("string")
     for script, syllables in SYLLABLES.items():
         table_of = F.array(*[F.lit(x) for x in syllables])
-        stem = F.concat(*[F.element_at(table_of, F.pmod(byte(stream, F.lit(i)), F.lit(len(syllables))) + 1) for i in range(2 + min(attempt, 6))])
+        stem = F.concat(*[F.element_at(table_of, F.pmod(byte(stream, F.lit(i)), F.lit(len(syllables))) + 1) for i in range(2 + min(attempt, 60))])
         for role, ending in ENDINGS[script].items():
             name = F.when(kind == (f"surname-{script}" if role == "surname" else f"given-{role}-{script}"), F.concat(stem, F.lit(ending))).otherwise(name)
     return (
         F.when(kind == "email", email)
-        .when(kind == "phone", phone)
-        .when(kind == "card", card)
-        .when(kind == "ssn", new_digits)
+        .when(kind == "phone", F.concat(phone, tail))
+        .when(kind == "card", F.concat(card, tail))
+        .when(kind == "ssn", F.concat(new_digits, tail))
         .when(kind == "ip", octets)
-        .when(kind == "key", shaped(canon, stream, 4))
-        .when(kind == "iban", shaped(canon, stream, 2))
+        .when(kind == "key", F.concat(shaped(canon, stream, 4), tail))
+        .when(kind == "iban", F.concat(shaped(canon, stream, 2), tail))
         .when(kind == "secret", ascii_only)
         .otherwise(name)
     )
@@ -175,11 +180,12 @@ def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, canon, surr) of every distinct (kind, canon): surrogates differ from each other and from all canons.
 
     Each round keeps, of the entities that drew one surrogate, the first by canonical form, unless an entity of the
-    corpus has that form or an earlier round gave it away.  Raises if a type's format has fewer forms than entities.
+    corpus has that form or an earlier round gave it away.  Where a type's format has fewer forms than entities, later
+    attempts are longer, so every entity gets one in the end.
     """
     entities = cut(entities.select("kind", "canon").distinct())
-    todo, kept = entities, None
-    for attempt in range(ATTEMPTS):
+    todo, kept, attempt = entities, None, 0
+    while True:
         drawn = with_streams(todo, attempt, key).select("kind", "canon", surrogate(attempt).alias("surr"))
         taken = entities.select("kind", F.col("canon").alias("surr"))
         if kept is not None:
@@ -190,8 +196,7 @@ def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
         todo = entities.join(kept, ["kind", "canon"], "left_anti")
         if todo.isEmpty():
             return kept
-        todo = cut(todo)
-    raise ValueError("more entities of a type than its format has forms")
+        todo, attempt = cut(todo), attempt + 1
 
 
 def _formatted(raw: Column, surrs: Column) -> Column:
@@ -201,9 +206,11 @@ def _formatted(raw: Column, surrs: Column) -> Column:
     digits = F.regexp_replace(one, r"\D", "")
     nth = lambda i: F.length(F.regexp_replace(F.substr(raw, F.lit(1), i + 1), r"\D", ""))
     numbered = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[0-9]"), F.substr(digits, nth(i), F.lit(1))).otherwise(c)), "")
+    numbered = F.concat(numbered, F.substr(digits, F.length(F.regexp_replace(raw, r"\D", "")) + 1))
     cased = F.when(F.length(one) == F.length(raw), F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[A-Z]"), F.upper(F.substr(one, i + 1, F.lit(1)))).otherwise(F.substr(one, i + 1, F.lit(1)))), "")).otherwise(one)
     plain = lambda i: F.length(F.replace(F.substr(raw, F.lit(1), i + 1), F.lit(" "), F.lit("")))
     spaced = F.array_join(F.transform(chars, lambda c, i: F.when(c == " ", c).otherwise(F.substr(one, plain(i), F.lit(1)))), "")
+    spaced = F.concat(spaced, F.substr(one, F.length(F.replace(raw, F.lit(" "), F.lit(""))) + 1))
     rest = _name_rest(raw)
     words, gaps = F.split(rest, "[ -]"), F.concat(F.array(F.lit("")), F.regexp_extract_all(rest, F.lit("[ -]"), F.lit(0)))
     word = lambda w, s: F.when((w == F.upper(w)) & (F.length(w) > 1), F.upper(s)).otherwise(F.initcap(s))
@@ -211,27 +218,41 @@ def _formatted(raw: Column, surrs: Column) -> Column:
     return F.when(kind.isin("phone", "card", "ssn"), numbered).when(kind == "email", cased).when(kind == "iban", spaced).when(kind == "name", named).otherwise(one)
 
 
+def _cased(word: Column, surr: Column) -> Column:
+    return F.when((word == F.upper(word)) & (F.length(word) > 1), F.upper(surr)).otherwise(F.initcap(surr))
+
+
 def pseudonymize(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
     """docs with every detected entity of ``text_col`` replaced; other columns stay as they are.
 
-    Rows keep their number: a text without entities, empty or null is returned unchanged, repeated rows get equal
-    texts, an empty table gives an empty one.  ``key`` decides the surrogates: keep it secret, and keep it to get the
-    same ones again.  Texts of any length are processed whole.
+    A name is detected behind a title; its words, alone or in capitals, are replaced in all of that text.  Rows keep
+    their number: a text without entities, empty or null is returned unchanged, repeated rows get equal texts, an empty
+    table gives an empty one.  ``key`` decides the surrogates: keep it secret, and keep it to get the same ones again.
+    Texts of any length are processed whole.
     """
-    digest = F.xxhash64(F.col(text_col), F.crc32(F.col(text_col).cast("binary")))
-    found = mentions(F.col(text_col))
-    said = cut(docs.where(may_mention(F.col(text_col))).select(digest.alias("_text"), F.explode(F.array_distinct(found)).alias("_raw")).distinct())
-    split = said.select("_raw").distinct().select("_raw", F.posexplode(parts(F.col("_raw"))).alias("_pos", "_part")).select("_raw", "_pos", "_part.kind", "_part.canon")
-    surrs = F.transform(F.array_sort(F.collect_list(F.struct("_pos", "surr"))), lambda x: x["surr"])
-    given = split.join(assign(split, key), ["kind", "canon"]).groupBy("_raw").agg(surrs.alias("_surrs")).select("_raw", _formatted(F.col("_raw"), F.col("_surrs")).alias("_new"))
-    by_text = said.join(given, "_raw").groupBy("_text").agg(F.map_from_entries(F.collect_list(F.struct("_raw", "_new"))).alias("_given"))
-    dirty = docs.withColumn("_found", F.size(found) > 0)
-    clean = dirty.where(~F.col("_found")).drop("_found")
-    pieces = F.split(F.col(text_col), PATTERN, -1)
-    new = F.transform(mentions(F.col(text_col)), lambda raw: F.col("_given")[raw])
-    rebuilt = F.array_join(F.flatten(F.zip_with(F.concat(F.array(F.lit("")), new), pieces, lambda a, b: F.array(a, b))), "")
-    changed = dirty.where("_found").withColumn("_text", digest).join(by_text, "_text").withColumn(text_col, rebuilt)
-    return clean.unionByName(changed.select(*docs.columns))
+    text = F.col(text_col)
+    digest = F.xxhash64(text, F.crc32(text.cast("binary")))
+    said = cut(docs.where(may_mention(text)).select(digest.alias("text_id"), F.explode(F.array_distinct(mentions(text))).alias("raw")).distinct())
+    split = cut(said.select("raw").distinct().select("raw", F.posexplode(parts(F.col("raw"))).alias("pos", "part")).select("raw", "pos", "part.*"))
+    of_part = split.join(assign(split, key), ["kind", "canon"])
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "surr", "word")))
+    named = of_part.groupBy("raw").agg(ordered.alias("all")).select("raw", _formatted(F.col("raw"), F.transform("all", lambda x: x["surr"])).alias("new"), F.filter("all", lambda x: x["word"].isNotNull()).alias("words"))
+    whole = F.array(F.struct(F.col("raw").alias("said"), F.col("new").alias("new"), F.lit(False).alias("bare")))
+    alone = lambda f: F.transform("words", lambda x: F.struct(f(x["word"]).alias("said"), _cased(f(x["word"]), x["surr"]).alias("new"), F.lit(True).alias("bare")))
+    given = said.join(named, "raw").select("text_id", F.explode(F.concat(whole, alone(lambda w: w), alone(F.upper))).alias("g")).select("text_id", "g.*")
+    given = given.groupBy("text_id", "said").agg(F.min_by("new", F.struct("bare", "new")).alias("new"), F.max("bare").alias("bare"))
+    bare = F.array_join(F.array_sort(F.collect_list(F.when(F.col("bare"), F.col("said")))), "|")
+    pattern = F.when(F.max("bare"), F.concat(F.lit(PATTERN + r"|(?<![\w\p{L}])(?:"), bare, F.lit(r")(?![\w\p{L}])"))).otherwise(F.lit(PATTERN))
+    by_text = given.groupBy("text_id").agg(F.map_from_entries(F.collect_list(F.struct("said", "new"))).alias("given"), pattern.alias("pattern"))
+    of = {name: fresh(docs, name) for name in ("text_id", "given", "pattern", "copy")}
+    # The copies of a frequent text are dealt to several tasks, and what it says to each of them.
+    by_text = by_text.select(F.col("text_id").alias(of["text_id"]), F.col("given").alias(of["given"]), F.col("pattern").alias(of["pattern"]), F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))).alias(of["copy"]))
+    dirty = docs.where(may_mention(text)).withColumns({of["text_id"]: digest, of["copy"]: F.pmod(F.monotonically_increasing_id(), F.lit(COPIES)).cast("int")})
+    found = F.col(of["pattern"])
+    new = F.transform(F.regexp_extract_all(text, found, F.lit(0)), lambda raw: F.col(of["given"])[raw])
+    rebuilt = F.array_join(F.flatten(F.zip_with(F.concat(F.array(F.lit("")), new), F.split(text, found, -1), lambda a, b: F.array(a, b))), "")
+    changed = dirty.join(by_text, [of["text_id"], of["copy"]], "left").withColumn(text_col, F.when(found.isNotNull(), rebuilt).otherwise(text))
+    return docs.where(~may_mention(text)).unionByName(changed.select(*docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
