@@ -7,14 +7,16 @@ and surely enough; they judge the other URLs through an inverted index from toke
 from __future__ import annotations
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table
 
 # Fixed values: (verdict, host, path).
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-SUPPORT, CONFIDENCE, LONGEST = 0.002, 0.8, 3
+SUPPORT, CONFIDENCE = 0.002, 0.8
+LONGEST = 3  # tokens of a rule; a parameter of the model
+COPIES = 8  # tasks that URLs with the same tokens are dealt to
 DEFAULT = "allow"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -58,7 +60,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     """(id, host, path, rule, verdict, mined) of every row.
 
     mined is the antecedent of the association rule that decided, null where a fixed rule or the default (allow) did.
-    Of the association rules that match, the surest wins, then the longer, the more frequent, the first by name.  A null
+    Of the association rules that match, the surest wins, then the longer, the more frequent, the last by its digest.  A null
     URL, or one without ://, has no tokens and gets the default.  Repeated rows and null ids are judged like others; an
     empty table gives an empty result; other columns are ignored.
     """
@@ -68,13 +70,20 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     known = known.withColumns({"_rule": rule, "_verdict": verdict, "_items": tokens(F.col("_host"), F.col("_path"), F.col("_url"))}).drop("_url")
     labelled = known.where(F.col("_verdict").isNotNull() & (F.size("_items") > 0)).select(F.col("_items").alias("items"), F.col("_verdict").alias("verdict"))
     mined = cut(mine(labelled))
-    # URLs with the same tokens are judged once.
-    open_items = known.where(F.col("_verdict").isNull()).select(F.col("_items").alias("items")).distinct()
-    index = mined.select(F.explode("antecedent").alias("item"), "rule_id", F.size("antecedent").alias("size"))
-    found = open_items.select("items", F.explode("items").alias("item")).join(index, "item").groupBy("items", "rule_id").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size")).where("n = size")
-    best = Window.partitionBy("items").orderBy(F.desc("confidence"), F.desc("size"), F.desc("support"), "rule_id")
-    decided = found.join(mined, "rule_id").withColumn("place", F.row_number().over(best)).where("place = 1").select(F.col("items").alias("_items"), F.col("verdict").alias("_mined_verdict"), F.col("antecedent").alias("mined"))
-    return known.join(decided, "_items", "left").select(
+    # URLs with the same tokens are judged once; those with a fixed rule or without tokens need no other.
+    is_open = F.col("_verdict").isNull() & (F.size("_items") > 0)
+    open_items = cut(known.where(is_open).select(F.col("_items").alias("items")).distinct())
+    tokens_of = open_items.select("items", F.explode("items").alias("item"))
+    often = tokens_of.groupBy("item").agg(F.count(F.lit(1)).alias("often"))
+    # A rule stands in the index under its rarest token, so popular tokens lead to few rules; the others are looked up in the row.
+    rarest = mined.select("rule_id", F.explode("antecedent").alias("item")).join(often, "item").groupBy("rule_id").agg(F.min_by("item", F.struct("often", "item")).alias("item"))
+    index = rarest.join(mined, "rule_id")
+    found = tokens_of.join(index, "item").where(F.size(F.array_except("antecedent", "items")) == 0)
+    best = F.max_by(F.struct("verdict", "antecedent"), F.struct("confidence", F.size("antecedent"), "support", "rule_id")).alias("best")
+    decided = found.groupBy("items").agg(best).select(F.col("items").alias("_items"), F.col("best.verdict").alias("_mined_verdict"), F.col("best.antecedent").alias("mined"), F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))).alias("_copy"))
+    asked = known.where(is_open).withColumn("_copy", F.pmod(F.monotonically_increasing_id(), F.lit(COPIES)).cast("int"))
+    judged = asked.join(decided, ["_items", "_copy"], "left").unionByName(known.where(~is_open), allowMissingColumns=True)
+    return judged.select(
         F.col("_id").alias(id_col),
         F.col("_host").alias("host"),
         F.col("_path").alias("path"),
