@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from morphlake.storage import numbered
+
 from .common import cut, table, word_count
 
 WEIGHTS = (5, 2, 1)
@@ -58,27 +60,20 @@ def sainte_lague(parties: DataFrame, group: list[str], votes: str, seats: str, c
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """Add _target to (_skey, _source, _words, ...): weights repeat over the sources by code point, null last.
 
-    No target is above cap times its source's words; what that leaves over is shared among the others by weight.
-    With the sources in order of words / weight, those at their cap come first, so running sums find the level.
+    No target is above cap times its source's words; what that leaves over is shared among the others by weight: a target
+    is the level times the weight, and the level is found by sums over all sources.
     """
-    every = Window.partitionBy(F.lit(0))
-    s = sources.withColumn("_pos", F.row_number().over(every.orderBy(F.col("_source").asc_nulls_last())) - 1)
+    s = numbered(sources.withColumn("_null", F.col("_source").isNull()), ["_null", "_source"], "_pos").withColumn("_pos", F.col("_pos") - 1).drop("_null")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("_pos", F.lit(len(weights))) + 1).cast("int"))
-    by_fill = every.orderBy(F.col("_most") / F.col("_weight"), "_pos")
-    filled = by_fill.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = by_fill.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    s = (
-        s.withColumn("_weight", weight)
-        .withColumn("_most", F.col("_words") * float(cap))
-        .withColumn("_all", F.sum("_words").over(every) * float(share))
-        .withColumn("_before", F.sum("_most").over(filled) - F.col("_most"))
-        .withColumn("_rest", F.sum("_weight").over(every) - F.sum("_weight").over(filled) + F.col("_weight"))
-        .withColumn("_level", (F.col("_all") - F.col("_before")) / F.col("_rest"))
-        .withColumn("_level", F.first(F.when(F.col("_level") * F.col("_weight") <= F.col("_most"), F.col("_level")), ignorenulls=True).over(whole))
-    )
-    return s.withColumn("_target", F.least(F.col("_most"), F.coalesce(F.col("_level") * F.col("_weight"), F.col("_most")))).drop(
-        "_weight", "_most", "_all", "_before", "_rest", "_level"
-    )
+    s = cut(s.withColumns({"_weight": weight, "_most": F.col("_words") * float(cap)}))
+    goal = (s.agg(F.sum("_words")).first()[0] or 0) * float(share)
+    level, before = 0.0, None
+    while level != before:  # it rises until no other source comes to its cap
+        full = F.col("_most") <= level * F.col("_weight")
+        capped, weights_left = s.agg(F.sum(F.when(full, F.col("_most"))), F.sum(F.when(~full, F.col("_weight")))).first()
+        before, level = level, (goal - (capped or 0.0)) / weights_left if weights_left else level
+    target = F.least(F.col("_most"), F.lit(level) * F.col("_weight")) if level else F.col("_most")
+    return s.withColumn("_target", target).drop("_weight", "_most")
 
 
 def _picked_before(j: Column) -> Column:
