@@ -143,7 +143,7 @@ def read_stream(stream: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, media) of each row.  A null text is stored as an empty one; other columns are ignored."""
+    """(id, n_bytes, media) of each row.  A null text is stored as an empty one, repeated rows alike; an empty table gives an empty one; other columns are ignored."""
     kind = docs.schema[id_col].dataType
     id_type = to_arrow_type(kind)
 
@@ -160,7 +160,8 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def features(stored: DataFrame, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, n_tensors, tensors, segments) of stored media: an Arrow stream, and intervals in milliseconds.
 
-    The columns that ``keep`` names follow as they are.
+    The columns that ``keep`` names follow as they are.  Null media have null features; repeated rows have equal ones, an
+    empty table gives an empty one.
     """
     kind = stored.schema[id_col].dataType
     kept = stored.select(*keep).schema
@@ -171,9 +172,9 @@ def features(stored: DataFrame, id_col: str = "doc_id", keep: tuple[str, ...] =
         for batch in batches:
             for at in range(0, len(batch), ROWS):
                 part = batch.slice(at, ROWS)
-                found = [analyse(m) for m in part.column(1).to_pylist()]
-                spans = [[{"start_ms": a, "end_ms": b} for a, b in x.segments.tolist()] for x in found]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(id_type), pa.array([len(x.tensors) for x in found], type=pa.int32()), pa.array([tensor_stream(x) for x in found], type=pa.binary()), pa.array(spans, type=span), *part.columns[2:]], names=[id_col, "n_tensors", "tensors", "segments", *keep])
+                found = [None if m is None else analyse(m) for m in part.column(1).to_pylist()]
+                spans = [x and [{"start_ms": a, "end_ms": b} for a, b in x.segments.tolist()] for x in found]
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(id_type), pa.array([x and len(x.tensors) for x in found], type=pa.int32()), pa.array([x and tensor_stream(x) for x in found], type=pa.binary()), pa.array(spans, type=span), *part.columns[2:]], names=[id_col, "n_tensors", "tensors", "segments", *keep])
 
     schema = f"{id_col} {kind.simpleString()}, n_tensors int, tensors binary, segments array<struct<start_ms: double, end_ms: double>>"
     return stored.select(id_col, "media", *keep).mapInArrow(run, ", ".join([schema, *(f"{f.name} {f.dataType.simpleString()}" for f in kept)]))
@@ -188,10 +189,11 @@ def feature_digest(stream: bytes, segments: list[tuple[float, float]]) -> str:
 
 
 def digests(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """What the stored media and their stored features hold when they are read again: sizes, hashes and a digest."""
+    """What the stored media and their stored features hold when they are read again: sizes, hashes and a digest; null for null media."""
     kind = stored.schema[id_col].dataType
     id_type = to_arrow_type(kind)
     schema = f"{id_col} {kind.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,10 +201,13 @@ def digests(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 part = batch.slice(at, ROWS)
                 rows = []
                 for media, stream, segments in zip(*(part.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+                    if media is None:
+                        rows.append((None,) * len(types))
+                        continue
                     _, payload = read_wave(media)
                     feature = feature_digest(stream, [(x["start_ms"], x["end_ms"]) for x in segments])
                     rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-                columns = [pa.array(x) for x in zip(*rows, strict=True)]
+                columns = [pa.array(x, type=t) for x, t in zip(zip(*rows, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(id_type), part.column(1), *columns], names=[id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     made = features(stored, id_col, ("n_bytes", "media"))
