@@ -35,7 +35,7 @@ STEM_SIZES, STEM_FORMS = (4, 10), 3
 STATES = 60_000
 OPENING, CLOSING = "“«„", "”»"
 
-_KNOWN = 0x3000
+_KNOWN = 0x20000  # above all letters that have two cases
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
