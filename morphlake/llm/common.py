@@ -7,6 +7,7 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BROADCAST_IDS = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -15,10 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; a local session that names none gets one."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
 
 
@@ -36,6 +40,16 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def without(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose id is in the only column of gone (null ids too, if gone has one).
+
+    Up to BROADCAST_IDS ids are sent to all tasks, so that no text is shuffled; more of them are joined by a shuffle.
+    """
+    name = fresh(docs, "gone")
+    gone = cut(gone.toDF(name).distinct())
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, F.col(id_col).eqNullSafe(F.col(name)), "left_anti")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

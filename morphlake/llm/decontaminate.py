@@ -9,6 +9,7 @@ measures the item's smallest edit distance to any part of that stretch.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import cut, table
+from .common import cut, table, without
 
 RATE = 0.08
 MIN_CHARS = 32
@@ -26,7 +27,7 @@ BLOCK_CHARS = 4_000_000
 ROWS = 64
 
 _WORDS = re.compile(r"\w+")
-_ready: dict[int, tuple] = {}
+_ready: dict[str, tuple] = {}
 
 
 def normal(text: str | None) -> str:
@@ -183,13 +184,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     types = [to_arrow_type(docs.schema[id_col].dataType), to_arrow_type(benchmark.schema[item_col].dataType), pa.int32(), pa.int32(), pa.int32()]
     out = None
     for block in item_blocks(benchmark, item_col, item_text_col):
-        sent = spark.sparkContext.broadcast(block)
+        sent, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            if id(sent) not in _ready:
+        def search(batches: Iterator[pa.RecordBatch], sent=sent, name=name) -> Iterator[pa.RecordBatch]:
+            if name not in _ready:  # a worker keeps the automaton of one block
                 _ready.clear()
-                _ready[id(sent)] = prepare(sent.value, rate)
-            automaton, items = _ready[id(sent)]
+                _ready[name] = prepare(sent.value, rate)
+            automaton, items = _ready[name]
             for batch in batches:
                 rows = []
                 for at in range(0, len(batch), ROWS):
@@ -207,8 +208,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents that hold no item.  Rows with a null id that hold one go as well; see find_leaks."""
-    bad = find_leaks(docs, benchmark, id_col, **options).select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+    return without(docs, id_col, find_leaks(docs, benchmark, id_col, **options).select(id_col))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -143,6 +143,43 @@ def test_surrogates_are_distinct(spark):
     assert len(set(ssn)) == len(ssn) and not set(ssn) & {f"{k:03d}" for k in range(100, 400)}
 
 
+def test_pii_bare_names_and_full_formats(spark):
+    texts = ["Mrs. Anna Smith called. Later Smith and Anna left, SMITH's Smithson stayed.", "Smith alone is no known name here.", "Dr. Smith-Jones; Jones"]
+    texts += [f"password={c}" for c in "0123456789abcdef"]
+    df = spark.createDataFrame([(k, t, "a", "b", 1, 2) for k, t in enumerate(texts * 3)], "doc_id long, text string, _found string, given string, text_id int, copy int")
+    out = pii.pseudonymize(df)
+    assert out.columns == df.columns
+    got = {}
+    for r in out.collect():
+        assert got.setdefault(r.doc_id % len(texts), r.text) == r.text
+    m = re.fullmatch(r"Mrs\. (\w+) (\w+) called\. Later (\w+) and (\w+) left, (\w+)'s Smithson stayed\.", got[0])
+    assert m and m[1] == m[4] != "Anna" and m[2] == m[3] != "Smith" and m[5] == m[2].upper()
+    assert got[1] == texts[1]
+    d = re.fullmatch(r"Dr\. (\w+)-(\w+); (\w+)", got[2])
+    assert d and d[2] == d[3] != "Jones" and d[1] != "Smith"
+    secrets = [got[k].removeprefix("password=") for k in range(3, len(texts))]
+    assert len(set(secrets)) == 16 and not set(secrets) & set("0123456789abcdef")
+    again = {r.doc_id: r.text for r in pii.pseudonymize(df, key="other").collect()}
+    assert again[0] != got[0]
+
+
+def test_pii_surrogates_against_brute_force(spark):
+    """One surrogate for each entity wherever it stands, another for each other one, and none that the corpus says."""
+    rnd = random.Random(8)
+    mails = [f"{a}{k}@{b}.org" for k, (a, b) in enumerate(itertools.product(("ann", "bob", "cy"), ("x", "yy", "x-z")))]
+    cards = ["4111111111111111", "5500005555555559", "340000000000009"]
+    said = mails + cards + [f"10.0.0.{k}" for k in range(9)]
+    rows = [(k, " ".join(f"see {x}," for x in rnd.sample(said, 5)), "s") for k in range(40)]
+    seen = {}
+    for r in pii.pseudonymize(table(spark, rows)).collect():
+        for x, y in zip(rows[r.doc_id][1].split(), r.text.split(), strict=True):
+            if x == "see":
+                assert y == x
+            else:
+                assert seen.setdefault(x, y) == y
+    assert len(set(seen.values())) == len(seen) and not set(seen) & set(seen.values())
+
+
 def edit_distance(p, t):
     row = [0] * (len(t) + 1)
     for i in range(1, len(p) + 1):
