@@ -25,6 +25,7 @@ from .textops import Block, blocks, mix64, word_hashes, words
 
 FOLDS, HELD_OUT = 7, 2
 TOKENS_AT_ONCE = 2_500_000
+SHARD_CHARS = 1 << 26  # characters of text for each shard; with few of them the session's number of partitions
 BEGIN, END = np.uint64(1), np.uint64(2)
 _ROLE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -55,9 +56,9 @@ def get(folder: str, name: str) -> np.ndarray:
 
 
 def tokens(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, word before, word) of all tokens by 48-bit hashes; each text ends with END and begins after BEGIN."""
+    """(row, word before, word) of all tokens by 63-bit hashes; each text ends with END and begins after BEGIN."""
     w = words(b)
-    h = (word_hashes(w) >> np.uint64(16)) | np.uint64(4)
+    h = word_hashes(w) | np.uint64(4)
     counts = np.bincount(w.row, minlength=b.n)
     ends = np.cumsum(counts + 1) - 1
     current = np.empty(len(h) + b.n, dtype=np.uint64)
@@ -74,17 +75,7 @@ def pair_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def shard_of(h: np.ndarray, n: int) -> np.ndarray:
-    return (h * np.uint64(n) >> np.uint64(48)).astype(np.int64)
-
-
-def _six(h: np.ndarray) -> bytes:
-    return np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def _from_six(raw: pa.Buffer, n: int) -> np.ndarray:
-    out = np.zeros((n, 8), dtype=np.uint8)
-    out[:, :6] = np.frombuffer(raw, dtype=np.uint8).reshape(n, 6)
-    return out.view(np.uint64).ravel()
+    return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
 def _deal(shards: np.ndarray, parts) -> Iterator[tuple[int, bytes]]:
@@ -118,7 +109,7 @@ def discounts(n: list[int]) -> list[float]:
 def train(docs: DataFrame, text_col: str = "text") -> dict:
     """Count the texts of docs; returns the model: its folder and a few totals."""
     spark = docs.sparkSession
-    n_shards = partitions(spark)
+    n_shards = max(partitions(spark), (docs.agg(F.sum(F.length(text_col))).first()[0] or 0) // SHARD_CHARS)
     folder = f"{checkpoint_dir(spark)}/lm-{uuid.uuid4().hex}"
     if "://" not in folder:
         folder = folder.replace("file:", "", 1)
@@ -133,7 +124,7 @@ def train(docs: DataFrame, text_col: str = "text") -> dict:
             v, w, n = v[at], w[at], n.astype(np.uint32)
             order = np.argsort(shard_of(v, n_shards), kind="stable")
             v, w, n = v[order], w[order], n[order]
-            return _batch(list(_deal(shard_of(v, n_shards), lambda a, b: _six(v[a:b]) + _six(w[a:b]) + n[a:b].tobytes())))
+            return _batch(list(_deal(shard_of(v, n_shards), lambda a, b: v[a:b].tobytes() + w[a:b].tobytes() + n[a:b].tobytes())))
 
         for batch in batches:
             for b in blocks(batch.column(0)):
@@ -150,9 +141,9 @@ def train(docs: DataFrame, text_col: str = "text") -> dict:
         for value in (x for c in group.column("counts").chunks for x in c):
             raw = value.as_buffer()
             n = int(np.frombuffer(raw, dtype=np.uint32, count=1)[0])
-            vs.append(_from_six(raw[4 : 4 + 6 * n], n))
-            ws.append(_from_six(raw[4 + 6 * n : 4 + 12 * n], n))
-            ns.append(np.frombuffer(raw[4 + 12 * n :], dtype=np.uint32))
+            vs.append(np.frombuffer(raw, dtype=np.uint64, count=n, offset=4))
+            ws.append(np.frombuffer(raw, dtype=np.uint64, count=n, offset=4 + 8 * n))
+            ns.append(np.frombuffer(raw, dtype=np.uint32, count=n, offset=4 + 16 * n))
         v, w, n = np.concatenate(vs), np.concatenate(ws), np.concatenate(ns).astype(np.int64)
         key = pair_key(v, w)
         order = np.argsort(key)
@@ -171,7 +162,7 @@ def train(docs: DataFrame, text_col: str = "text") -> dict:
         order = np.argsort(w)
         starts, at = _sums(order, w)
         total, kinds, w = np.add.reduceat(n[order], starts), np.diff(np.append(starts, len(order))).astype(np.uint32), w[at]
-        rows = list(_deal(shard_of(w, n_shards), lambda a, b: _six(w[a:b]) + total[a:b].tobytes() + kinds[a:b].tobytes()))
+        rows = list(_deal(shard_of(w, n_shards), lambda a, b: w[a:b].tobytes() + total[a:b].tobytes() + kinds[a:b].tobytes()))
         rows.append((-1 - shard, np.array([np.sum(n == k) for k in range(1, 5)] + [len(n)], dtype=np.int64).tobytes()))
         return pa.Table.from_batches([_batch(rows)])
 
@@ -185,9 +176,9 @@ def train(docs: DataFrame, text_col: str = "text") -> dict:
             ws, totals, kinds = [], [], []
             for raw in raws:
                 n = int(np.frombuffer(raw, dtype=np.uint32, count=1)[0])
-                ws.append(_from_six(raw[4 : 4 + 6 * n], n))
-                totals.append(np.frombuffer(raw[4 + 6 * n : 4 + 14 * n], dtype=np.int64))
-                kinds.append(np.frombuffer(raw[4 + 14 * n :], dtype=np.uint32))
+                ws.append(np.frombuffer(raw, dtype=np.uint64, count=n, offset=4))
+                totals.append(np.frombuffer(raw, dtype=np.int64, count=n, offset=4 + 8 * n))
+                kinds.append(np.frombuffer(raw, dtype=np.uint32, count=n, offset=4 + 16 * n))
             w, total, kind = np.concatenate(ws), np.concatenate(totals), np.concatenate(kinds).astype(np.int64)
             order = np.argsort(w)
             starts, at = _sums(order, w)
