@@ -1,9 +1,11 @@
-"""An interpolated modified Kneser-Ney bigram model, counted in Spark and kept as sorted hash arrays.
-
-Counting: each task counts the pairs of neighbouring tokens of some millions of tokens and deals them to shards by the
-first word's hash.  A shard sums them, writes its sorted arrays to the shared folder, and sends on what each second word
-got: its count and how many different words it followed.  Those sums, dealt by the second word's hash, are the unigram
-arrays.  Scoring: every task maps the arrays into memory and looks up the sorted hashes of a block of texts at once.
+"""An interpolated modified Kneser-Ney trigram model, counted in Spark and kept as sorted hash arrays.
+
+Words: each task counts the words of some millions of tokens and deals the counts by the word's hash.  Triples: each task
+counts the triples of neighbouring tokens and deals them by their middle word, so that one shard has all that is known of
+a pair's last word and of a pair as a context; the triples of a frequent middle word are spread by their last word as
+well, and their contexts' sums are dealt once more.  A shard sums its triples, writes its sorted arrays to the shared
+folder, and sends on how many different words each word followed.  Scoring: every task maps the arrays into memory and
+looks up the sorted hashes of a block of texts at once.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from io import BytesIO
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +28,10 @@ from .textops import Block, blocks, mix64, word_hashes, words
 
 FOLDS, HELD_OUT = 7, 2
 TOKENS_AT_ONCE = 2_500_000
-SHARD_CHARS = 1 << 26  # characters of text for each shard; with few of them the session's number of partitions
-BEGIN, END = np.uint64(1), np.uint64(2)
+SHARD_CHARS = 1 << 25  # characters of text for each shard; with few of them the session's number of partitions
+FREQUENT = 500_000  # a word of more tokens is spread over shards; also never less than a 100,000th of all characters
+SHORT = np.uint64(24)  # n-grams know a word by the other 40 bits of its hash, words are counted by all of it
+BEGIN, END = np.uint64(1) << SHORT, np.uint64(2) << SHORT
 _ROLE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -55,38 +60,79 @@ def get(folder: str, name: str) -> np.ndarray:
         return np.load(f.name, mmap_mode="r")
 
 
-def tokens(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, word before, word) of all tokens by 63-bit hashes; each text ends with END and begins after BEGIN."""
+def tokens(b: Block) -> tuple[np.ndarray, np.ndarray]:
+    """(row, word) of all tokens by 63-bit hashes; each text ends with END."""
     w = words(b)
     h = word_hashes(w) | np.uint64(4)
     counts = np.bincount(w.row, minlength=b.n)
-    ends = np.cumsum(counts + 1) - 1
     current = np.empty(len(h) + b.n, dtype=np.uint64)
     current[np.arange(len(h)) + w.row] = h
-    current[ends] = END
-    before = np.empty_like(current)
-    before[1:] = current[:-1]
-    before[ends - counts] = BEGIN
-    return np.repeat(np.arange(b.n), counts + 1), before, current
+    current[np.cumsum(counts + 1) - 1] = END
+    return np.repeat(np.arange(b.n), counts + 1), current
+
+
+def triples(row: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each token by its 40 bits, after the two before it; a text begins after two BEGIN."""
+    w = word >> SHORT
+    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, dtype=np.int64)
+    v = np.roll(w, 1)
+    v[first] = BEGIN >> SHORT
+    u = np.roll(v, 1)
+    u[first] = BEGIN >> SHORT
+    return u, v, w
+
+
+def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix64(a * _ROLE ^ mix64(b))
+
 
+def triple_key(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return pair_key(pair_key(u, v), w)
 
-def pair_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix64(before * _ROLE ^ mix64(word))
+
+def shard_of_pair(v: np.ndarray, w: np.ndarray, frequent: np.ndarray, n: int) -> np.ndarray:
+    """The shard of the pair and of all triples that end with it."""
+    return shard_of(np.where(np.isin(v, frequent), pair_key(v, w), mix64(v)), n)
 
 
 def shard_of(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-def _deal(shards: np.ndarray, parts) -> Iterator[tuple[int, bytes]]:
-    """(shard, bytes) of rows that are sorted by shard; parts gives a slice's bytes."""
+def _deal(what: str, shards: np.ndarray, *columns: np.ndarray) -> list[tuple[int, str, bytes]]:
+    """(shard, what, bytes of the columns) of rows that are sorted by shard; 40-bit columns take five bytes."""
     numbers, first = np.unique(shards, return_index=True)
-    for number, a, b in zip(numbers, first, np.append(first[1:], len(shards)), strict=False):
-        yield int(number), np.uint32(b - a).tobytes() + parts(a, b)
+    return [(int(k), what, b"".join(np.ascontiguousarray(c[a:b]).tobytes() for c in columns)) for k, a, b in zip(numbers, first, np.append(first[1:], len(shards)), strict=False)]
+
+
+def _short(x: np.ndarray) -> np.ndarray:
+    """40-bit numbers as rows of five bytes."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+
+
+def _read(values: list[pa.Scalar], *types: str) -> list[np.ndarray]:
+    """The columns that _deal wrote, of all values together; "s" is a 40-bit column."""
+    sizes = [5 if t == "s" else np.dtype(t).itemsize for t in types]
+    parts: list[list[np.ndarray]] = [[] for _ in types]
+    for raw in (x.as_buffer() for x in values):
+        n, at = len(raw) // sum(sizes), 0
+        for part, t, size in zip(parts, types, sizes, strict=True):
+            if t == "s":
+                long = np.zeros((n, 8), dtype=np.uint8)
+                long[:, :5] = np.frombuffer(raw, dtype=np.uint8, count=5 * n, offset=at).reshape(-1, 5)
+                part.append(long.view("<u8").ravel())
+            else:
+                part.append(np.frombuffer(raw, dtype=t, count=n, offset=at))
+            at += n * size
+    return [np.concatenate(p) if p else np.zeros(0, dtype="<u8" if t == "s" else t) for p, t in zip(parts, types, strict=True)]
+
 
+def _batch(rows: list[tuple[int, str, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=t) for k, t in enumerate((pa.int32(), pa.string(), pa.binary()))], names=["shard", "what", "counts"])
 
-def _batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], type=pa.int32()), pa.array([x for _, x in rows], type=pa.binary())], names=["shard", "counts"])
+
+def _values(group: pa.Table, what: str) -> list[pa.Scalar]:
+    return [x for c in group.filter(pa.compute.equal(group.column("what"), what)).column("counts").chunks for x in c]
 
 
 def _sums(order: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,6 +142,11 @@ def _sums(order: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, order[starts]
 
 
+def _add(order: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The sum of n over each run."""
+    return np.add.reduceat(n[order].astype(np.int64), starts) if len(starts) else np.zeros(0, dtype=np.int64)
+
+
 def discounts(n: list[int]) -> list[float]:
     """The modified discounts for counts 1, 2 and more, from how many things have the counts 1 to 4."""
     n1, n2, n3, n4 = (float(x) for x in n)
@@ -106,101 +157,197 @@ def discounts(n: list[int]) -> list[float]:
     return [min(max(d, 0.05), k - 0.05) for k, d in enumerate((d1, d2, d3), 1)]
 
 
-def train(docs: DataFrame, text_col: str = "text") -> dict:
-    """Count the texts of docs; returns the model: its folder and a few totals."""
+def spread_of(order: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each run: how many things were counted once, twice and more often, and the sum of the counts."""
+    return np.column_stack([_add(order, starts, x) for x in (n == 1, n == 2, n > 2, n)])
+
+
+def pack(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """A sorted hash array: keys in buckets of some 64 by their first bits, their next 32 bits, and a byte of value.
+
+    A value is one number, or what spread_of gives.  255 says that it is among the few that are stored whole.
+    """
+    order = np.argsort(keys)
+    keys, values = keys[order], values[order]
+    bits = max(len(keys).bit_length() - 6, 0)
+    starts = np.searchsorted((keys >> np.uint64(1)) >> np.uint64(63 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.uint32)
+    if values.shape[1] == 1:
+        code = np.minimum(values[:, 0], 255)
+    else:
+        code = np.where((values[:, 2] == 0) & (values[:, 0] < 16) & (values[:, 1] < 15), values[:, 0] * 16 + values[:, 1], 255)
+    large = np.flatnonzero(code == 255)
+    head = np.array([bits, len(keys), len(large), values.shape[1]], dtype=np.int64)
+    rest = ((keys << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+    columns = (head, values[large].astype(np.int64), starts, rest, large.astype(np.uint32), code.astype(np.uint8))
+    return np.concatenate([np.ascontiguousarray(x).reshape(-1).view(np.uint8) for x in columns])
+
+
+class Packed:
+    """Reads what pack wrote."""
+
+    def __init__(self, raw: np.ndarray):
+        self.bits, self.n, n_large, self.width = raw[:32].view(np.int64).tolist()
+        at, views = 32, []
+        for kind, n in ((np.int64, n_large * self.width), (np.uint32, (1 << self.bits) + 1), (np.uint32, self.n), (np.uint32, n_large), (np.uint8, self.n)):
+            size = n * np.dtype(kind).itemsize
+            views.append(raw[at : at + size].view(kind))
+            at += size
+        whole, self.starts, self.rest, self.large, self.code = views
+        self.whole = whole.reshape(-1, self.width)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The values of keys, 0 where they are missing: binary search in all buckets at once."""
+        out = np.zeros((len(keys), self.width), dtype=np.int64)
+        if not self.n:
+            return out
+        bucket = ((keys >> np.uint64(1)) >> np.uint64(63 - self.bits)).astype(np.int64)
+        wanted = ((keys << np.uint64(self.bits)) >> np.uint64(32)).astype(np.uint32)
+        low, end = self.starts[bucket].astype(np.int64), self.starts[bucket + 1].astype(np.int64)
+        high = end.copy()
+        while (searching := low < high).any():
+            middle = (low + high) >> 1
+            less = searching & (self.rest[np.minimum(middle, self.n - 1)] < wanted)
+            low = np.where(less, middle + 1, low)
+            high = np.where(searching & ~less, middle, high)
+        at = np.flatnonzero((low < end) & (self.rest[np.minimum(low, self.n - 1)] == wanted))
+        place = low[at]
+        code = self.code[place].astype(np.int64)
+        out[at] = code[:, None] if self.width == 1 else np.column_stack([code >> 4, code & 15, code * 0, (code >> 4) + 2 * (code & 15)])
+        large = np.flatnonzero(code == 255)
+        out[at[large]] = self.whole[np.searchsorted(self.large, place[large])]
+        return out
+
+
+_ROWS = "shard int, what string, counts binary"
+
+
+def _tally(n: np.ndarray) -> list[int]:
+    return [int(np.sum(n == k)) for k in range(1, 5)]
+
+
+def count_words(docs: DataFrame, text_col: str, folder: str, n_shards: int, frequent: int) -> tuple[int, int, list[int], list[int]]:
+    """Store the count of each word; (tokens, words, shards, words of more than frequent tokens by their 40 bits)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in blocks(batch.column(0)):
+                w, n = np.unique(tokens(b)[1], return_counts=True)
+                yield _batch(_deal("words", shard_of(w, n_shards), w, n))
+
+    def merge(group: pa.Table) -> pa.Table:
+        shard = group.column("shard")[0].as_py()
+        w, n = _read(_values(group, "words"), "u8", "i8")
+        order = np.argsort(w)
+        starts, at = _sums(order, w)
+        n, w = _add(order, starts, n), w[at]
+        put(folder, f"word-{shard}", w)
+        put(folder, f"word-n-{shard}", n)
+        often = (w[n > frequent] >> SHORT).astype(np.int64).tolist()
+        return pa.table({"shard": [shard], "tokens": [int(n.sum())], "words": [len(w)], "frequent": pa.array([often], type=pa.list_(pa.int64()))})
+
+    done = docs.select(text_col).mapInArrow(count, _ROWS).groupBy("shard").applyInArrow(merge, "shard long, tokens long, words long, frequent array<long>").collect()
+    return sum(r.tokens for r in done), sum(r.words for r in done), sorted(r.shard for r in done), sorted({x for r in done for x in r.frequent})
+
+
+def train(docs: DataFrame, text_col: str = "text", frequent: int = FREQUENT) -> dict:
+    """Count the texts of docs; returns the model: its folder, a few totals, and the frequent words (100,000 at most)."""
     spark = docs.sparkSession
-    n_shards = max(partitions(spark), (docs.agg(F.sum(F.length(text_col))).first()[0] or 0) // SHARD_CHARS)
+    chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
+    n_shards = max(partitions(spark), chars // SHARD_CHARS)
     folder = f"{checkpoint_dir(spark)}/lm-{uuid.uuid4().hex}"
     if "://" not in folder:
         folder = folder.replace("file:", "", 1)
+    n_tokens, n_words, word_shards, often = count_words(docs, text_col, folder, n_shards, max(frequent, chars // 100_000))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        spread = np.array(often, dtype=np.uint64)
 
         def flush() -> pa.RecordBatch:
-            v, w = (np.concatenate(x) for x in zip(*held, strict=True))
+            u, v, w = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            _, at, n = np.unique(pair_key(v, w), return_index=True, return_counts=True)
-            v, w, n = v[at], w[at], n.astype(np.uint32)
-            order = np.argsort(shard_of(v, n_shards), kind="stable")
-            v, w, n = v[order], w[order], n[order]
-            return _batch(list(_deal(shard_of(v, n_shards), lambda a, b: v[a:b].tobytes() + w[a:b].tobytes() + n[a:b].tobytes())))
+            _, at, n = np.unique(triple_key(u, v, w), return_index=True, return_counts=True)
+            u, v, w, n = u[at], v[at], w[at], n.astype(np.uint32)
+            shards = shard_of_pair(v, w, spread, n_shards)
+            order = np.lexsort((w, v, shards))
+            return _batch(_deal("triples", shards[order], *(_short(x[order]) for x in (v, w, u)), n[order]))
 
         for batch in batches:
             for b in blocks(batch.column(0)):
-                _, v, w = tokens(b)
-                held.append((v, w))
-                if sum(len(x) for x, _ in held) >= TOKENS_AT_ONCE:
+                held.append(triples(*tokens(b)))
+                if sum(len(x[0]) for x in held) >= TOKENS_AT_ONCE:
                     yield flush()
         if held:
             yield flush()
 
     def merge(group: pa.Table) -> pa.Table:
         shard = group.column("shard")[0].as_py()
-        vs, ws, ns = [], [], []
-        for value in (x for c in group.column("counts").chunks for x in c):
-            raw = value.as_buffer()
-            n = int(np.frombuffer(raw, dtype=np.uint32, count=1)[0])
-            vs.append(np.frombuffer(raw, dtype=np.uint64, count=n, offset=4))
-            ws.append(np.frombuffer(raw, dtype=np.uint64, count=n, offset=4 + 8 * n))
-            ns.append(np.frombuffer(raw, dtype=np.uint32, count=n, offset=4 + 16 * n))
-        v, w, n = np.concatenate(vs), np.concatenate(ws), np.concatenate(ns).astype(np.int64)
+        spread = np.array(often, dtype=np.uint64)
+        v, w, u, n = _read(_values(group, "triples"), "s", "s", "s", "u4")
+        key = triple_key(u, v, w)
+        order = np.argsort(key)
+        starts, at = _sums(order, key)
+        n = _add(order, starts, n)
+        u, v, w = u[at], v[at], w[at]
+        put(folder, f"triple-{shard}", pack(key[at], n[:, None]))
+        tallies = _tally(n)
+        contexts = []
+        key = pair_key(u, v)
+        order = np.argsort(key)
+        starts, at = _sums(order, key)
+        contexts.append((key[at], v[at], spread_of(order, starts, n)))
         key = pair_key(v, w)
         order = np.argsort(key)
         starts, at = _sums(order, key)
-        n = np.add.reduceat(n[order], starts)
-        v, w, key = v[at], w[at], key[at]
-        put(folder, f"pair-{shard}", key)
-        put(folder, f"pair-n-{shard}", np.minimum(n, 255).astype(np.uint8))
-        large = n >= 255
-        put(folder, f"large-{shard}", key[large])
-        put(folder, f"large-n-{shard}", n[large])
+        kinds, key, v, w = np.diff(np.append(starts, len(order))), key[at], v[at], w[at]
+        put(folder, f"pair-{shard}", pack(key, kinds[:, None]))
+        tallies += [*_tally(kinds), len(kinds)]
         order = np.argsort(v)
         starts, at = _sums(order, v)
-        put(folder, f"before-{shard}", v[at])
-        put(folder, f"before-n-{shard}", np.column_stack([np.add.reduceat(x[order].astype(np.int64), starts) for x in (n, n == 1, n == 2, n > 2)]))
+        contexts.append((mix64(v[at]), v[at], spread_of(order, starts, kinds)))
+        key, of, values = (np.concatenate(x) for x in zip(*contexts, strict=True))
+        split = np.isin(of, spread)
+        put(folder, f"context-{shard}", pack(key[~split], values[~split]))
+        key, values = key[split], values[split]
+        order = np.argsort(key)
+        rows = _deal("contexts", shard_of(key[order], n_shards), key[order], *(x.astype(np.uint32) for x in values[order].T))
         order = np.argsort(w)
         starts, at = _sums(order, w)
-        total, kinds, w = np.add.reduceat(n[order], starts), np.diff(np.append(starts, len(order))).astype(np.uint32), w[at]
-        rows = list(_deal(shard_of(w, n_shards), lambda a, b: w[a:b].tobytes() + total[a:b].tobytes() + kinds[a:b].tobytes()))
-        rows.append((-1 - shard, np.array([np.sum(n == k) for k in range(1, 5)] + [len(n)], dtype=np.int64).tobytes()))
-        return pa.Table.from_batches([_batch(rows)])
+        key, kinds = mix64(w[at]), np.diff(np.append(starts, len(order))).astype(np.uint32)
+        order = np.argsort(key)
+        rows += _deal("kinds", shard_of(key[order], n_shards), key[order], kinds[order])
+        return pa.Table.from_batches([_batch([*rows, (-1 - shard, "tallies", np.array(tallies, dtype=np.int64).tobytes())])])
 
     def finish(group: pa.Table) -> pa.Table:
         shard = group.column("shard")[0].as_py()
-        raws = [x.as_buffer() for c in group.column("counts").chunks for x in c]
         if shard < 0:
-            n1, n2, n3, n4, kinds = np.sum([np.frombuffer(x, dtype=np.int64) for x in raws], axis=0)
-            row = ["pairs", shard, kinds, 0, n1, n2, n3, n4]
-        else:
-            ws, totals, kinds = [], [], []
-            for raw in raws:
-                n = int(np.frombuffer(raw, dtype=np.uint32, count=1)[0])
-                ws.append(np.frombuffer(raw, dtype=np.uint64, count=n, offset=4))
-                totals.append(np.frombuffer(raw, dtype=np.int64, count=n, offset=4 + 8 * n))
-                kinds.append(np.frombuffer(raw, dtype=np.uint32, count=n, offset=4 + 16 * n))
-            w, total, kind = np.concatenate(ws), np.concatenate(totals), np.concatenate(kinds).astype(np.int64)
-            order = np.argsort(w)
-            starts, at = _sums(order, w)
-            total, kind = np.add.reduceat(total[order], starts), np.add.reduceat(kind[order], starts)
-            put(folder, f"word-{shard}", w[at])
-            put(folder, f"word-n-{shard}", np.column_stack([total, kind]))
-            row = ["words", shard, len(at), total.sum(), *(np.sum(kind == k) for k in range(1, 5))]
-        return pa.table({name: [x if isinstance(x, str) else int(x)] for name, x in zip(("what", "shard", "kinds", "total", "n1", "n2", "n3", "n4"), row, strict=True)})
-
-    pairs = docs.select(text_col).mapInArrow(count, "shard int, counts binary").groupBy("shard").applyInArrow(merge, "shard int, counts binary")
-    done = pairs.groupBy("shard").applyInArrow(finish, "what string, shard long, kinds long, total long, n1 long, n2 long, n3 long, n4 long").toPandas()
-    of = {what: done[done["what"] == what] for what in ("pairs", "words")}
+            return pa.table({"shard": [shard], "tallies": [np.frombuffer(_values(group, "tallies")[0].as_buffer(), dtype=np.int64).tolist()]})
+        key, *values = _read(_values(group, "contexts"), "u8", "u4", "u4", "u4", "u4")
+        order = np.argsort(key)
+        starts, at = _sums(order, key)
+        put(folder, f"split-{shard}", pack(key[at], np.column_stack([_add(order, starts, x) for x in values])))
+        key, kinds = _read(_values(group, "kinds"), "u8", "u4")
+        order = np.argsort(key)
+        starts, at = _sums(order, key)
+        kinds = _add(order, starts, kinds)
+        put(folder, f"kinds-{shard}", pack(key[at], kinds[:, None]))
+        return pa.table({"shard": [shard], "tallies": [[*_tally(kinds), len(kinds)]]})
+
+    counted = docs.select(text_col).mapInArrow(count, _ROWS).groupBy("shard").applyInArrow(merge, _ROWS)
+    done = counted.groupBy("shard").applyInArrow(finish, "shard long, tallies array<long>").collect()
+    high = np.sum([[0] * 9, *(r.tallies for r in done if r.shard < 0)], axis=0).tolist()
+    low = np.sum([[0] * 5, *(r.tallies for r in done if r.shard >= 0)], axis=0).tolist()
     return {
         "folder": folder,
         "n_shards": n_shards,
-        "shards": {"pairs": sorted(int(-1 - x) for x in of["pairs"]["shard"]), "words": sorted(int(x) for x in of["words"]["shard"])},
-        "tokens": int(of["words"]["total"].sum()),
-        "words": int(of["words"]["kinds"].sum()),
-        "pairs": int(of["pairs"]["kinds"].sum()),
-        "pair_discounts": discounts([int(of["pairs"][f"n{k}"].sum()) for k in range(1, 5)]),
-        "word_discounts": discounts([int(of["words"][f"n{k}"].sum()) for k in range(1, 5)]),
-        "few": [int(of["words"][f"n{k}"].sum()) for k in range(1, 3)],
+        "shards": {"words": word_shards, "triples": sorted(-1 - r.shard for r in done if r.shard < 0), "kinds": sorted(r.shard for r in done if r.shard >= 0)},
+        "frequent": often,
+        "tokens": n_tokens,
+        "words": n_words,
+        "pairs": high[8],
+        "kinds": low[4],
+        "few": low[:2],
+        "discounts": [discounts(low[:4]), discounts(high[4:8]), discounts(high[:4])],
     }
 
 
@@ -209,50 +356,60 @@ class Model:
 
     def __init__(self, model: dict):
         self.m = model
-        load = lambda names, shards: {k: tuple(get(model["folder"], f"{x}-{k}") for x in names) for k in shards}
-        self.pairs = load(("pair", "pair-n"), model["shards"]["pairs"])
-        self.large = load(("large", "large-n"), model["shards"]["pairs"])
-        self.befores = load(("before", "before-n"), model["shards"]["pairs"])
-        self.words = load(("word", "word-n"), model["shards"]["words"])
-
-    def look_up(self, arrays: dict, shards: np.ndarray, keys: np.ndarray, width: int) -> np.ndarray:
-        """The values of keys, 0 where they are missing.  The queries of a shard are sorted, so they read it in order."""
-        out = np.zeros((len(keys), width), dtype=np.int64)
-        order = np.lexsort((keys, shards))
+        self.frequent = np.array(model["frequent"], dtype=np.uint64)
+        load = lambda name, shards: {k: Packed(get(model["folder"], f"{name}-{k}")) for k in model["shards"][shards]}
+        self.triples, self.pairs, self.contexts = (load(x, "triples") for x in ("triple", "pair", "context"))
+        self.split, self.kinds = load("split", "kinds"), load("kinds", "kinds")
+        self.words = {k: (get(model["folder"], f"word-{k}"), get(model["folder"], f"word-n-{k}")) for k in model["shards"]["words"]}
+
+    def by_shard(self, keys: np.ndarray, shards: np.ndarray, width: int, find) -> np.ndarray:
+        """find(shard, keys) for the different keys of each shard, in their order, so that arrays are read forwards."""
+        different, at, back = np.unique(keys, return_index=True, return_inverse=True)
+        shards = shards[at]
+        out = np.zeros((len(different), width), dtype=np.int64)
+        order = np.argsort(shards, kind="stable")
         numbers, first = np.unique(shards[order], return_index=True)
-        for number, a, b in zip(numbers.tolist(), first, np.append(first[1:], len(keys)), strict=False):
-            if number in arrays:
-                sorted_keys, values = arrays[number]
-                if not len(sorted_keys):
-                    continue
-                at, wanted = order[a:b], keys[order[a:b]]
-                place = np.minimum(np.searchsorted(sorted_keys, wanted), len(sorted_keys) - 1)
-                hit = sorted_keys[place] == wanted
-                out[at[hit]] = np.asarray(values[place[hit]]).reshape(-1, width)
+        for number, a, b in zip(numbers.tolist(), first, np.append(first[1:], len(order)), strict=False):
+            out[order[a:b]] = find(number, different[order[a:b]])
+        return out[back]
+
+    def of(self, arrays: dict[int, Packed], keys: np.ndarray, shards: np.ndarray, width: int = 1) -> np.ndarray:
+        return self.by_shard(keys, shards, width, lambda k, x: arrays[k].find(x) if k in arrays else 0)
+
+    def count(self, word: np.ndarray) -> np.ndarray:
+        """How often the training texts have each word."""
+
+        def find(shard: int, keys: np.ndarray) -> np.ndarray | int:
+            if shard not in self.words:
+                return 0
+            known, n = self.words[shard]
+            place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            return np.where(known[place] == keys, n[place], 0)[:, None]
+
+        return self.by_shard(word, shard_of(word, self.m["n_shards"]), 1, find)[:, 0]
+
+    def context(self, keys: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """What spread_of gave for contexts that end with the words last."""
+        out, split, n = np.zeros((len(keys), 4), dtype=np.int64), np.isin(last, self.frequent), self.m["n_shards"]
+        out[split] = self.of(self.split, keys[split], shard_of(keys[split], n), 4)
+        out[~split] = self.of(self.contexts, keys[~split], shard_of(mix64(last[~split]), n), 4)
         return out
 
     def score(self, b: Block) -> tuple[np.ndarray, ...]:
         """(tokens, known tokens, base score, score) of each text of a block."""
-        m = self.m
-        row, before, word = tokens(b)
-        words_, back = np.unique(word, return_inverse=True)
-        of_word = self.look_up(self.words, shard_of(words_, m["n_shards"]), words_, 2)[back]
-        befores, back = np.unique(before, return_inverse=True)
-        of_before = self.look_up(self.befores, shard_of(befores, m["n_shards"]), befores, 4)[back]
-        keys, at, back = np.unique(pair_key(before, word), return_index=True, return_inverse=True)
-        shards = shard_of(before[at], m["n_shards"])
-        n = self.look_up(self.pairs, shards, keys, 1)
-        large = np.flatnonzero(n[:, 0] == 255)
-        n[large] = self.look_up(self.large, shards[large], keys[large], 1)
-        n = n[back, 0]
-        count, kinds = of_word[:, 0], of_word[:, 1]
-        d, e = np.array([0.0, *m["pair_discounts"]]), np.array([0.0, *m["word_discounts"]])
-        all_pairs = max(m["pairs"], 1)
-        spread = (e[1] * m["few"][0] + e[2] * m["few"][1] + e[3] * (m["words"] - sum(m["few"]))) / all_pairs if m["pairs"] else 1.0
-        low = (kinds - e[np.minimum(kinds, 3)]) / all_pairs + spread / (m["words"] + 1)
-        total = of_before[:, 0]
-        left = of_before[:, 1] * d[1] + of_before[:, 2] * d[2] + of_before[:, 3] * d[3]
-        p = np.where(total > 0, (n - d[np.minimum(n, 3)] + left * low) / np.maximum(total, 1), low)
+        m, n_shards = self.m, self.m["n_shards"]
+        row, word = tokens(b)
+        u, v, w = triples(row, word)
+        count = self.count(word)
+        low, middle, high = (np.array([0.0, *d]) for d in m["discounts"])
+        kinds = self.of(self.kinds, mix64(w), shard_of(mix64(w), n_shards))[:, 0]
+        pairs = max(m["pairs"], 1)
+        spread = low[1] * m["few"][0] + low[2] * m["few"][1] + low[3] * (m["kinds"] - sum(m["few"]))
+        p = (kinds - low[np.minimum(kinds, 3)]) / pairs + (spread / pairs if m["pairs"] else 1.0) / (m["kinds"] + 1)
+        shards = shard_of_pair(v, w, self.frequent, n_shards)
+        for d, arrays, key, context in ((middle, self.pairs, pair_key(v, w), mix64(v)), (high, self.triples, triple_key(u, v, w), pair_key(u, v))):
+            n, c = self.of(arrays, key, shards)[:, 0], self.context(context, v)
+            p = np.where(c[:, 3] > 0, (n - d[np.minimum(n, 3)] + (c[:, :3] @ d[1:]) * p) / np.maximum(c[:, 3], 1), p)
         base = np.log10((count + 1) / (m["tokens"] + m["words"] + 1))
         add = lambda x: np.bincount(row, weights=x, minlength=b.n)
         return np.bincount(row, minlength=b.n), np.bincount(row[count > 0], minlength=b.n), add(base), add(np.log10(p))
@@ -262,7 +419,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     """(id, n_tokens, n_known, train_tokens, base_score, score) of each row.
 
     A null or empty text has one token, its end.  A word that the training texts don't have gets the share that the
-    unigrams leave to unknown words; after an unknown word the unigrams decide alone.  Rows with a null id and repeated
+    unigrams leave to unknown words; after words that no training text has in this order the shorter context decides.  Rows with a null id and repeated
     rows are scored like others; a model of no texts gives every token probability 1; other columns are ignored.
     """
     kind = docs.schema[id_col].dataType

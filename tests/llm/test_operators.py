@@ -245,39 +245,45 @@ def test_myers(seed):
         assert decontaminate.nearest(decontaminate.masks_of(p), len(p), t)[0] == edit_distance(p, t)
 
 
-def test_language_model(spark, rows):
+@pytest.mark.parametrize("frequent", [language_model.FREQUENT, 20])
+def test_language_model(spark, rows, frequent):
     train = [(i, t, s) for i, t, s in rows if i != 3]
-    scored = language_model.score(table(spark, rows), language_model.train(table(spark, train))).collect()
+    model = language_model.train(table(spark, train), frequent=frequent)
+    assert bool(model["frequent"]) == (frequent == 20)
+    scored = language_model.score(table(spark, rows), model).collect()
     low = lambda t: WORDS.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) + ["</s>"]
-    one, two = Counter(), Counter()
+    grams = lambda w: zip(["<s>", "<s>", *w], ["<s>", *w], w, strict=False)
+    one, three = Counter(), Counter()
     for _, t, _ in train:
-        w = low(t)
-        one.update(w)
-        two.update(zip(["<s>", *w], w, strict=False))
-    before = Counter()
-    spread = {}
-    for (v, _), n in two.items():
-        before[v] += n
-        spread.setdefault(v, [0, 0, 0])[min(n, 3) - 1] += 1
+        one.update(low(t))
+        three.update(grams(low(t)))
+    two = Counter((v, w) for _, v, w in three)
     kinds = Counter(w for _, w in two)
-    d = language_model.discounts([sum(n == k for n in two.values()) for k in range(1, 5)])
-    e = language_model.discounts([sum(n == k for n in kinds.values()) for k in range(1, 5)])
-    few = [sum(n == k for n in kinds.values()) for k in (1, 2)]
-    left = (e[0] * few[0] + e[1] * few[1] + e[2] * (len(one) - sum(few))) / len(two)
-
-    def p(v, w):
-        n, k = two[v, w], kinds[w]
-        lower = (k - (e[min(k, 3) - 1] if k else 0)) / len(two) + left / (len(one) + 1)
-        return lower if not before[v] else (n - (d[min(n, 3) - 1] if n else 0) + sum(a * b for a, b in zip(spread[v], d, strict=True)) * lower) / before[v]
+    cuts = [language_model.discounts([sum(n == k for n in c.values()) for k in range(1, 5)]) for c in (kinds, two, three)]
+    cut = lambda n, d: d[min(n, 3) - 1] if n else 0
+    spread = {}
+    for c, d in ((two, cuts[1]), (three, cuts[2])):
+        for gram, n in c.items():
+            total, left = spread.get(gram[:-1], (0, 0))
+            spread[gram[:-1]] = total + n, left + cut(n, d)
+    left = sum(cut(n, cuts[0]) for n in kinds.values()) / len(two)
+
+    def p(u, v, w):
+        x = (kinds[w] - cut(kinds[w], cuts[0])) / len(two) + left / (len(one) + 1)
+        for c, d, gram in ((two, cuts[1], (v, w)), (three, cuts[2], (u, v, w))):
+            total, rest = spread.get(gram[:-1], (0, 0))
+            x = (c[gram] - cut(c[gram], d) + rest * x) / total if total else x
+        return x
 
     total = sum(one.values())
     want = []
     for i, t, _ in rows:
         w = low(t)
-        want.append((i, len(w), sum(one[x] > 0 for x in w), total, round(sum(math.log10((one[x] + 1) / (total + len(one) + 1)) for x in w), 6), round(sum(math.log10(p(*x)) for x in zip(["<s>", *w], w, strict=False)), 6)))
+        want.append((i, len(w), sum(one[x] > 0 for x in w), total, round(sum(math.log10((one[x] + 1) / (total + len(one) + 1)) for x in w), 6), round(sum(math.log10(p(*x)) for x in grams(w)), 6)))
     got = [(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in scored]
     assert sorted(map(str, got)) == sorted(map(str, want))
-    assert sum(p("<s>", w) for w in one) + p("<s>", "?") == pytest.approx(1)
+    for u, v in (("<s>", "<s>"), ("<s>", "on"), ("?", "?")):
+        assert sum(p(u, v, w) for w in one) + p(u, v, "?") == pytest.approx(1)
     empty = language_model.score(table(spark, rows), language_model.train(table(spark, [])))
     assert empty.where("score <> 0 or n_known <> 0").count() == 0
 
