@@ -4,8 +4,9 @@ Words: each task counts the words of some millions of tokens and deals the count
 counts the triples of neighbouring tokens and deals them by their middle word, so that one shard has all that is known of
 a pair's last word and of a pair as a context; the triples of a frequent middle word are spread by their last word as
 well, and their contexts' sums are dealt once more.  A shard sums its triples, writes its sorted arrays to the shared
-folder, and sends on how many different words each word followed.  Scoring: every task maps the arrays into memory and
-looks up the sorted hashes of a block of texts at once.
+folder, and sends on how many different words each word followed.  A pair is also the context of the next word, and most
+contexts were followed by one word once: those are not stored.  Scoring: every task maps the arrays into memory and looks
+up the sorted hashes of a block of texts at once.
 """
 
 from __future__ import annotations
@@ -71,10 +72,14 @@ def tokens(b: Block) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(b.n), counts + 1), current
 
 
+def begins(row: np.ndarray) -> np.ndarray:
+    """Which tokens are the first of their text."""
+    return np.diff(row, prepend=-1) != 0
+
+
 def triples(row: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each token by its 40 bits, after the two before it; a text begins after two BEGIN."""
-    w = word >> SHORT
-    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, dtype=np.int64)
+    w, first = word >> SHORT, begins(row)
     v = np.roll(w, 1)
     v[first] = BEGIN >> SHORT
     u = np.roll(v, 1)
@@ -86,6 +91,15 @@ def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix64(a * _ROLE ^ mix64(b))
 
 
+def pair_context(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Keys of contexts of two words are even, those of one word odd."""
+    return pair_key(u, v) & ~np.uint64(1)
+
+
+def word_context(v: np.ndarray) -> np.ndarray:
+    return mix64(v) | np.uint64(1)
+
+
 def triple_key(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return pair_key(pair_key(u, v), w)
 
@@ -105,9 +119,9 @@ def _deal(what: str, shards: np.ndarray, *columns: np.ndarray) -> list[tuple[int
     return [(int(k), what, b"".join(np.ascontiguousarray(c[a:b]).tobytes() for c in columns)) for k, a, b in zip(numbers, first, np.append(first[1:], len(shards)), strict=False)]
 
 
-def _short(x: np.ndarray) -> np.ndarray:
-    """40-bit numbers as rows of five bytes."""
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+def _first_bytes(x: np.ndarray, n: int = 5) -> np.ndarray:
+    """Numbers below 256 ** n as rows of n bytes."""
+    return np.ascontiguousarray(x, dtype="<u8").view(np.uint8).reshape(-1, 8)[:, :n]
 
 
 def _read(values: list[pa.Scalar], *types: str) -> list[np.ndarray]:
@@ -163,9 +177,10 @@ def spread_of(order: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarra
 
 
 def pack(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """A sorted hash array: keys in buckets of some 64 by their first bits, their next 32 bits, and a byte of value.
+    """A sorted hash array: keys in buckets of some 64 by their first bits, their next 24 bits, and a byte of value.
 
-    A value is one number, or what spread_of gives.  255 says that it is among the few that are stored whole.
+    A value is one number, or what spread_of gives.  255 says that it is among the few that are stored whole.  At any size,
+    about one missing key in 300,000 is taken for another.
     """
     order = np.argsort(keys)
     keys, values = keys[order], values[order]
@@ -177,23 +192,32 @@ def pack(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
         code = np.where((values[:, 2] == 0) & (values[:, 0] < 16) & (values[:, 1] < 15), values[:, 0] * 16 + values[:, 1], 255)
     large = np.flatnonzero(code == 255)
     head = np.array([bits, len(keys), len(large), values.shape[1]], dtype=np.int64)
-    rest = ((keys << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
-    columns = (head, values[large].astype(np.int64), starts, rest, large.astype(np.uint32), code.astype(np.uint8))
+    rest = _first_bytes((keys << np.uint64(bits)) >> np.uint64(40), 3)
+    columns = (head, values[large].astype(np.int64), starts, large.astype(np.uint32), rest, code.astype(np.uint8))
     return np.concatenate([np.ascontiguousarray(x).reshape(-1).view(np.uint8) for x in columns])
 
 
+def pack_contexts(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """pack without the contexts of two words that one word followed once."""
+    stored = (keys & np.uint64(1) == 1) | (values[:, 0] != 1) | (values[:, 3] != 1)
+    return pack(keys[stored], values[stored])
+
+
 class Packed:
     """Reads what pack wrote."""
 
     def __init__(self, raw: np.ndarray):
         self.bits, self.n, n_large, self.width = raw[:32].view(np.int64).tolist()
         at, views = 32, []
-        for kind, n in ((np.int64, n_large * self.width), (np.uint32, (1 << self.bits) + 1), (np.uint32, self.n), (np.uint32, n_large), (np.uint8, self.n)):
+        for kind, n in ((np.int64, n_large * self.width), (np.uint32, (1 << self.bits) + 1), (np.uint32, n_large), (np.uint8, 3 * self.n), (np.uint8, self.n)):
             size = n * np.dtype(kind).itemsize
             views.append(raw[at : at + size].view(kind))
             at += size
-        whole, self.starts, self.rest, self.large, self.code = views
-        self.whole = whole.reshape(-1, self.width)
+        whole, self.starts, self.large, rest, self.code = views
+        self.whole, self.bytes = whole.reshape(-1, self.width), rest.reshape(-1, 3)
+
+    def rest(self, place: np.ndarray) -> np.ndarray:
+        return self.bytes[np.minimum(place, self.n - 1)] @ np.array([1, 1 << 8, 1 << 16], dtype=np.uint32)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The values of keys, 0 where they are missing: binary search in all buckets at once."""
@@ -201,15 +225,15 @@ class Packed:
         if not self.n:
             return out
         bucket = ((keys >> np.uint64(1)) >> np.uint64(63 - self.bits)).astype(np.int64)
-        wanted = ((keys << np.uint64(self.bits)) >> np.uint64(32)).astype(np.uint32)
+        wanted = ((keys << np.uint64(self.bits)) >> np.uint64(40)).astype(np.uint32)
         low, end = self.starts[bucket].astype(np.int64), self.starts[bucket + 1].astype(np.int64)
         high = end.copy()
         while (searching := low < high).any():
             middle = (low + high) >> 1
-            less = searching & (self.rest[np.minimum(middle, self.n - 1)] < wanted)
+            less = searching & (self.rest(middle) < wanted)
             low = np.where(less, middle + 1, low)
             high = np.where(searching & ~less, middle, high)
-        at = np.flatnonzero((low < end) & (self.rest[np.minimum(low, self.n - 1)] == wanted))
+        at = np.flatnonzero((low < end) & (self.rest(low) == wanted))
         place = low[at]
         code = self.code[place].astype(np.int64)
         out[at] = code[:, None] if self.width == 1 else np.column_stack([code >> 4, code & 15, code * 0, (code >> 4) + 2 * (code & 15)])
@@ -229,19 +253,29 @@ def count_words(docs: DataFrame, text_col: str, folder: str, n_shards: int, freq
     """Store the count of each word; (tokens, words, shards, words of more than frequent tokens by their 40 bits)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            w, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return _batch(_deal("words", shard_of(w, n_shards), w, n.astype(np.uint32)))
+
         for batch in batches:
             for b in blocks(batch.column(0)):
-                w, n = np.unique(tokens(b)[1], return_counts=True)
-                yield _batch(_deal("words", shard_of(w, n_shards), w, n))
+                held.append(tokens(b)[1])
+                if sum(map(len, held)) >= TOKENS_AT_ONCE:
+                    yield flush()
+        if held:
+            yield flush()
 
     def merge(group: pa.Table) -> pa.Table:
         shard = group.column("shard")[0].as_py()
-        w, n = _read(_values(group, "words"), "u8", "i8")
+        w, n = _read(_values(group, "words"), "u8", "u4")
         order = np.argsort(w)
         starts, at = _sums(order, w)
         n, w = _add(order, starts, n), w[at]
         put(folder, f"word-{shard}", w)
-        put(folder, f"word-n-{shard}", n)
+        put(folder, f"word-n-{shard}", n.astype(np.min_scalar_type(n.max())))
         often = (w[n > frequent] >> SHORT).astype(np.int64).tolist()
         return pa.table({"shard": [shard], "tokens": [int(n.sum())], "words": [len(w)], "frequent": pa.array([often], type=pa.list_(pa.int64()))})
 
@@ -270,7 +304,7 @@ def train(docs: DataFrame, text_col: str = "text", frequent: int = FREQUENT) ->
             u, v, w, n = u[at], v[at], w[at], n.astype(np.uint32)
             shards = shard_of_pair(v, w, spread, n_shards)
             order = np.lexsort((w, v, shards))
-            return _batch(_deal("triples", shards[order], *(_short(x[order]) for x in (v, w, u)), n[order]))
+            return _batch(_deal("triples", shards[order], *(_first_bytes(x[order]) for x in (v, w, u)), n[order]))
 
         for batch in batches:
             for b in blocks(batch.column(0)):
@@ -292,7 +326,7 @@ def train(docs: DataFrame, text_col: str = "text", frequent: int = FREQUENT) ->
         put(folder, f"triple-{shard}", pack(key[at], n[:, None]))
         tallies = _tally(n)
         contexts = []
-        key = pair_key(u, v)
+        key = pair_context(u, v)
         order = np.argsort(key)
         starts, at = _sums(order, key)
         contexts.append((key[at], v[at], spread_of(order, starts, n)))
@@ -304,18 +338,19 @@ def train(docs: DataFrame, text_col: str = "text", frequent: int = FREQUENT) ->
         tallies += [*_tally(kinds), len(kinds)]
         order = np.argsort(v)
         starts, at = _sums(order, v)
-        contexts.append((mix64(v[at]), v[at], spread_of(order, starts, kinds)))
+        contexts.append((word_context(v[at]), v[at], spread_of(order, starts, kinds)))
         key, of, values = (np.concatenate(x) for x in zip(*contexts, strict=True))
         split = np.isin(of, spread)
-        put(folder, f"context-{shard}", pack(key[~split], values[~split]))
+        put(folder, f"context-{shard}", pack_contexts(key[~split], values[~split]))
         key, values = key[split], values[split]
         order = np.argsort(key)
         rows = _deal("contexts", shard_of(key[order], n_shards), key[order], *(x.astype(np.uint32) for x in values[order].T))
         order = np.argsort(w)
         starts, at = _sums(order, w)
-        key, kinds = mix64(w[at]), np.diff(np.append(starts, len(order))).astype(np.uint32)
-        order = np.argsort(key)
-        rows += _deal("kinds", shard_of(key[order], n_shards), key[order], kinds[order])
+        w, kinds = w[at], np.diff(np.append(starts, len(order))).astype(np.uint32)
+        shards = shard_of(mix64(w), n_shards)
+        order = np.argsort(shards, kind="stable")
+        rows += _deal("kinds", shards[order], _first_bytes(w[order]), kinds[order])
         return pa.Table.from_batches([_batch([*rows, (-1 - shard, "tallies", np.array(tallies, dtype=np.int64).tobytes())])])
 
     def finish(group: pa.Table) -> pa.Table:
@@ -325,8 +360,9 @@ def train(docs: DataFrame, text_col: str = "text", frequent: int = FREQUENT) ->
         key, *values = _read(_values(group, "contexts"), "u8", "u4", "u4", "u4", "u4")
         order = np.argsort(key)
         starts, at = _sums(order, key)
-        put(folder, f"split-{shard}", pack(key[at], np.column_stack([_add(order, starts, x) for x in values])))
-        key, kinds = _read(_values(group, "kinds"), "u8", "u4")
+        put(folder, f"split-{shard}", pack_contexts(key[at], np.column_stack([_add(order, starts, x) for x in values])))
+        w, kinds = _read(_values(group, "kinds"), "s", "u4")
+        key = mix64(w)
         order = np.argsort(key)
         starts, at = _sums(order, key)
         kinds = _add(order, starts, kinds)
@@ -351,6 +387,12 @@ def train(docs: DataFrame, text_col: str = "text", frequent: int = FREQUENT) ->
     }
 
 
+def _interpolate(n: np.ndarray, d: np.ndarray, context: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The discounted share of counts n in their contexts, and p for what the discounts leave."""
+    total = context[:, 3]
+    return np.where(total > 0, (n - d[np.minimum(n, 3)] + (context[:, :3] @ d[1:]) * p) / np.maximum(total, 1), p)
+
+
 class Model:
     """The mapped arrays of a trained model."""
 
@@ -407,9 +449,12 @@ class Model:
         spread = low[1] * m["few"][0] + low[2] * m["few"][1] + low[3] * (m["kinds"] - sum(m["few"]))
         p = (kinds - low[np.minimum(kinds, 3)]) / pairs + (spread / pairs if m["pairs"] else 1.0) / (m["kinds"] + 1)
         shards = shard_of_pair(v, w, self.frequent, n_shards)
-        for d, arrays, key, context in ((middle, self.pairs, pair_key(v, w), mix64(v)), (high, self.triples, triple_key(u, v, w), pair_key(u, v))):
-            n, c = self.of(arrays, key, shards)[:, 0], self.context(context, v)
-            p = np.where(c[:, 3] > 0, (n - d[np.minimum(n, 3)] + (c[:, :3] @ d[1:]) * p) / np.maximum(c[:, 3], 1), p)
+        followed = self.of(self.pairs, pair_key(v, w), shards)[:, 0]
+        p = _interpolate(followed, middle, self.context(word_context(v), v), p)
+        context, first = self.context(pair_context(u, v), v), begins(row)
+        seen = np.where(first, m["tokens"] > 0, np.roll(followed > 0, 1))
+        context[seen & (context[:, 3] == 0)] = (1, 0, 0, 1)
+        p = _interpolate(self.of(self.triples, triple_key(u, v, w), shards)[:, 0], high, context, p)
         base = np.log10((count + 1) / (m["tokens"] + m["words"] + 1))
         add = lambda x: np.bincount(row, weights=x, minlength=b.n)
         return np.bincount(row, minlength=b.n), np.bincount(row[count > 0], minlength=b.n), add(base), add(np.log10(p))
