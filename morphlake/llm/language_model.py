@@ -213,11 +213,13 @@ class Packed:
             size = n * np.dtype(kind).itemsize
             views.append(raw[at : at + size].view(kind))
             at += size
-        whole, self.starts, self.large, rest, self.code = views
-        self.whole, self.bytes = whole.reshape(-1, self.width), rest.reshape(-1, 3)
+        whole, self.starts, self.large, _, self.code = views
+        self.whole = whole.reshape(-1, self.width)
+        # Four bytes from every third on; the byte too many of the last key is the first of the values.
+        self.fours = np.ndarray((self.n,), dtype="<u4", buffer=raw[at - 4 * self.n :], strides=(3,))
 
     def rest(self, place: np.ndarray) -> np.ndarray:
-        return self.bytes[np.minimum(place, self.n - 1)] @ np.array([1, 1 << 8, 1 << 16], dtype=np.uint32)
+        return self.fours.take(place, mode="clip") & np.uint32(0xFFFFFF)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The values of keys, 0 where they are missing: binary search in all buckets at once."""
