@@ -65,4 +65,106 @@ SELECT conv_id,
 FROM placed GROUP BY conv_id
 """
 
-SQL = {"op1_ngram_jaccard": NGRAM_JACCARD, "op4_chat_preferences": CHAT_PREFERENCES}
+# FP-growth's rules are those of all sets of up to three tokens; a set of tokens is a sorted list.
+URL_FILTER = r"""
+WITH rests AS (
+    SELECT page_id, coalesce(url, '') AS url, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+),
+hosts AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS h FROM rests),
+parts AS (
+    SELECT page_id, url, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path
+    FROM hosts
+),
+fixed(verdict, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+fits AS (
+    SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict
+    FROM (SELECT DISTINCT page_id, host, path FROM parts), fixed
+    WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id
+),
+raw AS (
+    SELECT page_id, 'host:' AS kind, unnest(string_split(host, '.')) AS t FROM parts
+    UNION ALL SELECT page_id, 'path:', unnest(string_split_regex(path, '[/._-]')) FROM parts
+    UNION ALL SELECT page_id, 'query:', unnest(string_split(regexp_replace(regexp_extract(url, '\?([^#]*)', 1), '=[^&]*', '', 'g'), '&')) FROM parts
+),
+tokens AS MATERIALIZED (SELECT DISTINCT page_id, kind || CASE WHEN regexp_full_match(t, '[0-9]+') THEN '#' ELSE t END AS item FROM raw WHERE t <> ''),
+labelled AS MATERIALIZED (SELECT page_id, item, verdict FROM tokens JOIN fits USING (page_id)),
+total AS (SELECT count(DISTINCT page_id) AS n FROM labelled),
+sets AS (
+    SELECT page_id, verdict, [item] AS s FROM labelled
+    UNION ALL SELECT a.page_id, a.verdict, [a.item, b.item] FROM labelled a JOIN labelled b ON b.page_id = a.page_id AND b.item > a.item
+    UNION ALL SELECT a.page_id, a.verdict, [a.item, b.item, c.item]
+    FROM labelled a JOIN labelled b ON b.page_id = a.page_id AND b.item > a.item JOIN labelled c ON c.page_id = a.page_id AND c.item > b.item
+),
+by_verdict AS (SELECT s, verdict, count(*) AS n_both FROM sets GROUP BY s, verdict),
+with_all AS (SELECT *, sum(n_both) OVER (PARTITION BY s) AS n_set FROM by_verdict),
+rules AS MATERIALIZED (
+    SELECT s, verdict, n_both::DOUBLE / n_set AS confidence, n_both::DOUBLE / n AS support, md5(to_json({'antecedent': s, 'verdict': verdict})::VARCHAR) AS rule_id
+    FROM with_all, total WHERE n_both >= ceil(0.002 * n) AND n_both::DOUBLE / n_set >= 0.8
+),
+asked AS (SELECT page_id, list(item ORDER BY item) AS items FROM tokens WHERE page_id NOT IN (SELECT page_id FROM fits) GROUP BY page_id),
+matched AS (
+    SELECT page_id, r.* FROM (SELECT page_id, items, unnest(items) AS item FROM asked) a JOIN rules r ON r.s[1] = a.item WHERE list_has_all(items, s)
+),
+best AS (
+    SELECT page_id, verdict, array_to_string(s, ' ') AS mined FROM matched
+    QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY confidence DESC, len(s) DESC, support DESC, rule_id DESC) = 1
+)
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, b.verdict, 'allow') AS verdict, b.mined
+FROM parts p LEFT JOIN fits f USING (page_id) LEFT JOIN best b USING (page_id)
+"""
+
+# Every seat of every source and shard is a row, and every word of the documents.
+MIXING = r"""
+WITH sized AS MATERIALIZED (
+    SELECT doc_id, source, coalesce('s' || source, 'n') AS skey, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+        md5('mix-1' || coalesce(doc_id::VARCHAR, '')) AS digest, ('0x' || substr(md5('mix-1' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % 512 AS shard
+    FROM documents
+),
+shards AS MATERIALIZED (SELECT skey, source, shard, ceil(sum(size) / 8)::BIGINT AS blocks, sum(size)::BIGINT AS words FROM sized GROUP BY ALL),
+sources AS (
+    SELECT skey, sum(words)::BIGINT AS words, sum(blocks)::BIGINT AS blocks, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS pos FROM shards GROUP BY skey, source
+),
+weighed AS (SELECT *, [5.0, 2.0, 1.0][pos % 3 + 1]::DOUBLE AS weight, words * 2.0::DOUBLE AS most FROM sources),
+filled AS (
+    SELECT weight, most, most / weight AS full_at, 1.5::DOUBLE * sum(words) OVER () AS goal,
+        coalesce(sum(most) OVER (ORDER BY most / weight, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
+        sum(weight) OVER (ORDER BY most / weight, pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS others
+    FROM weighed
+),
+level AS (SELECT arg_min((goal - capped) / others, full_at) AS level FROM filled WHERE full_at > (goal - capped) / others),
+aimed AS MATERIALIZED (
+    SELECT skey, words, blocks, pos, least(most, coalesce(level * weight, most)) AS target,
+        CASE WHEN words > 0 THEN least(most, coalesce(level * weight, most)) / words * blocks ELSE 0 END AS votes
+    FROM weighed, level
+),
+seats AS (SELECT skey, pos, votes, unnest(range(0, blocks * 2)) AS k FROM aimed WHERE votes > 0),
+given AS MATERIALIZED (
+    SELECT skey, count(*) AS given FROM (
+        SELECT skey FROM seats QUALIFY row_number() OVER (ORDER BY votes / (2 * k + 1) DESC, pos, k) <= (SELECT round(sum(votes)) FROM aimed)
+    ) GROUP BY skey
+),
+shard_seats AS (SELECT skey, shard, blocks, unnest(range(0, blocks * 2)) AS k FROM shards),
+quotas AS MATERIALIZED (
+    SELECT skey, shard, count(*) AS quota FROM (
+        SELECT s.skey, s.shard, given FROM shard_seats s JOIN given USING (skey)
+        QUALIFY row_number() OVER (PARTITION BY s.skey ORDER BY s.blocks::DOUBLE / (2 * k + 1) DESC, s.shard, k) <= given
+    ) GROUP BY skey, shard
+),
+plan AS (
+    SELECT skey, shard, blocks, coalesce(quota, 0) // blocks AS times, coalesce(quota, 0) % blocks AS extra,
+        ('0x' || substr(md5('mix-1/' || skey || '/' || shard), 1, 12))::BIGINT % blocks AS first
+    FROM shards LEFT JOIN quotas USING (skey, shard) WHERE blocks > 0
+),
+placed AS (
+    SELECT doc_id, skey, shard, size, coalesce(sum(size) OVER (PARTITION BY skey, shard ORDER BY digest, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+    FROM sized
+),
+words AS (SELECT doc_id, skey, shard, unnest(range(start, start + size)) // 8 AS block FROM placed WHERE size > 0),
+turned AS (SELECT doc_id, (block + first) % blocks AS b, times, extra, blocks FROM words JOIN plan USING (skey, shard)),
+takes AS (SELECT doc_id, sum(times + (b + 1) * extra // blocks - b * extra // blocks)::BIGINT AS taken FROM turned GROUP BY doc_id)
+SELECT d.doc_id, d.size, a.words AS source_size, a.target, coalesce(t.taken, 0)::BIGINT AS taken
+FROM sized d JOIN aimed a USING (skey) LEFT JOIN takes t USING (doc_id)
+"""
+
+SQL = {"op1_ngram_jaccard": NGRAM_JACCARD, "op4_chat_preferences": CHAT_PREFERENCES, "op5_url_filter": URL_FILTER, "op10_mixing": MIXING}

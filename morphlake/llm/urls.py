@@ -94,5 +94,5 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op5_url_filter."""
-    return judge(table(spark, sf_dir, "pages"))
+    """op5_url_filter; the mined rule's tokens as text."""
+    return judge(table(spark, sf_dir, "pages")).withColumn("mined", F.array_join("mined", " "))
