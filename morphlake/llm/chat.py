@@ -78,12 +78,12 @@ def with_stale_replies(conversations: DataFrame, id_col: str = "conv_id") -> Dat
 
     On the rejected side the assistant's last turn repeats its turn before (or says nothing where there is none).  All
     other turns, those after it and those without a number too, stand on both sides.  A conversation without a numbered
-    reply is both sides of its pair.
+    reply is both sides of its pair.  Of turns with the same number, the greatest text is the one repeated.
     """
     by = Window.partitionBy(id_col)
     mine = F.col("role") == "assistant"
     rows = conversations.where(F.col(id_col).isNotNull()).withColumn("_last", F.max(F.when(mine, F.col("turn"))).over(by))
-    rows = rows.withColumn("_before", F.max_by(F.when(mine, F.col("text")), F.when(mine & (F.col("turn") < F.col("_last")), F.col("turn"))).over(by))
+    rows = rows.withColumn("_before", F.max_by(F.when(mine, F.col("text")), F.when(mine & (F.col("turn") < F.col("_last")), F.struct("turn", "text"))).over(by))
     stale = mine & (F.col("turn") == F.col("_last"))
     sides = F.explode(F.array(F.struct(F.lit("chosen").alias("side"), F.col("text").alias("text")), F.struct(F.lit("rejected").alias("side"), F.when(stale, F.coalesce("_before", F.lit(""))).otherwise(F.col("text")).alias("text"))))
     return rows.select(F.col(id_col).alias("pair_id"), "turn", "role", sides.alias("_s")).select("pair_id", "_s.side", "turn", "role", "_s.text")

@@ -31,7 +31,7 @@ CHAT_PREFERENCES = """
 WITH src AS (SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
 newest AS (SELECT conv_id, max(turn) AS last_turn FROM src WHERE role = 'assistant' GROUP BY conv_id),
 older AS (
-    SELECT s.conv_id, arg_max_null(s.text, s.turn) AS before
+    SELECT s.conv_id, first(s.text ORDER BY s.turn DESC, s.text DESC NULLS LAST) AS before
     FROM src s JOIN newest n ON n.conv_id = s.conv_id AND s.turn < n.last_turn WHERE s.role = 'assistant' GROUP BY s.conv_id
 ),
 sides AS (

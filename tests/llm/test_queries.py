@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import pytest
 
 import corpus_pipeline
@@ -153,6 +154,17 @@ def test_pipeline(spark, sf_dir):
     assert all(r.size == len(WORDS.findall(texts[r.doc_id] or "")) and 0 <= r.taken <= 2 * r.size for r in out)
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet/*.parquet'")
+    want = con.execute(queries.ORACLE_SQL[name])
+    columns = [c[0] for c in want.description]
+    got = queries.QUERIES[name](spark, sf_dir).select(*columns).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall()))
+
+
 def test_columns_that_clash(spark):
     rows = [(k, prose(1, 40) if k % 2 else f"{prose(k, 20)} {ITEM}", "s", 1, 1, 1, 1, 1) for k in range(4)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, gone int, _gone int, _bad int, _text int, _copy int")
