@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BROADCAST_IDS = 100_000
@@ -61,3 +61,33 @@ def fold(doc_id: Column, n: int) -> Column:
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+BROADCAST_BYTES = 32 << 20
+CELL_BLOCKS = 64
+
+
+def meet(blocks: DataFrame, queries: DataFrame, group: str, size: str) -> DataFrame:
+    """Every row of blocks with every row of queries: both are blocks of bounded size, and ``group`` numbers those of queries.
+
+    Where the queries' blocks (``size`` has their bytes) take up to BROADCAST_BYTES together, they are sent to all tasks and no
+    block moves.  Else both are dealt to the cells of a grid of groups and of some CELL_BLOCKS blocks each, so that a cell's size
+    doesn't grow with either table.
+    """
+    n, total = queries.agg(F.max(group), F.sum(size)).first()
+    groups = F.explode(F.sequence(F.lit(0), F.lit(n or 0))).alias(group)
+    if (total or 0) <= BROADCAST_BYTES:
+        return blocks.select(*blocks.columns, groups).join(F.broadcast(queries.drop(size)), group)
+    lanes = max(1, blocks.count() // CELL_BLOCKS)
+    dealt = blocks.withColumn("_lane", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(lanes)).cast("int"))
+    copied = queries.drop(size).withColumn("_lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    return dealt.select(*blocks.columns, "_lane", groups).join(copied.hint("shuffle_hash"), [group, "_lane"]).drop("_lane")
+
+
+def best_of_each(rows: DataFrame, by: list[str], order: list, n: int, rank: str) -> DataFrame:
+    """The first n different rows of each group by ``order``, with their ``rank`` from 1; rows that agree in the order are one.
+
+    Spark keeps only the first n of a group in each task before it shuffles them.
+    """
+    placed = rows.withColumn(rank, F.dense_rank().over(Window.partitionBy(*by).orderBy(*order)))
+    return placed.where(F.col(rank) <= n).dropDuplicates([*by, rank])

@@ -167,4 +167,26 @@ SELECT d.doc_id, d.size, a.words AS source_size, a.target, coalesce(t.taken, 0):
 FROM sized d JOIN aimed a USING (skey) LEFT JOIN takes t USING (doc_id)
 """
 
-SQL = {"op1_ngram_jaccard": NGRAM_JACCARD, "op4_chat_preferences": CHAT_PREFERENCES, "op5_url_filter": URL_FILTER, "op10_mixing": MIXING}
+HARD_NEGATIVES = """
+WITH base AS MATERIALIZED (
+    SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: greatest(least(floor(256 * x::DOUBLE), 8388607), -8388607)) AS e
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+),
+scored AS MATERIALIZED (
+    SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score
+    FROM base a JOIN base b ON b.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0
+),
+positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, (row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id))::INTEGER AS rank,
+    s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same AND 100 * s.score BETWEEN 30 * p.positive_score AND 90 * p.positive_score
+QUALIFY rank <= 10
+"""
+
+SQL = {"op1_ngram_jaccard": NGRAM_JACCARD, "op4_chat_preferences": CHAT_PREFERENCES, "op5_url_filter": URL_FILTER, "op10_mixing": MIXING, "op12_hard_negatives": HARD_NEGATIVES}
