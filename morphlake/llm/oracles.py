@@ -167,6 +167,30 @@ SELECT d.doc_id, d.size, a.words AS source_size, a.target, coalesce(t.taken, 0):
 FROM sized d JOIN aimed a USING (skey) LEFT JOIN takes t USING (doc_id)
 """
 
+LEXICAL_SEARCH = r"""
+WITH given AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+    FROM documents
+),
+total AS MATERIALIZED (SELECT count(*) FILTER (len(t) > 0) AS n_docs, sum(len(t))::BIGINT AS n_terms FROM given),
+docs AS MATERIALIZED (SELECT r, doc_id, t, 25 + (75 * len(t) * n_docs) // n_terms AS m FROM given, total WHERE len(t) > 0),
+items AS MATERIALIZED (SELECT row_number() OVER () AS i, item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+asked AS MATERIALIZED (
+    SELECT i, item_id, term, count(*) AS often
+    FROM (
+        SELECT i, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM items
+    ) GROUP BY ALL
+),
+counts AS MATERIALIZED (SELECT r, doc_id, m, term, count(*) AS tf FROM (SELECT r, doc_id, m, unnest(t) AS term FROM docs) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2.0::DOUBLE * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM counts GROUP BY term), total),
+scored AS (
+    SELECT i, item_id, r, doc_id, sum(often * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+    FROM asked JOIN weights USING (term) JOIN counts USING (term) GROUP BY ALL
+)
+SELECT item_id, (row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST))::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10
+"""
+
 HARD_NEGATIVES = """
 WITH base AS MATERIALIZED (
     SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
@@ -189,4 +213,4 @@ FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same AND 1
 QUALIFY rank <= 10
 """
 
-SQL = {"op1_ngram_jaccard": NGRAM_JACCARD, "op4_chat_preferences": CHAT_PREFERENCES, "op5_url_filter": URL_FILTER, "op10_mixing": MIXING, "op12_hard_negatives": HARD_NEGATIVES}
+SQL = {"op1_ngram_jaccard": NGRAM_JACCARD, "op4_chat_preferences": CHAT_PREFERENCES, "op5_url_filter": URL_FILTER, "op10_mixing": MIXING, "op11_lexical_search": LEXICAL_SEARCH, "op12_hard_negatives": HARD_NEGATIVES}

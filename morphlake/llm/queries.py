@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, chat, decontaminate, hard_negatives, language_model, mixing, ngram_join, oracles, pii, quality, toxicity, urls
+from . import audio, chat, decontaminate, hard_negatives, language_id, language_model, lexical_search, mixing, ngram_join, oracles, pii, quality, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": ngram_join.query,
@@ -19,7 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": decontaminate.query,
     "op9_pii": pii.query,
     "op10_mixing": mixing.query,
+    "op11_lexical_search": lexical_search.query,
     "op12_hard_negatives": hard_negatives.query,
+    "op13_language_id": language_id.query,
 }
 
 ORACLE_SQL: dict[str, str] = oracles.SQL

@@ -20,6 +20,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Bytes outside of search terms: ASCII but letters and digits.
+NO_TERM = np.ones(256, dtype=bool)
+NO_TERM[48:58] = NO_TERM[65:91] = NO_TERM[97:123] = NO_TERM[128:] = False
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -58,6 +61,12 @@ class Block:
     data: np.ndarray  # bytes of all the texts, one after another
     bounds: np.ndarray  # n + 1 offsets into data
 
+    def parts(self, most: int) -> Iterator[Block]:
+        """The block in parts of up to so many texts."""
+        for low in range(0, self.n, most):
+            bounds = self.bounds[low : min(low + most, self.n) + 1]
+            yield Block(self.first + low, len(bounds) - 1, self.data[bounds[0] : bounds[-1]], bounds - bounds[0])
+
 
 def blocks(texts: pa.Array | pa.ChunkedArray, max_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
     """Cut a column of texts (null: empty) into blocks of about ``max_bytes``, at least one text each."""
@@ -86,10 +95,10 @@ class Words:
     lower: np.ndarray  # the block's bytes in lower case
 
 
-def words(block: Block) -> Words:
-    """All words of a block, in order."""
+def words(block: Block, outside: np.ndarray = _SPACE) -> Words:
+    """All words of a block, in order: the longest runs of bytes that ``outside`` doesn't have."""
     lower = _LOWER[block.data]
-    inside = ~_SPACE[lower]
+    inside = ~outside[lower]
     n = len(lower)
     if not n:
         none = np.zeros(0, dtype=np.int64)
