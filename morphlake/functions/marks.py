@@ -57,15 +57,38 @@ def requested(features: list[str] | tuple[str, ...]) -> list[str]:
     return sorted(out - set(IGNORED))
 
 
+#: The bit of each feature in a set of features as one number.
+BITS = {feature: k for k, feature in enumerate(f for f in FEATURES if f not in IGNORED)}
+
+
+def bits(features: list[str]) -> int:
+    """The set of these features."""
+    return sum(1 << BITS[f] for f in features)
+
+
+def mask(of_tag: Column) -> Column:
+    """The set of an array of features; null for null."""
+    place = F.create_map(*[F.lit(x) for f, k in BITS.items() for x in (f, 1 << k)])
+    return F.aggregate(of_tag, F.lit(0).cast("long"), lambda m, a: m.bitwiseOR(F.element_at(place, a)))
+
+
+def request_mask(features: Column) -> Column:
+    """The set that an array of features asks for; raises an error on an unknown one."""
+    spec = F.replace(F.array_join(features, "-"), F.lit("_"), F.lit("-"))
+    wanted = mask(atoms(spec))
+    return F.when(wanted.isNotNull(), wanted).when(features.isNotNull(), F.raise_error(F.concat(F.lit("unknown feature in '"), spec, F.lit("'"))).cast("long"))
+
+
 def satisfies(of_row: Column, request: Column) -> Column:
-    """The row has all requested features; ``nogr`` asks for a row without ``gr``."""
-    wanted = F.filter(request, lambda a: a != "nogr")
-    return (F.size(F.array_except(wanted, of_row)) == 0) & ~(F.array_contains(request, "nogr") & F.array_contains(of_row, "gr"))
+    """The row's set has all requested features; ``nogr`` asks for a row without ``gr``."""
+    has = lambda m, f: m.bitwiseAND(F.lit(bits([f]))) != 0
+    wanted = request.bitwiseAND(F.lit(~bits(["nogr"])))
+    return (of_row.bitwiseAND(wanted) == wanted) & ~(has(request, "nogr") & has(of_row, "gr"))
 
 
 def distance(a: Column, b: Column) -> Column:
-    """Size of the symmetric difference."""
-    return F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
+    """Size of the symmetric difference of two sets."""
+    return F.bit_count(a.bitwiseXOR(b))
 
 
 def by_tag(rows: DataFrame, predicate: Callable[[str], bool]) -> Callable[[Column], Column]:

@@ -13,35 +13,56 @@ from morphlake.operators.lookups import Lexicon, basic, lookup, ranked, visible_
 from morphlake.schema import AUGMENTED, BASIC, GENDERS
 
 CASES = {"NF": "nominative", "ÞF": "accusative", "ÞGF": "dative", "EF": "genitive"}
+#: What a row of a table of case requests may say besides the word; null class, lemma and id are no conditions.
+CASE_OPTIONS = {"case": "string", "singular": "boolean", "indefinite": "boolean", "all_forms": "boolean", "class": "string", "lemma": "string", "id": "int"}
 
 
-def lookup_case(words: DataFrame, lexicon: Lexicon, case: str, singular: bool = False, indefinite: bool = False, all_forms: bool = False, cat: str | None = None, lemma: str | None = None, bin_id: int | None = None, keep: Callable[[Column], Column] | None = None) -> DataFrame:
+def plain_tags(lexicon: Lexicon) -> DataFrame:
+    """(_mark, _number, _definite, _plain): what remains of each distinct tag under each of the four options."""
+    either = F.array(F.lit(False), F.lit(True))
+    tags = lexicon.rows.select(lexicon.raw("mark").alias("_mark")).distinct()
+    each = tags.withColumn("_number", F.explode(either)).withColumn("_definite", F.explode(either))
+    return each.withColumn("_plain", simplify(F.col("_mark"), F.col("_number"), F.col("_definite")))
+
+
+def case_rows(asked: DataFrame, lexicon: Lexicon, keep: Callable[[Column], Column] | None = None) -> DataFrame:
+    """asked with the rows in the case that belong to each of its requests: the columns CASE_OPTIONS and w, and any others.
+
+    The result has asked's columns, ``raw_class``, and the six basic fields; a request's rows may be repeated.
+    """
+    tags = F.broadcast(plain_tags(lexicon))
+    number, definite = F.col("singular") | F.col("all_forms"), F.col("indefinite") | F.col("all_forms")
+    one = lexicon.rows.select(F.col("bmynd").alias("_form"), F.col("bin_id").alias("_id"), F.col("ord").alias("_ord"), lexicon.raw("ofl").alias("_ofl"), lexicon.raw("mark").alias("_mark")).distinct()
+    in_class = F.col("class").isNull() | F.when(F.col("class") == "no", F.col("_ofl").isin(*GENDERS)).otherwise(F.col("_ofl") == F.col("class"))
+    same = (F.col("lemma").isNull() | (F.col("_ord") == F.col("lemma"))) & (F.col("id").isNull() | (F.col("_id") == F.col("id")))
+    source = asked.join(one, F.col("w") == F.col("_form")).where(in_class & same).withColumns({"_number": number, "_definite": definite})
+    source = source.join(tags, ["_mark", "_number", "_definite"]).drop("_form", "_mark").withColumnRenamed("_plain", "_like")
+    rows = lexicon.rows.select(*BASIC, lexicon.raw("ofl").alias("raw_class"), lexicon.raw("mark").alias("_mark")).distinct()
+    rows = rows if lexicon.compatible else rows.where(F.col("bin_id") < lexicon.first_local_id)
+    rows = rows if keep is None else rows.where(keep(F.col("_mark")))
+    mark = F.col("_mark")
+    has = lambda part: F.contains(mark, F.lit(part))
+    both = source.join(rows, (F.col("_id") == F.col("bin_id")) & (F.col("_ord") == F.col("ord")) & (F.col("_ofl") == F.col("raw_class"))).where(F.contains(mark, F.col("case")))
+    both = both.where(F.col("all_forms") | ((~F.col("singular") | has("ET")) & (~F.col("indefinite") | ~(has("gr") | has("FVB") | has("EVB")))))
+    alike = both.join(tags, ["_mark", "_number", "_definite"]).where("_plain = _like")
+    return alike.select(*asked.columns, "raw_class", *BASIC)
+
+
+def case_requests(words: DataFrame, **given) -> DataFrame:
+    """words with all of CASE_OPTIONS: as columns of words, or else by the arguments."""
+    return words.withColumns({name: F.lit(given.get(name, False if kind == "boolean" else None)).cast(kind) for name, kind in CASE_OPTIONS.items() if name not in words.columns})
+
+
+def lookup_case(words: DataFrame, lexicon: Lexicon, case: str | None = None, singular: bool = False, indefinite: bool = False, all_forms: bool = False, cat: str | None = None, lemma: str | None = None, bin_id: int | None = None, keep: Callable[[Column], Column] | None = None) -> DataFrame:
     """(w, the six basic fields): rows of the same id, lemma and class in the case whose tag is otherwise the source's.
 
     singular and indefinite restrict the result and leave number or definiteness out of the comparison; all_forms leaves
-    both out and restricts nothing.
+    both out and restricts nothing.  words may be a table of requests with any of the columns case (NF, ÞF, ÞGF or EF),
+    singular, indefinite, all_forms, class, lemma and id, in place of the arguments; the result then has them too.
     """
-    source = lexicon.rows
-    if cat is not None:
-        source = source.where(F.col("ofl").isin(*(GENDERS if cat == "no" else (cat,))))
-    if lemma is not None:
-        source = source.where(F.col("ord") == lemma)
-    if bin_id is not None:
-        source = source.where(F.col("bin_id") == bin_id)
-    number, definite = singular or all_forms, indefinite or all_forms
-    plain = lambda: simplify(F.col("mark"), number, definite)
-    target = lexicon.rows.where(F.contains("mark", F.lit(case)))
-    if singular and not all_forms:
-        target = target.where(F.contains("mark", F.lit("ET")))
-    if indefinite and not all_forms:
-        target = target.where(~F.contains("mark", F.lit("gr")) & ~F.contains("mark", F.lit("FVB")) & ~F.contains("mark", F.lit("EVB")))
-    if keep is not None:
-        target = target.where(keep(F.col("mark")))
-    asked = words.select("w").distinct().join(source, F.col("w") == F.col("bmynd")).select("w", "bin_id", "ord", "ofl", plain().alias("_plain")).distinct()
-    out = asked.join(target.withColumn("_plain", plain()), ["bin_id", "ord", "ofl", "_plain"])
-    if not lexicon.compatible:
-        out = out.where(F.col("bin_id") < lexicon.first_local_id)
-    return out.select("w", *BASIC).distinct()
+    wanted = [x for x in CASE_OPTIONS if x in words.columns]
+    asked = case_requests(words.select("w", *wanted).distinct(), case=case, singular=singular, indefinite=indefinite, all_forms=all_forms, lemma=lemma, id=bin_id, **{"class": cat})
+    return case_rows(asked, lexicon, keep).select("w", *wanted, *BASIC).distinct()
 
 
 def lookup_forms(words: DataFrame, lexicon: Lexicon, cat: str, case: str) -> DataFrame:
@@ -49,9 +70,8 @@ def lookup_forms(words: DataFrame, lexicon: Lexicon, cat: str, case: str) -> Dat
     case = case.upper().replace("GR", "gr")
     if case not in CASES:
         return words.select("w").join(lexicon.rows.select(*BASIC), F.lit(False)).select("w", *BASIC)
-    found = lookup_case(words, lexicon, case, all_forms=True, cat=cat)
-    own = lexicon.rows.select("bin_id", F.col("ord").alias("_lemma")).distinct()
-    return found.join(own, "bin_id").where(F.col("_lemma") == F.col("w")).drop("_lemma").select("w", *BASIC)
+    asked = words.select("w").distinct().withColumn("lemma", F.col("w"))
+    return lookup_case(asked, lexicon, case, all_forms=True, cat=cat).select("w", *BASIC)
 
 
 def raw_nominative(words: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -69,15 +89,18 @@ def preference_score(rows: DataFrame, preferences: DataFrame) -> DataFrame:
     return out.withColumn("score", F.coalesce("_score", F.lit(0))).drop("_form", "_gender", "_score")
 
 
-def cast(words: DataFrame, lexicon: Lexicon, case: str, preferences: DataFrame, keep: Callable[[Column], Column] | None = None, order: list[Column] | None = None, **options) -> DataFrame:
+def cast(words: DataFrame, lexicon: Lexicon, case: str | None, preferences: DataFrame, keep: Callable[[Column], Column] | None = None, order: list[Column] | None = None, **options) -> DataFrame:
     """(w, result): each word in the case, or as it is where that can't be said.
 
     The word is read as an adjective if any of its nominative entries is one, else as the noun (or pronoun, numeral, article)
     with the best preference score.  The form has the reading's number and an adjective's definiteness, and the word's
     letter case.  A compound's last part is cast and its other parts stay; a capitalised noun without such a form is cast
     in lower case.  keep filters the forms by their tags, order comes before their usual order; options are those of lookup.
+    With case None, words has a column case, which the result has too: each word is looked up once for all its cases.
     """
-    found = basic(lookup(words, lexicon, **options)).where(F.contains("mark", F.lit("NF")) & F.col("ofl").isin("lo", *GENDERS, "fn", "pfn", "to", "gr"))
+    asked = words.select("w", *(["case"] if case is None else [])).distinct()
+    asked = asked if case is None else asked.withColumn("case", F.lit(case))
+    found = basic(lookup(asked, lexicon, **options)).where(F.contains("mark", F.lit("NF")) & F.col("ofl").isin("lo", *GENDERS, "fn", "pfn", "to", "gr"))
     entry = F.struct("bmynd", "ord", "ofl", "mark")
     is_adjective = F.col("ofl") == "lo"
     chosen = preference_score(found, preferences).groupBy("w").agg(F.min_by(F.when(is_adjective, entry), F.when(is_adjective, F.col("rank"))).alias("_a"), F.min_by(F.when(~is_adjective, entry), F.when(~is_adjective, F.struct(-F.col("score"), F.col("rank")))).alias("_n"))
@@ -89,19 +112,19 @@ def cast(words: DataFrame, lexicon: Lexicon, case: str, preferences: DataFrame,
     chosen = chosen.select(
         "_w",
         F.when(split, F.replace(before_last(F.col("bmynd"), "-"), F.lit("-"), F.lit(""))).otherwise("").alias("_prefix"),
-        F.when(split, after_last(F.col("ord"), "-")).otherwise(F.col("ord")).alias("_lemma"),
-        F.col("ofl").alias("_class"),
+        F.when(split, after_last(F.col("ord"), "-")).otherwise(F.col("ord")).alias("lemma"),
+        F.col("ofl").alias("class"),
         F.col("mark").alias("_tag"),
         F.explode(F.filter(F.array(F.struct(F.lit(0).alias("retry"), own.alias("w")), F.struct(F.lit(1).alias("retry"), lower.alias("w"))), lambda k: k["w"].isNotNull())).alias("_k"),
-    ).select("*", "_k.*")
-    cased = lookup_case(chosen.select("w"), lexicon, case)
-    fits = chosen.join(cased, "w").where((F.col("ord") == F.col("_lemma")) & (F.col("ofl") == F.col("_class")))
-    fits = fits.withColumn("_try", F.min("retry").over(Window.partitionBy("_w"))).where("retry = _try")
+    )
+    cases = asked.select(F.col("w").alias("_w"), "case")
+    fits = case_rows(case_requests(chosen.join(cases, "_w").select("*", "_k.*").drop("_k")), lexicon)
+    fits = fits.withColumn("_try", F.min("retry").over(Window.partitionBy("_w", "case"))).where("retry = _try")
     has = lambda c, part: F.contains(c, F.lit(part))
     alike = lambda one, two: F.when(has("_tag", one), has("mark", one)).when(has("_tag", two), has("mark", two)).otherwise(True)
-    fits = fits.where(alike("ET", "FT") & ((F.col("_class") != "lo") | alike("VB", "SB")))
+    fits = fits.where(alike("ET", "FT") & ((F.col("class") != "lo") | alike("VB", "SB")))
     if keep is not None:
         fits = fits.where(keep(F.col("mark")))
     full = fits.withColumns({c: F.lit(1 if c in ("einkunn", "beinkunn") else 0 if c == "millivisun" else "") for c in AUGMENTED if c not in BASIC})
-    best = ranked(full, lexicon, ["_w"], order).where("rank = 1").select(F.col("_w").alias("w"), F.concat("_prefix", "bmynd").alias("_cast"))
-    return words.select("w").distinct().join(best, "w", "left").select("w", F.coalesce(like_case(F.col("_cast"), F.col("w")), F.col("w")).alias("result"))
+    best = ranked(full, lexicon, ["_w", "case"], order).where("rank = 1").select(F.col("_w").alias("w"), "case", F.concat("_prefix", "bmynd").alias("_cast"))
+    return asked.join(best, ["w", "case"], "left").select("w", *(["case"] if case is None else []), F.coalesce(like_case(F.col("_cast"), F.col("w")), F.col("w")).alias("result"))

@@ -4,15 +4,11 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from morphlake.operators.lookups import Lexicon
-
-# Registers that lower an entry's rank, and what verb tags add to it.
-LOW_REGISTERS = ("URE", "SJALD", "VILLA", "GAM")
-VERB_PENALTIES = (("VH", 4), ("ÞT", 2), ("FT", 1), ("2P", 1))
-
+from morphlake.storage import stored
 
 def without_deletions(rows: DataFrame, deletions: DataFrame) -> DataFrame:
     return rows.join(deletions.select("ord", "ofl", "hluti"), ["ord", "ofl", "hluti"], "left_anti").select(*rows.columns)
@@ -31,23 +27,7 @@ def corrected(rows: DataFrame, errata: DataFrame) -> DataFrame:
     return out.withColumn("hluti", F.coalesce("_h", "hluti")).drop("_o", "_c", "_h")
 
 
-def compatible_view(lexicon: Lexicon, deletions: DataFrame, errata: DataFrame) -> Lexicon:
-    return replace(lexicon, rows=corrected(recode(without_deletions(lexicon.rows, deletions)), errata), compatible=True)
-
-
-def preferred_stems(found: DataFrame, preferences: DataFrame) -> DataFrame:
-    """Without the entries whose lemma is a worse one for the word."""
-    worse = preferences.select(F.col("form").alias("w"), F.explode("worse").alias("ord"))
-    return found.join(worse, ["w", "ord"], "left_anti").select(*found.columns)
-
-
-def priority():
-    """The smaller, the earlier: constructed, incorrect and low entries come late, and some verb forms."""
-    low = F.col("malsnid").isin(*LOW_REGISTERS).cast("int") + F.col("bmalsnid").isin(*LOW_REGISTERS).cast("int")
-    verb = sum((F.when(F.contains("mark", F.lit(part)), n).otherwise(0) for part, n in VERB_PENALTIES), F.lit(0))
-    return (F.col("bin_id") == 0).cast("int") + (F.col("einkunn") != 1).cast("int") + low + F.when(F.col("ofl") == "so", verb).otherwise(0)
-
-
-def by_priority(found: DataFrame) -> DataFrame:
-    """rank anew: by priority, and else as before."""
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("w").orderBy(priority(), "rank")))
+def compatible_view(lexicon: Lexicon, deletions: DataFrame, errata: DataFrame, preferences: DataFrame | None = None) -> Lexicon:
+    """The view: lookups see recoded rows without the deleted ones, filters their raw class and tag, and lemmas that a form's preferences call worse are no entries of the form."""
+    rows = without_deletions(lexicon.rows, deletions).withColumns({"raw_ofl": F.col("ofl"), "raw_mark": F.col("mark")})
+    return replace(lexicon, rows=stored(corrected(recode(rows), errata)), compatible=True, preferences=preferences)

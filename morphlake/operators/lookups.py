@@ -32,7 +32,12 @@ class Lexicon:
     mark_order: DataFrame  # ofl, mark, pos
     template: DataFrame | None = None  # ending, mark, seq
     parts: DataFrame | None = None  # part, is_prefix, is_suffix
-    compatible: bool = False  # the compatibility view: nothing is hidden by id or origin
+    compatible: bool = False  # the compatibility view: nothing is hidden by id or origin, and rows have raw_ofl and raw_mark too
+    preferences: DataFrame | None = None  # form, worse: lemmas that lookups of a form leave out
+
+    def raw(self, name: str) -> Column:
+        """The class or tag that filters see; the compatibility view shows others."""
+        return F.col(f"raw_{name}" if self.compatible else name)
 
 
 def penalty() -> Column:
@@ -51,6 +56,32 @@ def visible_basic(lexicon: Lexicon) -> DataFrame:
     return lexicon.rows if lexicon.compatible else lexicon.rows.where(F.col("bin_id") < lexicon.first_local_id)
 
 
+def form_rows(lexicon: Lexicon) -> DataFrame:
+    """The rows that lookups of a form may find, suffix rows too; in the compatibility view with their priority as ``prio``."""
+    rows = visible(lexicon)
+    if lexicon.preferences is not None:
+        worse = lexicon.preferences.select(F.col("form").alias("bmynd"), F.explode("worse").alias("ord"))
+        rows = rows.join(worse, ["bmynd", "ord"], "left_anti")
+    return rows.withColumn("prio", priority()) if lexicon.compatible else rows
+
+
+def extra_of(lexicon: Lexicon) -> tuple[str, ...]:
+    """The columns that form lookups give besides the fields."""
+    return ("prio",) if lexicon.compatible else ()
+
+
+# Registers that lower an entry's rank in the compatibility view, and what verb tags add to it.
+LOW_REGISTERS = ("URE", "SJALD", "VILLA", "GAM")
+VERB_PENALTIES = (("VH", 4), ("ÞT", 2), ("FT", 1), ("2P", 1))
+
+
+def priority() -> Column:
+    """The smaller, the earlier: constructed, incorrect and low entries come late, and some verb forms."""
+    low = F.col("malsnid").isin(*LOW_REGISTERS).cast("int") + F.col("bmalsnid").isin(*LOW_REGISTERS).cast("int")
+    verb = sum((F.when(F.contains("mark", F.lit(part)), n).otherwise(0) for part, n in VERB_PENALTIES), F.lit(0))
+    return (F.col("bin_id") == 0).cast("int") + (F.col("einkunn") != 1).cast("int") + low + F.when(F.col("ofl") == "so", verb).otherwise(0)
+
+
 def without_suffix_rows(rows: DataFrame) -> DataFrame:
     return rows.where("birting <> 'S'")
 
@@ -88,10 +119,11 @@ def lemma_forms(ids: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def ranked(rows: DataFrame, lexicon: Lexicon, by: list, first: list | None = None) -> DataFrame:
-    """Add ``rank`` within ``by``: correct forms first, then id, the tag's place in its class, and all other fields."""
+    """Add ``rank`` within ``by``: correct forms first (not in the compatibility view), then id, the tag's place in its class, and all other fields."""
     pos = lexicon.mark_order.select(F.col("ofl").alias("_ofl"), F.col("mark").alias("_mark"), F.col("pos").alias("_pos"))
     out = rows.join(F.broadcast(pos), (F.col("ofl") == F.col("_ofl")) & (F.col("mark") == F.col("_mark")), "left")
-    order = [*(first or []), penalty(), "bin_id", F.coalesce("_pos", F.lit(9999)), "ofl", "bmynd", "mark", "ord", "hluti", *EXTRA]
+    grade = [] if lexicon.compatible else [penalty()]
+    order = [*(first or []), *grade, "bin_id", F.coalesce("_pos", F.lit(9999)), "ofl", "bmynd", "mark", "ord", "hluti", *EXTRA]
     return out.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).drop("_ofl", "_mark", "_pos")
 
 
@@ -102,26 +134,37 @@ def lookup_id(ids: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def base_plan(lexicon: Lexicon) -> Callable[[DataFrame], DataFrame]:
-    """The plan that looks up keys (w, key, ...): an equi-join with the rows that form lookups see."""
-    rows = without_suffix_rows(visible(lexicon))
-    return lambda keys: keys.join(rows, F.col("key") == F.col("bmynd")).select(*keys.columns, *AUGMENTED)
+    """The plan that looks up keys (key, ...): an equi-join with the rows that form lookups see."""
+    rows = without_suffix_rows(form_rows(lexicon))
+    return lambda keys: keys.join(rows, F.col("key") == F.col("bmynd")).select(*keys.columns, *AUGMENTED, *extra_of(lexicon))
+
+
+#: The options that words may have in columns.
+FLAGS = ("at_sentence_start", "auto_uppercase")
+
+
+def requests(words: DataFrame, at_sentence_start: bool = False, auto_uppercase: bool = False, more: tuple[str, ...] = ()) -> DataFrame:
+    """(q, w): the distinct requests.  q has the word, its options (a column of words, or else the given value) and the columns ``more``."""
+    given = {"at_sentence_start": at_sentence_start, "auto_uppercase": auto_uppercase}
+    flags = [(F.coalesce(F.col(x), F.lit(False)) if x in words.columns else F.lit(given[x])).alias(x) for x in FLAGS]
+    return words.select(F.struct("w", *flags, *more).alias("q")).distinct().select("q", F.col("q.w").alias("w"))
 
 
 def constructed(template: DataFrame, **fields) -> DataFrame:
-    """Rows of constructed entries: (w, key, step) with the given fields and the defaults of the others."""
+    """Rows of constructed entries: (q, key, step) with the given fields and the defaults of the others."""
     as_col = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return template.select("w", "key", "step", *[as_col((CONSTRUCTED | fields)[c]).alias(c) for c in AUGMENTED])
+    return template.select("q", "written", "step", *[as_col((CONSTRUCTED | fields)[c]).alias(c) for c in AUGMENTED]).withColumnRenamed("written", "key")
 
 
 def legur_rows(keys: DataFrame, template: DataFrame) -> DataFrame:
-    """Entries of adjectives in -legur that no lexicon row has, for keys (w, key, step) with key in lower case.
+    """Entries of adjectives in -legur that no lexicon row has, for keys (q, written, key, step) with key in lower case.
 
     Every template row whose ending is a proper end of the word gives one: the word's ends are joined with the endings.
     """
     asked = keys.where(F.contains("key", F.lit("leg")))
-    longest = template.agg(F.max(F.length("ending"))).first()[0] or 0
-    ends = F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("key") - 1, F.lit(longest))), lambda n: F.right("key", n)))
-    found = asked.where(F.length("key") > 1).withColumn("ending", ends).join(template, "ending")
+    sizes = F.array_distinct(F.transform(F.array(*[F.lit(r[0]) for r in template.select("ending").distinct().collect()] or [F.lit("")]), F.length))
+    ends = F.explode(F.transform(F.filter(sizes, lambda n: (n > 0) & (n < F.length("key"))), lambda n: F.right("key", n)))
+    found = asked.withColumn("ending", ends).join(F.broadcast(template), "ending")
     stem = F.left("key", F.length("key") - F.length("ending"))
     adjectives = constructed(found, ord=F.concat(stem, F.lit("legur")), bin_id=0, ofl="lo", hluti="alm", bmynd=F.col("key"), mark=F.col("mark"))
     adverbs = constructed(asked.where(F.col("key").endswith("lega") & (F.length("key") > 4)), ord=F.col("key"), bin_id=0, ofl="ao", hluti="alm", bmynd=F.col("key"), mark="OBEYGJANLEGT")
@@ -143,83 +186,99 @@ def cascade(
     legur: bool = True,
     replace_z: bool = True,
     extra: tuple[str, ...] = (),
+    more: tuple[str, ...] = (),
+    last_step: int = 7,
 ) -> DataFrame:
-    """(w, key, stage, source, fields): the entries of the first stage that has any.
+    """(q, key, stage, source, fields): the entries of the first stage that has any.
 
     Stages: 1 as written, 2 capitalised, 3 lower case, 4 the -legur template, 5 compounds, 6 negation by ó-, 7 z for s: the
     stages once more for the other spelling.  At the start of a sentence a word's entries in lower case come before its
     own; with auto_uppercase those of a capitalised word do, and its spelling becomes the key.  There, a single letter that
-    isn't found is read as an abbreviation.  extra: more columns that base and compounds give; constructed rows have null.
+    isn't found is read as an abbreviation.  Both options may be columns of words, one for each row.  q is a request (see
+    ``requests``), with the columns ``more`` of words for base and compounds to read.  extra: more columns that these give;
+    constructed rows have null.  last_step: later stages are left out.
     """
-    w = F.col("w")
-    single = is_lower(w) & (F.length("w") == 1) if auto_uppercase else F.lit(False)
-    other = F.replace(F.replace("w", F.lit("tzt"), F.lit("st")), F.lit("z"), F.lit("s"))
-    asked = stored(words.select("w").distinct()).withColumn("v", F.when(F.contains("w", F.lit("z")) & ~single, other))
+    w, start, upper = F.col("q.w"), F.col("q.at_sentence_start"), F.col("q.auto_uppercase")
+    single = upper & is_lower(w) & (F.length(w) == 1)
+    other = F.replace(F.replace(w, F.lit("tzt"), F.lit("st")), F.lit("z"), F.lit("s"))
+    replace_z, negation = replace_z and last_step >= 7, negation and last_step >= 6
+    asked = requests(words, at_sentence_start, auto_uppercase, more).select("q").withColumn("v", F.when(F.contains(w, F.lit("z")) & ~single, other) if replace_z else F.lit(None).cast("string"))
+    asked = stored(asked)
     given = lambda step, spelling, when: F.when(when, F.struct(F.lit(step).alias("step"), spelling.alias("key")))
 
     def spellings(x: Column, first: int) -> list[Column]:
         low = F.lower(x)
-        out = [given(first + 1, x, x.isNotNull()), given(first + 3, low, low != x)]
-        if auto_uppercase:
-            out.append(given(first + 2, capitalize(x), is_lower(x)))
+        out = [given(first + 1, x, x.isNotNull()), given(first + 3, low, low != x), given(first + 2, capitalize(x), upper & is_lower(x))]
         if negation:
             out.append(given(first + 6, F.substr(low, F.lit(2)), low.startswith("ó") & (F.length(x) > 1)))
         return out
 
-    wanted = spellings(w, 0) + (spellings(F.col("v"), AGAIN) if replace_z else [])
-    if auto_uppercase:
-        wanted.append(given(3, F.concat(w, F.lit(".")), single))
-    keys = asked.select("w", "v", F.explode(F.filter(F.array(*wanted), lambda s: s.isNotNull())).alias("s")).select("w", "v", "s.step", "s.key")
+    wanted = [*spellings(w, 0), given(3, F.concat(w, F.lit(".")), single), *(spellings(F.col("v"), AGAIN) if replace_z else [])]
+    keys = asked.select("q", "v", F.explode(F.filter(F.array(*wanted), lambda s: s.isNotNull())).alias("s")).select("q", "v", "s.step", "s.key")
     negated = F.col("step").isin(6, AGAIN + 6)
     put_o = lambda c: F.when(negated, F.concat(F.lit("ó"), c)).otherwise(F.col(c))
     found = base(keys).where(~negated | (F.col("ofl") == "lo")).withColumns({"ord": put_o("ord"), "bmynd": put_o("bmynd"), "key": F.when(F.col("step") == 6, w).when(negated, F.col("v")).otherwise(F.col("key"))})
-    found = found.select("w", "key", "step", *AUGMENTED, *extra)
-    by = Window.partitionBy("w")
-    if auto_uppercase:
-        # A single letter: capitalised only beside entries of its own, as an abbreviation only without.
-        own = F.max(F.col("step") == 1).over(by)
-        found = found.withColumn("_own", own).where(~single | ((F.col("step") != 2) | F.col("_own")) & ((F.col("step") != 3) | ~F.col("_own"))).drop("_own")
-    if legur and lexicon.template is not None:
-        for step, x in [(4, w)] + ([(AGAIN + 4, F.col("v"))] if replace_z else []):
-            rows = legur_rows(asked.where(x.isNotNull()).select("w", F.lower(x).alias("key"), F.lit(step).alias("step")), lexicon.template)
-            found = found.unionByName(rows.join(asked, "w").withColumn("key", x).select("w", "key", "step", *AUGMENTED) if step > AGAIN else rows.withColumn("key", x), allowMissingColumns=True)
-    if compounds is not None:
+    found = found.select("q", "key", "step", *AUGMENTED, *extra)
+    if legur and lexicon.template is not None and last_step >= 4:
+        written = F.array(F.struct(F.lit(4).alias("step"), w.alias("written")), *([F.struct(F.lit(AGAIN + 4).alias("step"), F.col("v").alias("written"))] if replace_z else []))
+        tries = asked.select("q", F.explode(F.filter(written, lambda t: t["written"].isNotNull())).alias("t")).select("q", "t.step", "t.written", F.lower("t.written").alias("key"))
+        found = found.unionByName(legur_rows(tries, lexicon.template), allowMissingColumns=True)
+    if compounds is not None and last_step >= 5:
         found = stored(found)
-        miss = asked.join(found.where("step < 5").select("w").distinct(), "w", "left_anti")
+        miss = asked.join(found.where("step < 5").select("q").distinct(), "q", "left_anti")
         forms = [F.struct(F.lit(5).alias("step"), w.alias("form"))] + ([F.when(F.col("v").isNotNull(), F.struct(F.lit(AGAIN + 5).alias("step"), F.col("v").alias("form")))] if replace_z else [])
-        forms = stored(miss.select("w", F.explode(F.filter(F.array(*forms), lambda f: f.isNotNull())).alias("f")).select("w", "f.step", "f.form"))
-        more = compounds(forms.select(F.col("form").alias("w")).distinct()).withColumnRenamed("w", "form").join(forms, "form")
-        found = found.unionByName(more.select(*found.columns))
+        forms = miss.select("q", F.explode(F.filter(F.array(*forms), lambda f: f.isNotNull())).alias("f")).select("q", "f.step", F.col("f.form").alias("w"))
+        found = found.unionByName(compounds(forms).select("q", "key", "step", *AUGMENTED, *extra))
+    # What the first stage of a request is, and which other rows belong to it, is told by its rows together.
+    by = Window.partitionBy("q")
+    step = F.col("step")
+    own = F.max(step == 1).over(by)  # a single letter: capitalised only beside entries of its own, as an abbreviation only without
+    found = found.withColumn("_own", own).where(~single | ((step != 2) | F.col("_own")) & ((step != 3) | ~F.col("_own")))
     found = found.withColumn("_best", F.min("step").over(by))
     later = F.col("_best") >= AGAIN
-    here = F.when(later, F.col("step") - AGAIN).otherwise(F.col("step"))
-    best = F.when(later, F.col("_best") - AGAIN).otherwise(F.col("_best"))
-    found = found.withColumns({"_here": here, "_first": best})
-    up = F.max(F.when(F.col("_here") == 2, F.col("key"))).over(by)
-    found = found.withColumn("_up", up if auto_uppercase else F.lit(None).cast("string"))
-    kept = F.col("_here") == F.col("_first")
-    if at_sentence_start:
-        kept = F.when(F.col("_first") == 1, F.col("_here").isin(1, 3)).otherwise(kept)
+    found = found.withColumns({"_here": F.when(later, step - AGAIN).otherwise(step), "_first": F.when(later, F.col("_best") - AGAIN).otherwise(F.col("_best"))})
+    found = found.withColumn("_up", F.max(F.when(F.col("_here") == 2, F.col("key"))).over(by))
+    kept = F.when(start & (F.col("_first") == 1), F.col("_here").isin(1, 3)).otherwise(F.col("_here") == F.col("_first"))
     kept = F.when(F.col("_up").isNotNull(), F.col("_here").isin(1, 2)).otherwise(kept)
     written = F.when(later, other).otherwise(w)
     key = F.when(F.col("_up").isNotNull(), F.col("_up")).when(F.col("_first") == 1, written).otherwise(F.col("key"))
     source = F.when((F.col("_here") == 2) | ((F.col("_here") == 3) & (F.col("_first") == 1)), -1).otherwise(0)
-    return found.where(kept).withColumns({"key": key, "stage": F.when(later, 7).otherwise(F.col("step")), "source": source}).select("w", "key", "stage", "source", *AUGMENTED, *extra)
+    return found.where(kept).withColumns({"key": key, "stage": F.when(later, 7).otherwise(step), "source": source}).select("q", "key", "stage", "source", *AUGMENTED, *extra)
+
+
+def opened(found: DataFrame, words: DataFrame, *columns: str) -> DataFrame:
+    """found with the word, and with those options that words has columns of, in place of the request."""
+    return found.select("q.w", *[f"q.{x}" for x in FLAGS if x in words.columns], *columns)
 
 
 def lookup(words: DataFrame, lexicon: Lexicon, add_compounds: bool = True, **options) -> DataFrame:
-    """(w, key, stage, rank, the fifteen fields) of every word that is found; options are those of the cascade."""
+    """(w, key, stage, rank, the fifteen fields) of every word that is found; options are those of the cascade.
+
+    at_sentence_start and auto_uppercase may be columns of words instead; the result then has them too.  In the compatibility
+    view the entries of each lookup stand by priority, else by correctness.
+    """
     from morphlake.operators.compounds import compound_plan  # it builds on this module
 
-    plan = compound_plan(lexicon, at_sentence_start=options.get("at_sentence_start", False)) if add_compounds and lexicon.parts is not None else None
-    found = cascade(words, lexicon, base_plan(lexicon), plan, **options)
-    return ranked(found, lexicon, ["w"], ["source"]).select("w", "key", "stage", "rank", *AUGMENTED)
+    extra = extra_of(lexicon)
+    plan = compound_plan(lexicon) if add_compounds and lexicon.parts is not None else None
+    found = cascade(words, lexicon, base_plan(lexicon), plan, extra=extra, **options)
+    return opened(ranked(found, lexicon, ["q"], ["source", *extra]), words, "key", "stage", "rank", *AUGMENTED)
+
+
+def lookup_tokens(tokens: DataFrame, lexicon: Lexicon, **options) -> DataFrame:
+    """tokens (w, at_sentence_start, auto_uppercase, ...) with the entries of each: every different request is looked up once."""
+    flags = [x for x in FLAGS if x in tokens.columns]
+    found = lookup(tokens, lexicon, **options).withColumnsRenamed({x: f"_{x}" for x in ("w", *flags)})
+    same = F.col("w") == F.col("_w")
+    for x in flags:
+        same &= F.coalesce(F.col(x), F.lit(False)) == F.col(f"_{x}")
+    return tokens.join(found, same).select(*tokens.columns, "key", "stage", "rank", *AUGMENTED)
 
 
 def lookup_exact(words: DataFrame, lexicon: Lexicon) -> DataFrame:
     """The entries of words as they are written, without any other stage."""
     found = base_plan(lexicon)(words.select("w", F.col("w").alias("key")).distinct())
-    return ranked(found.withColumn("stage", F.lit(1)), lexicon, ["w"]).select("w", "key", "stage", "rank", *AUGMENTED)
+    return ranked(found.withColumn("stage", F.lit(1)), lexicon, ["w"], list(extra_of(lexicon))).select("w", "key", "stage", "rank", *AUGMENTED)
 
 
 def basic(found: DataFrame) -> DataFrame:
@@ -251,7 +310,7 @@ def is_lemma_row() -> Column:
         canonical = F.when(ofl == k, mark == m).otherwise(canonical)
     canonical = F.when(ofl == "lo", mark.isin("FSB-KK-NFET", "KK-NFET")).when(ofl == "to", mark.startswith("KK_NF") | (mark == "OBEYGJANLEGT")).otherwise(canonical)
     own = (F.replace("ord", F.lit("-"), F.lit("")) == F.col("key")) & canonical
-    return ((ofl == "so") & F.contains(mark, F.lit("MM-NH"))) | own
+    return ((ofl == "so") & (mark == "MM-NH")) | own
 
 
 def lemma_entries(found: DataFrame) -> DataFrame:

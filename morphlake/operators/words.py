@@ -37,16 +37,22 @@ def wrap(entries: DataFrame) -> DataFrame:
     return entries.select(F.col("bmynd").alias("w"), F.col("bmynd").alias("key"), "ord", "hluti", "bmynd", "mark", "ofl", "bin_id")
 
 
-def format_words(firsts: DataFrame, lexicon: Lexicon, spec: str, class_: str) -> DataFrame:
-    """(w, result): words whose first entry is of the class, in the form that spec asks for.
+def format_words(firsts: DataFrame, lexicon: Lexicon, spec: str | None = None) -> DataFrame:
+    """(w, result): words in the form that spec asks for, from their first entries (w, bin_id, ofl, mark, ...).
 
-    A word without such a form stays as it is; an unknown feature raises ValueError.  Constructed forms lose their hyphens,
-    and the result takes the word's letter case.
+    Features are separated by hyphens or underscores.  firsts may have a column spec instead, which the result has too; an
+    empty or null one changes nothing, and an unknown feature is an error.  The variants are of the entry's class and id; an
+    entry that was constructed has no id, so only compounds of the word can give it.  A word without entry (its mark is
+    empty) or without such a form stays as it is; the result takes the word's letter case, and constructed forms lose their hyphens.
     """
-    requested((spec,))
-    mine = firsts.where(F.col("ofl") == class_)
-    found = lookup_variants(mine.select("w"), lexicon, class_, (spec,)).join(mine.select("w", F.col("bin_id").alias("_id")), "w").where((F.col("bin_id") == F.col("_id")) | (F.col("_id") == 0))
-    best = found.groupBy("w").agg(F.min_by(F.when(F.col("bin_id") == 0, F.replace("bmynd", F.lit("-"), F.lit(""))).otherwise(F.col("bmynd")), "rank").alias("form"))
+    if spec is not None:
+        requested((spec,))
+    more = ["spec"] if spec is None else []
+    asked = firsts.select("w", "bin_id", "ofl", "mark", (F.lit(spec) if spec is not None else F.coalesce("spec", F.lit(""))).alias("spec"))
+    features = F.transform(F.split("spec", "[-_]"), F.trim)
+    wishes = asked.where("mark <> '' and spec <> ''").select("w", "spec", F.col("ofl").alias("class"), F.col("bin_id").alias("id"), features.alias("features"), F.lit(None).cast("string").alias("lemma"))
+    found = lookup_variants(wishes.drop("spec"), lexicon).where("rank = 1").select("w", "class", "id", "features", "bmynd")
+    best = wishes.drop("lemma").join(found, ["w", "class", "id", "features"]).select("w", "spec", F.when(F.col("id") == 0, F.replace("bmynd", F.lit("-"), F.lit(""))).otherwise(F.col("bmynd")).alias("form"))
     model = F.col("w")
     form = F.when(is_upper(F.left(model, F.lit(1))), like_case(F.col("form"), model)).otherwise(F.lower("form"))
-    return mine.select("w").join(best, "w", "left").select("w", F.coalesce(form, model).alias("result"))
+    return asked.join(best, ["w", "spec"], "left").select("w", *more, F.coalesce(form, model).alias("result"))

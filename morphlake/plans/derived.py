@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from morphlake.functions.text import upper_first
 from morphlake.operators.lookups import Lexicon
 from morphlake.schema import AUGMENTED
+from morphlake.sources.lexicon_table import read_lexicon, write_lexicon
 from morphlake.storage import numbered, stored
 
 LETTERS = "a-zþæöðáéíóúý"
@@ -111,11 +112,11 @@ def lexicon(spark: SparkSession, sf_dir: str) -> Lexicon:
 
 
 def _make(spark: SparkSession, sf_dir: str) -> Lexicon:
-    rows = stored(_made_rows(spark, sf_dir))
-    last = rows.agg(F.max("bin_id")).first()[0] or 0
+    made = stored(_made_rows(spark, sf_dir))
+    last = made.agg(F.max("bin_id")).first()[0] or 0
     order = spark.createDataFrame(TAGS, "ofl string, mark string, pos int")
     template = spark.createDataFrame([(e, m, i) for i, (e, m) in enumerate(TEMPLATE)], "ending string, mark string, seq int")
-    return Lexicon(rows, last * 9 // 10 + 1, order, template, stored(parts(rows)))
+    return read_lexicon(spark, write_lexicon(made, order, last * 9 // 10 + 1, template), stored(parts(made)))
 
 
 def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:

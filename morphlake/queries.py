@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,69 +24,86 @@ ALL = ", ".join(AUGMENTED)
 FEW = ", ".join(BASIC)
 PENALTY = "(einkunn <> 1)::INT + (beinkunn <> 1)::INT"
 ORDER = f"{PENALTY}, bin_id, coalesce(pos, 9999), f.ofl, bmynd, f.mark, ord, hluti, einkunn, malsnid, malfraedi, millivisun, birting, beinkunn"
+ORDER_ALL = ORDER.removeprefix(f"{PENALTY}, ")
 POS = "LEFT JOIN mark_order m ON m.ofl = f.ofl AND m.mark = f.mark"
 MADE = "made(einkunn, malsnid, malfraedi, millivisun, birting, beinkunn, bmalsnid, bgildi, aukafletta, distance) AS (VALUES (1, '', '', 0, 'G', 1, '', '', '', NULL::INT))"
 #: What a spelling k is found as: rows of the lexicon, for the parts of compounds (suffix rows too) and elsewhere.
-PLAIN = f"rows_of AS MATERIALIZED (SELECT bmynd AS k, {ALL}, NULL::INT AS distance FROM shown)"
+PLAIN = f"rows_of AS MATERIALIZED (SELECT bmynd AS k, 0 AS r, {ALL}, NULL::INT AS distance FROM shown)"
 
 
 def _parts_sql(p: str, source: str) -> str:
-    """Tables p_cut (w, k, words, before, hyphen, core) and p_5 (w, key, fields) of the compounds of source (w, k)."""
+    """Tables p_cut (w, k, s, words, before, hyphen, core) and p_5 (w, key, fields) of the compounds of source (w, k, s).
+
+    w names the request, k is its word, s: at the start of a sentence, u: auto-uppercase, r: which rows it may find, id: the
+    only id that it may find but for compounds, lemma: the only lemma, if any.
+    """
     rest = "CASE WHEN contains(k, ' ') THEN string_split(k, ' ')[-1] ELSE k END"
-    ofl = "CASE WHEN core <> lower(core) THEN ofl IN ('kk', 'kvk', 'hk') ELSE ofl IN ('so', 'kk', 'hk', 'kvk', 'lo') END"
+    ofl = "CASE WHEN core <> lower(core) AND NOT (s AND words = '' AND NOT hyphen) THEN ofl IN ('kk', 'kvk', 'hk') ELSE ofl IN ('so', 'kk', 'hk', 'kvk', 'lo') END"
     inner = lambda c: f"CASE WHEN prefix = '' THEN {c} ELSE prefix || '-' || {c} END"
     title = "CASE WHEN core[1] <> lower(core[1]) AND core[2:] = lower(core[2:]) AND core[2:] <> upper(core[2:]) THEN upper(x[1]) || lower(x[2:]) ELSE x END"
     behind = lambda c: f"words || CASE WHEN before = '' THEN {c} ELSE before || '-' || {title.replace('x', c) if c in ('o', 'b') else c} END"
-    return f"""{p}_rest AS (SELECT w, k, CASE WHEN contains(k, ' ') THEN left(k, length(k) - length({rest})) ELSE '' END AS words, {rest} AS rest FROM {source}),
+    return f"""{p}_rest AS (SELECT w, k, s, r, lemma, CASE WHEN contains(k, ' ') THEN left(k, length(k) - length({rest})) ELSE '' END AS words, {rest} AS rest FROM {source}),
 {p}_cut AS MATERIALIZED (SELECT *, CASE WHEN hyphen THEN left(rest, length(rest) - length(string_split(rest, '-')[-1]) - 1) ELSE '' END AS before, CASE WHEN hyphen THEN string_split(rest, '-')[-1] ELSE rest END AS core FROM (SELECT *, contains(rest, '-') AND NOT ends_with(rest, '-') AS hyphen FROM {p}_rest)),
 {p}_cores AS (SELECT DISTINCT c FROM (SELECT core AS c FROM {p}_cut UNION SELECT lower(core) FROM {p}_cut) WHERE c <> ''),
 {p}_t(c, ps, rest) AS (SELECT c, []::VARCHAR[], c FROM {p}_cores UNION ALL SELECT c, list_append(ps, part), substr(rest, length(part) + 1) FROM (SELECT c, ps, rest, unnest(range(1, length(rest))) AS n FROM {p}_t ANTI JOIN parts whole ON whole.part = rest) x JOIN parts ON part = left(rest, n) AND is_prefix),
 {p}_cuts AS MATERIALIZED (SELECT c, list_append(ps, rest) AS ps FROM {p}_t JOIN parts ON part = rest),
 {p}_best AS MATERIALIZED (SELECT * FROM (SELECT c, ps, row_number() OVER (PARTITION BY c ORDER BY length(ps[-1]) DESC, len(ps), list_transform(ps, lambda q: length(q))) AS n FROM {p}_cuts JOIN parts ON part = ps[-1] AND is_suffix) WHERE n = 1),
 {p}_split AS (SELECT x.*, CASE WHEN len(a.ps) > 1 OR core = lower(core) THEN a.ps ELSE b.ps END AS ps, NOT coalesce(len(a.ps) > 1 OR core = lower(core), false) AND len(b.ps) > 1 AS lowered FROM {p}_cut x LEFT JOIN {p}_best a ON a.c = core LEFT JOIN {p}_best b ON b.c = lower(core)),
-{p}_in AS (SELECT w, words, before, hyphen, rest, core, CASE WHEN lowered THEN lower(core) ELSE core END AS own, array_to_string(ps[:-2], '-') AS prefix, f.* FROM {p}_split JOIN rows_of f ON f.k = ps[-1] WHERE ps IS NOT NULL AND (len(ps) > 1 OR birting <> 'S') AND {ofl}),
+{p}_in AS (SELECT w, s, words, before, hyphen, rest, core, CASE WHEN lowered THEN lower(core) ELSE core END AS own, array_to_string(ps[:-2], '-') AS prefix, f.* FROM {p}_split JOIN rows_of f ON f.k = ps[-1] AND f.r = {p}_split.r AND ({p}_split.lemma IS NULL OR f.ord = {p}_split.lemma) WHERE ps IS NOT NULL AND (len(ps) > 1 OR birting <> 'S') AND {ofl}),
 {p}_mid AS (SELECT *, {inner("ord")} AS o, {inner("bmynd")} AS b FROM {p}_in),
 {p}_5 AS MATERIALIZED (SELECT w, words || CASE WHEN hyphen THEN rest ELSE own END AS key, {", ".join({"ord": behind("o") + " AS ord", "bmynd": behind("b") + " AS bmynd", "bin_id": "CASE WHEN prefix = '' AND before = '' AND words = '' THEN bin_id ELSE 0 END AS bin_id"}.get(x, x) for x in AUGMENTED)}, distance FROM {p}_mid)"""
 
 
 def _pass_sql(p: str, source: str) -> str:
-    """Tables p_1, p_3, p_4, p_5 and p_6 (w, key, fields, distance): the stages of source (w, k), each for what missed before."""
+    """Tables p_1 to p_6 (w, key, fields, distance): the stages of source (w, k, s, u, r, id, lemma), each for what missed before."""
     legur = f"SELECT w, k AS key, left(lower(k), length(k) - length(ending)) || 'legur' AS ord, 0 AS bin_id, 'lo' AS ofl, 'alm' AS hluti, lower(k) AS bmynd, mark FROM {p}_m3 JOIN template ON ends_with(lower(k), ending) AND length(k) > length(ending) WHERE contains(lower(k), 'leg') UNION ALL SELECT w, k, lower(k), 0, 'ao', 'alm', lower(k), 'OBEYGJANLEGT' FROM {p}_m3 WHERE ends_with(lower(k), 'lega') AND length(k) > 4"
-    miss = lambda a, b: f"{p}_m{b} AS MATERIALIZED (SELECT w, k FROM {a} ANTI JOIN {p}_{b} USING (w))"
-    return f"""{p}_1 AS MATERIALIZED (SELECT w, x.k AS key, {ALL}, distance FROM {source} x JOIN live r ON r.k = x.k),
+    miss = lambda a, b: f"{p}_m{b} AS MATERIALIZED (SELECT w, k, s, u, r, id, lemma FROM {a} ANTI JOIN {p}_{b} USING (w))"
+    also = "r.r = x.r AND (x.id IS NULL OR r.bin_id = x.id) AND (x.lemma IS NULL OR r.ord = x.lemma)"
+    return f"""{p}_own AS MATERIALIZED (SELECT w, x.k AS key, {ALL}, distance FROM {source} x JOIN live r ON r.k = x.k AND {also}),
+{p}_cased AS MATERIALIZED (SELECT *, u AND k = lower(k) AND k <> upper(k) AS small, w IN (SELECT w FROM {p}_own) AS there FROM {source}),
+{p}_2 AS MATERIALIZED (SELECT w, upper(x.k[1]) || lower(x.k[2:]) AS key, {ALL}, distance FROM {p}_cased x JOIN live r ON r.k = upper(x.k[1]) || lower(x.k[2:]) AND {also} WHERE small AND (length(x.k) > 1 OR there)),
+{p}_1 AS MATERIALIZED (SELECT o.* REPLACE (coalesce(t.key, o.key) AS key) FROM {p}_own o LEFT JOIN (SELECT DISTINCT w, key FROM {p}_2) t USING (w)),
 {miss(source, 1)},
-{p}_3 AS MATERIALIZED (SELECT w, lower(x.k) AS key, {ALL}, distance FROM {p}_m1 x JOIN live r ON r.k = lower(x.k) WHERE lower(x.k) <> x.k),
-{miss(p + "_m1", 3)},
+{miss(p + "_m1", 2)},
+{p}_low AS (SELECT w, k, r, id, lemma, CASE WHEN u AND k = lower(k) AND k <> upper(k) AND length(k) = 1 THEN k || '.' ELSE lower(k) END AS low FROM {p}_m2),
+{p}_3 AS MATERIALIZED (SELECT w, low AS key, {ALL}, distance FROM {p}_low x JOIN live r ON r.k = low AND {also} WHERE low <> x.k),
+{p}_0 AS MATERIALIZED (SELECT w, x.k AS key, {ALL}, distance FROM {p}_cased x JOIN live r ON r.k = lower(x.k) AND {also} WHERE s AND there AND lower(x.k) <> x.k),
+{miss(p + "_m2", 3)},
 {p}_4 AS MATERIALIZED (SELECT w, key, {ALL}, distance FROM ({legur}), made),
 {miss(p + "_m3", 4)},
 {_parts_sql(p, p + "_m4")},
 {miss(p + "_m4", 5)},
-{p}_6 AS MATERIALIZED (SELECT w, x.k AS key, {ALL.replace("ord", "'ó' || ord AS ord").replace("bmynd", "'ó' || bmynd AS bmynd")}, distance FROM {p}_m5 x JOIN live r ON r.k = substr(lower(x.k), 2) WHERE lower(x.k) LIKE 'ó_%' AND ofl = 'lo'),
+{p}_6 AS MATERIALIZED (SELECT w, x.k AS key, {ALL.replace("ord", "'ó' || ord AS ord").replace("bmynd", "'ó' || bmynd AS bmynd")}, distance FROM {p}_m5 x JOIN live r ON r.k = substr(lower(x.k), 2) AND {also} WHERE lower(x.k) LIKE 'ó_%' AND ofl = 'lo'),
 {miss(p + "_m5", 6)}"""
 
 
-def _cascade_sql(base: str = PLAIN, first: str = "") -> str:
-    """The cascade over words: found has (w, key, stage, rank, fields, distance); first: what orders entries first."""
-    rows = lambda p, stage: " UNION ALL ".join(f"SELECT w, key, {stage or n} AS stage, {ALL}, distance FROM {p}_{n}" for n in (1, 3, 4, 5, 6))
+#: Requests (w, k, s, u, r, id, lemma) of all words without options.
+ASKED = "SELECT w, w AS k, false AS s, false AS u, 0 AS r, NULL::INT AS id, NULL::VARCHAR AS lemma FROM words"
+
+
+def _cascade_sql(base: str = PLAIN, first: str = "", asked: str = ASKED, order: str = ORDER) -> str:
+    """The cascade over requests: found has (w, key, stage, source, rank, fields, distance); first: what orders entries of a source first."""
+    stages = {0: (3, -1), 1: (1, 0), 2: (2, -1), 3: (3, 0), 4: (4, 0), 5: (5, 0), 6: (6, 0)}
+    rows = lambda p, stage: " UNION ALL ".join(f"SELECT w, key, {stage or n} AS stage, {source} AS source, {ALL}, distance FROM {p}_{t}" for t, (n, source) in stages.items())
     return f"""{base}, live AS (SELECT * FROM rows_of WHERE birting <> 'S'), {MADE},
-asked AS (SELECT w, w AS k FROM words),
+asked AS MATERIALIZED ({asked}),
 {_pass_sql("s", "asked")},
-again AS MATERIALIZED (SELECT w, replace(replace(w, 'tzt', 'st'), 'z', 's') AS k FROM s_m6 WHERE contains(w, 'z')),
+again AS MATERIALIZED (SELECT w, replace(replace(k, 'tzt', 'st'), 'z', 's') AS k, s, u, r, id, lemma FROM s_m6 WHERE contains(k, 'z') AND NOT (length(k) = 1 AND u)),
 {_pass_sql("z", "again")},
 every AS ({rows("s", 0)} UNION ALL {rows("z", 7)}),
-found AS MATERIALIZED (SELECT f.*, row_number() OVER (PARTITION BY w ORDER BY {first}{ORDER}) AS rank FROM every f {POS})"""
+found AS MATERIALIZED (SELECT f.*, row_number() OVER (PARTITION BY w ORDER BY source, {first}{order}) AS rank FROM every f {POS})"""
 
 
 CASCADE = _cascade_sql()
 
 
-def register(name: str, sql: str | None = None, cascade: bool = False):
-    """Register a query; sql comes after the derived tables, and the cascade's where asked."""
+def register(name: str, sql: str | None = None, cascade: bool | str = False):
+    """Register a query; sql comes after the derived tables, and the cascade's (of plain words, or its own SQL) where asked."""
 
     def put(f: Query) -> Query:
         QUERIES[name] = f
         if sql is not None:
-            ORACLE_SQL[name] = f"WITH RECURSIVE {derived.SQL}{', ' + CASCADE if cascade else ''}{'' if sql.lstrip().upper().startswith('SELECT') else ','} {sql}"
+            ORACLE_SQL[name] = f"WITH RECURSIVE {derived.SQL}{', ' + (CASCADE if cascade is True else cascade) if cascade else ''}{'' if sql.lstrip().upper().startswith('SELECT') else ','} {sql}"
         return f
 
     return put
@@ -333,12 +352,12 @@ register("lookup", SELECT_FEW, cascade=True)(lambda s, d: lookups.basic(_found(s
 register("lookup_ksnid", f"SELECT w, key, stage, rank, {ALL} FROM found", cascade=True)(lambda s, d: _found(s, d))
 register("lookup_exact", f"SELECT w, w AS key, 1 AS stage, row_number() OVER (PARTITION BY w ORDER BY {ORDER}) AS rank, {', '.join('f.' + c for c in BASIC)} FROM words JOIN shown f ON bmynd = w {POS} WHERE birting <> 'S'")(lambda s, d: lookups.basic(lookups.lookup_exact(*_words_and_lexicon(s, d))))
 for _name, _stage in (("lookup_lowercase", 3), ("legur_template", 4), ("lookup_compound", 5), ("lookup_negation", 6), ("lookup_z", 7)):
-    register(_name, f"{SELECT_FEW} WHERE stage = {_stage}", cascade=True)(lambda s, d, n=_stage: lookups.basic(_found(s, d)).where(F.col("stage") == n))
+    register(_name, f"{SELECT_FEW} WHERE stage = {_stage}", cascade=True)(lambda s, d, n=_stage: lookups.basic(_found(s, d, last_step=n)).where(F.col("stage") == n))
 register("lookup_cats", "SELECT DISTINCT w, ofl FROM found", cascade=True)(lambda s, d: lookups.classes_of(_found(s, d)))
 register("lookup_lemmas_and_cats", "SELECT DISTINCT w, ord, ofl FROM found", cascade=True)(lambda s, d: lookups.lemmas_and_classes(_found(s, d)))
 register(
     "lookup_lemmas",
-    SELECT_FEW + " WHERE (ofl = 'so' AND contains(mark, 'MM-NH')) OR (replace(ord, '-', '') = key AND CASE ofl WHEN 'so' THEN mark = 'GM-NH' WHEN 'lo' THEN mark IN ('FSB-KK-NFET', 'KK-NFET') WHEN 'ao' THEN true ELSE mark = 'NFET' END)",
+    SELECT_FEW + " WHERE (ofl = 'so' AND mark = 'MM-NH') OR (replace(ord, '-', '') = key AND CASE ofl WHEN 'so' THEN mark = 'GM-NH' WHEN 'lo' THEN mark IN ('FSB-KK-NFET', 'KK-NFET') WHEN 'ao' THEN true ELSE mark = 'NFET' END)",
     cascade=True,
 )(lambda s, d: lookups.basic(lookups.lemma_entries(_found(s, d))))
 register("open_cats", SELECT_FEW + " WHERE ofl IN ('so', 'kk', 'hk', 'kvk', 'lo')", cascade=True)(lambda s, d: lookups.basic(lookups.open_classes(_found(s, d))))
@@ -351,33 +370,43 @@ def lookup_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.keys_of(asked, lookups.lookup(asked, lex))
 
 
-@register("lookup_sentence_start", f"l AS (SELECT w, 3 AS stage, {FEW} FROM words JOIN live ON k = lower(w) SEMI JOIN s_1 USING (w) WHERE lower(w) <> w) SELECT * FROM l UNION ALL SELECT w, stage, {FEW} FROM found WHERE stage NOT IN (5, 7)", cascade=True)
-def lookup_sentence_start(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Compounds are left to lookup_compound: at the start of a sentence they may be of more classes, which tests cover."""
-    asked, lex = _words_and_lexicon(spark, sf_dir)
-    found = lookups.lookup(asked, lex, at_sentence_start=True)
-    return found.where("stage not in (5, 7)").select("w", "stage", *BASIC)
+def _options_sql(given: str) -> str:
+    """The cascade of requests (word, s, u); a request's name is its word and its options."""
+    return _cascade_sql(asked=f"SELECT word || s::INT || u::INT AS w, word AS k, s, u, 0 AS r, NULL::INT AS id, NULL::VARCHAR AS lemma FROM ({given})")
+
+
+OF_REQUEST = "left(w, length(w) - 2) AS w"
+register("lookup_sentence_start", f"SELECT w, key, stage, rank, {FEW} FROM (SELECT * REPLACE ({OF_REQUEST}) FROM found)", cascade=_options_sql("SELECT w AS word, true AS s, false AS u FROM words"))(lambda s, d: lookups.basic(_found(s, d, at_sentence_start=True)))
+register("lookup_auto_upper", f"SELECT w, key, stage, rank, {FEW} FROM (SELECT * REPLACE ({OF_REQUEST}) FROM found)", cascade=_options_sql("SELECT w AS word, false AS s, true AS u FROM words"))(lambda s, d: lookups.basic(_found(s, d, auto_uppercase=True)))
 
+#: Tokens of the documents: sentences end with one of .!? or a new line, and their first words are flagged.
+TOKENS = f"""sentences AS (SELECT doc_id, unnest(x) AS sentence, unnest(range(0, len(x)))::INT AS sentence_no FROM (SELECT doc_id, string_split_regex(text, '[.!?\n]+') AS x FROM documents)),
+tokens AS MATERIALIZED (SELECT doc_id, sentence_no, unnest(x) AS w, unnest(range(0, len(x)))::INT AS place, unnest(range(0, len(x))) = 0 AS at_sentence_start, sentence_no % 3 = 1 AS auto_uppercase FROM (SELECT doc_id, sentence_no, list_filter(string_split_regex(sentence, '[^{derived.LETTERS}A-ZÞÆÖÐÁÉÍÓÚÝ]+'), lambda t: t <> '') AS x FROM sentences))"""
+
+
+@register("lookup_tokens", f"SELECT doc_id, sentence_no, place, t.w, at_sentence_start, auto_uppercase, key, stage, rank, {FEW} FROM tokens t JOIN found ON found.w = t.w || at_sentence_start::INT || auto_uppercase::INT", cascade=TOKENS + ", " + _options_sql("SELECT DISTINCT w AS word, at_sentence_start AS s, auto_uppercase AS u FROM tokens"))
+def lookup_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of the documents in their places; every third sentence's are looked up with auto-uppercase."""
+    letters = f"[^{derived.LETTERS}A-ZÞÆÖÐÁÉÍÓÚÝ]+"
+    sentences = derived.read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "[.!?\n]+")).alias("sentence_no", "sentence"))
+    tokens = sentences.select("doc_id", "sentence_no", F.posexplode(F.filter(F.split("sentence", letters), lambda t: t != "")).alias("place", "w"))
+    tokens = tokens.withColumns({"at_sentence_start": F.col("place") == 0, "auto_uppercase": F.col("sentence_no") % 3 == 1})
+    found = lookups.lookup_tokens(tokens, derived.lexicon(spark, sf_dir))
+    return found.select("doc_id", "sentence_no", "place", "w", "at_sentence_start", "auto_uppercase", "key", "stage", "rank", *BASIC)
 
-_UPPER = "upper(w[1]) || lower(w[2:])"
-AUTO_UPPER = f"""cased AS (SELECT w, {_UPPER} AS k FROM words WHERE w = lower(w) AND w <> upper(w) AND (length(w) > 1 OR w IN (SELECT w FROM s_1))),
-up AS MATERIALIZED (SELECT w, x.k AS key, 2 AS stage, -1 AS source, {ALL} FROM cased x JOIN live r ON r.k = x.k),
-both_ways AS (SELECT * FROM up UNION ALL SELECT w, key, stage, source, {ALL} FROM (SELECT s.w, u.key, 1 AS stage, 0 AS source, {', '.join('s.' + c for c in AUGMENTED)} FROM s_1 s JOIN (SELECT DISTINCT w, key FROM up) u ON u.w = s.w)),
-rest_of AS (SELECT w, key, stage, rank, {FEW} FROM found ANTI JOIN up USING (w))
-SELECT w, key, stage, row_number() OVER (PARTITION BY w ORDER BY source, {ORDER}) AS rank, {', '.join('f.' + c for c in BASIC)} FROM both_ways f {POS} UNION ALL SELECT * FROM rest_of WHERE stage < 7"""
-register("lookup_auto_upper", AUTO_UPPER, cascade=True)(lambda s, d: lookups.basic(_found(s, d, auto_uppercase=True)).where("stage < 7"))
 
 # Compounds.
-COMPOUNDS = f"""{PLAIN}, asked AS (SELECT w, w AS k FROM words), {_parts_sql("s", "asked")}"""
+COMPOUNDS = f"""{PLAIN}, asked AS ({ASKED}), {_parts_sql("s", "asked")}"""
 
 
 register("compound_splits", COMPOUNDS + " SELECT c AS w, array_to_string(ps, '|') AS parts FROM s_cuts JOIN words ON c = w")(lambda s, d: compounds.splits(derived.query_words(s, d), derived.lexicon(s, d).parts).select("w", F.array_join("parts", "|").alias("parts")))
+register("compound_ways", COMPOUNDS + " SELECT c AS w, count(*) AS ways FROM s_cuts JOIN words ON c = w GROUP BY c")(lambda s, d: compounds.count_splits(derived.query_words(s, d), derived.lexicon(s, d).parts).select("w", F.col("ways").cast("long").alias("ways")))
 register("compound_best", COMPOUNDS + " SELECT c AS w, array_to_string(ps, '|') AS parts FROM s_best JOIN words ON c = w")(lambda s, d: compounds.best_split(derived.query_words(s, d), derived.lexicon(s, d).parts).select("w", F.array_join("parts", "|").alias("parts")))
 
 
 def _compounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, lex = _words_and_lexicon(spark, sf_dir)
-    return compounds.compound_plan(lex)(asked)
+    return compounds.get_compound(asked, lex)
 
 
 for _name, _which, _where in (
@@ -401,23 +430,56 @@ def variants_nogr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants_raw(*_words_and_lexicon(spark, sf_dir), "hk", ("NF", "FT", "nogr")).select("w", *BASIC).distinct()
 
 
-def _variants_sql(classes: str, wanted: tuple[str, ...]) -> str:
-    """rows_of for a request: rows of the ids of a spelling with all wanted features, and their distance from its own."""
-    rows = [(m, ",".join(marks.requested((m,)))) for m in sorted({t for _, t, _ in derived.TAGS} | {"OBEYGJANLEGT"})]
-    asked = ", ".join(f"'{x}'" for x in marks.requested(wanted))
-    return f"""tag_list(mark, atoms) AS (SELECT mark, string_split(x, ',') FROM (VALUES {derived._values(rows)}) t(mark, x)),
-wide AS MATERIALIZED (SELECT s.*, atoms FROM shown s JOIN tag_list USING (mark) WHERE ofl IN ({classes})),
-all_of AS MATERIALIZED (SELECT bmynd AS k, list_distinct(flatten(list(atoms))) AS every FROM wide GROUP BY bmynd),
-pairs AS MATERIALIZED (SELECT DISTINCT a.bmynd AS k, {', '.join('b.' + c for c in AUGMENTED)}, b.atoms FROM (SELECT DISTINCT bmynd, bin_id FROM wide) a JOIN wide b ON b.bin_id = a.bin_id WHERE list_has_all(b.atoms, [{asked}])),
-rows_of AS MATERIALIZED (SELECT k, {ALL}, (len(list_filter(atoms, lambda x: NOT list_contains(every, x))) + len(list_filter(every, lambda x: NOT list_contains(atoms, x))))::INT AS distance FROM pairs JOIN all_of USING (k))"""
+def _variant_rows(r: int, classes: str, wanted: tuple[str, ...], by_lemma: bool = False) -> str:
+    """rows_of for one request: visible rows of the ids of a spelling with all wanted features, and their distance from its own."""
+    asked = ", ".join(f"'{x}'" for x in marks.requested(wanted) if x != "nogr")
+    bare = " AND NOT list_contains(b.atoms, 'gr')" if "nogr" in wanted else ""
+    by = "bmynd, ord" if by_lemma else "bmynd"
+    return f"""SELECT DISTINCT a.bmynd AS k, {r} AS r, {', '.join('b.' + c for c in AUGMENTED)}, (len(list_filter(b.atoms, lambda x: NOT list_contains(every, x))) + len(list_filter(every, lambda x: NOT list_contains(b.atoms, x))))::INT AS distance
+FROM (SELECT bmynd, unnest(list_distinct(list(bin_id))) AS bin_id, list_distinct(flatten(list(atoms))) AS every FROM wide WHERE ofl IN ({classes}) GROUP BY {by}) a JOIN near b ON b.bin_id = a.bin_id AND list_has_all(b.atoms, [{asked}]::VARCHAR[]){bare}"""
+
+
+def _variants_sql(*requests: tuple, rows: str = "lexicon", shown: str = "shown", mark: str = "mark") -> str:
+    """rows_of for several requests (classes, features, do they ask for lemmas?), numbered from 0."""
+    every = [(m, ",".join(marks.requested((m,)))) for m in sorted({t for _, t, _ in derived.TAGS} | {"OBEYGJANLEGT"})]
+    return f"""tag_list(tag, atoms) AS (SELECT tag, string_split(x, ',') FROM (VALUES {derived._values(every)}) t(tag, x)),
+wide AS MATERIALIZED (SELECT x.*{" REPLACE (raw_ofl AS ofl)" if mark != "mark" else ""}, atoms FROM {rows} x JOIN tag_list ON tag = {mark}), near AS MATERIALIZED (SELECT x.*, atoms FROM {shown} x JOIN tag_list ON tag = {mark}),
+rows_of AS MATERIALIZED ({" UNION ALL ".join(_variant_rows(r, *x) for r, x in enumerate(requests))})"""
 
 
 def _variants_cascade(classes: str, wanted: tuple[str, ...]) -> str:
-    return _cascade_sql(_variants_sql(classes, wanted), f"{PENALTY}, coalesce(distance, 999), ")
+    return _cascade_sql(_variants_sql((classes, wanted)), f"{PENALTY}, coalesce(distance, 999), ")
+
 
+register("lookup_variants", f"SELECT w, key, stage, rank, distance, {FEW} FROM found", cascade=_variants_cascade("'so'", ("FH", "NT", "p3", "FT")))(lambda s, d: variants.lookup_variants(*_words_and_lexicon(s, d), "so", ("FH", "NT", "p3", "FT")).select("w", "key", "stage", "rank", "distance", *BASIC))
+register("variants_rank", "SELECT w, rank, distance, bmynd, mark FROM found", cascade=_variants_cascade("'kk', 'kvk', 'hk'", ("ÞGF",)))(lambda s, d: variants.lookup_variants(*_words_and_lexicon(s, d), "no", ("ÞGF",)).select("w", "rank", "distance", "bmynd", "mark"))
 
-register("lookup_variants", _variants_cascade("'so'", ("FH", "NT", "p3", "FT")) + f" SELECT w, key, stage, rank, distance, {FEW} FROM found")(lambda s, d: variants.lookup_variants(*_words_and_lexicon(s, d), "so", ("FH", "NT", "p3", "FT")).select("w", "key", "stage", "rank", "distance", *BASIC))
-register("variants_rank", _variants_cascade("'kk', 'kvk', 'hk'", ("ÞGF",)) + " SELECT w, rank, distance, bmynd, mark FROM found")(lambda s, d: variants.lookup_variants(*_words_and_lexicon(s, d), "no", ("ÞGF",)).select("w", "rank", "distance", "bmynd", "mark"))
+#: Requests of ten kinds: class, features, is the word to be the lemma?  The last kind asks for the id 7 too.
+WISHES = (
+    ("no", ("NF", "FT", "nogr"), False), ("so", ("FH", "NT", "p3", "FT"), False), ("lo", ("KK", "EF"), False), ("kk", ("ÞGF",), False), ("kvk", ("EF", "gr"), False),
+    ("hk", ("NF", "ET"), False), ("so", ("GM-NH",), False), ("lo", ("MST",), False), ("no", ("ÞF_ET",), True), ("no", ("ÞGF", "gr"), False),
+)
+KIND, KIND_ID = "length(w) % 10", 7
+_classes_sql = lambda c: "'kk', 'kvk', 'hk'" if c == "no" else f"'{c}'"
+
+
+@register(
+    "variants_table",
+    f"SELECT left(w, length(w) - 1) AS w, right(w, 1)::INT AS kind, key, stage, rank, distance, {FEW} FROM found",
+    cascade=_cascade_sql(
+        _variants_sql(*((_classes_sql(c), f, x) for c, f, x in WISHES)),
+        f"{PENALTY}, coalesce(distance, 999), ",
+        f"SELECT w || r AS w, w AS k, false AS s, false AS u, r, CASE WHEN r = 9 THEN {KIND_ID} END::INT AS id, CASE WHEN r = 8 THEN w END AS lemma FROM (SELECT w, {KIND} AS r FROM words)",
+    ),
+)
+def variants_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request for every word, of one of ten kinds, in one plan."""
+    asked, lex = _words_and_lexicon(spark, sf_dir)
+    kinds = spark.createDataFrame([(k, c, list(f), x) for k, (c, f, x) in enumerate(WISHES)], "kind int, class string, features array<string>, is_lemma boolean")
+    table = asked.withColumn("kind", F.length("w") % len(WISHES)).join(F.broadcast(kinds), "kind")
+    table = table.withColumns({"lemma": F.when(F.col("is_lemma"), F.col("w")), "id": F.when(F.col("kind") == len(WISHES) - 1, F.lit(KIND_ID))})
+    found = variants.lookup_variants(table.select("w", "class", "features", "lemma", "id"), lex)
+    return found.withColumn("kind", F.length("w") % len(WISHES)).select("w", "kind", "key", "stage", "rank", "distance", *BASIC)
 
 
 # Cases.
@@ -426,12 +488,36 @@ def _case_sql(case: str, more: str = "") -> str:
     return f"SELECT DISTINCT w, {', '.join('b.' + c for c in BASIC)} FROM words JOIN lexicon a ON a.bmynd = w JOIN lexicon b ON b.bin_id = a.bin_id AND b.ord = a.ord AND b.ofl = a.ofl AND contains(b.mark, '{case}') AND {plain.format('a')} = {plain.format('b')}, bound WHERE b.bin_id < first_local{more}"
 
 
+def _simple(tag: str) -> str:
+    """The tag without case, and without number and definiteness where the columns number and bare_too say so."""
+    less = lambda x, parts: f"replace({less(x, parts[:-1])}, '{parts[-1]}', '')" if parts else x
+    plain = less(tag, ["NF", "ÞF", "ÞGF", "EF", "2", "3"])
+    counted = f"CASE WHEN number THEN {less(plain, ['ET', 'FT'])} ELSE {plain} END"
+    bare = f"replace(replace(replace({counted}, 'gr', ''), 'EVB', 'ESB'), 'FVB', 'FSB')"
+    return f"CASE WHEN bare_too THEN {bare} ELSE {counted} END"
+
+
 for _case, _of in cases.CASES.items():
     register(f"lookup_{_of}", _case_sql(_case))(lambda s, d, c=_case: cases.lookup_case(*_words_and_lexicon(s, d), c))
 _BARE = "replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace({0}.mark, 'NF', ''), 'ÞF', ''), 'ÞGF', ''), 'EF', ''), '2', ''), '3', ''), 'ET', ''), 'FT', ''), 'gr', ''), 'EVB', 'ESB'), 'FVB', 'FSB')"
 register("lookup_case", f"SELECT DISTINCT w, {', '.join('b.' + c for c in BASIC)} FROM words JOIN lexicon a ON a.bmynd = w JOIN lexicon b ON b.bin_id = a.bin_id AND contains(b.mark, 'ÞGF') AND contains(b.mark, 'ET') AND NOT regexp_matches(b.mark, 'gr|FVB|EVB') AND {_BARE.format('a')} = {_BARE.format('b')}, bound WHERE b.bin_id < first_local")(
     lambda s, d: cases.lookup_case(*_words_and_lexicon(s, d), "ÞGF", singular=True, indefinite=True)
 )
+CASE_TABLE = f"""asked_cases AS (SELECT w, unnest(['NF', 'ÞF', 'ÞGF', 'EF']) AS c, length(w) % 2 = 0 AS single, length(w) % 3 = 0 AS bare, length(w) % 5 = 0 AS every FROM words),
+both_tags AS (SELECT a.mark AS ma, b.mark AS mb, number, bare_too FROM (SELECT DISTINCT mark FROM lexicon) a, (SELECT DISTINCT mark FROM lexicon) b, (VALUES (true), (false)) n(number), (VALUES (true), (false)) d(bare_too) WHERE {_simple("a.mark")} = {_simple("b.mark")})
+SELECT DISTINCT w, c AS "case", {', '.join('b.' + c for c in BASIC)} FROM asked_cases JOIN lexicon a ON a.bmynd = w JOIN lexicon b ON b.bin_id = a.bin_id AND b.ord = a.ord AND b.ofl = a.ofl AND contains(b.mark, c) AND (every OR ((NOT single OR contains(b.mark, 'ET')) AND (NOT bare OR NOT regexp_matches(b.mark, 'gr|FVB|EVB'))))
+JOIN both_tags ON ma = a.mark AND mb = b.mark AND number = (single OR every) AND bare_too = (bare OR every), bound WHERE b.bin_id < first_local"""
+
+
+@register("case_table", CASE_TABLE)
+def case_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word in all four cases, with options of its own, in one plan."""
+    asked, lex = _words_and_lexicon(spark, sf_dir)
+    n = F.length("w")
+    table = asked.select("w", F.explode(F.array(*[F.lit(c) for c in cases.CASES])).alias("case"), (n % 2 == 0).alias("singular"), (n % 3 == 0).alias("indefinite"), (n % 5 == 0).alias("all_forms"))
+    return cases.lookup_case(table, lex).select("w", "case", *BASIC).distinct()
+
+
 register("lookup_forms", f"SELECT DISTINCT w, {', '.join('b.' + c for c in BASIC)} FROM words JOIN lexicon a ON a.bmynd = w AND a.ofl = 'kk' AND a.ord = w JOIN lexicon b ON b.bin_id = a.bin_id AND contains(b.mark, 'ÞF') AND {_BARE.format('a')} = {_BARE.format('b')}, bound WHERE b.bin_id < first_local")(lambda s, d: cases.lookup_forms(*_words_and_lexicon(s, d), "kk", "þf"))
 register("raw_nominative", f"p AS (SELECT DISTINCT w, unnest([b.bmynd, b.ord]) AS form FROM words JOIN lexicon a ON a.bmynd = w JOIN lexicon b ON b.bin_id = a.bin_id) SELECT DISTINCT w, {FEW} FROM p JOIN lexicon ON bmynd = form, bound WHERE contains(mark, 'NF') AND bin_id < first_local")(lambda s, d: cases.raw_nominative(*_words_and_lexicon(s, d)))
 
@@ -446,15 +532,15 @@ def noun_pref_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.preference_score(rows, _preferences(rows)).select("bmynd", "bin_id", "mark", "score")
 
 
-def _cast_sql(case: str) -> str:
+def _cast_sql(case: str, rows: str = "lexicon", raw: str = "", bound: str = ", bound WHERE b.bin_id < first_local") -> str:
     """Each word in the case: the reading, the key of its forms and a second one in lower case, and the first fitting form."""
-    plain = "replace(replace(replace(replace(replace(replace({0}.mark, 'NF', ''), 'ÞF', ''), 'ÞGF', ''), 'EF', ''), '2', ''), '3', '')"
+    plain = f"replace(replace(replace(replace(replace(replace({{0}}.{raw}mark, 'NF', ''), 'ÞF', ''), 'ÞGF', ''), 'EF', ''), '2', ''), '3', '')"
     part = lambda c: f"string_split({c}, '-')[-1]"
-    return f"""scored AS (SELECT f.*, CASE WHEN ({part("bmynd")}, ofl) IN (SELECT bmynd, ofl FROM lexicon WHERE bin_id % 4 = 1) THEN 2 ELSE 0 END AS score FROM found f WHERE contains(mark, 'NF') AND ofl IN ('lo', 'kk', 'kvk', 'hk')),
+    return f"""scored AS (SELECT f.*, CASE WHEN ({part("bmynd")}, ofl) IN (SELECT bmynd, ofl FROM lexicon WHERE bin_id % 4 = 1) THEN 2 ELSE 0 END AS score FROM found f WHERE contains(mark, 'NF') AND ofl IN ('lo', 'kk', 'kvk', 'hk', 'fn', 'pfn', 'to', 'gr')),
 chosen AS MATERIALIZED (SELECT w AS word, bmynd, ord, ofl, mark FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY ofl <> 'lo', CASE WHEN ofl = 'lo' THEN 0 ELSE -score END, rank) AS n FROM scored) WHERE n = 1),
 cut_at AS (SELECT *, ofl <> 'lo' AND contains(bmynd, '-') AND NOT contains(word, '-') AS split FROM chosen),
 tries AS MATERIALIZED (SELECT word, ofl AS class, mark AS tag, CASE WHEN split THEN replace(left(bmynd, length(bmynd) - length({part("bmynd")}) - 1), '-', '') ELSE '' END AS front, CASE WHEN split THEN {part("ord")} ELSE ord END AS lemma, unnest([{{'t': 0, 'k': CASE WHEN ofl = 'lo' THEN bmynd WHEN split THEN {part("bmynd")} ELSE word END}}, {{'t': 1, 'k': CASE WHEN ofl <> 'lo' AND NOT split AND word[1] <> lower(word[1]) AND NOT (word = upper(word) AND word <> lower(word)) THEN lower(word) END}}]) AS x FROM cut_at),
-fits AS (SELECT DISTINCT word, class, tag, front, x.t AS t, {', '.join('b.' + c for c in BASIC)} FROM tries JOIN lexicon a ON a.bmynd = x.k AND a.ord = lemma AND a.ofl = class JOIN lexicon b ON b.bin_id = a.bin_id AND b.ord = a.ord AND b.ofl = a.ofl AND contains(b.mark, '{case}') AND {plain.format('a')} = {plain.format('b')}, bound WHERE b.bin_id < first_local),
+fits AS (SELECT DISTINCT word, class, tag, front, x.t AS t, {', '.join('b.' + c for c in BASIC)} FROM tries JOIN {rows} a ON a.bmynd = x.k AND a.ord = lemma AND a.{raw}ofl = class JOIN {rows} b ON b.bin_id = a.bin_id AND b.ord = a.ord AND b.{raw}ofl = a.{raw}ofl AND contains(b.{raw}mark, '{case}') AND {plain.format('a')} = {plain.format('b')}{bound}),
 one AS (SELECT * FROM (SELECT *, min(t) OVER (PARTITION BY word) AS least FROM fits) WHERE t = least AND CASE WHEN contains(tag, 'ET') THEN contains(mark, 'ET') WHEN contains(tag, 'FT') THEN contains(mark, 'FT') ELSE true END AND CASE WHEN class <> 'lo' THEN true WHEN contains(tag, 'VB') THEN contains(mark, 'VB') WHEN contains(tag, 'SB') THEN contains(mark, 'SB') ELSE true END),
 done AS (SELECT word, front || bmynd AS r FROM (SELECT f.*, row_number() OVER (PARTITION BY word ORDER BY bin_id, coalesce(pos, 9999), f.ofl, bmynd, f.mark, ord, hluti) AS n FROM one f {POS}) WHERE n = 1)
 SELECT w, coalesce(CASE WHEN w = upper(w) AND w <> lower(w) THEN upper(r) WHEN w[1] <> lower(w[1]) THEN upper(r[1]) || r[2:] ELSE r END, w) AS result FROM words LEFT JOIN done ON word = w"""
@@ -468,6 +554,13 @@ for _case, _of in (("ÞF", "accusative"), ("ÞGF", "dative"), ("EF", "genitive")
         return cases.cast(asked, lex, case, _preferences(lex.rows))
 
 
+@register("cast_table", " UNION ALL ".join(f"SELECT w, '{c}' AS \"case\", result FROM ({{{c}}})" for c in ("ÞF", "ÞGF", "EF")).format(**{c: f"WITH {_cast_sql(c)}" for c in ("ÞF", "ÞGF", "EF")}), cascade=True)
+def cast_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word in three cases, in one plan that looks each word up once."""
+    asked, lex = _words_and_lexicon(spark, sf_dir)
+    return cases.cast(asked.withColumn("case", F.explode(F.array(F.lit("ÞF"), F.lit("ÞGF"), F.lit("EF")))), lex, None, _preferences(lex.rows))
+
+
 @register("cast_compound", _cast_sql("ÞGF") + " JOIN (SELECT DISTINCT w FROM s_5) USING (w)", cascade=True)
 def cast_compound(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that are compounds, in the dative."""
@@ -496,41 +589,86 @@ def g_recode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compat.recode(rows).select("bmynd", "bin_id", "ofl", "mark")
 
 
-@register("g_visible", f"SELECT w, {FEW} FROM words JOIN lexicon ON bmynd = w WHERE birting <> 'S' AND (ord, ofl, hluti) NOT IN (SELECT ord, ofl, hluti FROM lexicon WHERE bin_id % 13 = 0)")
-def g_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked, lex = _words_and_lexicon(spark, sf_dir)
-    view = compat.compatible_view(lex, _deletions(lex.rows), spark.createDataFrame([], "ord string, ofl string, hluti string"))
-    return lookups.base_plan(view)(asked.withColumn("key", F.col("w"))).select("w", *BASIC)
+#: The view's lexicon: some adjectives are ordinals, some neuter nouns reflexive pronouns or uninflected numerals.
+G_ROWS = f"""mixed AS (SELECT * REPLACE (CASE WHEN ofl = 'lo' AND bin_id % 2 = 0 THEN 'rt' WHEN ofl = 'hk' AND bin_id % 3 = 0 THEN 'to' WHEN ofl = 'hk' AND bin_id % 3 = 1 THEN 'afn' ELSE ofl END AS ofl,
+  CASE WHEN ofl = 'hk' AND bin_id % 3 = 0 AND mark = 'NFET' THEN 'OBEYGJANLEGT' ELSE mark END AS mark) FROM lexicon),
+gone AS (SELECT DISTINCT ord, ofl, hluti FROM mixed WHERE bin_id % 13 = 0),
+errata AS (SELECT DISTINCT ord, ofl FROM mixed WHERE bin_id % 5 = 2),
+g AS MATERIALIZED (SELECT {ALL.replace('hluti', "CASE WHEN (ord, ofl) IN (SELECT ord, ofl FROM errata) THEN 'ætt' ELSE hluti END AS hluti")}, raw_ofl, raw_mark
+  FROM (SELECT * REPLACE (CASE WHEN ofl = 'to' AND mark = 'OBEYGJANLEGT' THEN 'töl' WHEN ofl = 'afn' THEN 'abfn' WHEN ofl = 'rt' THEN 'lo' ELSE ofl END AS ofl, CASE WHEN mark = 'OBEYGJANLEGT' THEN '-' ELSE mark END AS mark), ofl AS raw_ofl, mark AS raw_mark FROM mixed ANTI JOIN gone USING (ord, ofl, hluti))),
+g_prio AS MATERIALIZED (SELECT *, (bin_id = 0)::INT + (einkunn <> 1)::INT + (malsnid IN ('URE', 'SJALD', 'VILLA', 'GAM'))::INT + CASE WHEN ofl = 'so' THEN 4 * contains(mark, 'VH')::INT + 2 * contains(mark, 'ÞT')::INT + contains(mark, 'FT')::INT + contains(mark, '2P')::INT ELSE 0 END AS prio FROM g),
+g_found AS MATERIALIZED (SELECT * FROM g_prio WHERE (bmynd, ord) NOT IN (SELECT bmynd, ord FROM lexicon WHERE bin_id % 4 = 1 AND bin_id % 3 = 0))"""
+G_PLAIN = f"{G_ROWS}, rows_of AS MATERIALIZED (SELECT bmynd AS k, 0 AS r, {ALL}, prio AS distance FROM g_found)"
+G_FIRST = "distance, "
 
 
-@register("g_stem_prefs", f"{SELECT_FEW} WHERE (w, ord) NOT IN (SELECT bmynd, ord FROM lexicon WHERE bin_id % 4 = 1)", cascade=True)
-def g_stem_prefs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = derived.lexicon_rows(spark, sf_dir)
-    worse = rows.where("bin_id % 4 = 1").groupBy(F.col("bmynd").alias("form")).agg(F.collect_set("ord").alias("worse"))
-    return compat.preferred_stems(lookups.basic(_found(spark, sf_dir)), worse)
+def _g_cascade(s: bool = False, u: bool = False) -> str:
+    return _cascade_sql(G_PLAIN, G_FIRST, f"SELECT w, w AS k, {s} AS s, {u} AS u, 0 AS r, NULL::INT AS id, NULL::VARCHAR AS lemma FROM words", ORDER_ALL)
+
+
+def _g_lexicon(spark: SparkSession, sf_dir: str) -> lookups.Lexicon:
+    lex = derived.lexicon(spark, sf_dir)
+    hk, by_id = F.col("ofl") == "hk", lambda n: F.pmod("bin_id", F.lit(n))
+    ofl = F.when((F.col("ofl") == "lo") & (by_id(2) == 0), "rt").when(hk & (by_id(3) == 0), "to").when(hk & (by_id(3) == 1), "afn").otherwise(F.col("ofl"))
+    mixed = stored(lex.rows.withColumns({"ofl": ofl, "mark": F.when(hk & (by_id(3) == 0) & (F.col("mark") == "NFET"), "OBEYGJANLEGT").otherwise(F.col("mark"))}))
+    worse = lex.rows.where("bin_id % 4 = 1 and bin_id % 3 = 0").groupBy(F.col("bmynd").alias("form")).agg(F.collect_set("ord").alias("worse"))
+    return compat.compatible_view(dataclasses.replace(lex, rows=mixed), _deletions(mixed), _errata(mixed), worse)
+
+
+def _g(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, lookups.Lexicon]:
+    return derived.query_words(spark, sf_dir), _g_lexicon(spark, sf_dir)
+
+
+register("g_visible", f"{G_ROWS} SELECT w, {FEW} FROM words JOIN g ON bmynd = w WHERE birting <> 'S'")(lambda s, d: lookups.lookup_raw(*_g(s, d)).where("birting <> 'S'").select("w", *BASIC))
+register("g_lookup", f"SELECT w, key, stage, rank, {ALL} FROM found", cascade=_g_cascade(u=True))(lambda s, d: lookups.lookup(*_g(s, d), auto_uppercase=True))
+register("g_sentence_start", SELECT_FEW, cascade=_g_cascade(s=True))(lambda s, d: lookups.basic(lookups.lookup(*_g(s, d), at_sentence_start=True)))
+register("g_stem_prefs", "SELECT DISTINCT w, ord, stage FROM found", cascade=_g_cascade())(lambda s, d: lookups.lookup(*_g(s, d)).select("w", "ord", "stage").distinct())
+_G_CLASS = "[NULL, 'rt', 'lo', 'no'][length(w) % 4 + 1]"
+register(
+    "g_case",
+    f"""{G_ROWS}, a_case AS (SELECT w, {_G_CLASS} AS class FROM words), plain_tag AS (SELECT raw_mark AS tag, replace(replace(replace(replace(replace(replace(raw_mark, 'NF', ''), 'ÞF', ''), 'ÞGF', ''), 'EF', ''), '2', ''), '3', '') AS plain FROM (SELECT DISTINCT raw_mark FROM g))
+SELECT DISTINCT w, class, {', '.join('b.' + c for c in BASIC)} FROM a_case JOIN g a ON a.bmynd = w AND (class IS NULL OR a.raw_ofl = class OR (class = 'no' AND a.raw_ofl IN ('kk', 'kvk', 'hk'))) JOIN g b ON b.bin_id = a.bin_id AND b.ord = a.ord AND b.raw_ofl = a.raw_ofl AND contains(b.raw_mark, 'ÞGF') JOIN plain_tag x ON x.tag = a.raw_mark JOIN plain_tag y ON y.tag = b.raw_mark AND x.plain = y.plain""",
+)(lambda s, d: cases.lookup_case((g := _g(s, d))[0].withColumn("class", F.get(F.array(F.lit(None), F.lit("rt"), F.lit("lo"), F.lit("no")), F.length("w") % 4)), g[1], "ÞGF"))
+register("g_cast", _cast_sql("ÞGF", "g", "raw_", ""), cascade=_g_cascade())(lambda s, d: cases.cast((g := _g(s, d))[0], g[1], "ÞGF", _preferences(derived.lexicon_rows(s, d))))
 
 
 register("g_priority", "SELECT bmynd, bin_id, mark, (bin_id = 0)::INT + (einkunn <> 1)::INT + (malsnid IN ('URE', 'SJALD', 'VILLA', 'GAM'))::INT + CASE WHEN ofl = 'so' THEN 4 * contains(mark, 'VH')::INT + 2 * contains(mark, 'ÞT')::INT + contains(mark, 'FT')::INT + contains(mark, '2P')::INT ELSE 0 END AS priority FROM lexicon")(
-    lambda s, d: derived.lexicon_rows(s, d).select("bmynd", "bin_id", "mark", compat.priority().alias("priority"))
+    lambda s, d: derived.lexicon_rows(s, d).select("bmynd", "bin_id", "mark", lookups.priority().alias("priority"))
 )
 
-# Words and their rendering.
-register("word_first", "SELECT w, key, ord, hluti, bmynd, mark, ofl, bin_id FROM found WHERE rank = 1 UNION ALL SELECT w, w, w, 'alm', w, '', 'hk', 0 FROM words ANTI JOIN found USING (w)", cascade=True)(lambda s, d: words.first_entry(_words_and_lexicon(s, d)[0], _found(s, d)))
-register("word_attrs", "n AS (SELECT * FROM found WHERE ofl IN ('kk', 'kvk', 'hk')), r AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY rank) AS k FROM n) WHERE k = 1) SELECT w, key, ord, hluti, bmynd, mark, ofl, bin_id FROM r UNION ALL SELECT w, w, w, 'alm', w, '', 'hk', 0 FROM words ANTI JOIN r USING (w)", cascade=True)(
-    lambda s, d: words.first_entry(_words_and_lexicon(s, d)[0], _found(s, d), ("no",))
+# Words and their rendering, through the compatibility view.
+_FIRST_FIELDS = "w, key, ord, hluti, bmynd, mark, ofl, bin_id"
+_UNKNOWN = "SELECT w, w, w, 'alm', w, '', 'hk', 0 FROM words"
+register("word_first", f"SELECT {_FIRST_FIELDS} FROM found WHERE rank = 1 UNION ALL {_UNKNOWN} ANTI JOIN found USING (w)", cascade=_g_cascade())(lambda s, d: words.first_entry((g := _g(s, d))[0], lookups.lookup(*g)))
+register("word_attrs", f"n AS (SELECT * FROM found WHERE ofl IN ('kk', 'kvk', 'hk')), r AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY rank) AS k FROM n) WHERE k = 1) SELECT {_FIRST_FIELDS} FROM r UNION ALL {_UNKNOWN} ANTI JOIN r USING (w)", cascade=_g_cascade(s=True))(
+    lambda s, d: words.first_entry((g := _g(s, d))[0], lookups.lookup(*g, at_sentence_start=True), ("no",))
 )
 register("word_wrap", "SELECT bmynd AS w, bmynd AS key, ord, hluti, bmynd, mark, ofl, bin_id FROM lexicon")(lambda s, d: words.wrap(derived.lexicon_rows(s, d)))
 
-#: First entries are taken from the variants' own tables: a masculine noun's forms with the features.
-FORMAT = f"""firsts AS (SELECT * FROM (SELECT f.*, row_number() OVER (PARTITION BY w ORDER BY {ORDER}) AS n FROM (SELECT DISTINCT x.w, r.* FROM (SELECT DISTINCT bmynd AS w FROM lexicon) x JOIN shown r ON r.bmynd = x.w WHERE birting <> 'S') f {POS}) WHERE n = 1 AND ofl = 'kk'),
-v AS (SELECT f.w, r.*, row_number() OVER (PARTITION BY f.w ORDER BY {PENALTY.replace('einkunn', 'r.einkunn').replace('(beinkunn', '(r.beinkunn').replace('br.', 'r.b')}, distance, coalesce(pos, 9999), r.bmynd) AS n FROM firsts f JOIN rows_of r ON r.k = f.w AND r.bin_id = f.bin_id AND r.birting <> 'S' LEFT JOIN mark_order m ON m.ofl = r.ofl AND m.mark = r.mark)
-SELECT f.w, coalesce(CASE WHEN f.w[1] <> lower(f.w[1]) THEN upper(v.bmynd[1]) || v.bmynd[2:] ELSE lower(v.bmynd) END, f.w) AS result FROM firsts f LEFT JOIN v ON v.w = f.w AND v.n = 1"""
+#: What each class is asked for; the number is that of the request.
+SPECS = (("kk", "þgf_ft"), ("kvk", "ef-gr"), ("hk", "þgf_ft"), ("lo", "kvk-ef"), ("so", "3p_ft_nt"), ("abfn", "ef_et"))
+_SPEC_NUMBER = f"CASE ofl {' '.join(f"WHEN '{c}' THEN {n}" for n, (c, _) in enumerate(SPECS))} END"
 
 
-@register("word_format", _variants_sql("'kk'", ("ÞGF", "FT")) + ", " + FORMAT)
+def _renamed(sql: str, prefix: str) -> str:
+    """The tables that two cascades of one statement both have, under other names."""
+    return re.sub(r"\b(rows_of|live|made|asked|again|every|found|[sz]_\w+)\b", lambda m: prefix + m[0], sql)
+
+
+@register(
+    "word_format",
+    f"SELECT f.w, coalesce(CASE WHEN f.w = upper(f.w) AND f.w <> lower(f.w) THEN upper(form) WHEN f.w[1] <> lower(f.w[1]) THEN upper(form[1]) || form[2:] ELSE lower(form) END, f.w) AS result FROM firsts f LEFT JOIN (SELECT v.w, CASE WHEN i.bin_id = 0 THEN replace(v.bmynd, '-', '') ELSE v.bmynd END AS form FROM found v JOIN firsts i USING (w) WHERE rank = 1) USING (w)",
+    cascade=_renamed(_g_cascade(), "first_") + f", firsts AS MATERIALIZED (SELECT {_FIRST_FIELDS} FROM first_found WHERE rank = 1 UNION ALL {_UNKNOWN} ANTI JOIN first_found USING (w)), "
+    + _cascade_sql(
+        _variants_sql(*((f"'{c}'", (f,), False) for c, f in SPECS), rows="g", shown="g", mark="raw_mark"),
+        "coalesce(distance, 999), ",
+        f"SELECT w, w AS k, false AS s, false AS u, {_SPEC_NUMBER} AS r, bin_id AS id, NULL::VARCHAR AS lemma FROM firsts WHERE {_SPEC_NUMBER} IS NOT NULL AND mark <> ''",
+        ORDER_ALL,
+    ),
+)
 def word_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lexicon's forms whose first entry is a masculine noun, in the dative plural."""
-    lex = derived.lexicon(spark, sf_dir)
-    asked = lex.rows.select(F.col("bmynd").alias("w")).distinct()
-    firsts = stored(words.first_entry(asked, lookups.lookup_exact(asked, lex)))
-    return words.format_words(firsts, lex, "þgf_ft", "kk")
+    """Every word in a form that its class is asked for."""
+    asked, lex = _g(spark, sf_dir)
+    firsts = stored(words.first_entry(asked, lookups.lookup(asked, lex)))
+    specs = spark.createDataFrame(list(SPECS), "ofl string, spec string")
+    return words.format_words(firsts.join(F.broadcast(specs), "ofl", "left"), lex).select("w", "result")

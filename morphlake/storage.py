@@ -3,20 +3,35 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+SMALL_ROWS = 200_000
 
-def stored(df: DataFrame) -> DataFrame:
-    """df from the folder that spark.checkpoint.dir names; a local session that names none gets a temporary one."""
-    context = df.sparkSession.sparkContext
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a local session that names none gets a temporary one."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a shared folder")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+    return context.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder: later plans read only the columns that they need, and know its size."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """df, to be sent to all tasks of a join where it is counted to have few rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def numbered(rows: DataFrame, by: list[str], name: str) -> DataFrame:

@@ -10,7 +10,7 @@ from morphlake.functions import marks
 from morphlake.functions.text import capitalize, is_lower, is_upper, like_case
 from morphlake.operators import cases, clean, compat, compounds, lookups, stats, variants, words
 from morphlake.schema import AUGMENTED
-from morphlake.sources import lexicon_text, marks_text, settings_text, words_text
+from morphlake.sources import lexicon_table, lexicon_text, marks_text, settings_text, words_text
 
 NOUN = [f"{c}{n}{g}" for n in ("ET", "FT") for g in ("", "gr") for c in ("NF", "ÞF", "ÞGF", "EF")]
 HEST = ("hestur", "hest", "hesti", "hests", "hesturinn", "hestinn", "hestinum", "hestsins", "hestar", "hesta", "hestum", "hesta", "hestarnir", "hestana", "hestunum", "hestanna")
@@ -108,6 +108,7 @@ def test_order_and_classes(spark, lex):
 
 def test_splits(spark, lex):
     got = few(compounds.splits(asked(spark, "bókarhestur", "hestur", "bókarmaki", "bókx"), lex.parts), "w", "parts")
+    assert few(compounds.count_splits(asked(spark, "bókarhestur", "bókx", ""), lex.parts), "w", "ways") == [("bókarhestur", 2)]
     assert got == [("bókarhestur", ["bók", "arhestur"]), ("bókarhestur", ["bókar", "hestur"]), ("bókarmaki", ["bókar", "maki"]), ("hestur", ["hestur"])]
     assert few(compounds.best_split(asked(spark, "bókarhestur"), lex.parts), "parts") == [(["bókar", "hestur"],)]
     long = asked(spark, "hest" * 12 + "maki", "hest" * 12 + "x", "y" * 3000)
@@ -130,6 +131,19 @@ def brute_split(word, parts):
     return None
 
 
+def test_lattice_counts_ways_that_no_row_could_hold(spark):
+    parts = spark.createDataFrame([("a", True, False), ("aa", True, False), ("b", False, True)], "part string, is_prefix boolean, is_suffix boolean")
+    fibonacci = [1, 1]
+    while len(fibonacci) < 151:
+        fibonacci.append(fibonacci[-1] + fibonacci[-2])
+    ways = {r.w: int(r.ways) for r in compounds.count_splits(asked(spark, "a" * 30 + "b", "a" * 150 + "b"), parts).collect()}
+    assert ways == {"a" * n + "b": fibonacci[n] for n in (30, 150)}
+    some = compounds.splits(asked(spark, "a" * 30 + "b"), parts, first=fibonacci[30] - 3, n=5).orderBy("number").collect()
+    assert [len(r.parts) for r in some] == [17, 17, 16] and all("".join(r.parts) == "a" * 30 + "b" for r in some)
+    best = compounds.best_splits(asked(spark, "aaab"), parts, 2).orderBy("place").collect()
+    assert [r.parts for r in best] == [["a", "aa", "b"], ["aa", "a", "b"]]
+
+
 def test_best_split_against_brute_force(spark):
     rnd = random.Random(4)
     for _ in range(3):
@@ -189,19 +203,78 @@ def test_compatible_view(spark, lex):
     view = compat.compatible_view(lex, spark.createDataFrame([("bók", "kvk", "alm")], "ord string, ofl string, hluti string"), spark.createDataFrame([("hestur", "kk", "dýr")], "ord string, ofl string, hluti string"))
     assert few(lookups.lookup(asked(spark, "leyndur", "bók", "nýr", "maki"), view), "w") == [("leyndur",), ("nýr",)]
     assert few(lookups.lookup(asked(spark, "hesti"), view), "hluti") == [("dýr",)]
-    worse = spark.createDataFrame([("hesta", ["hesta"])], "form string, worse array<string>")
-    assert few(compat.preferred_stems(lookups.lookup(asked(spark, "hesta"), lex), worse), "ofl") == [("kk",), ("kk",)]
-    assert few(compat.by_priority(lookups.lookup(asked(spark, "hesta"), view)), "rank") == [(1,), (2,), (3,)]
+    worse = spark.createDataFrame([("hesta", ["hesta"]), ("hestum", ["hestur"])], "form string, worse array<string>")
+    none = spark.createDataFrame([], "ord string, ofl string, hluti string")
+    view = compat.compatible_view(lex, none, none, worse)
+    # The looked-up form decides, and a form without entries is a miss for its stage.
+    assert few(lookups.lookup(asked(spark, "HESTA", "hestum"), view), "w", "ofl", "bmynd") == [("HESTA", "kk", "hesta"), ("HESTA", "kk", "hesta")]
+    # Priority counts within a lookup: the capitalised entry comes first.
+    upper = lookups.lookup(asked(spark, "hestur"), dataclasses.replace(view, preferences=None), auto_uppercase=True)
+    assert [r.bmynd for r in upper.orderBy("rank").collect()] == ["Hestur", "hestur"]
+
+
+def test_compatible_view_filters_raw_classes(spark, lex):
+    rows = [entry("fyrstur", 21, "rt", "fyrsti", "KK-NFET"), entry("fyrstur", 21, "rt", "fyrsta", "KK-ÞGFET"), entry("tólf", 22, "to", "tólf", "OBEYGJANLEGT"), entry("sig", 23, "afn", "sér", "ÞGF")]
+    none = spark.createDataFrame([], "ord string, ofl string, hluti string")
+    view = compat.compatible_view(dataclasses.replace(lex, rows=lex.rows.unionByName(spark.createDataFrame(rows, lex.rows.schema))), none, none)
+    assert few(lookups.lookup(asked(spark, "fyrsti", "tólf", "sér"), view), "w", "ofl", "mark") == [("fyrsti", "lo", "KK-NFET"), ("sér", "abfn", "ÞGF"), ("tólf", "töl", "-")]
+    assert few(lookups.lookup(asked(spark, "ófyrsti"), view), "stage", "ord", "ofl") == [(6, "ófyrstur", "lo")]
+    assert few(cases.lookup_case(asked(spark, "fyrsti"), view, "ÞGF", cat="rt"), "bmynd", "ofl") == [("fyrsta", "lo")]
+    assert cases.lookup_case(asked(spark, "fyrsti"), view, "ÞGF", cat="lo").count() == 0
+    preferences = spark.createDataFrame([], "form string, gender string, score int")
+    assert few(cases.cast(asked(spark, "fyrsti"), view, "ÞGF", preferences), "result") == [("fyrsti",)]
+    assert few(variants.lookup_variants(asked(spark, "tólf"), view, "to", ("obeygjanlegt",)), "ofl", "mark") == [("töl", "-")]
+    assert variants.variants_raw(asked(spark, "fyrsti"), view, "lo", ("ÞGF",)).count() == 0
+
+
+def test_requests_in_columns(spark, lex):
+    ws = [("Hestur", True, False), ("Hestur", False, False), ("hestur", False, True), ("hestur", None, None), ("hestur", False, True)]
+    table = spark.createDataFrame([(k, *w) for k, w in enumerate(ws)], "place int, w string, at_sentence_start boolean, auto_uppercase boolean")
+    got = lookups.lookup_tokens(table, lex).orderBy("place", "rank").collect()
+    assert [(r.place, r.bmynd) for r in got] == [(0, "hestur"), (0, "Hestur"), (1, "Hestur"), (2, "Hestur"), (2, "hestur"), (3, "hestur"), (4, "Hestur"), (4, "hestur")]
+    wanted = [("hestsins", "kk", ["NF", "FT", "nogr"], None, None), ("hestsins", "kk", ["ÞGF", "ET"], None, 1), ("hestsins", "kk", ["ÞGF", "ET"], None, 2), ("hestsins", "no", ["NF_ET"], "bók", None), ("bókarhestur", "kk", ["ef"], None, 99), ("lesa", "so", ["p1", "ET"], None, None)]
+    table = spark.createDataFrame(wanted, "w string, class string, features array<string>, lemma string, id int")
+    got = variants.lookup_variants(table, lex)
+    for w, c, f, lemma, i in wanted[1::2]:
+        alone = few(variants.lookup_variants(asked(spark, w), lex, c, tuple(f), lemma, i), "bmynd", "mark", "rank", "stage")
+        mine = got.where((F.col("w") == w) & (F.col("features") == F.array(*map(F.lit, f))) & F.col("lemma").eqNullSafe(F.lit(lemma)) & F.col("id").eqNullSafe(F.lit(i)))
+        assert few(mine, "bmynd", "mark", "rank", "stage") == alone
+    assert got.count() > 8
+    with pytest.raises(Exception, match="unknown feature"):
+        variants.lookup_variants(table.withColumn("features", F.array(F.lit("zz"))), lex).collect()
+    table = spark.createDataFrame([("hestarnir", "ÞGF", True, True), ("hestarnir", "EF", False, False), ("bók", "ÞF", False, None)], "w string, case string, singular boolean, indefinite boolean")
+    got = cases.lookup_case(table.fillna(False), lex)
+    assert few(got, "w", "case", "bmynd") == [("bók", "ÞF", "bók"), ("hestarnir", "EF", "hestanna"), ("hestarnir", "ÞGF", "hesti")]
+    preferences = spark.createDataFrame([], "form string, gender string, score int")
+    got = cases.cast(asked(spark, "hestur", "xyz").withColumn("case", F.explode(F.array(F.lit("ÞF"), F.lit("EF")))), lex, None, preferences)
+    assert few(got, "w", "case", "result") == [("hestur", "EF", "hests"), ("hestur", "ÞF", "hest"), ("xyz", "EF", "xyz"), ("xyz", "ÞF", "xyz")]
+
+
+def test_bucketed_lexicon(spark, lex):
+    name = lexicon_table.write_lexicon(lex.rows, lex.mark_order, 900, lex.template, buckets=4)
+    again = lexicon_table.read_lexicon(spark, name, lex.parts)
+    assert again.first_local_id == 900 and few(again.mark_order, "ofl", "mark", "pos") == few(lex.mark_order, "ofl", "mark", "pos") and few(again.template, "ending", "mark", "seq") == few(lex.template, "ending", "mark", "seq")
+    assert few(lookups.lookup(asked(spark, "hesta", "fyndileg", "bókarhestur"), again), "w", "bmynd", "rank") == few(lookups.lookup(asked(spark, "hesta", "fyndileg", "bókarhestur"), lex), "w", "bmynd", "rank")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", None)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = lookups.base_plan(again)(asked(spark, "hesta").withColumn("key", F.col("w")))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold") if before is None else spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1
 
 
 def test_words(spark, lex):
     found = lookups.lookup(asked(spark, "bók", "xyz"), lex)
     firsts = words.first_entry(asked(spark, "bók", "xyz"), found)
     assert few(firsts, "w", "ofl", "mark", "bin_id") == [("bók", "kvk", "NFET", 2), ("xyz", "hk", "", 0)]
-    assert few(words.format_words(firsts, lex, "þf-gr", "kvk"), "w", "result") == [("bók", "bókina")]
+    assert few(words.format_words(firsts, lex, "þf-gr"), "w", "result") == [("bók", "bókina"), ("xyz", "xyz")]
+    several = words.first_entry(asked(spark, "Bók", "HESTUR", "bókarhestur"), lookups.lookup(asked(spark, "Bók", "HESTUR", "bókarhestur"), lex))
+    assert few(words.format_words(several, lex, "ef"), "w", "result") == [("Bók", "Bókar"), ("HESTUR", "HESTS"), ("bókarhestur", "bókarhests")]
+    assert few(words.format_words(firsts.withColumn("spec", F.lit("")), lex), "w", "spec", "result") == [("bók", "", "bók"), ("xyz", "", "xyz")]
     assert few(words.wrap(lex.rows.where("bmynd = 'bókina'")), "w", "key", "ord", "bin_id") == [("bókina", "bókina", "bók", 2)]
     with pytest.raises(ValueError, match="unknown feature"):
-        words.format_words(firsts, lex, "zz", "kvk")
+        words.format_words(firsts, lex, "zz")
 
 
 def test_reading_and_cleaning(spark, tmp_path, lex):
