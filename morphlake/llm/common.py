@@ -91,3 +91,21 @@ def best_of_each(rows: DataFrame, by: list[str], order: list, n: int, rank: str)
     """
     placed = rows.withColumn(rank, F.dense_rank().over(Window.partitionBy(*by).orderBy(*order)))
     return placed.where(F.col(rank) <= n).dropDuplicates([*by, rank])
+
+
+HOT_ROWS = 500_000
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, on: str, how: str = "left") -> DataFrame:
+    """rows.join(facts, on), where facts has one row for each key and some keys may have very many of the rows.
+
+    Facts of keys with more than HOT_ROWS rows are sent to all tasks (there are fewer of them than rows / HOT_ROWS), so that the
+    rows of such a key stay where they are; the others meet by a shuffle.
+    """
+    hot = cut(rows.groupBy(on).count().where(F.col("count") > HOT_ROWS).select(on))
+    if hot.isEmpty():
+        return rows.join(facts, on, how)
+    marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), on, "left")
+    few = cut(facts.join(F.broadcast(hot), on, "left_semi"))
+    rest = marked.where("_hot is null").drop("_hot").join(facts, on, how)
+    return rest.unionByName(marked.where("_hot").drop("_hot").join(F.broadcast(few), on, how))

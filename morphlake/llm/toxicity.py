@@ -29,7 +29,8 @@ LEAST_SPREAD = 0.02  # of the toxic documents that a term stands in
 LEAST_SHARE = 0.5
 WINDOW = 8
 QUOTED, MISSPELLED, CROWD = 0.25, 0.6, 0.25
-EDITS = ((5, 0), (9, 1), (10**9, 2))  # below these lengths, so many edits
+EDITS = ((5, 0), (9, 1), (65, 2))  # below these lengths, so many edits; longer words are no misspellings of others
+LONGEST = EDITS[-1][0]  # letters from which a term has no automaton: it is looked up as it is
 STEM_EDITS = ((8, 0), (10**9, 1))
 STEM_SIZES, STEM_FORMS = (4, 10), 3
 STATES = 60_000
@@ -79,10 +80,14 @@ class Words:
         self.opened = np.concatenate([[0], np.cumsum((marks == 1).astype(np.int64) - (marks == 2))])
         self.either = np.concatenate([[0], np.cumsum(marks == 3)])
 
+    def text(self, i: int) -> str:
+        """The i-th word, in lower case."""
+        return self.points[self.start[i] : self.end[i]].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
 
 def edits_of(term: str) -> int:
     stem = term.endswith("*")
-    return next(k for length, k in (STEM_EDITS if stem else EDITS) if len(term) - stem < length)
+    return next((k for length, k in (STEM_EDITS if stem else EDITS) if len(term) - stem < length), 0)
 
 
 class TooManyStates(ValueError):
@@ -208,23 +213,40 @@ class Automaton:
         return hits[order], self.term[states][order], self.edits[states][order]
 
 
+class Long:
+    """Terms of LONGEST letters and more: pasted keys and the like, which only match as they are."""
+
+    def __init__(self, terms: list[str]):
+        self.terms = terms
+        self.places = {t: i for i, t in enumerate(terms)}
+        self.sizes = np.unique([len(t) for t in terms])
+
+    def read(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, term, edits), as Automaton.read."""
+        word = np.flatnonzero(np.isin(w.end - w.start, self.sizes))
+        term = np.array([self.places.get(w.text(i), -1) for i in word], dtype=np.int32)
+        return word[term >= 0], term[term >= 0], np.zeros(int((term >= 0).sum()), dtype=np.int32)
+
+
 class Lexicon:
-    """Any number of terms: one automaton, or several where one would have more than ``STATES`` states."""
+    """Any number of terms of any length: one automaton, or several where one would have more than ``STATES`` states."""
 
     def __init__(self, terms: list[str]):
         self.parts: list[tuple[np.ndarray, dict]] = []
-        todo = [sorted(range(len(terms)), key=lambda i: terms[i])]
+        long = [i for i, t in enumerate(terms) if len(t) >= LONGEST]
+        if long:
+            self.parts.append((np.array(long, dtype=np.int32), {"long": [terms[i] for i in long]}))
+        short = [i for i, t in enumerate(terms) if len(t) < LONGEST]
+        todo = [sorted(short, key=lambda i: terms[i])] if short or not long else []
         while todo:
             numbers = sorted(some := todo.pop())
             try:
                 self.parts.append((np.array(numbers, dtype=np.int32), vars(Automaton([terms[i] for i in numbers]))))
-            except TooManyStates:
-                if len(some) == 1:
-                    raise
+            except TooManyStates:  # one term alone has fewer
                 todo += [some[: len(some) // 2], some[len(some) // 2 :]]
 
     @staticmethod
-    def read(parts: list[tuple[np.ndarray, Automaton]], w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def read(parts: list[tuple[np.ndarray, Automaton | Long]], w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Like Automaton.read: of the hits of one word, that of the fewest edits, and stems before words."""
         found = [(word, numbers[term], edits, np.array([not t.endswith("*") for t in a.terms], dtype=bool)[term]) for numbers, a in parts for word, term, edits in [a.read(w)]]
         if len(found) == 1:
@@ -236,16 +258,15 @@ class Lexicon:
         return word[first], term[first], edits[first]
 
 
-def _received(parts: list[tuple[np.ndarray, dict]]) -> list[tuple[np.ndarray, Automaton]]:
-    return [(numbers, Automaton.of(fields)) for numbers, fields in parts]
+def _received(parts: list[tuple[np.ndarray, dict]]) -> list[tuple[np.ndarray, Automaton | Long]]:
+    return [(numbers, Long(fields["long"]) if "long" in fields else Automaton.of(fields)) for numbers, fields in parts]
 
 
-def window_sums(w: Words, parts: list[tuple[np.ndarray, Automaton]], weights: np.ndarray, allowed: set[str]) -> np.ndarray:
+def window_sums(w: Words, parts: list[tuple[np.ndarray, Automaton | Long]], weights: np.ndarray, allowed: set[str]) -> np.ndarray:
     """One row of sums for each text.  allowed: words near a term that are none of its misspellings."""
     word, term, edits = Lexicon.read(parts, w)
     if allowed and len(word):
-        text = lambda i: "".join(map(chr, w.points[w.start[i] : w.end[i]]))
-        keep = np.array([e == 0 or text(i) not in allowed for i, e in zip(word, edits, strict=True)], dtype=bool)
+        keep = np.array([e == 0 or w.text(i) not in allowed for i, e in zip(word, edits, strict=True)], dtype=bool)
         word, term, edits = word[keep], term[keep], edits[keep]
     row, n_words = w.row[word], np.bincount(w.row, minlength=w.n)
     first_word = np.concatenate([[0], np.cumsum(n_words)])
@@ -343,7 +364,7 @@ def _near_words(sample: DataFrame, terms: list[str]) -> list[str]:
             for b in blocks(batch.column(0)):
                 w = Words(batch.column(0).slice(b.first, b.n), tables)
                 word, _, edits = Lexicon.read(parts, w)
-                found = {"".join(map(chr, w.points[w.start[i] : w.end[i]])) for i, e in zip(word, edits, strict=True) if e}
+                found = {w.text(i) for i, e in zip(word, edits, strict=True) if e}
                 yield pa.RecordBatch.from_arrays([pa.array(sorted(found), type=pa.string())], names=["word"])
 
     return [r[0] for r in sample.where("label = 0").select("text").mapInArrow(run, "word string").distinct().orderBy("word").collect()]

@@ -2,21 +2,30 @@
 
 The rules' verdicts label the URLs that they fit.  FP-growth finds the token combinations that go with a label often
 and surely enough; they judge the other URLs through an inverted index from token to rule.
+
+FP-growth: the frequent tokens of each basket stand by falling frequency, and each of them is sent what stands before it,
+its conditional baskets.  A task grows the sets that end with its token from these, and no set above the wanted size is
+grown, so a URL of many tokens costs no more than its sets of that size.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.fpm import FPGrowth
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from morphlake.storage import numbered
+
+from .common import cut, join_hot, table
 
 # Fixed values: (verdict, host, path).
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 SUPPORT, CONFIDENCE = 0.002, 0.8
 LONGEST = 3  # tokens of a rule; a parameter of the model
-COPIES = 8  # tasks that URLs with the same tokens are dealt to
+BASKETS = 100_000  # different baskets of one token that one task grows sets from
 DEFAULT = "allow"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -46,13 +55,64 @@ def tokens(host: Column, path: Column, url: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(words("host:", host, r"\."), words("path:", path, "[/._-]"), words("query:", query, "&"))))
 
 
+def grow(base: list[tuple[tuple[int, ...], int, list[int]]], size: int, least: int) -> Iterator[tuple[tuple[int, ...], list[int]]]:
+    """(set, counts of each verdict) of all sets of up to ``size`` tokens in conditional baskets (tokens, end, counts).
+
+    A conditional basket is what stands before the end; a token's own conditional baskets end where it stands.  Sets that no
+    verdict has ``least`` times are left out.
+    """
+    total: dict[int, list[int]] = {}
+    places: dict[int, list] = {}
+    for tokens_, end, counts in base:
+        for i in range(end):
+            t = tokens_[i]
+            if t in total:
+                total[t] = [a + b for a, b in zip(total[t], counts, strict=True)]
+            else:
+                total[t], places[t] = counts, []
+            if size > 1:
+                places[t].append((tokens_, i, counts))
+    for t, counts in total.items():
+        if max(counts) >= least:
+            yield (t,), counts
+            if size > 1:
+                for more, n in grow(places[t], size - 1, least):
+                    yield (*more, t), n
+
+
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, longest: int = LONGEST) -> DataFrame:
-    """(rule_id, antecedent, verdict, confidence, support) from (items, verdict)."""
-    baskets = labelled.select(F.concat("items", F.array(F.concat(F.lit("verdict:"), F.col("verdict")))).alias("items"))
-    model = FPGrowth(minSupport=support, minConfidence=confidence).fit(baskets)
-    verdict = F.element_at("consequent", 1)
-    rules = model.associationRules.where(verdict.startswith("verdict:") & (F.size("antecedent") <= longest) & ~F.exists("antecedent", lambda x: x.startswith("verdict:")))
-    named = rules.select(F.array_sort("antecedent").alias("antecedent"), F.substring_index(verdict, ":", -1).alias("verdict"), "confidence", "support")
+    """(rule_id, antecedent, verdict, confidence, support) from (items, verdict).
+
+    A token that all baskets have is dealt to several tasks by its conditional baskets, and their counts are added.
+    """
+    baskets = cut(labelled.groupBy("items", "verdict").agg(F.count(F.lit(1)).alias("n")))
+    total = baskets.agg(F.sum("n")).first()[0] or 0
+    least = max(1, math.ceil(support * total))
+    verdicts = [r[0] for r in baskets.select("verdict").distinct().orderBy("verdict").collect()]
+    often = baskets.select(F.explode("items").alias("item"), "n").groupBy("item").agg(F.sum("n").alias("often"), F.count(F.lit(1)).alias("baskets")).where(F.col("often") >= least)
+    # No more tokens than a basket's tokens / support are frequent.
+    ranks = cut(numbered(often.withColumn("_less", -F.col("often")), ["_less", "item"], "rank").select("item", F.col("rank").cast("int").alias("rank"), F.ceil(F.col("baskets") / BASKETS).cast("int").alias("lanes")))
+    whole = baskets.select("items", "verdict", "n", F.explode("items").alias("item")).join(F.broadcast(ranks), "item")
+    sorted_ = whole.groupBy("items", "verdict", "n").agg(F.array_sort(F.collect_list(F.struct("rank", "lanes"))).alias("by_rank")).drop("items")
+    conditional = sorted_.select("verdict", "n", "by_rank", F.posexplode("by_rank").alias("at", "own")).select(F.col("own.rank").alias("token"), F.transform(F.slice("by_rank", F.lit(1), F.col("at") + 1), lambda x: x["rank"]).alias("basket"), "verdict", "n", F.pmod(F.xxhash64(F.slice("by_rank", F.lit(1), F.col("at") + 1)), F.col("own.lanes")).alias("lane"), F.col("own.lanes").alias("lanes"))
+
+    def grown(group: pa.Table) -> pa.Table:
+        token, alone = group.column("token")[0].as_py(), group.column("lanes")[0].as_py() == 1
+        base: dict[tuple[int, ...], list[int]] = {}
+        for basket, verdict, n in zip(group.column("basket").to_pylist(), group.column("verdict").to_pylist(), group.column("n").to_pylist(), strict=True):
+            base.setdefault(tuple(basket), [0] * len(verdicts))[verdicts.index(verdict)] += n
+        own = [sum(x) for x in zip(*base.values(), strict=True)]
+        baskets_ = [(k[:-1], len(k) - 1, v) for k, v in base.items()]
+        found = [((), own), *(grow(baskets_, longest - 1, least if alone else 1) if longest > 1 else ())]
+        return pa.table({"tokens": pa.array([[*s, token] for s, _ in found], type=pa.list_(pa.int32())), "counts": pa.array([c for _, c in found], type=pa.list_(pa.int64()))})
+
+    sets = conditional.groupBy("token", "lane").applyInArrow(grown, "tokens array<int>, counts array<long>")
+    summed = sets.groupBy("tokens").agg(*[F.sum(F.col("counts")[k]).alias(f"n{k}") for k in range(len(verdicts))])
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("verdict"), F.col(f"n{k}").alias("n")) for k, v in enumerate(verdicts)])) if verdicts else F.explode(F.array().cast("array<struct<verdict:string,n:bigint>>"))
+    of_set = summed.select("tokens", sum((F.col(f"n{k}") for k in range(len(verdicts))), F.lit(0)).alias("n_set"), each.alias("v")).select("tokens", "n_set", "v.*")
+    rules = cut(of_set.where((F.col("n") >= least) & (F.col("n") / F.col("n_set") >= confidence)).withColumn("no", F.monotonically_increasing_id()))
+    names = rules.select("no", F.explode("tokens").alias("rank")).join(F.broadcast(ranks.select("rank", "item")), "rank").groupBy("no").agg(F.array_sort(F.collect_list("item")).alias("antecedent"))
+    named = rules.join(names, "no").select("antecedent", "verdict", (F.col("n") / F.col("n_set")).alias("confidence"), (F.col("n") / F.lit(total)).alias("support"))
     return named.withColumn("rule_id", F.md5(F.to_json(F.struct("antecedent", "verdict")).cast("binary")))
 
 
@@ -76,13 +136,16 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     tokens_of = open_items.select("items", F.explode("items").alias("item"))
     often = tokens_of.groupBy("item").agg(F.count(F.lit(1)).alias("often"))
     # A rule stands in the index under its rarest token, so popular tokens lead to few rules; the others are looked up in the row.
-    rarest = mined.select("rule_id", F.explode("antecedent").alias("item")).join(often, "item").groupBy("rule_id").agg(F.min_by("item", F.struct("often", "item")).alias("item"))
-    index = rarest.join(mined, "rule_id")
-    found = tokens_of.join(index, "item").where(F.size(F.array_except("antecedent", "items")) == 0)
+    rarest = mined.select("rule_id", F.explode("antecedent").alias("item")).join(often, "item").groupBy("rule_id").agg(F.min_by(F.struct("often", "item"), F.struct("often", "item")).alias("key"))
+    index = cut(rarest.join(mined, "rule_id").select("key.item", F.ceil(F.col("key.often") / BASKETS).cast("int").alias("lanes"), *mined.columns))
+    # The index has no more keys than there are frequent tokens; a key with many URLs is dealt to several lanes.
+    keys = F.broadcast(index.select("item", "lanes").distinct())
+    lanes = index.select("*", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane")).drop("lanes")
+    asked_of = tokens_of.join(keys, "item").withColumn("lane", F.pmod(F.xxhash64("items"), F.col("lanes")).cast("int")).drop("lanes")
+    found = asked_of.join(lanes, ["item", "lane"]).where(F.size(F.array_except("antecedent", "items")) == 0)
     best = F.max_by(F.struct("verdict", "antecedent"), F.struct("confidence", F.size("antecedent"), "support", "rule_id")).alias("best")
-    decided = found.groupBy("items").agg(best).select(F.col("items").alias("_items"), F.col("best.verdict").alias("_mined_verdict"), F.col("best.antecedent").alias("mined"), F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))).alias("_copy"))
-    asked = known.where(is_open).withColumn("_copy", F.pmod(F.monotonically_increasing_id(), F.lit(COPIES)).cast("int"))
-    judged = asked.join(decided, ["_items", "_copy"], "left").unionByName(known.where(~is_open), allowMissingColumns=True)
+    decided = cut(found.groupBy("items").agg(best).select(F.col("items").alias("_items"), F.col("best.verdict").alias("_mined_verdict"), F.col("best.antecedent").alias("mined")))
+    judged = join_hot(known.where(is_open), decided, "_items").unionByName(known.where(~is_open), allowMissingColumns=True)
     return judged.select(
         F.col("_id").alias(id_col),
         F.col("_host").alias("host"),
