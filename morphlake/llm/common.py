@@ -102,10 +102,10 @@ def join_hot(rows: DataFrame, facts: DataFrame, on: str, how: str = "left") -> D
     Facts of keys with more than HOT_ROWS rows are sent to all tasks (there are fewer of them than rows / HOT_ROWS), so that the
     rows of such a key stay where they are; the others meet by a shuffle.
     """
-    hot = cut(rows.groupBy(on).count().where(F.col("count") > HOT_ROWS).select(on))
+    size = fresh(rows, "n")
+    hot = cut(rows.groupBy(on).agg(F.count(F.lit(1)).alias(size)).where(F.col(size) > HOT_ROWS).select(on))
     if hot.isEmpty():
         return rows.join(facts, on, how)
-    marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), on, "left")
     few = cut(facts.join(F.broadcast(hot), on, "left_semi"))
-    rest = marked.where("_hot is null").drop("_hot").join(facts, on, how)
-    return rest.unionByName(marked.where("_hot").drop("_hot").join(F.broadcast(few), on, how))
+    rest = rows.join(F.broadcast(hot), on, "left_anti").join(facts, on, how)
+    return rest.unionByName(rows.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(few), on, how))

@@ -11,8 +11,8 @@ up the sorted hashes of a block of texts at once.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from io import BytesIO
 
@@ -24,13 +24,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import checkpoint_dir, fold, partitions, table
+from .common import checkpoint_dir, cut, fold, partitions, table
 from .textops import Block, blocks, mix64, word_hashes, words
 
 FOLDS, HELD_OUT = 7, 2
 TOKENS_AT_ONCE = 2_500_000
 SHARD_CHARS = 1 << 25  # characters of text for each shard; with few of them the session's number of partitions
-FREQUENT = 500_000  # a word of more tokens is spread over shards; also never less than a 100,000th of all characters
+FREQUENT = 500_000  # a word of more tokens is spread over shards, and with it all words of its bucket
+SPREAD_BITS = 20  # buckets of words by hash: what tasks know of frequent words has this fixed size
+OPEN, OPEN_BYTES = 200, 256 << 20  # arrays that a worker has mapped at once, and bytes of those that it had to read
 SHORT = np.uint64(24)  # n-grams know a word by the other 40 bits of its hash, words are counted by all of it
 BEGIN, END = np.uint64(1) << SHORT, np.uint64(2) << SHORT
 _ROLE = np.uint64(0x9E3779B97F4A7C15)
@@ -48,17 +50,35 @@ def put(folder: str, name: str, array: np.ndarray) -> None:
     store.move(draft, f"{path}/{name}.npy")
 
 
-def get(folder: str, name: str) -> np.ndarray:
-    """Map an array into memory; from a store that isn't mounted it is copied to an unnamed file first."""
+def get(folder: str, name: str) -> tuple[np.ndarray, int]:
+    """An array and the bytes that it takes of the worker's memory: none where it can be mapped, all where the store isn't mounted."""
     store, path = fs.FileSystem.from_uri(folder)
     path = f"{path}/{name}.npy"
     if isinstance(store, fs.LocalFileSystem):
-        return np.load(path, mmap_mode="r")
-    with tempfile.NamedTemporaryFile() as f, store.open_input_stream(path) as source:
-        while part := source.read(1 << 24):
-            f.write(part)
-        f.flush()
-        return np.load(f.name, mmap_mode="r")
+        return np.load(path, mmap_mode="r"), 0
+    with store.open_input_stream(path) as source:
+        array = np.load(BytesIO(source.read()))
+    return array, array.nbytes
+
+
+class Opened:
+    """Arrays by name, opened when they are asked for; those that were not used for longest are closed again."""
+
+    def __init__(self, folder: str, most: int, most_bytes: int):
+        self.folder, self.most, self.most_bytes = folder, most, most_bytes
+        self.held: OrderedDict[str, tuple[np.ndarray, int]] = OrderedDict()
+        self.bytes = 0
+
+    def __getitem__(self, name: str) -> np.ndarray:
+        if name in self.held:
+            self.held.move_to_end(name)
+            return self.held[name][0]
+        array, size = get(self.folder, name)
+        self.held[name] = array, size
+        self.bytes += size
+        while len(self.held) > 1 and (len(self.held) > self.most or self.bytes > self.most_bytes):
+            self.bytes -= self.held.popitem(last=False)[1][1]
+        return array
 
 
 def tokens(b: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -104,9 +124,26 @@ def triple_key(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return pair_key(pair_key(u, v), w)
 
 
-def shard_of_pair(v: np.ndarray, w: np.ndarray, frequent: np.ndarray, n: int) -> np.ndarray:
+def buckets_of(w: np.ndarray) -> np.ndarray:
+    """The buckets of words by their 40 bits."""
+    return (mix64(w) >> np.uint64(64 - SPREAD_BITS)).astype(np.int64)
+
+
+def is_spread(w: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """Which words are in a bucket of a frequent word."""
+    return spread[buckets_of(w)]
+
+
+def spread_buckets(frequent: list[int]) -> np.ndarray:
+    """The buckets with a frequent word, as one flag for each."""
+    out = np.zeros(1 << SPREAD_BITS, dtype=bool)
+    out[frequent] = True
+    return out
+
+
+def shard_of_pair(v: np.ndarray, w: np.ndarray, spread: np.ndarray, n: int) -> np.ndarray:
     """The shard of the pair and of all triples that end with it."""
-    return shard_of(np.where(np.isin(v, frequent), pair_key(v, w), mix64(v)), n)
+    return shard_of(np.where(is_spread(v, spread), pair_key(v, w), mix64(v)), n)
 
 
 def shard_of(h: np.ndarray, n: int) -> np.ndarray:
@@ -252,7 +289,7 @@ def _tally(n: np.ndarray) -> list[int]:
 
 
 def count_words(docs: DataFrame, text_col: str, folder: str, n_shards: int, frequent: int) -> tuple[int, int, list[int], list[int]]:
-    """Store the count of each word; (tokens, words, shards, words of more than frequent tokens by their 40 bits)."""
+    """Store the count of each word; (tokens, words, shards, buckets of words of more than frequent tokens)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -278,26 +315,28 @@ def count_words(docs: DataFrame, text_col: str, folder: str, n_shards: int, freq
         n, w = _add(order, starts, n), w[at]
         put(folder, f"word-{shard}", w)
         put(folder, f"word-n-{shard}", n.astype(np.min_scalar_type(n.max())))
-        often = (w[n > frequent] >> SHORT).astype(np.int64).tolist()
+        often = np.unique(buckets_of(w[n > frequent] >> SHORT)).tolist()
         return pa.table({"shard": [shard], "tokens": [int(n.sum())], "words": [len(w)], "frequent": pa.array([often], type=pa.list_(pa.int64()))})
 
-    done = docs.select(text_col).mapInArrow(count, _ROWS).groupBy("shard").applyInArrow(merge, "shard long, tokens long, words long, frequent array<long>").collect()
-    return sum(r.tokens for r in done), sum(r.words for r in done), sorted(r.shard for r in done), sorted({x for r in done for x in r.frequent})
+    done = cut(docs.select(text_col).mapInArrow(count, _ROWS).groupBy("shard").applyInArrow(merge, "shard long, tokens long, words long, frequent array<long>"))
+    sums = done.select("shard", "tokens", "words").collect()
+    frequent_buckets = sorted(r[0] for r in done.select(F.explode("frequent")).distinct().collect())
+    return sum(r.tokens for r in sums), sum(r.words for r in sums), sorted(r.shard for r in sums), frequent_buckets
 
 
 def train(docs: DataFrame, text_col: str = "text", frequent: int = FREQUENT) -> dict:
-    """Count the texts of docs; returns the model: its folder, a few totals, and the frequent words (100,000 at most)."""
+    """Count the texts of docs; returns the model: its folder, its shards' numbers, a few totals, and the buckets of frequent words."""
     spark = docs.sparkSession
     chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
     n_shards = max(partitions(spark), chars // SHARD_CHARS)
     folder = f"{checkpoint_dir(spark)}/lm-{uuid.uuid4().hex}"
     if "://" not in folder:
         folder = folder.replace("file:", "", 1)
-    n_tokens, n_words, word_shards, often = count_words(docs, text_col, folder, n_shards, max(frequent, chars // 100_000))
+    n_tokens, n_words, word_shards, often = count_words(docs, text_col, folder, n_shards, frequent)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        spread = np.array(often, dtype=np.uint64)
+        spread = spread_buckets(often)
 
         def flush() -> pa.RecordBatch:
             u, v, w = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -318,7 +357,7 @@ def train(docs: DataFrame, text_col: str = "text", frequent: int = FREQUENT) ->
 
     def merge(group: pa.Table) -> pa.Table:
         shard = group.column("shard")[0].as_py()
-        spread = np.array(often, dtype=np.uint64)
+        spread = spread_buckets(often)
         v, w, u, n = _read(_values(group, "triples"), "s", "s", "s", "u4")
         key = triple_key(u, v, w)
         order = np.argsort(key)
@@ -342,7 +381,7 @@ def train(docs: DataFrame, text_col: str = "text", frequent: int = FREQUENT) ->
         starts, at = _sums(order, v)
         contexts.append((word_context(v[at]), v[at], spread_of(order, starts, kinds)))
         key, of, values = (np.concatenate(x) for x in zip(*contexts, strict=True))
-        split = np.isin(of, spread)
+        split = is_spread(of, spread)
         put(folder, f"context-{shard}", pack_contexts(key[~split], values[~split]))
         key, values = key[split], values[split]
         order = np.argsort(key)
@@ -396,15 +435,13 @@ def _interpolate(n: np.ndarray, d: np.ndarray, context: np.ndarray, p: np.ndarra
 
 
 class Model:
-    """The mapped arrays of a trained model."""
+    """The arrays of a trained model; OPEN of them are mapped at once."""
 
     def __init__(self, model: dict):
         self.m = model
-        self.frequent = np.array(model["frequent"], dtype=np.uint64)
-        load = lambda name, shards: {k: Packed(get(model["folder"], f"{name}-{k}")) for k in model["shards"][shards]}
-        self.triples, self.pairs, self.contexts = (load(x, "triples") for x in ("triple", "pair", "context"))
-        self.split, self.kinds = load("split", "kinds"), load("kinds", "kinds")
-        self.words = {k: (get(model["folder"], f"word-{k}"), get(model["folder"], f"word-n-{k}")) for k in model["shards"]["words"]}
+        self.spread = spread_buckets(model["frequent"])
+        self.shards = {k: set(v) for k, v in model["shards"].items()}
+        self.opened = Opened(model["folder"], OPEN, OPEN_BYTES)
 
     def by_shard(self, keys: np.ndarray, shards: np.ndarray, width: int, find) -> np.ndarray:
         """find(shard, keys) for the different keys of each shard, in their order, so that arrays are read forwards."""
@@ -417,16 +454,17 @@ class Model:
             out[order[a:b]] = find(number, different[order[a:b]])
         return out[back]
 
-    def of(self, arrays: dict[int, Packed], keys: np.ndarray, shards: np.ndarray, width: int = 1) -> np.ndarray:
-        return self.by_shard(keys, shards, width, lambda k, x: arrays[k].find(x) if k in arrays else 0)
+    def of(self, name: str, kind: str, keys: np.ndarray, shards: np.ndarray, width: int = 1) -> np.ndarray:
+        """What the arrays ``name`` have for the keys; kind: the shards that have such arrays."""
+        return self.by_shard(keys, shards, width, lambda k, x: Packed(self.opened[f"{name}-{k}"]).find(x) if k in self.shards[kind] else 0)
 
     def count(self, word: np.ndarray) -> np.ndarray:
         """How often the training texts have each word."""
 
         def find(shard: int, keys: np.ndarray) -> np.ndarray | int:
-            if shard not in self.words:
+            if shard not in self.shards["words"]:
                 return 0
-            known, n = self.words[shard]
+            known, n = self.opened[f"word-{shard}"], self.opened[f"word-n-{shard}"]
             place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
             return np.where(known[place] == keys, n[place], 0)[:, None]
 
@@ -434,9 +472,9 @@ class Model:
 
     def context(self, keys: np.ndarray, last: np.ndarray) -> np.ndarray:
         """What spread_of gave for contexts that end with the words last."""
-        out, split, n = np.zeros((len(keys), 4), dtype=np.int64), np.isin(last, self.frequent), self.m["n_shards"]
-        out[split] = self.of(self.split, keys[split], shard_of(keys[split], n), 4)
-        out[~split] = self.of(self.contexts, keys[~split], shard_of(mix64(last[~split]), n), 4)
+        out, split, n = np.zeros((len(keys), 4), dtype=np.int64), is_spread(last, self.spread), self.m["n_shards"]
+        out[split] = self.of("split", "kinds", keys[split], shard_of(keys[split], n), 4)
+        out[~split] = self.of("context", "triples", keys[~split], shard_of(mix64(last[~split]), n), 4)
         return out
 
     def score(self, b: Block) -> tuple[np.ndarray, ...]:
@@ -446,17 +484,17 @@ class Model:
         u, v, w = triples(row, word)
         count = self.count(word)
         low, middle, high = (np.array([0.0, *d]) for d in m["discounts"])
-        kinds = self.of(self.kinds, mix64(w), shard_of(mix64(w), n_shards))[:, 0]
+        kinds = self.of("kinds", "kinds", mix64(w), shard_of(mix64(w), n_shards))[:, 0]
         pairs = max(m["pairs"], 1)
         spread = low[1] * m["few"][0] + low[2] * m["few"][1] + low[3] * (m["kinds"] - sum(m["few"]))
         p = (kinds - low[np.minimum(kinds, 3)]) / pairs + (spread / pairs if m["pairs"] else 1.0) / (m["kinds"] + 1)
-        shards = shard_of_pair(v, w, self.frequent, n_shards)
-        followed = self.of(self.pairs, pair_key(v, w), shards)[:, 0]
+        shards = shard_of_pair(v, w, self.spread, n_shards)
+        followed = self.of("pair", "triples", pair_key(v, w), shards)[:, 0]
         p = _interpolate(followed, middle, self.context(word_context(v), v), p)
         context, first = self.context(pair_context(u, v), v), begins(row)
         seen = np.where(first, m["tokens"] > 0, np.roll(followed > 0, 1))
         context[seen & (context[:, 3] == 0)] = (1, 0, 0, 1)
-        p = _interpolate(self.of(self.triples, triple_key(u, v, w), shards)[:, 0], high, context, p)
+        p = _interpolate(self.of("triple", "triples", triple_key(u, v, w), shards)[:, 0], high, context, p)
         base = np.log10((count + 1) / (m["tokens"] + m["words"] + 1))
         add = lambda x: np.bincount(row, weights=x, minlength=b.n)
         return np.bincount(row, minlength=b.n), np.bincount(row[count > 0], minlength=b.n), add(base), add(np.log10(p))

@@ -12,12 +12,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, table
+from .common import cut, fresh, join_hot, table
 
 KEY = "surrogates-1"
 SAME_FORM = 12  # so many attempts keep an entity's length; each later one is a character longer
-COPIES = 8  # tasks that the copies of one text are dealt to
 
+# Names of months and weekdays that have a capital in running text; alone they are no person's name.
+CALENDAR = (
+    "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december",
+    "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday",
+    "januar", "februar", "märz", "mai", "juni", "juli", "oktober", "dezember",
+    "montag", "dienstag", "mittwoch", "donnerstag", "freitag", "samstag", "sonntag",
+)
 # Titles by gender (f, m, n: either).
 TITLES = {
     "f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "г-жа", "κα"),
@@ -225,33 +231,36 @@ def _cased(word: Column, surr: Column) -> Column:
 def pseudonymize(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
     """docs with every detected entity of ``text_col`` replaced; other columns stay as they are.
 
-    A name is detected behind a title; its words, alone or in capitals, are replaced in all of that text.  Rows keep
+    A name is detected behind a title; its words, alone or in capitals, are replaced in all of that text, but for names of
+    months and weekdays, which stand there alone for what they are.  Rows keep
     their number: a text without entities, empty or null is returned unchanged, repeated rows get equal texts, an empty
     table gives an empty one.  ``key`` decides the surrogates: keep it secret, and keep it to get the same ones again.
-    Texts of any length are processed whole.
+    Texts of any length are processed whole; a text is known by its 128-bit digest.  What very many texts say, and what very
+    many copies of a text get, is sent to all tasks instead of meeting in one.
     """
     text = F.col(text_col)
-    digest = F.xxhash64(text, F.crc32(text.cast("binary")))
+    digest = F.md5(text.cast("binary"))
     said = cut(docs.where(may_mention(text)).select(digest.alias("text_id"), F.explode(F.array_distinct(mentions(text))).alias("raw")).distinct())
     split = cut(said.select("raw").distinct().select("raw", F.posexplode(parts(F.col("raw"))).alias("pos", "part")).select("raw", "pos", "part.*"))
-    of_part = split.join(assign(split, key), ["kind", "canon"])
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "surr", "word")))
-    named = of_part.groupBy("raw").agg(ordered.alias("all")).select("raw", _formatted(F.col("raw"), F.transform("all", lambda x: x["surr"])).alias("new"), F.filter("all", lambda x: x["word"].isNotNull()).alias("words"))
+    # A surname that very many names have is a hot key, its surrogate is one row.
+    of_part = join_hot(split.withColumn("_entity", F.struct("kind", "canon")), assign(split, key).select(F.struct("kind", "canon").alias("_entity"), "surr"), "_entity", "inner").drop("_entity")
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "surr", "word")))  # of one mention, which has three words at most
+    named = cut(of_part.groupBy("raw").agg(ordered.alias("all")).select("raw", _formatted(F.col("raw"), F.transform("all", lambda x: x["surr"])).alias("new"), F.filter("all", lambda x: x["word"].isNotNull()).alias("words")))
     whole = F.array(F.struct(F.col("raw").alias("said"), F.col("new").alias("new"), F.lit(False).alias("bare")))
-    alone = lambda f: F.transform("words", lambda x: F.struct(f(x["word"]).alias("said"), _cased(f(x["word"]), x["surr"]).alias("new"), F.lit(True).alias("bare")))
-    given = said.join(named, "raw").select("text_id", F.explode(F.concat(whole, alone(lambda w: w), alone(F.upper))).alias("g")).select("text_id", "g.*")
+    own = F.filter("words", lambda x: ~F.lower(x["word"]).isin(*CALENDAR))
+    alone = lambda f: F.transform(own, lambda x: F.struct(f(x["word"]).alias("said"), _cased(f(x["word"]), x["surr"]).alias("new"), F.lit(True).alias("bare")))
+    given = join_hot(said, named, "raw", "inner").select("text_id", F.explode(F.concat(whole, alone(lambda w: w), alone(F.upper))).alias("g")).select("text_id", "g.*")
     given = given.groupBy("text_id", "said").agg(F.min_by("new", F.struct("bare", "new")).alias("new"), F.max("bare").alias("bare"))
     bare = F.array_join(F.array_sort(F.collect_list(F.when(F.col("bare"), F.col("said")))), "|")
     pattern = F.when(F.max("bare"), F.concat(F.lit(PATTERN + r"|(?<![\w\p{L}])(?:"), bare, F.lit(r")(?![\w\p{L}])"))).otherwise(F.lit(PATTERN))
     by_text = given.groupBy("text_id").agg(F.map_from_entries(F.collect_list(F.struct("said", "new"))).alias("given"), pattern.alias("pattern"))
-    of = {name: fresh(docs, name) for name in ("text_id", "given", "pattern", "copy")}
-    # The copies of a frequent text are dealt to several tasks, and what it says to each of them.
-    by_text = by_text.select(F.col("text_id").alias(of["text_id"]), F.col("given").alias(of["given"]), F.col("pattern").alias(of["pattern"]), F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))).alias(of["copy"]))
-    dirty = docs.where(may_mention(text)).withColumns({of["text_id"]: digest, of["copy"]: F.pmod(F.monotonically_increasing_id(), F.lit(COPIES)).cast("int")})
+    of = {name: fresh(docs, name) for name in ("text_id", "given", "pattern")}
+    by_text = cut(by_text.select(*[F.col(name).alias(of[name]) for name in of]))
+    dirty = docs.where(may_mention(text)).withColumn(of["text_id"], digest)
     found = F.col(of["pattern"])
     new = F.transform(F.regexp_extract_all(text, found, F.lit(0)), lambda raw: F.col(of["given"])[raw])
     rebuilt = F.array_join(F.flatten(F.zip_with(F.concat(F.array(F.lit("")), new), F.split(text, found, -1), lambda a, b: F.array(a, b))), "")
-    changed = dirty.join(by_text, [of["text_id"], of["copy"]], "left").withColumn(text_col, F.when(found.isNotNull(), rebuilt).otherwise(text))
+    changed = join_hot(dirty, by_text, of["text_id"]).withColumn(text_col, F.when(found.isNotNull(), rebuilt).otherwise(text))
     return docs.where(~may_mention(text)).unionByName(changed.select(*docs.columns))
 
 

@@ -88,7 +88,7 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     baskets = cut(labelled.groupBy("items", "verdict").agg(F.count(F.lit(1)).alias("n")))
     total = baskets.agg(F.sum("n")).first()[0] or 0
     least = max(1, math.ceil(support * total))
-    verdicts = [r[0] for r in baskets.select("verdict").distinct().orderBy("verdict").collect()]
+    verdicts = [r[0] for r in baskets.select("verdict").distinct().orderBy("verdict").collect()] or [DEFAULT]
     often = baskets.select(F.explode("items").alias("item"), "n").groupBy("item").agg(F.sum("n").alias("often"), F.count(F.lit(1)).alias("baskets")).where(F.col("often") >= least)
     # No more tokens than a basket's tokens / support are frequent.
     ranks = cut(numbered(often.withColumn("_less", -F.col("often")), ["_less", "item"], "rank").select("item", F.col("rank").cast("int").alias("rank"), F.ceil(F.col("baskets") / BASKETS).cast("int").alias("lanes")))
@@ -108,7 +108,7 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
 
     sets = conditional.groupBy("token", "lane").applyInArrow(grown, "tokens array<int>, counts array<long>")
     summed = sets.groupBy("tokens").agg(*[F.sum(F.col("counts")[k]).alias(f"n{k}") for k in range(len(verdicts))])
-    each = F.explode(F.array(*[F.struct(F.lit(v).alias("verdict"), F.col(f"n{k}").alias("n")) for k, v in enumerate(verdicts)])) if verdicts else F.explode(F.array().cast("array<struct<verdict:string,n:bigint>>"))
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("verdict"), F.col(f"n{k}").alias("n")) for k, v in enumerate(verdicts)]))
     of_set = summed.select("tokens", sum((F.col(f"n{k}") for k in range(len(verdicts))), F.lit(0)).alias("n_set"), each.alias("v")).select("tokens", "n_set", "v.*")
     rules = cut(of_set.where((F.col("n") >= least) & (F.col("n") / F.col("n_set") >= confidence)).withColumn("no", F.monotonically_increasing_id()))
     names = rules.select("no", F.explode("tokens").alias("rank")).join(F.broadcast(ranks.select("rank", "item")), "rank").groupBy("no").agg(F.array_sort(F.collect_list("item")).alias("antecedent"))
