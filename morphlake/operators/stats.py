@@ -9,16 +9,16 @@ from morphlake.schema import EXTRA
 from morphlake.storage import numbered
 
 
-def value_index(rows: DataFrame, col: str, order: str) -> DataFrame:
-    """(value, ix): dense numbers of the distinct values from 0, by where they are first seen."""
-    first = rows.groupBy(F.col(col).alias("value")).agg(F.min(order).alias("_first"))
+def value_index(rows: DataFrame, col: str, *place: str) -> DataFrame:
+    """(value, ix): dense numbers of the distinct values from 0, by where they are first seen: the least ``place`` of their rows, such as file and line."""
+    first = rows.groupBy(F.col(col).alias("value")).agg(F.min(F.struct(*place)).alias("_first"))
     return numbered(first, ["_first", "value"], "_n").select("value", (F.col("_n") - 1).cast("int").alias("ix"))
 
 
-def meaning_ranks(rows: DataFrame) -> DataFrame:
-    """(ofl, mark, n, ix): the (class, tag) pairs by falling frequency."""
-    n = rows.groupBy("ofl", "mark").agg(F.count(F.lit(1)).alias("n"))
-    return numbered(n.withColumn("_less", -F.col("n")), ["_less", "ofl", "mark"], "_n").select("ofl", "mark", "n", (F.col("_n") - 1).cast("int").alias("ix"))
+def meaning_ranks(rows: DataFrame, *place: str) -> DataFrame:
+    """(ofl, mark, n, ix): the (class, tag) pairs by falling frequency, equally frequent ones by where they are first seen."""
+    n = rows.groupBy("ofl", "mark").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*place)).alias("_first"))
+    return numbered(n.withColumn("_less", -F.col("n")), ["_less", "_first"], "_n").select("ofl", "mark", "n", (F.col("_n") - 1).cast("int").alias("ix"))
 
 
 def lemmas_by_class(rows: DataFrame, order: tuple[str, ...] = ("bmynd", "mark")) -> DataFrame:

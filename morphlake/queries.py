@@ -13,7 +13,7 @@ from morphlake.functions import marks, text
 from morphlake.operators import cases, clean, compat, compounds, lookups, stats, variants, words
 from morphlake.plans import derived
 from morphlake.schema import AUGMENTED, BASIC
-from morphlake.sources import lexicon_text, words_text
+from morphlake.sources import lexicon_text, settings_table, words_text
 from morphlake.storage import numbered, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -197,6 +197,71 @@ def parts_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words_text.legal_words(w)
 
 
+# Settings of the stems, by their number: endings, errata and stem preferences in one file, preferences of genders in another.
+SETTINGS_LINES = {
+    "main.conf": [
+        (0, None, ["# settings", "[adjective_template]"]), (1, 0, ["{}legur NFET # an ending"]), (2, None, ["$include more/nouns.conf", "", "[bin_errata]"]), (3, 1, ["{} kk alm"]),
+        (4, 11, ["{} KK alm"]), (5, 1, ["{} kk ism"]), (6, None, ["[stem_preferences]"]), (7, 2, ["{0} a{0} \\", "   b{0} < c{0} # why"]), (8, 12, ["{0} a{0} < b{0}"]), (9, None, ["$include none.conf", "[odd]"]),
+    ],
+    "more/nouns.conf": [(0, None, ["[Noun_Preferences]"]), (1, 3, ["{} kk < kvk"]), (2, 13, ["{} kvk < hk"]), (3, 8, ["{} hk < kk"]), (4, 18, ["{} hk < kvk", "{} hk kvk"]), (5, 13, ["{} hk < kvk"])],
+}
+#: Every how many stems a line is for, by the remainder that it asks for.
+_EVERY = lambda r: 5 if r < 5 else 20
+
+
+def _settings_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stems = derived.stems(derived.read(spark, sf_dir, "benchmark")).where(f"id % {derived.CAPITAL} <> 0")
+    parts = []
+    for file, blocks in SETTINGS_LINES.items():
+        for block, remainder, texts in blocks:
+            rows = spark.range(1).select(F.lit(0).alias("id"), F.lit("").alias("stem")) if remainder is None else stems.where(f"id % {_EVERY(remainder)} = {remainder % _EVERY(remainder)}")
+            for k, t in enumerate(texts):
+                parts.append(rows.select(F.lit(file).alias("file"), F.lit(block).alias("block"), "id", F.lit(k).alias("k"), F.replace(F.replace(F.lit(t), F.lit("{0}"), F.col("stem")), F.lit("{}"), F.col("stem")).alias("line")))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    n = numbered(every, ["file", "block", "id", "k"], "n")
+    first = n.groupBy("file").agg(F.min("n").alias("first"))
+    return n.join(F.broadcast(first), "file").select("file", (F.col("n") - F.col("first") + 1).alias("line_no"), "line")
+
+
+def _settings_sql() -> str:
+    lines = " UNION ALL ".join(
+        f"SELECT '{file}' AS file, {block} AS block, {'0' if r is None else 'id'} AS id, {k} AS k, {r if r is not None else -1} AS r, {'' if r is None else 'stem'}{chr(39) * 2 if r is None else ''} AS stem" + (f" FROM plain WHERE id % {_EVERY(r)} = {r % _EVERY(r)}" if r is not None else "")
+        for file, blocks in SETTINGS_LINES.items() for block, r, texts in blocks for k in range(len(texts))
+    )
+    has = lambda r: f"id % {_EVERY(r)} = {r % _EVERY(r)}"
+    # A form's pairs in their order: all have kk < kvk, some then kvk < hk, hk < kk or hk < kvk.
+    return f"""plain AS (SELECT id, stem FROM stems WHERE id % {derived.CAPITAL} <> 0),
+settings_lines AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY file ORDER BY block, id, k) AS line_no FROM ({lines})),
+f AS (SELECT id, stem, {has(3)} AS one, {has(13)} AS two, {has(8)} AS three, {has(18)} AS four FROM plain),
+fold AS (SELECT *, -2 AS kk, 2 AS kvk, CASE WHEN two THEN 6 WHEN three THEN -6 WHEN four THEN -2 END AS hk FROM f WHERE one)
+SELECT 'ending' AS what, stem || 'legur' AS a, 'NFET' AS b, (row_number() OVER (ORDER BY id) - 1)::VARCHAR AS c FROM plain WHERE id % 5 = 0
+UNION ALL SELECT 'errata', stem, 'kk', 'ism' FROM plain WHERE id % 5 = 1
+UNION ALL SELECT 'stems', stem, 'a' || stem || ',b' || stem, 'c' || stem FROM plain WHERE id % 5 = 2
+UNION ALL SELECT 'nouns', stem, g, s::VARCHAR FROM (SELECT stem, unnest(['kk', 'kvk', 'hk']) AS g, unnest([kk, kvk, hk]) AS s FROM fold) WHERE s IS NOT NULL
+UNION ALL SELECT 'error', file, line_no::VARCHAR, 'class and domain are in lower case' FROM settings_lines WHERE file = 'main.conf' AND block = 4
+UNION ALL SELECT 'error', file, line_no::VARCHAR, 'a second preference for ' || stem FROM settings_lines WHERE file = 'main.conf' AND block = 8
+UNION ALL SELECT 'error', file, line_no::VARCHAR, CASE k WHEN 0 THEN 'missing file none.conf' ELSE 'unknown section odd' END FROM settings_lines WHERE file = 'main.conf' AND block = 9
+UNION ALL SELECT 'error', file, line_no::VARCHAR, CASE block WHEN 4 THEN 'a form, a gender, < and a gender are expected' ELSE 'both genders have a score: ' || stem END FROM settings_lines WHERE file = 'more/nouns.conf' AND (block = 5 OR block = 4 AND k = 1)"""
+
+
+@register("settings_tables", _settings_sql())
+def settings_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the settings say, and what is wrong with them."""
+    t = settings_table.settings_tables(_settings_lines(spark, sf_dir), "main.conf")
+    row = lambda what, df, a, b, c: df.select(F.lit(what).alias("what"), *[x.cast("string").alias(k) for k, x in zip("abc", (a, b, c), strict=True)])
+    out = row("ending", t["adjective_template"], F.col("ending"), F.col("mark"), F.col("seq"))
+    for part in (
+        row("errata", t["bin_errata"], F.col("ord"), F.col("ofl"), F.col("hluti")),
+        row("stems", t["stem_preferences"], F.col("form"), F.array_join("worse", ","), F.array_join("better", ",")),
+        row("nouns", t["noun_preferences"], F.col("form"), F.col("gender"), F.col("score")),
+        row("error", t["errors"], F.col("file"), F.col("line_no"), F.col("message")),
+    ):
+        out = out.unionByName(part)
+    return out
+
+
 # Cleaning.  The dirty rows are the lexicon with every seventh id's forms spoilt in one of seven ways.
 def _dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = derived.lexicon_rows(spark, sf_dir)
@@ -230,6 +295,33 @@ def clean_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _form(clean.repair(rows, repairs))
 
 
+#: Rows with the keys of the known repairs: the lexicon's ids are dealt to them in turn, and their forms meet each kind of repair.
+_KEYS = list(dict.fromkeys((o, i) for o, i, *_ in clean.REPAIRS))
+_ODD = "CASE was % 3 WHEN 0 THEN x WHEN 1 THEN x || bmynd ELSE bmynd || 'ttt' END"
+KNOWN = f"""keyed AS (SELECT l.* REPLACE (o AS ord, i AS bin_id), bin_id AS was, CASE o WHEN 'árekstrarvörn' THEN 'árekstrar' WHEN 'dínamítsprenging' THEN 'dýnamít' WHEN 'illinnheimtanlegur' THEN 'ill' WHEN 'Norður-Landeyjar' THEN CASE WHEN bin_id % 2 = 0 THEN 'Norð-Vestur' ELSE 'Norð-vestur' END ELSE 'full' END AS x
+  FROM lexicon l JOIN (VALUES {derived._values([(k, o, i) for k, (o, i) in enumerate(_KEYS)])}) t(k, o, i) ON l.bin_id % {len(_KEYS)} = k),
+odd AS (SELECT * REPLACE ({_ODD} AS bmynd) FROM keyed WHERE mark IN ('NFET', 'EFET', 'GM-NH', 'FSB-KK-NFET')),
+mended AS (SELECT *, CASE WHEN ord IN ('sem að', 'hvort að') THEN left(ord, length(ord) - 3) ELSE ord END AS o2, CASE WHEN ord IN ('sem að', 'hvort að') THEN left(ord, length(ord) - 3)
+  WHEN ord LIKE 'full%' THEN CASE WHEN starts_with(bmynd, 'full') THEN bmynd ELSE 'full' || bmynd END WHEN ord = 'illinnheimtanlegur' THEN CASE WHEN starts_with(bmynd, 'ill') THEN bmynd ELSE 'ill' || bmynd END
+  WHEN ord = 'dínamítsprenging' THEN replace(bmynd, 'dýnamít', 'dínamít') WHEN ord = 'Norður-Landeyjar' THEN replace(replace(bmynd, 'Norð-Vestur', 'Norður'), 'Norð-vestur', 'Norður') ELSE bmynd END AS b2, ord = 'árekstrarvörn' AND starts_with(bmynd, 'árekstrar') AS exempt FROM odd)
+SELECT was, o2 AS ord, bin_id, b2 AS bmynd, mark FROM mended WHERE (ord <> 'árekstrarvörn' OR exempt) AND (exempt OR ((o2[1] <> lower(o2[1])) = (b2[1] <> lower(b2[1])) AND NOT (length(b2) = 1 AND length(o2) > 1) AND NOT ends_with(b2, 'ttt')))"""
+
+
+@register("clean_known", KNOWN)
+def clean_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The known repairs on rows of their keys, and the checks after them, which exempt rows pass by."""
+    keys = spark.createDataFrame([(k, o, i) for k, (o, i) in enumerate(_KEYS)], "k int, o string, i int")
+    rows = derived.lexicon_rows(spark, sf_dir).where(F.col("mark").isin("NFET", "EFET", "GM-NH", "FSB-KK-NFET")).join(F.broadcast(keys), F.pmod("bin_id", F.lit(len(_KEYS))) == F.col("k"))
+    lemma, was = F.col("o"), F.col("bin_id")
+    north = F.when(was % 2 == 0, "Norð-Vestur").otherwise("Norð-vestur")
+    x = F.when(lemma == "árekstrarvörn", "árekstrar").when(lemma == "dínamítsprenging", "dýnamít").when(lemma == "illinnheimtanlegur", "ill").when(lemma == "Norður-Landeyjar", north).otherwise("full")
+    form = F.when(was % 3 == 0, x).when(was % 3 == 1, F.concat(x, "bmynd")).otherwise(F.concat("bmynd", F.lit("ttt")))
+    fixed = clean.repair(rows.withColumns({"was": was, "bmynd": form, "ord": lemma, "bin_id": F.col("i")}), clean.known_repairs(spark))
+    for check in (clean.same_capitals, clean.no_single_letters, clean.no_triple_t):
+        fixed = check(fixed)
+    return fixed.select("was", "ord", "bin_id", "bmynd", "mark")
+
+
 @register("clean_valid_mark", f"{DIRTY} {FORM} regexp_replace(mark, '[23]+$', '') IN (SELECT mark FROM mark_order WHERE ofl = dirty.ofl AND pos % 2 = 0)")
 def clean_valid_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _form(clean.legal_marks(_dirty(spark, sf_dir), derived.lexicon(spark, sf_dir).mark_order.where("pos % 2 = 0")))
@@ -274,7 +366,18 @@ def index_hluti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.value_index(derived.lexicon_rows(spark, sf_dir), "hluti", "bin_id")
 
 
-register("mark_freq_rank", "SELECT ofl, mark, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, ofl, mark) - 1 AS ix FROM lexicon GROUP BY ofl, mark")(lambda s, d: stats.meaning_ranks(derived.lexicon_rows(s, d)))
+#: Files of shuffled rows: places are those of a digest of the row, in three files.
+SHUFFLED = "shuffled AS (SELECT *, bin_id % 3 AS file_no, row_number() OVER (PARTITION BY bin_id % 3 ORDER BY md5(bmynd || ';' || mark || ';' || bin_id)) AS line_no FROM lexicon)"
+
+
+def _shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = derived.lexicon_rows(spark, sf_dir).withColumns({"file_no": F.pmod("bin_id", F.lit(3)), "_d": F.md5(F.concat_ws(";", "bmynd", "mark", F.col("bin_id").cast("string")).cast("binary"))})
+    n = numbered(rows, ["file_no", "_d"], "n")
+    return n.join(F.broadcast(n.groupBy("file_no").agg(F.min("n").alias("_first"))), "file_no").withColumn("line_no", F.col("n") - F.col("_first") + 1).drop("n", "_first", "_d")
+
+
+register("index_meanings", f"{SHUFFLED} SELECT ofl || ';' || mark AS value, row_number() OVER (ORDER BY min(file_no * 1000000000 + line_no)) - 1 AS ix FROM shuffled GROUP BY ofl, mark")(lambda s, d: stats.value_index(_shuffled(s, d).withColumn("meaning", F.concat_ws(";", "ofl", "mark")), "meaning", "file_no", "line_no"))
+register("mark_freq_rank", f"{SHUFFLED} SELECT ofl, mark, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, min(file_no * 1000000000 + line_no)) - 1 AS ix FROM shuffled GROUP BY ofl, mark")(lambda s, d: stats.meaning_ranks(_shuffled(s, d), "file_no", "line_no"))
 register("lemma_cat_count", "SELECT ofl, count(DISTINCT bin_id) AS n FROM lexicon GROUP BY ofl")(lambda s, d: stats.lemmas_by_class(derived.lexicon_rows(s, d)))
 register("lexicon_stats", "SELECT count(*) AS n_rows, count(DISTINCT bmynd) AS n_forms, count(DISTINCT bin_id) AS n_lemmas, count(DISTINCT hluti) AS n_domains, count(DISTINCT ofl || ';' || mark) AS n_meanings, count(DISTINCT einkunn || malsnid || birting || beinkunn) AS n_extras FROM lexicon")(lambda s, d: stats.summary(derived.lexicon_rows(s, d)))
 register("alphabet", "SELECT DISTINCT unnest(string_split(bmynd, '')) AS letter FROM lexicon")(lambda s, d: stats.alphabet(derived.lexicon_rows(s, d)))

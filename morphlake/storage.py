@@ -44,3 +44,19 @@ def numbered(rows: DataFrame, by: list[str], name: str) -> DataFrame:
     before = sizes.select("_range", (F.sum("_size").over(Window.orderBy("_range")) - F.col("_size")).alias("_before"))
     place = F.row_number().over(Window.partitionBy("_range").orderBy(*by))
     return dealt.withColumn("_place", place).join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_place")).drop("_range", "_place", "_before")
+
+
+CHUNK = 50_000
+
+
+def carried(rows: DataFrame, n: str, value: str, name: str) -> DataFrame:
+    """Add ``name``: the value of the nearest row at or before each, by the numbers ``n``, that has one.
+
+    Rows are dealt to chunks of numbers; only one value for each chunk meets in one task.
+    """
+    of_chunk = rows.withColumn("_chunk", F.floor(F.col(n) / CHUNK))
+    last = of_chunk.where(F.col(value).isNotNull()).groupBy("_chunk").agg(F.max_by(value, n).alias("_last"))
+    every = of_chunk.select("_chunk").distinct().join(last, "_chunk", "left")
+    before = every.select("_chunk", F.last("_last", True).over(Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    own = F.last(value, True).over(Window.partitionBy("_chunk").orderBy(n).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return of_chunk.withColumn("_own", own).join(F.broadcast(before), "_chunk").withColumn(name, F.coalesce("_own", "_before")).drop("_chunk", "_own", "_before")
