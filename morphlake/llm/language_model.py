@@ -11,6 +11,8 @@ up the sorted hashes of a block of texts at once.
 
 from __future__ import annotations
 
+import mmap
+import sys
 import uuid
 from collections import OrderedDict
 from collections.abc import Iterator
@@ -32,7 +34,7 @@ TOKENS_AT_ONCE = 2_500_000
 SHARD_CHARS = 1 << 25  # characters of text for each shard; with few of them the session's number of partitions
 FREQUENT = 500_000  # a word of more tokens is spread over shards, and with it all words of its bucket
 SPREAD_BITS = 20  # buckets of words by hash: what tasks know of frequent words has this fixed size
-OPEN, OPEN_BYTES = 200, 256 << 20  # arrays that a worker has mapped at once, and bytes of those that it had to read
+OPEN, OPEN_BYTES = 20_000, 256 << 20  # arrays that a worker has mapped at once (a system allows some 65,000), and bytes of those that it had to read
 SHORT = np.uint64(24)  # n-grams know a word by the other 40 bits of its hash, words are counted by all of it
 BEGIN, END = np.uint64(1) << SHORT, np.uint64(2) << SHORT
 _ROLE = np.uint64(0x9E3779B97F4A7C15)
@@ -55,7 +57,12 @@ def get(folder: str, name: str) -> tuple[np.ndarray, int]:
     store, path = fs.FileSystem.from_uri(folder)
     path = f"{path}/{name}.npy"
     if isinstance(store, fs.LocalFileSystem):
-        return np.load(path, mmap_mode="r"), 0
+        with open(path, "rb") as f:
+            np.lib.format.read_magic(f)
+            shape, _, kind = np.lib.format.read_array_header_1_0(f)
+            own = {"trackfd": False} if sys.version_info >= (3, 13) else {}  # else every mapping keeps a descriptor
+            mapped = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **own)
+            return np.frombuffer(mapped, dtype=kind, count=shape[0], offset=f.tell()), 0
     with store.open_input_stream(path) as source:
         array = np.load(BytesIO(source.read()))
     return array, array.nbytes
