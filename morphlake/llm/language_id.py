@@ -91,10 +91,16 @@ def inverse_frequencies(texts: DataFrame) -> np.ndarray:
     return (np.log((df[BUCKETS] + 1) / (df[:BUCKETS] + 1)) + 1).astype(np.float32)
 
 
-def sample_vectors(known: DataFrame, idf: np.ndarray, n: int) -> DataFrame:
-    """(lang, buckets, values): sparse vectors of n texts of each language at most, from (id, lang, text)."""
+def sample_vectors(known: DataFrame, idf: np.ndarray, n: int, sizes: dict[str, int]) -> DataFrame:
+    """(lang, buckets, values): sparse vectors of n texts of each language at most, from (id, lang, text).
+
+    Of a language of many texts only ids with small digests are ranked, some four times as many as are wanted, so that no
+    task gets more of them than that.
+    """
     digest = F.md5(F.col("id").cast("string").cast("binary"))
-    chosen = cut(best_of_each(known.select("id", "lang").where("id is not null"), ["lang"], [digest, "id"], n, "_place").select("id", "lang"))
+    share = F.element_at(F.create_map(*[F.lit(x) for lang, size in sizes.items() for x in (lang, min(1.0, (4 * n + 100) / size))]), F.col("lang"))
+    few = known.select("id", "lang").where(F.col("id").isNotNull() & (F.conv(F.left(digest, F.lit(8)), 16, 10).cast("double") <= share * float(1 << 32)))
+    chosen = cut(best_of_each(few, ["lang"], [digest, "id"], n, "_place").select("id", "lang"))
     chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,12 +170,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """
     text = F.col(text_col)
     known = docs.where(F.col(lang_col).isNotNull() & F.coalesce(text.rlike(r"\p{L}"), F.lit(False))).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.lower(text).alias("text"))
-    learned = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    learned = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not learned:
         return Model([], np.zeros((0, BUCKETS), dtype=np.float32), np.zeros(0), np.ones(BUCKETS, dtype=np.float32))
-    known = known.where(F.col("lang").isin(learned)) if len(learned) == LANGUAGES else known
+    known = known.where(F.col("lang").isin(list(learned))) if len(learned) == LANGUAGES else known
     idf = inverse_frequencies(known)
-    sample = cut(sample_vectors(known, idf, per_language))
+    sample = cut(sample_vectors(known, idf, per_language, learned))
     first = sample.where(F.col("place") <= n_centroids).orderBy("lang", "place").collect()
     start = _dense(pa.array([bytes(r.buckets) for r in first], type=pa.binary()), pa.array([bytes(r["values"]) for r in first], type=pa.binary()))
     model = Model([r.lang for r in first], start, np.zeros(len(first)), idf)
