@@ -38,6 +38,8 @@ def sf_dir(spark, tmp_path_factory):
     hosts = ("www.example.com", "a.example.com", "b.net", "c.org", "shop.c.org")
     pages = [(k, f"https://{hosts[k % 5]}/{'en' if k % 2 else 'es'}/{'offer' if k % 3 else 'news'}/{k}?id={k}", "") for k in range(200)] + [(900, None, ""), (901, "none", ""), (902, "x://HOST", "")]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    vectors = [(k, [((k * j) % 17 - 8) / 16 for j in range(1, 9)], k % 10) for k in range(230)] + [(300, None, 1), (400, [0.5] * 8, None), (500, [None] * 8, 2)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
     return folder
 
 
@@ -121,6 +123,12 @@ def test_audio_query(spark, sf_dir):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
 
 
+def test_language_query(spark, sf_dir):
+    got = {r.doc_id: r for r in queries.QUERIES["op13_language_id"](spark, sf_dir).collect()}
+    for i, d in documents(spark, sf_dir).items():
+        assert got[i].held_out == (fold(i, 3) == 1) and (got[i].lang_pred == "und") == (not d.text) and 0 <= got[i].score <= 1
+
+
 def test_folds_of_language_model(spark, sf_dir):
     got = {r.doc_id: r for r in queries.QUERIES["op6_language_model"](spark, sf_dir).collect()}
     docs = documents(spark, sf_dir)
@@ -157,7 +165,7 @@ def test_pipeline(spark, sf_dir):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet/*.parquet'")
     want = con.execute(queries.ORACLE_SQL[name])
     columns = [c[0] for c in want.description]
