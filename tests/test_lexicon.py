@@ -84,15 +84,18 @@ def test_lookup_stages(spark, lex):
 
 
 def test_sentence_start_and_upper(spark, lex):
-    start = lookups.lookup(asked(spark, "Hestur"), lex, at_sentence_start=True)
-    assert [(r.bmynd, r.key) for r in start.orderBy("rank").collect()] == [("hestur", "Hestur"), ("Hestur", "Hestur")]
-    upper = lookups.lookup(asked(spark, "hestur"), lex, auto_uppercase=True)
-    assert [(r.bmynd, r.key) for r in upper.orderBy("rank").collect()] == [("Hestur", "Hestur"), ("hestur", "Hestur")]
-    letters = lookups.lookup(asked(spark, "á", "b", "c"), lex, auto_uppercase=True)
-    assert [(r.w, r.bmynd, r.key) for r in letters.orderBy("w", "rank").collect()] == [("b", "b.", "b."), ("á", "Á", "Á"), ("á", "á", "Á")]
-    assert few(lookups.keys_of(asked(spark, "á", "b", "c"), letters, True), "w", "key") == [("b", "b."), ("c", "C."), ("á", "Á")]
-    assert [(r.bmynd, r.key, r.stage) for r in lookups.lookup(asked(spark, "heztur"), lex, auto_uppercase=True).orderBy("rank").collect()] == [("Hestur", "Hestur", 7), ("hestur", "Hestur", 7)]
-    assert few(lookups.keys_of(asked(spark, "óþekkt"), lookups.lookup(asked(spark, "óþekkt"), lex), True), "w", "key") == [("óþekkt", "Óþekkt")]
+    wanted = [("Hestur", True, False), ("hestur", False, True), ("á", False, True), ("b", False, True), ("c", False, True), ("heztur", False, True), ("óþekkt", False, True)]
+    table = spark.createDataFrame(wanted, "w string, at_sentence_start boolean, auto_uppercase boolean")
+    found = lookups.lookup(table, lex)
+    got = found.orderBy("w", "rank").collect()
+    of = lambda w: [(r.bmynd, r.key) for r in got if r.w == w]
+    assert of("Hestur") == [("hestur", "Hestur"), ("Hestur", "Hestur")]
+    assert of("hestur") == [("Hestur", "Hestur"), ("hestur", "Hestur")]
+    assert of("b") == [("b.", "b.")] and of("á") == [("Á", "Á"), ("á", "Á")] and of("c") == []
+    assert of("heztur") == of("hestur") and {r.stage for r in got if r.w == "heztur"} == {7}
+    assert few(lookups.keys_of(asked(spark, "á", "b", "c", "óþekkt"), found, True), "w", "key") == [("b", "b."), ("c", "C."), ("á", "Á"), ("óþekkt", "Óþekkt")]
+    start = lookups.lookup(asked(spark, "Hestur"), lex, at_sentence_start=True, add_compounds=False)
+    assert [(r.bmynd, r.key) for r in start.orderBy("rank").collect()] == of("Hestur")
 
 
 def test_order_and_classes(spark, lex):
