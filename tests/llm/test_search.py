@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from morphlake.llm import common, hard_negatives, language_id, language_model, lexical_search, toxicity, urls
+from morphlake.llm import audio, common, hard_negatives, language_id, language_model, lexical_search, pii, toxicity, urls
 from tests.llm.test_operators import prose
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -199,3 +199,96 @@ def test_open_arrays_are_bounded(tmp_path):
     many = language_model.Opened(str(tmp_path), 1000, 1 << 20)
     assert [len(many[f"a-{k}"]) for k in range(300)] == list(range(1, 301)) and len(many.held) == 300
     assert sys.version_info < (3, 13) or len(os.listdir("/proc/self/fd")) < before + 20
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def brute_window_sums(text, terms, weights, allowed):
+    """The six sums of a text, word by word and character by character."""
+    low = text.lower()
+    found = [(m.start(), m.end()) for m in re.finditer(r"[^\W_]+", low)]
+    hits = []
+    for n, (a, b) in enumerate(found):
+        near = min(((edit_distance(low[a:b], t), k) for k, t in enumerate(terms) if edit_distance(low[a:b], t) <= toxicity.edits_of(t)), default=None)
+        if near and not (near[0] and low[a:b] in allowed):
+            hits.append((n, *near))
+    plain, wrong, quoted_hits, values = 0, 0, 0, []
+    for n, edits, term in hits:
+        a, b = found[n]
+        window = range(max(0, n - toxicity.WINDOW), min(len(found), n + toxicity.WINDOW + 1))
+        near = sum(m in window for m, _, _ in hits) - 1
+        left, right = max(found[window[0]][0] - 1, 0), min(found[window[-1]][1] + 1, len(text))
+        marks = toxicity.OPENING + toxicity.CLOSING + '"'
+        around = any(c in marks for c in text[left:a]) and any(c in marks for c in text[b:right])
+        inside = text[:a].count('"') % 2 == 1 or sum(c in toxicity.OPENING for c in text[:a]) > sum(c in toxicity.CLOSING for c in text[:a])
+        quoted = around and inside
+        values.append(weights[term] * (toxicity.MISSPELLED if edits else 1) * (toxicity.QUOTED if quoted else 1) * (1 + toxicity.CROWD * min(near, 4)))
+        quoted_hits, plain, wrong = quoted_hits + quoted, plain + (not quoted and not edits), wrong + (not quoted and edits > 0)
+    return [math.log1p(plain), math.log1p(wrong), math.log1p(quoted_hits), math.log1p(sum(values)), math.log1p(max(values, default=0)), min(1, sum(values) * 20 / max(len(found), 20))]
+
+
+def test_window_sums_against_brute_force():
+    import pyarrow as pa
+
+    terms, weights, allowed = ["nitwit", "scoundrel", "oaf", "blockheaded"], np.array([1.5, 2.0, 0.5, 3.0]), {"nitwits"}
+    rnd = random.Random(8)
+    some = ["nitwit", "Nitvit", "nitwits", "scoundrel", "scoundrl", "oaf", "oat", "blockhaeded", "a", "word", '"', "“", "”", "«", "»", "Ünï", "x."]
+    texts = ["", "nitwit", '"nitwit" he said', *(" ".join(rnd.choice(some) for _ in range(rnd.randint(1, 60))) for _ in range(60))]
+    parts = toxicity._received(toxicity.Lexicon(terms).parts)
+    got = toxicity.window_sums(toxicity.Words(pa.array(texts), toxicity._tables()), parts, weights, allowed)
+    assert got == pytest.approx(np.array([brute_window_sums(t, terms, weights, allowed) for t in texts]))
+
+
+def test_audio_features_against_brute_force():
+    payload = bytes(np.random.default_rng(2).integers(0, 256, 640).astype(np.uint8)) + b"\x80" * 640 + bytes(range(256)) * 3 + b"\x80" * 256
+    got = audio.analyse(audio.write_wave(payload))
+    x = (np.frombuffer(payload, dtype=np.uint8).astype(float) - 128) / 128
+    n = audio.TAPS * audio.UP
+    h = np.array([np.sinc((k - (n - 1) / 2) / 4) * (0.54 - 0.46 * math.cos(2 * math.pi * k / (n - 1))) * 3 / 4 for k in range(n)])
+    stuffed = np.zeros(len(x) * audio.UP)
+    stuffed[:: audio.UP] = x
+    y = np.convolve(stuffed, h)[: len(stuffed)][:: audio.DOWN]  # zeros between the samples, a low-pass filter, every fourth value
+    window = np.array([0.5 - 0.5 * math.cos(2 * math.pi * k / (audio.FRAME - 1)) for k in range(audio.FRAME)])
+    dft = np.exp(-2j * math.pi * np.outer(np.arange(audio.FRAME // 2 + 1), np.arange(audio.FRAME)) / audio.FRAME)
+    top = 2595 * math.log10(1 + 6000 / 700)
+    edges = [700 * (10 ** (top * k / (audio.BANDS + 1) / 2595) - 1) for k in range(audio.BANDS + 2)]
+    mels, energies = [], []
+    for at in range(0, len(y) - audio.FRAME + 1, audio.HOP):
+        frame = y[at : at + audio.FRAME] * window
+        power = np.abs(dft @ frame) ** 2
+        bands = []
+        for low, mid, high in zip(edges, edges[1:], edges[2:], strict=False):
+            total = 0.0
+            for k, p in enumerate(power):
+                hz = k * 12_000 / audio.FRAME
+                total += p * max(0.0, min((hz - low) / (mid - low), (high - hz) / (high - mid)))
+            bands.append(math.log(total + 1e-6))
+        mels.append(bands)
+        energies.append(math.log(sum(v * v for v in frame) / audio.FRAME + 1e-6))
+    flat = got.tensors.reshape(-1, audio.BANDS)
+    assert flat[: len(mels)] == pytest.approx(np.array(mels), abs=1e-6) and not flat[len(mels) :].any()
+    low, high = (min(energies) + part * (max(energies) - min(energies)) for part in (audio.LOW, audio.HIGH))
+    ms, on, segments = audio.HOP / 12, False, []
+    for k, e in enumerate([*energies, -math.inf]):
+        if not on and e > high:
+            on = True
+            segments.append([k * ms])
+        elif on and (e < low or k == len(energies)):
+            on = False
+            segments[-1].append(k * ms)
+    assert len(segments) >= 2 and got.segments.tolist() == pytest.approx(np.array(segments))
+
+
+def test_months_stay(spark):
+    texts = ["Mr. May spoke. In May it rains.", "Mrs. Anna Smith left; Smith and ANNA came back on Monday."]
+    got = [r.text for r in pii.pseudonymize(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert re.fullmatch(r"Mr\. (?!May)\w+ spoke\. In May it rains\.", got[0])
+    name, surname = re.match(r"Mrs\. (\w+) (\w+) left", got[1]).groups()
+    assert got[1] == f"Mrs. {name} {surname} left; {surname} and {name.upper()} came back on Monday." and "Smith" not in got[1]
