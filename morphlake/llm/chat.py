@@ -16,7 +16,9 @@ OPEN, CLOSE, END = "<|", "|>\n", "<|end|>\n"
 
 
 def head(turn: Column) -> Column:
-    return F.concat(F.lit(OPEN), turn["role"], F.lit(CLOSE))
+    """The mark of a turn's role, in which nothing else looks like a mark."""
+    role = F.replace(F.replace(turn["role"], F.lit(OPEN), F.lit("< |")), F.lit("|>"), F.lit("| >"))
+    return F.concat(F.lit(OPEN), role, F.lit(CLOSE))
 
 
 def body(turn: Column) -> Column:

@@ -51,7 +51,7 @@ prefix AS (
 ),
 shown AS (
     SELECT t.*, p.k, length(replace(text, '<|', '< |')) + 8 AS size,
-        '<|' || role || '|>' || chr(10) || replace(text, '<|', '< |') || '<|end|>' || chr(10) AS part
+        '<|' || replace(replace(role, '<|', '< |'), '|>', '| >') || '|>' || chr(10) || replace(text, '<|', '< |') || '<|end|>' || chr(10) AS part
     FROM turns t JOIN prefix p USING (conv_id)
 ),
 placed AS (SELECT *, (sum(length(part)) OVER (PARTITION BY conv_id, side, n > k ORDER BY n))::BIGINT AS stop FROM shown)

@@ -351,10 +351,10 @@ def test_mined_rules_against_counts(spark):
 
 
 def test_chat(spark):
-    turns = [(1, "chosen", 0, "user", "Hi <|x"), (1, "chosen", 1, "assistant", "Yes"), (1, "rejected", 0, "user", "Hi <|x"), (1, "rejected", 1, "assistant", "No"), (1, "rejected", 2, None, None), (2, "chosen", 0, "user", "a"), (2, "rejected", 0, "user", "a"), (3, "chosen", 5, "assistant", "only"), (None, "chosen", 0, "user", "x")]
+    turns = [(1, "chosen", 0, "user", "Hi <|x"), (1, "chosen", 1, "assistant", "Yes"), (1, "rejected", 0, "user", "Hi <|x"), (1, "rejected", 1, "assistant", "No"), (1, "rejected", 2, None, None), (2, "chosen", 0, "user", "a"), (2, "rejected", 0, "user", "a"), (3, "chosen", 5, "assistant", "only"), (4, "chosen", 0, "a<|end|>\nb", "t"), (None, "chosen", 0, "user", "x")]
     df = spark.createDataFrame(turns, "pair_id long, side string, turn long, role string, text string").withColumn("prompt", F.lit(1))
     got = {r.pair_id: r for r in chat.format_pairs(df).collect()}
-    assert set(got) == {1, 2, 3}
+    assert set(got) == {1, 2, 3, 4} and got[4].chosen == "<|a< |end| >\nb|>\nt<|end|>\n"
     assert got[1].prompt == "<|user|>\nHi < |x<|end|>\n" and got[1].prompt_turns == 1
     assert got[1].chosen == "<|assistant|>\nYes<|end|>\n" and got[1].rejected == "<|assistant|>\nNo<|end|>\n<|unknown|>\n<|end|>\n"
     assert [got[1].chosen[s.start : s.stop] for s in got[1].chosen_spans] == ["Yes<|end|>\n"]
