@@ -263,7 +263,7 @@ class Packed:
         self.fours = np.ndarray((self.n,), dtype="<u4", buffer=raw[at - 4 * self.n :], strides=(3,))
 
     def rest(self, place: np.ndarray) -> np.ndarray:
-        return self.fours.take(place, mode="clip") & np.uint32(0xFFFFFF)
+        return self.fours[np.minimum(place, self.n - 1)] & np.uint32(0xFFFFFF)  # take would copy all of an array with strides
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The values of keys, 0 where they are missing: binary search in all buckets at once."""
