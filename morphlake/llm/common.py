@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,6 +35,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+MOST_BUCKETS = 100_000
+
+
+@contextmanager
+def bucketed(df: DataFrame, key: str, groups: int) -> Iterator[DataFrame]:
+    """df as a table in the checkpoint folder that is bucketed by ``key``, so that grouping by it moves no row again.
+
+    There are as many buckets as groups, at least those of a shuffle and at most MOST_BUCKETS; a bucket is one file.  The
+    table goes at the end: what is read from it must be written by then.
+    """
+    spark = df.sparkSession
+    buckets = min(MOST_BUCKETS, max(groups, partitions(spark)))
+    database = f"tables_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{checkpoint_dir(spark)}/{database}'")
+    try:
+        df.repartition(buckets, key).write.bucketBy(buckets, key).format("parquet").saveAsTable(f"{database}.rows")
+        yield spark.table(f"{database}.rows")
+    finally:
+        spark.sql(f"DROP DATABASE {database} CASCADE")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     taken = {c.lower() for c in df.columns}
