@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from morphlake.llm import audio, chat, decontaminate, language_model, mixing, ngram_join, pii, quality, textops, toxicity, urls
+from morphlake.llm import audio, chat, common, decontaminate, language_model, mixing, ngram_join, pii, quality, textops, toxicity, urls
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node long, label int, id long, score double, size long"
@@ -471,3 +471,32 @@ def test_shingle_hashes_are_the_same_everywhere():
             for k in range(b.n):
                 apart.setdefault(b.first + k, []).append(sorted(h[r == k].tolist()))
     assert all(len(v) == 2 and v[0] == v[1] for v in apart.values())
+
+
+def test_common_lines_are_no_pairs():
+    """Sets that share little but a common line are dropped where they meet; pairs that may link keep all their hashes."""
+    rnd = np.random.default_rng(1)
+    # As many pairs of near copies as there are texts with a line of their own: everything in a set has a second owner.
+    line, sets = rnd.integers(0, 1 << 31, 10), []
+    for _ in range(40):
+        base = rnd.integers(0, 1 << 31, 50)
+        sets += [np.concatenate([line, base]), np.concatenate([line, base[:-1]])]
+    rows, hashes = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets).astype(np.uint64)
+    names = np.arange(len(sets), dtype=np.int64)
+    # size, shared, cutoff and tail: a cut-off in the highest level, so that the line is in every prefix
+    about = np.array([[len(s), 59, ngram_join.LEVELS - 1, 0] for s in sets], dtype=np.uint32)
+    order = np.lexsort((rows, hashes))
+    _, blobs = ngram_join.pack(rows[order], hashes[order], names, about, 1, np.uint64)
+    s = ngram_join.Segments(pa.chunked_array([pa.array(blobs, type=pa.binary())]), np.uint64, len(ngram_join.ABOUT))
+    s.index()
+    found = [(int(a), int(b), int(n)) for x in s.all_pairs(names) for a, b, n in zip(*x, strict=True)]
+    assert sorted(found) == [(k, k + 1, 59) for k in range(0, 80, 2)]
+
+
+def test_shuffles_are_forgotten(spark):
+    files = lambda: spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().size()
+    before, setting = files(), spark.conf.get(common.FORGET, None)
+    with common.shuffles_forgotten(spark):
+        rows = common.cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+        assert files() <= before
+    assert spark.conf.get(common.FORGET, None) == setting and {(r.k, r["count"]) for r in rows.collect()} == {(k, 143 if k < 6 else 142) for k in range(7)}
