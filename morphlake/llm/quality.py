@@ -12,15 +12,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from morphlake.storage import numbered
 from .common import fold, table
-from .learning import FOLDS, HELD_OUT, fit_logistic, training_sample
+from .learning import FOLDS, HELD_OUT, fit_logistic
 from .textops import Block, blocks, first_of_each, shingles, word_hashes, words
 
 CUT = 0.3
+BINS = 1000
+BROADCAST_EXAMPLES = 10_000
 CLASSES = ("lower", "upper", "digit", "blank", "newline", "stop", "mark", "bar", "symbol", "wide")
 _CLASS = np.full(256, CLASSES.index("symbol"), dtype=np.int64)
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58] = 0, 1, 2
@@ -64,45 +67,83 @@ def measures(b: Block) -> np.ndarray:
     ).astype(np.float64)
 
 
-def measured(texts: DataFrame) -> DataFrame:
-    """(features, label) of (text, label)."""
+def measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, features) of each row."""
+    schema = f"_id {docs.schema[id_col].dataType.simpleString()}, features array<double>"
+    id_type = to_arrow_type(docs.schema[id_col].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in blocks(batch.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array(list(measures(b)), type=pa.list_(pa.float64())), batch.column(1).slice(b.first, b.n).cast(pa.int32())], names=["features", "label"])
+            for b in blocks(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.first, b.n).cast(id_type), pa.array(list(measures(b)), type=pa.list_(pa.float64()))], names=["_id", "features"])
+
+    return docs.select(id_col, text_col).mapInArrow(run, schema)
+
 
-    return texts.select("text", "label").mapInArrow(run, "features array<double>, label int")
+def training_examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """(features, label, deal) of all labelled documents outside the held-out fold; deal is an order without meaning.
+
+    Documents are measured before they meet their labels, so that no text is shuffled.
+    """
+    learnt = F.col(id_col).isNotNull() & (fold(F.col(id_col), FOLDS) != HELD_OUT)
+    label = F.col(label_col).cast("int")
+    chosen = labels.where(label.isin(0, 1) & learnt).select(F.col(id_col).alias("_id"), label.alias("label"))
+    return measured(docs.where(learnt), id_col, text_col).join(chosen, "_id").select("features", "label", F.xxhash64("_id").alias("deal"))
 
 
 def preference_pairs(examples: DataFrame) -> DataFrame:
     """(features, label): differences of a preferred and a rejected example, every other one turned round.
 
-    Each example is in one pair at least: the k-th of one label meets the k-th of the other, counted in a circle.
+    Each example is in one pair at least: the k-th of the more frequent label meets the k-th of the other, counted in a
+    circle.
+    """
+    n1, n0 = examples.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
+    placed = numbered(examples.select("features", "label", "deal"), ["label", "deal", "features"], "k").withColumn("k", F.col("k") - F.when(F.col("label") == 1, n0 + 1).otherwise(1))
+    many, few = (1, 0) if n1 >= n0 else (0, 1)
+    one = placed.where(F.col("label") == many).select("k", F.pmod("k", F.lit(max(1, min(n0, n1)))).alias("j"), F.col("features").alias("x"))
+    other = placed.where(F.col("label") == few).select(F.col("k").alias("j"), F.col("features").alias("y"))
+    # Where the other label is that rare, each of its examples meets many.
+    pairs = one.join(F.broadcast(other) if min(n0, n1) <= BROADCAST_EXAMPLES else other, "j")
+    won = F.pmod("k", F.lit(2)) == 0
+    return pairs.select(F.zip_with("x", "y", lambda a, b: F.when(won == F.lit(many == 1), a - b).otherwise(b - a)).alias("features"), won.cast("int").alias("label"))
+
+
+def quantile(values: DataFrame, column: str, share: float) -> float | None:
+    """The exact quantile of a column, between two values as ``percentile`` has it; None of an empty table.
+
+    The range that holds it is cut into BINS until all its values are equal, so that no task or driver gets all values.
     """
-    order = Window.partitionBy("label").orderBy(F.hash("features"), "features")
-    n = examples.groupBy().agg(F.count_if(F.col("label") == 1).alias("n1"), F.count_if(F.col("label") == 0).alias("n0"))
-    placed = examples.withColumn("k", F.row_number().over(order) - 1)
-    good, bad = placed.where("label = 1").select("k", F.col("features").alias("x")), placed.where("label = 0").select("k", F.col("features").alias("y"))
-    turns = n.where("n1 > 0 and n0 > 0").select("n1", "n0", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("n1", "n0") - 1)).alias("turn"))
-    pairs = turns.withColumn("i", F.pmod("turn", "n1")).withColumn("j", F.pmod("turn", "n0")).join(good.withColumnRenamed("k", "i"), "i").join(bad.withColumnRenamed("k", "j"), "j")
-    won = F.pmod("turn", F.lit(2)) == 0
-    return pairs.select(F.zip_with(F.when(won, F.col("x")).otherwise(F.col("y")), F.when(won, F.col("y")).otherwise(F.col("x")), lambda a, b: a - b).alias("features"), won.cast("int").alias("label"))
+    value = F.col(column)
+    n, low, high = values.agg(F.count(value), F.min(value), F.max(value)).first()
+    place = share * ((n or 1) - 1)
+    rank = before = int(place)
+    while n and low < high:
+        at = F.least(F.floor((value - low) / (high - low) * BINS), F.lit(BINS - 1))
+        for _, count, low, high in sorted(values.where(value.between(low, high)).groupBy(at.alias("bin")).agg(F.count(value), F.min(value), F.max(value)).collect()):
+            if before < count:
+                break
+            before -= count
+    if not n or place == rank:
+        return low
+    upto, above = values.agg(F.count_if(value <= low), F.min(F.when(value > low, value))).first()
+    return low if upto > rank + 1 else (rank + 1 - place) * low + (place - rank) * above
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[list[float], float]:
     """Weights and the shift of the scores.  Without examples of both labels all scores are the threshold's."""
-    examples = measured(training_sample(docs, labels, id_col, text_col, label_col)).persist()
+    examples = training_examples(docs, labels, id_col, text_col, label_col).persist()
     try:
         fitted = fit_logistic(preference_pairs(examples), intercept=False)
         if fitted is None:
             return [], math.log(CUT / (1 - CUT))
         weights = fitted[0]
         score = F.aggregate(F.zip_with("features", F.array(*[F.lit(x) for x in weights]), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-        scored = examples.select(score.alias("score"), "label")
-        share = scored.agg(F.avg(1 - F.col("label"))).first()[0]
-        threshold = scored.agg(F.percentile("score", F.lit(share))).first()[0]
-        return weights, math.log(CUT / (1 - CUT)) - threshold
+        scored = examples.select(score.alias("score"), "label").persist()
+        try:
+            share = scored.agg(F.avg(1 - F.col("label"))).first()[0]
+            return weights, math.log(CUT / (1 - CUT)) - quantile(scored, "score", share)
+        finally:
+            scored.unpersist()
     finally:
         examples.unpersist()
 

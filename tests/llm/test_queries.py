@@ -6,10 +6,12 @@ import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from morphlake.llm import decontaminate, mixing, ngram_join, pii, quality, queries, urls
+from morphlake.llm import decontaminate, learning, mixing, ngram_join, pii, quality, queries, urls
 from tests.llm.test_operators import WORDS, prose, shingle_set
 
 ITEM = prose(99, 25)
@@ -182,3 +184,26 @@ def test_columns_that_clash(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3] and kept.columns == df.columns
     assert pii.pseudonymize(df).columns == df.columns and mixing.mix(df).count() == 4
     assert quality.keep_good(df, spark.createDataFrame([], "doc_id long, quality int")).columns == df.columns
+
+
+@pytest.fixture(scope="module")
+def many_labels(spark):
+    """(documents, labels, ids of label 0): all of label 0 come after the first SAMPLE ids by digest."""
+    ids = sorted((i for i in range(27_000) if fold(i, learning.FOLDS) != learning.HELD_OUT), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    bad = set(ids[learning.SAMPLE :])
+    docs = spark.createDataFrame([(i, "SHOUTED!! WORDS!!" if i in bad else "some quiet words") for i in ids], "doc_id long, text string").repartition(8)
+    return docs, spark.createDataFrame([(i, int(i not in bad)) for i in ids], "doc_id long, quality int"), bad
+
+
+def test_quality_learns_all_labels(spark, many_labels):
+    docs, labels, bad = many_labels
+    weights, _ = quality.fit(docs, labels)
+    assert any(abs(w) > 0.1 for w in weights)
+    examples = quality.training_examples(docs, labels, "doc_id", "text", "quality")
+    assert examples.count() == docs.count() and quality.preference_pairs(examples).count() == learning.SAMPLE
+    rnd = np.random.default_rng(2)
+    for values in ([], [0.5], [2.0, 1.0], [1.0] * 9 + [2.0, 3.0], [*rnd.normal(size=500), *([0.25] * 200), 1e9, -1e-300]):
+        df = spark.createDataFrame([(float(v),) for v in values], "x double")
+        for share in (0.0, 0.3, 0.5, 0.77, 1.0):
+            got, want = quality.quantile(df, "x", share), df.agg(F.percentile("x", F.lit(share))).first()[0]
+            assert got == want or abs(got - want) <= 1e-12 * abs(want)
