@@ -88,7 +88,7 @@ def training_examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col:
     learnt = F.col(id_col).isNotNull() & (fold(F.col(id_col), FOLDS) != HELD_OUT)
     label = F.col(label_col).cast("int")
     chosen = labels.where(label.isin(0, 1) & learnt).select(F.col(id_col).alias("_id"), label.alias("label"))
-    return measured(docs.where(learnt), id_col, text_col).join(chosen, "_id").select("features", "label", F.xxhash64("_id").alias("deal"))
+    return measured(docs.where(learnt), id_col, text_col).join(chosen, "_id").select("features", "label", F.xxhash64("_id", "features").alias("deal"))
 
 
 def preference_pairs(examples: DataFrame) -> DataFrame:
@@ -98,7 +98,7 @@ def preference_pairs(examples: DataFrame) -> DataFrame:
     circle.
     """
     n1, n0 = examples.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
-    placed = numbered(examples.select("features", "label", "deal"), ["label", "deal", "features"], "k").withColumn("k", F.col("k") - F.when(F.col("label") == 1, n0 + 1).otherwise(1))
+    placed = numbered(examples.select("features", "label", "deal"), ["label", "deal"], "k").withColumn("k", F.col("k") - F.when(F.col("label") == 1, n0 + 1).otherwise(1))
     many, few = (1, 0) if n1 >= n0 else (0, 1)
     one = placed.where(F.col("label") == many).select("k", F.pmod("k", F.lit(max(1, min(n0, n1)))).alias("j"), F.col("features").alias("x"))
     other = placed.where(F.col("label") == few).select(F.col("k").alias("j"), F.col("features").alias("y"))

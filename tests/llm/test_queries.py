@@ -207,3 +207,10 @@ def test_quality_learns_all_labels(spark, many_labels):
         for share in (0.0, 0.3, 0.5, 0.77, 1.0):
             got, want = quality.quantile(df, "x", share), df.agg(F.percentile("x", F.lit(share))).first()[0]
             assert got == want or abs(got - want) <= 1e-12 * abs(want)
+
+
+def test_pipeline_learns_all_labels(spark, many_labels, tmp_path):
+    docs, labels, bad = many_labels
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.good_quality(spark, docs, str(tmp_path))
+    assert kept.where(F.col("text") == "some quiet words").count() == learning.SAMPLE == kept.count()
