@@ -214,3 +214,14 @@ def test_pipeline_learns_all_labels(spark, many_labels, tmp_path):
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     kept = corpus_pipeline.good_quality(spark, docs, str(tmp_path))
     assert kept.where(F.col("text") == "some quiet words").count() == learning.SAMPLE == kept.count()
+
+
+def test_pipeline_compiles_no_stages(spark, sf_dir, monkeypatch):
+    key, docs = "spark.sql.codegen.wholeStage", spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before, seen, kind = spark.conf.get(key), {}, type(docs)
+    for name in ("checkpoint", "first", "isEmpty", "count", "collect", "toLocalIterator"):
+        monkeypatch.setattr(kind, name, lambda self, *a, name=name, f=getattr(kind, name), **b: seen.setdefault(name, set()).add(spark.conf.get(key)) or f(self, *a, **b))
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, sf_dir)
+        assert spark.conf.get(key) == before
+    assert {"checkpoint", "first", "isEmpty", "count"} <= set(seen) and set().union(*seen.values()) == {"false"}
