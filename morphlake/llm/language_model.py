@@ -7,6 +7,9 @@ well, and their contexts' sums are dealt once more.  A shard sums its triples, w
 folder, and sends on how many different words each word followed.  A pair is also the context of the next word, and most
 contexts were followed by one word once: those are not stored.  Scoring: every task maps the arrays into memory and looks
 up the sorted hashes of a block of texts at once.
+
+An executor's workers share its memory, so a task holds a token as nine bytes until it counts its triples, makes keys a
+part at a time, and sends what it deals in rows and batches of bounded size.
 """
 
 from __future__ import annotations
@@ -15,12 +18,12 @@ import mmap
 import sys
 import uuid
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from io import BytesIO
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +40,10 @@ SPREAD_BITS = 20  # buckets of words by hash: what tasks know of frequent words
 OPEN, OPEN_BYTES = 20_000, 256 << 20  # arrays that a worker has mapped at once (a system allows some 65,000), and bytes of those that it had to read
 SHORT = np.uint64(24)  # n-grams know a word by the other 40 bits of its hash, words are counted by all of it
 BEGIN, END = np.uint64(1) << SHORT, np.uint64(2) << SHORT
+PART = 1 << 17  # rows for which keys are made at once
+PIECE, BATCH_BYTES = 10_000, 4 << 20  # dealt rows that travel as one value (below half a region of a small heap), and bytes that are sent at once
 _ROLE = np.uint64(0x9E3779B97F4A7C15)
+_DEALT = {"words": ("u8", "u4"), "triples": ("s", "s", "s", "u4"), "contexts": ("u8", "u4", "u4", "u4", "u4"), "kinds": ("s", "u4")}  # columns of what is dealt; "s" is a 40-bit one
 
 
 def put(folder: str, name: str, array: np.ndarray) -> None:
@@ -107,11 +113,15 @@ def begins(row: np.ndarray) -> np.ndarray:
 def triples(row: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each token by its 40 bits, after the two before it; a text begins after two BEGIN."""
     w, first = word >> SHORT, begins(row)
+    v = one_before(w, first)
+    return one_before(v, first), v, w
+
+
+def one_before(w: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """What stands before each token; BEGIN where a text begins."""
     v = np.roll(w, 1)
     v[first] = BEGIN >> SHORT
-    u = np.roll(v, 1)
-    u[first] = BEGIN >> SHORT
-    return u, v, w
+    return v
 
 
 def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -131,6 +141,14 @@ def triple_key(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return pair_key(pair_key(u, v), w)
 
 
+def in_parts(of: Callable[..., np.ndarray], *columns: np.ndarray, kind: type = np.uint64) -> np.ndarray:
+    """of(*columns), made of PART rows at a time, so that what it needs in between stays small."""
+    out = np.empty(len(columns[0]), dtype=kind)
+    for a in range(0, len(out), PART):
+        out[a : a + PART] = of(*(c[a : a + PART] for c in columns))
+    return out
+
+
 def buckets_of(w: np.ndarray) -> np.ndarray:
     """The buckets of words by their 40 bits."""
     return (mix64(w) >> np.uint64(64 - SPREAD_BITS)).astype(np.int64)
@@ -157,10 +175,19 @@ def shard_of(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-def _deal(what: str, shards: np.ndarray, *columns: np.ndarray) -> list[tuple[int, str, bytes]]:
-    """(shard, what, bytes of the columns) of rows that are sorted by shard; 40-bit columns take five bytes."""
-    numbers, first = np.unique(shards, return_index=True)
-    return [(int(k), what, b"".join(np.ascontiguousarray(c[a:b]).tobytes() for c in columns)) for k, a, b in zip(numbers, first, np.append(first[1:], len(shards)), strict=False)]
+def _deal(what: str, shards: np.ndarray, *columns: np.ndarray, sort: int = 0) -> Iterator[tuple[int, str, bytes]]:
+    """(shard, what, bytes of the columns) of rows, PIECE of them at most; 40-bit columns take five bytes.
+
+    A shard's rows keep their order, or are sorted by the first ``sort`` columns.
+    """
+    order = np.argsort(shards, kind="stable")
+    first = np.flatnonzero(np.diff(shards[order], prepend=-1))
+    for a, b in zip(first, np.append(first[1:], len(order)), strict=False):
+        rows = order[a:b]
+        if sort:
+            rows = rows[np.lexsort([c[rows] for c in columns[:sort][::-1]])]
+        for piece in (rows[k : k + PIECE] for k in range(0, len(rows), PIECE)):
+            yield int(shards[piece[0]]), what, b"".join((_first_bytes(c[piece]) if t == "s" else c[piece].astype(t)).tobytes() for t, c in zip(_DEALT[what], columns, strict=True))
 
 
 def _first_bytes(x: np.ndarray, n: int = 5) -> np.ndarray:
@@ -168,21 +195,36 @@ def _first_bytes(x: np.ndarray, n: int = 5) -> np.ndarray:
     return np.ascontiguousarray(x, dtype="<u8").view(np.uint8).reshape(-1, 8)[:, :n]
 
 
-def _read(values: list[pa.Scalar], *types: str) -> list[np.ndarray]:
-    """The columns that _deal wrote, of all values together; "s" is a 40-bit column."""
-    sizes = [5 if t == "s" else np.dtype(t).itemsize for t in types]
-    parts: list[list[np.ndarray]] = [[] for _ in types]
-    for raw in (x.as_buffer() for x in values):
+def _read(group: pa.Table, what: str) -> list[np.ndarray]:
+    """The columns that _deal wrote, of all the group's rows of this kind together."""
+    values = [x.as_buffer() for x in _values(group, what)]
+    sizes = [5 if t == "s" else np.dtype(t).itemsize for t in _DEALT[what]]
+    out = [np.zeros(sum(map(len, values)) // sum(sizes), dtype="u8" if t == "s" else t) for t in _DEALT[what]]
+    first = 0
+    for raw in values:
         n, at = len(raw) // sum(sizes), 0
-        for part, t, size in zip(parts, types, sizes, strict=True):
+        for column, t, size in zip(out, _DEALT[what], sizes, strict=True):
             if t == "s":
-                long = np.zeros((n, 8), dtype=np.uint8)
-                long[:, :5] = np.frombuffer(raw, dtype=np.uint8, count=5 * n, offset=at).reshape(-1, 5)
-                part.append(long.view("<u8").ravel())
+                column[first : first + n].view(np.uint8).reshape(-1, 8)[:, :5] = np.frombuffer(raw, dtype=np.uint8, count=5 * n, offset=at).reshape(-1, 5)
             else:
-                part.append(np.frombuffer(raw, dtype=t, count=n, offset=at))
+                column[first : first + n] = np.frombuffer(raw, dtype=t, count=n, offset=at)
             at += n * size
-    return [np.concatenate(p) if p else np.zeros(0, dtype="<u8" if t == "s" else t) for p, t in zip(parts, types, strict=True)]
+        first += n
+    return out
+
+
+def _batches(rows: Iterable[tuple[int, str, bytes]]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of some BATCH_BYTES."""
+    held: list[tuple[int, str, bytes]] = []
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += len(row[2])
+        if size >= BATCH_BYTES:
+            yield _batch(held)
+            held, size = [], 0
+    if held:
+        yield _batch(held)
 
 
 def _batch(rows: list[tuple[int, str, bytes]]) -> pa.RecordBatch:
@@ -190,7 +232,8 @@ def _batch(rows: list[tuple[int, str, bytes]]) -> pa.RecordBatch:
 
 
 def _values(group: pa.Table, what: str) -> list[pa.Scalar]:
-    return [x for c in group.filter(pa.compute.equal(group.column("what"), what)).column("counts").chunks for x in c]
+    """The group's rows of this kind, not copied."""
+    return [x for of, x in zip(group.column("what").to_pylist(), group.column("counts"), strict=True) if of == what]
 
 
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -241,8 +284,10 @@ def pack(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
     A value is one number, or what spread_of gives.  255 says that it is among the few that are stored whole.  At any size,
     about one missing key in 300,000 is taken for another.
     """
-    order = np.argsort(keys)
-    keys, values = keys[order], values[order]
+    if (keys[1:] < keys[:-1]).any():
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
+        del order
     bits = max(len(keys).bit_length() - 6, 0)
     starts = np.searchsorted((keys >> np.uint64(1)) >> np.uint64(63 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.uint32)
     if values.shape[1] == 1:
@@ -316,22 +361,23 @@ def count_words(docs: DataFrame, text_col: str, folder: str, n_shards: int, freq
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
-        def flush() -> pa.RecordBatch:
-            w, n = np.unique(np.concatenate(held), return_counts=True)
+        def flush() -> Iterator[pa.RecordBatch]:
+            w = np.concatenate(held)
             held.clear()
-            return _batch(_deal("words", shard_of(w, n_shards), w, n.astype(np.uint32)))
+            w, n = np.unique(w, return_counts=True)
+            return _batches(_deal("words", shard_of(w, n_shards), w, n))
 
         for batch in batches:
             for b in blocks(batch.column(0)):
                 held.append(tokens(b)[1])
                 if sum(map(len, held)) >= TOKENS_AT_ONCE:
-                    yield flush()
+                    yield from flush()
         if held:
-            yield flush()
+            yield from flush()
 
     def merge(group: pa.Table) -> pa.Table:
         shard = group.column("shard")[0].as_py()
-        w, n = _read(_values(group, "words"), "u8", "u4")
+        w, n = _read(group, "words")
         order = np.argsort(w)
         starts, at = _sums(order, w)
         n, w = _add(order, starts, n), w[at]
@@ -346,6 +392,23 @@ def count_words(docs: DataFrame, text_col: str, folder: str, n_shards: int, freq
     return sum(r.tokens for r in sums), sum(r.words for r in sums), sorted(r.shard for r in sums), frequent_buckets
 
 
+def count_triples(held: list[tuple[np.ndarray, np.ndarray]], spread: np.ndarray, n_shards: int) -> Iterator[pa.RecordBatch]:
+    """Deal the counts of the triples in some (tokens by 40 bits, which of them begin a text), and empty that list."""
+    w, first = (np.concatenate(x) for x in zip(*held, strict=True))
+    held.clear()
+    v = one_before(w, first)
+    u = one_before(v, first)
+    key = in_parts(triple_key, u, v, w)
+    order = np.argsort(key)
+    starts, at = _sums(order, key)
+    n = np.diff(np.append(starts, len(order))).astype(np.uint32)
+    del key, order, starts, first
+    u, v, w = u[at], v[at], w[at]
+    del at
+    shards = in_parts(lambda v, w: shard_of_pair(v, w, spread, n_shards), v, w, kind=np.int32)
+    yield from _batches(_deal("triples", shards, v, w, u, n, sort=2))
+
+
 def train(docs: DataFrame, text_col: str = "text", frequent: int = FREQUENT) -> dict:
     """Count the texts of docs; returns the model: its folder, its shards' numbers, a few totals, and the buckets of frequent words."""
     spark = docs.sparkSession
@@ -357,43 +420,43 @@ def train(docs: DataFrame, text_col: str = "text", frequent: int = FREQUENT) ->
     n_tokens, n_words, word_shards, often = count_words(docs, text_col, folder, n_shards, frequent)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         spread = spread_buckets(often)
-
-        def flush() -> pa.RecordBatch:
-            u, v, w = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            _, at, _, n = distinct(triple_key(u, v, w))
-            u, v, w, n = u[at], v[at], w[at], n.astype(np.uint32)
-            shards = shard_of_pair(v, w, spread, n_shards)
-            order = np.lexsort((w, v, shards))
-            return _batch(_deal("triples", shards[order], *(_first_bytes(x[order]) for x in (v, w, u)), n[order]))
-
         for batch in batches:
             for b in blocks(batch.column(0)):
-                held.append(triples(*tokens(b)))
+                row, word = tokens(b)
+                held.append((word >> SHORT, begins(row)))
+                del row, word
                 if sum(len(x[0]) for x in held) >= TOKENS_AT_ONCE:
-                    yield flush()
+                    yield from count_triples(held, spread, n_shards)
         if held:
-            yield flush()
+            yield from count_triples(held, spread, n_shards)
 
     def merge(group: pa.Table) -> pa.Table:
         shard = group.column("shard")[0].as_py()
         spread = spread_buckets(often)
-        v, w, u, n = _read(_values(group, "triples"), "s", "s", "s", "u4")
-        key = triple_key(u, v, w)
+        v, w, u, n = _read(group, "triples")
+        key = in_parts(triple_key, u, v, w)
         order = np.argsort(key)
         starts, at = _sums(order, key)
         n = _add(order, starts, n)
-        u, v, w = u[at], v[at], w[at]
-        put(folder, f"triple-{shard}", pack(key[at], n[:, None]))
+        del order, starts
+        u, v, w, key = u[at], v[at], w[at], key[at]
+        del at
+        put(folder, f"triple-{shard}", pack(key, n[:, None]))
         tallies = _tally(n)
-        contexts = []
-        key = pair_context(u, v)
+        key = in_parts(pair_context, u, v)
+        del u
         order = np.argsort(key)
         starts, at = _sums(order, key)
-        contexts.append((key[at], v[at], spread_of(order, starts, n)))
-        key = pair_key(v, w)
+        # A context that one word followed once isn't stored, if this shard knows all of it.
+        kinds = np.diff(np.append(starts, len(order)))
+        wanted = (kinds > 1) | (n[at] > 1) | in_parts(lambda x: is_spread(x, spread), v[at], kind=bool)
+        order = order[np.repeat(wanted, kinds)]
+        starts, at = _sums(order, key)
+        contexts = [(key[at], v[at], spread_of(order, starts, n))]
+        del n, kinds, wanted
+        key = in_parts(pair_key, v, w)
         order = np.argsort(key)
         starts, at = _sums(order, key)
         kinds, key, v, w = np.diff(np.append(starts, len(order))), key[at], v[at], w[at]
@@ -403,28 +466,27 @@ def train(docs: DataFrame, text_col: str = "text", frequent: int = FREQUENT) ->
         starts, at = _sums(order, v)
         contexts.append((word_context(v[at]), v[at], spread_of(order, starts, kinds)))
         key, of, values = (np.concatenate(x) for x in zip(*contexts, strict=True))
+        del contexts, kinds, v
         split = is_spread(of, spread)
         put(folder, f"context-{shard}", pack_contexts(key[~split], values[~split]))
         key, values = key[split], values[split]
         order = np.argsort(key)
-        rows = _deal("contexts", shard_of(key[order], n_shards), key[order], *(x.astype(np.uint32) for x in values[order].T))
+        dealt = _deal("contexts", shard_of(key[order], n_shards), key[order], *values[order].T)
         order = np.argsort(w)
         starts, at = _sums(order, w)
-        w, kinds = w[at], np.diff(np.append(starts, len(order))).astype(np.uint32)
-        shards = shard_of(mix64(w), n_shards)
-        order = np.argsort(shards, kind="stable")
-        rows += _deal("kinds", shards[order], _first_bytes(w[order]), kinds[order])
-        return pa.Table.from_batches([_batch([*rows, (-1 - shard, "tallies", np.array(tallies, dtype=np.int64).tobytes())])])
+        w, kinds = w[at], np.diff(np.append(starts, len(order)))
+        dealt = chain(dealt, _deal("kinds", shard_of(mix64(w), n_shards), w, kinds), [(-1 - shard, "tallies", np.array(tallies, dtype=np.int64).tobytes())])
+        return pa.Table.from_batches(list(_batches(dealt)))
 
     def finish(group: pa.Table) -> pa.Table:
         shard = group.column("shard")[0].as_py()
         if shard < 0:
             return pa.table({"shard": [shard], "tallies": [np.frombuffer(_values(group, "tallies")[0].as_buffer(), dtype=np.int64).tolist()]})
-        key, *values = _read(_values(group, "contexts"), "u8", "u4", "u4", "u4", "u4")
+        key, *values = _read(group, "contexts")
         order = np.argsort(key)
         starts, at = _sums(order, key)
         put(folder, f"split-{shard}", pack_contexts(key[at], np.column_stack([_add(order, starts, x) for x in values])))
-        w, kinds = _read(_values(group, "kinds"), "s", "u4")
+        w, kinds = _read(group, "kinds")
         key = mix64(w)
         order = np.argsort(key)
         starts, at = _sums(order, key)

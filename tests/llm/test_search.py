@@ -5,9 +5,13 @@ import os
 import random
 import re
 import sys
+import tracemalloc
 from collections import Counter
+from unittest.mock import MagicMock
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -292,3 +296,61 @@ def test_months_stay(spark):
     assert re.fullmatch(r"Mr\. (?!May)\w+ spoke\. In May it rains\.", got[0])
     name, surname = re.match(r"Mrs\. (\w+) (\w+) left", got[1]).groups()
     assert got[1] == f"Mrs. {name} {surname} left; {surname} and {name.upper()} came back on Monday." and "Smith" not in got[1]
+
+
+class Captured:
+    """Takes the place of documents and keeps the functions that tasks would run."""
+
+    def __init__(self):
+        self.functions, self.sparkSession = [], None
+
+    def select(self, *_):
+        return self
+
+    agg = groupBy = select
+
+    def first(self):
+        return [0]
+
+    def collect(self):
+        return []
+
+    def mapInArrow(self, function, _):
+        self.functions.append(function)
+        return self
+
+    applyInArrow = mapInArrow
+
+
+def test_language_model_tasks_take_little_memory(tmp_path, monkeypatch):
+    """A task that counts or merges triples takes few bytes for each, and sends bounded values and batches."""
+    docs, shards = Captured(), 2
+    for name, value in (("F", MagicMock()), ("checkpoint_dir", lambda _: str(tmp_path)), ("partitions", lambda _: shards), ("count_words", lambda *_: (0, 0, [], []))):
+        monkeypatch.setattr(language_model, name, value)
+    language_model.train(docs)
+    count, merge, _ = docs.functions
+    size = language_model.TOKENS_AT_ONCE // 4
+    monkeypatch.setattr(language_model, "TOKENS_AT_ONCE", size)
+    draw = np.random.default_rng(0)
+    words = np.array([f"w{k}" for k in range(20_000)])
+    texts = pa.array([" ".join(words[(draw.pareto(0.8, 500) * 9).astype(np.int64) % len(words)]) for _ in range(2 * size // 500)])
+    list(count(iter([pa.record_batch([texts.slice(0, 10)], names=["text"])])))  # tables that every worker has
+    tracemalloc.start()
+    try:
+        rows = []
+        for batch in count(iter([pa.record_batch([texts], names=["text"])])):
+            assert batch.nbytes < 8 << 20
+            rows += batch.filter(pa.compute.equal(batch.column("shard"), 0)).to_pylist()
+            assert max(map(len, batch.column("counts").to_pylist())) < 1 << 18
+            del batch
+        held = sum(len(r["counts"]) for r in rows)
+        assert tracemalloc.get_traced_memory()[1] - held < 112 * size
+        group = pa.Table.from_pylist(rows, schema=pa.schema([("shard", pa.int32()), ("what", pa.string()), ("counts", pa.binary())]))
+        rows.clear()
+        n = held // 19
+        before = tracemalloc.get_traced_memory()[0]
+        tracemalloc.reset_peak()
+        merge(group)
+        assert tracemalloc.get_traced_memory()[1] - before < 95 * n
+    finally:
+        tracemalloc.stop()
