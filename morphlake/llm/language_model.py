@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import checkpoint_dir, cut, fold, partitions, table
+from .common import checkpoint_dir, cut, fold, partitions, setting, table
 from .textops import Block, blocks, mix64, word_hashes, words
 
 FOLDS, HELD_OUT = 7, 2
@@ -397,20 +397,30 @@ def count_triples(held: list[tuple[np.ndarray, np.ndarray]], spread: np.ndarray,
     w, first = (np.concatenate(x) for x in zip(*held, strict=True))
     held.clear()
     v = one_before(w, first)
-    u = one_before(v, first)
-    key = in_parts(triple_key, u, v, w)
+    key = in_parts(triple_key, one_before(v, first), v, w)
+    del v  # made again, as the sort needs the room
     order = np.argsort(key)
     starts, at = _sums(order, key)
     n = np.diff(np.append(starts, len(order))).astype(np.uint32)
-    del key, order, starts, first
-    u, v, w = u[at], v[at], w[at]
-    del at
+    del key, order, starts
+    v = one_before(w, first)
+    u = one_before(v, first)[at]
+    v, w = v[at], w[at]
+    del at, first
     shards = in_parts(lambda v, w: shard_of_pair(v, w, spread, n_shards), v, w, kind=np.int32)
     yield from _batches(_deal("triples", shards, v, w, u, n, sort=2))
 
 
 def train(docs: DataFrame, text_col: str = "text", frequent: int = FREQUENT) -> dict:
-    """Count the texts of docs; returns the model: its folder, its shards' numbers, a few totals, and the buckets of frequent words."""
+    """Count the texts of docs; returns the model: its folder, its shards' numbers, a few totals, and the buckets of frequent words.
+
+    Texts and what is dealt reach the workers in batches of BATCH_BYTES too: else a batch may be a whole shard's.
+    """
+    with setting(docs.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES)):
+        return _train(docs, text_col, frequent)
+
+
+def _train(docs: DataFrame, text_col: str, frequent: int) -> dict:
     spark = docs.sparkSession
     chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
     n_shards = max(partitions(spark), chars // SHARD_CHARS)

@@ -302,7 +302,7 @@ class Captured:
     """Takes the place of documents and keeps the functions that tasks would run."""
 
     def __init__(self):
-        self.functions, self.sparkSession = [], None
+        self.functions, self.sparkSession = [], MagicMock()
 
     def select(self, *_):
         return self
