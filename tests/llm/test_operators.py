@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -493,6 +494,47 @@ def test_common_lines_are_no_pairs():
     assert sorted(found) == [(k, k + 1, 59) for k in range(0, 80, 2)]
 
 
+def test_fragment_memory(monkeypatch):
+    """A fragment of sets that have one shingle there takes up to 165 bytes for each while its pairs are found, besides its blobs."""
+    monkeypatch.setattr(ngram_join, "PAIRS_AT_ONCE", 1 << 12)
+    rnd = np.random.default_rng(1)
+    n = 100_000
+    names, hashes = np.arange(n, dtype=np.int64), np.sort(rnd.integers(0, 1 << 31, n // 4))[rnd.integers(0, n // 4, n)].astype(np.uint64)
+    about = np.array([[350, 300, 2, 20]] * n, dtype=np.uint32)
+    order = np.lexsort((names, hashes))
+    _, blobs = ngram_join.pack(names[order], hashes[order], names, about, 1, np.uint64)
+    column = pa.chunked_array([pa.array(blobs, type=pa.binary())])
+    tracemalloc.start()
+    try:
+        s = ngram_join.Segments(column, np.uint64, len(ngram_join.ABOUT))
+        s.index()
+        for round_no in range(2):
+            s.stars(round_no, names)
+        first = tracemalloc.get_traced_memory()[1] / n
+        tracemalloc.reset_peak()
+        found = sum(len(x[0]) for x in s.all_pairs(names))
+        last = tracemalloc.get_traced_memory()[1] / n
+    finally:
+        tracemalloc.stop()
+    counts = np.unique(hashes, return_counts=True)[1]
+    assert found == (counts * (counts - 1) // 2).sum() and first < 165 and last < 165
+
+
+def test_rows_for_each_fragment(spark, monkeypatch):
+    """Few rows that become many go to enough tasks, as many for a node with most of the rows; tables leave a worker in parts."""
+    monkeypatch.setattr(ngram_join, "SPREAD_ROWS", 10_000)
+    where = spark.range(100).select(F.col("id").alias("node"), F.sequence(F.lit(0), F.lit(499)).alias("fragments"))
+    pairs = spark.range(300).select(F.when(F.col("id") < 200, 7).otherwise(F.col("id") % 100).alias("a"), F.col("id").alias("b"))
+    got = ngram_join.spread(pairs, where, "a", 500)
+    sizes = [sum(1 for _ in x) for x in got.rdd.glom().collect()]
+    assert len(sizes) == 16 and sum(sizes) == 150_000 and max(sizes) <= 20_000
+    assert got.distinct().count() == 150_000
+    rows = pa.table({"a": np.arange(1_000_000)})
+    parts = ngram_join.in_batches(rows)
+    assert parts.equals(rows) and max(x.nbytes for x in parts.to_batches()) <= ngram_join.BATCH_BYTES
+    assert len(ngram_join.in_batches(rows.slice(0, 0))) == 0
+
+
 def test_shuffles_are_forgotten(spark):
     files = lambda: spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().size()
     before, setting = files(), spark.conf.get(common.FORGET, None)
